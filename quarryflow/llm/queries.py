@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, gif_media, token_counts
+from . import byte_bpe, gif_media, html_extract, language_crf, mix_sources, token_counts
 from .common import documents
 
 
@@ -16,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.media_digest(gif_media.text_media(documents(spark, sf_dir)))
 
@@ -24,9 +29,17 @@ def op3_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.identify(documents(spark, sf_dir).withColumn("held_out", language_crf.held_out()), allowed=~F.col("held_out"), keep=("held_out",))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_column(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_gif_media, op3_heap_token_counts, op9_streaming_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_gif_media, op3_heap_token_counts, op4_language_crf, op7_main_text, op9_streaming_bpe)}
 ORACLES: dict[str, str] = {}
