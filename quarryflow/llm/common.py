@@ -96,3 +96,17 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
                 yield pa.RecordBatch.from_pydict(fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}), schema=arrow_schema)
 
     return df.mapInArrow(run, schema)
+
+
+#: A written table is broadcast up to this size; beyond it the join shuffles both sides.
+BROADCAST_BYTES = 24 << 20
+
+
+def small_enough(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a table already written is small enough to broadcast, by its number of rows."""
+    return table.count() * row_bytes <= limit
+
+
+def hinted(table: DataFrame, row_bytes: int) -> DataFrame:
+    """The table, marked for broadcast only if its checked size allows it."""
+    return F.broadcast(table) if small_enough(table, row_bytes) else table

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, gif_media, html_extract, language_crf, mix_sources, token_counts
+from . import byte_bpe, gif_media, html_extract, language_crf, mix_sources, ngram_join, token_counts
 from .common import documents
 
 
@@ -41,5 +41,9 @@ def op9_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_column(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_gif_media, op3_heap_token_counts, op4_language_crf, op7_main_text, op9_streaming_bpe)}
+def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_gif_media, op3_heap_token_counts, op4_language_crf, op7_main_text, op9_streaming_bpe, op10_parity_sketch_join)}
 ORACLES: dict[str, str] = {}
