@@ -102,11 +102,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
 BROADCAST_BYTES = 24 << 20
 
 
-def small_enough(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a table already written is small enough to broadcast, by its number of rows."""
-    return table.count() * row_bytes <= limit
-
-
-def hinted(table: DataFrame, row_bytes: int) -> DataFrame:
-    """The table, marked for broadcast only if its checked size allows it."""
-    return F.broadcast(table) if small_enough(table, row_bytes) else table
+def hinted(table: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A table already written, marked for broadcast only if its checked size (bytes a row, summed) allows it."""
+    size = table.count() * row_bytes if isinstance(row_bytes, int) else table.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(table) if size <= limit else table

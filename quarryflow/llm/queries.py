@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, gif_media, html_extract, language_crf, mix_sources, ngram_join, token_counts
+from . import byte_bpe, gif_media, html_extract, language_crf, mix_sources, ngram_join, substring_dedup, token_counts
 from .common import documents
 
 
@@ -37,6 +37,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(documents(spark, sf_dir), with_text=False)
+
+
 def op9_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_column(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -45,5 +49,5 @@ def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_gif_media, op3_heap_token_counts, op4_language_crf, op7_main_text, op9_streaming_bpe, op10_parity_sketch_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_gif_media, op3_heap_token_counts, op4_language_crf, op7_main_text, op8_relative_lz, op9_streaming_bpe, op10_parity_sketch_join)}
 ORACLES: dict[str, str] = {}
