@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, gif_media, html_extract, language_crf, mix_sources, ngram_join, substring_dedup, token_counts
+from . import byte_bpe, gif_media, html_extract, language_crf, line_dedup, mix_sources, ngram_join, substring_dedup, token_counts, vector_join
 from .common import documents
 
 
@@ -33,6 +33,14 @@ def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.identify(documents(spark, sf_dir).withColumn("held_out", language_crf.held_out()), allowed=~F.col("held_out"), keep=("held_out",))
 
 
+def op5_line_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.cosine_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -49,5 +57,5 @@ def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_gif_media, op3_heap_token_counts, op4_language_crf, op7_main_text, op8_relative_lz, op9_streaming_bpe, op10_parity_sketch_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_gif_media, op3_heap_token_counts, op4_language_crf, op5_line_similarity_join, op6_epsilon_grid_join, op7_main_text, op8_relative_lz, op9_streaming_bpe, op10_parity_sketch_join)}
 ORACLES: dict[str, str] = {}
