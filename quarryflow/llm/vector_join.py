@@ -31,35 +31,44 @@ from .components import components
 
 LEADING = 8
 #: Vectors of an interval; fan-out of the box tree.
-INTERVAL, FAN = 512, 16
+INTERVAL, FAN = 2048, 16
 #: Vectors below which a pair of runs is compared without splitting it further.
-LEAF = 128
-
-
-def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (vid, v) whose vector is usable, as unit vectors in double precision, and their length."""
-    for batch in batches:
-        ids, out, dims = [], [], []
-        for vid, v in zip(batch.column("vid").to_pylist(), batch.column("v").to_pylist()):
-            if not v or None in v:
-                continue
-            x = np.array(v, np.float64)
-            if not np.isfinite(x).all() or not (top := np.abs(x).max()):
-                continue
-            x /= top
-            ids.append(vid)
-            out.append((x / np.sqrt(x @ x)).tobytes())
-            dims.append(len(x))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(dims, pa.int32())], names=["vid", "unit", "dim"])
-
-
-def _moments(dim: int):
+LEAF = 512
+
+
+def _usable(kind: str):
+    """Rows (vid, raw, dim) of the vectors that can be compared, as stored: "<f4" or "<f8"."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out, dims = [], [], []
+            for vid, v in zip(batch.column("vid").to_pylist(), batch.column("v").to_pylist()):
+                if not v or None in v:
+                    continue
+                x = np.array(v, np.float64)
+                if np.isfinite(x).all() and x.any():
+                    ids.append(vid)
+                    out.append(x.astype(kind).tobytes())
+                    dims.append(len(x))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(dims, pa.int32())], names=["vid", "raw", "dim"])
+
+    return run
+
+
+def unit(rows: list[bytes], dim: int, kind: str) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.frombuffer(b"".join(rows), kind).reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _moments(dim: int, kind: str):
     """Partial sums of the outer products of a task's vectors with 1 in front: a row for each row of the matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim + 1, dim + 1))
         for batch in batches:
-            x = _matrix(batch.column("unit").to_pylist(), dim)
+            x = unit(batch.column("raw").to_pylist(), dim, kind)
             x = np.hstack([np.ones((len(x), 1)), x])
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 1)), pa.array(list(total))], names=["row", "sums"])
@@ -67,26 +76,22 @@ def _moments(dim: int):
     return run
 
 
-def _matrix(rows: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.float64).reshape(-1, dim)
-
-
-def _cells(directions: bytes, mean: bytes, dim: int, epsilon: float):
+def _cells(directions: bytes, mean: bytes, dim: int, kind: str, epsilon: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, m = np.frombuffer(directions, np.float64).reshape(dim, -1), np.frombuffer(mean, np.float64)
         for batch in batches:
-            y = (_matrix(batch.column("unit").to_pylist(), dim) - m) @ q
+            y = (unit(batch.column("raw").to_pylist(), dim, kind) - m) @ q
             cell = np.floor(y / epsilon).astype(np.int64) + 128  # unit vectors: small numbers
             order = [struct.pack(f">{q.shape[1]}B", *np.clip(c, 0, 255)) for c in cell]
-            yield pa.RecordBatch.from_arrays([batch.column("vid"), batch.column("unit"), batch.column("copies"), pa.array(order, pa.binary()), pa.array(y[:, 0]), pa.array([r.tobytes() for r in y], pa.binary())], names=["vid", "unit", "copies", "cell", "along", "lead"])
+            yield pa.RecordBatch.from_arrays([batch.column("vid"), batch.column("raw"), batch.column("copies"), pa.array(order, pa.binary()), pa.array(y[:, 0]), pa.array([r.tobytes() for r in y], pa.binary())], names=["vid", "raw", "copies", "cell", "along", "lead"])
 
     return run
 
 
-_INTERVALS = "leaf long, level1 long, level2 long, level3 long, low array<double>, high array<double>, n int, vids binary, copies binary, units binary, leads binary"
+_INTERVALS = "leaf long, level1 long, level2 long, level3 long, low array<double>, high array<double>, vids binary, copies binary, raws binary, leads binary"
 
 
-def _intervals(dim: int):
+def _intervals():
     """Consecutive intervals of a task's sorted vectors, with their boxes and their places in the tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,15 +101,15 @@ def _intervals(dim: int):
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
             nonlocal seq
-            vids, units, copies, leads = zip(*rows)
+            vids, raws, copies, leads = zip(*rows)
             y = np.frombuffer(b"".join(leads), np.float64).reshape(len(rows), -1)
             leaf = part << 32 | seq
             level1, level2 = part << 32 | seq // FAN, part << 32 | seq // FAN**2
             seq += 1
-            return pa.RecordBatch.from_arrays([pa.array([leaf]), pa.array([level1]), pa.array([level2]), pa.array([part]), pa.array([y.min(axis=0).tolist()]), pa.array([y.max(axis=0).tolist()]), pa.array([len(rows)], pa.int32()), *(pa.array([x], pa.binary()) for x in (np.array(vids, np.int64).tobytes(), np.array(copies, np.int64).tobytes(), b"".join(units), b"".join(leads)))], names=[c.split()[0] for c in _INTERVALS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([leaf]), pa.array([level1]), pa.array([level2]), pa.array([part]), pa.array([y.min(axis=0).tolist()]), pa.array([y.max(axis=0).tolist()]), *(pa.array([x], pa.binary()) for x in (np.array(vids, np.int64).tobytes(), np.array(copies, np.int64).tobytes(), b"".join(raws), b"".join(leads)))], names=[c.split()[0] for c in _INTERVALS.split(", ")])
 
         for batch in batches:
-            held += zip(*(batch.column(n).to_pylist() for n in ("vid", "unit", "copies", "lead")))
+            held += zip(*(batch.column(n).to_pylist() for n in ("vid", "raw", "copies", "lead")))
             while len(held) >= INTERVAL:
                 yield made(held[:INTERVAL])
                 held = held[INTERVAL:]
@@ -166,8 +171,8 @@ class _Forest:
         return made
 
 
-def _joined(dim: int, cosine: float, epsilon: float):
-    """For a pair of intervals: rows (vid, null, links found) and rows (vid, other, null), the edges of a spanning forest."""
+def _joined(dim: int, kind: str, cosine: float, epsilon: float):
+    """From an interval x (y is null) followed by its partners y, again and again. For each pair of intervals: rows (vid, null, links found) and rows (vid, other, null), the edges of a spanning forest."""
 
     def compare(a: tuple, b: tuple, same: bool) -> tuple[np.ndarray, np.ndarray, list]:
         (va, ca, xa, ya), (vb, cb, xb, yb) = a, b
@@ -198,15 +203,23 @@ def _joined(dim: int, cosine: float, epsilon: float):
         ids = va if same else np.concatenate([va, vb])
         return na, nb, [(int(ids[s]), int(ids[t])) for s, t in edges]
 
+    def read(c: dict[str, list], k: int) -> tuple:
+        vids = np.frombuffer(c["vids"][k], np.int64)
+        return vids, np.frombuffer(c["copies"][k], np.int64), unit([c["raws"][k]], dim, kind), np.frombuffer(c["leads"][k], np.float64).reshape(len(vids), -1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("vid", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
+        own = None
         for batch in batches:
-            c = batch.to_pydict()
             for k in range(batch.num_rows):
-                sides = [(np.frombuffer(c[f"vids{s}"][k], np.int64), np.frombuffer(c[f"copies{s}"][k], np.int64), _matrix([c[f"units{s}"][k]], dim), np.frombuffer(c[f"leads{s}"][k], np.float64).reshape(c[f"n{s}"][k], -1)) for s in "ab"]
-                same = c["x"][k] == c["y"][k]
-                na, nb, edges = compare(*sides, same)
-                vids = [*sides[0][0][na > 0].tolist(), *([] if same else sides[1][0][nb > 0].tolist())]
+                c = batch.slice(k, 1).to_pydict()
+                if c["y"][0] is None:
+                    own = read(c, 0)
+                    continue
+                same = c["x"][0] == c["y"][0]
+                other = own if same else read(c, 0)
+                na, nb, edges = compare(own, other, same)
+                vids = [*own[0][na > 0].tolist(), *([] if same else other[0][nb > 0].tolist())]
                 links = [*na[na > 0].tolist(), *([] if same else nb[nb > 0].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(vids + [e[0] for e in edges], pa.int64()), pa.array([None] * len(vids) + [e[1] for e in edges], pa.int64()), pa.array(links + [None] * len(edges), pa.int64())], schema=schema)
 
@@ -216,19 +229,20 @@ def _joined(dim: int, cosine: float, epsilon: float):
 def cosine_links(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id, n_links, component_id, kept of every row. The id must be an integer."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1024)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2048)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
     scratch, epsilon = Scratch(spark, "vectors"), float(np.sqrt(2 - 2 * cosine))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     h = [F.xxhash64(F.lit(k), F.col("v")).alias(f"h{k}") for k in range(2)]
     # Equal vectors are one class; their rank within the class is never needed, only how many there are.
     classes = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.write(classes.withColumn("vid", F.monotonically_increasing_id()), "classes")
-    units = scratch.write(classes.select("vid", "v").mapInArrow(_unit, "vid long, unit binary, dim int"), "units")
+    kind = "<f4" if df.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
+    units = scratch.write(classes.select("vid", "v").mapInArrow(_usable(kind), "vid long, raw binary, dim int"), "units")
     counted = units.join(classes.select("vid", "copies"), "vid")
     links = spark.createDataFrame([], "vid long, other long, links long")
     for dim in sorted(r["dim"] for r in units.select("dim").distinct().collect()):
-        links = links.union(_links_of(counted.where(F.col("dim") == dim), dim, cosine, epsilon, scratch))
+        links = links.union(_links_of(counted.where(F.col("dim") == dim), dim, kind, cosine, epsilon, scratch))
     links = scratch.write(links, "links")
     labels = components(links.where(F.col("other").isNotNull()).select(F.col("vid").alias("a"), F.col("other").alias("b")), scratch)
     counts = links.where(F.col("links").isNotNull()).groupBy("vid").agg(F.sum("links").alias("links"))
@@ -237,13 +251,13 @@ def cosine_links(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec
     least = usable.groupBy("root").agg(F.min("least_id").alias("component"))
     named = usable.join(least, "root").select("h0", "h1", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component")
     named = scratch.write(named, "named")
-    kind = df.schema[id_col].dataType
+    id_type = df.schema[id_col].dataType
     out = rows.select("id", *h).join(named, ["h0", "h1"], "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast(kind).alias("component_id"), F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").cast(id_type).alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast(id_type).alias("component_id"), F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links_of(units: DataFrame, dim: int, cosine: float, epsilon: float, scratch: Scratch) -> DataFrame:
-    sums = units.select("unit").mapInArrow(_moments(dim), "row long, sums array<double>")
+def _links_of(units: DataFrame, dim: int, kind: str, cosine: float, epsilon: float, scratch: Scratch) -> DataFrame:
+    sums = units.select("raw").mapInArrow(_moments(dim, kind), "row long, sums array<double>")
     total = sums.select("row", F.posexplode("sums").alias("col", "x")).groupBy("row", "col").agg(F.sum("x").alias("x")).collect()
     m = np.zeros((dim + 1, dim + 1))  # (dim + 1) squared numbers, whatever the number of vectors
     for r in total:
@@ -253,9 +267,14 @@ def _links_of(units: DataFrame, dim: int, cosine: float, epsilon: float, scratch
     directions = np.zeros((dim, LEADING))
     lead = vectors[:, np.argsort(-values)[:LEADING]]
     directions[:, : lead.shape[1]] = lead
-    placed = units.select("vid", "unit", "copies").mapInArrow(_cells(directions.tobytes(), mean.tobytes(), dim, epsilon), "vid long, unit binary, copies long, cell binary, along double, lead binary")
+    placed = units.select("vid", "raw", "copies").mapInArrow(_cells(directions.tobytes(), mean.tobytes(), dim, kind, epsilon), "vid long, raw binary, copies long, cell binary, along double, lead binary")
     ordered = placed.repartitionByRange("cell", "along", "vid").sortWithinPartitions("cell", "along", "vid")
-    intervals = scratch.write(ordered.mapInArrow(_intervals(dim), _INTERVALS), f"intervals{dim}")
+    intervals = scratch.write(ordered.mapInArrow(_intervals(), _INTERVALS), f"intervals{dim}")
     pairs = scratch.write(_box_pairs(intervals, epsilon), f"pairs{dim}")
-    side = lambda s: intervals.select(F.col("leaf").alias("x" if s == "a" else "y"), *(F.col(c).alias(f"{c}{s}") for c in ("n", "vids", "copies", "units", "leads")))
-    return pairs.join(side("a"), "x").join(side("b"), "y").mapInArrow(_joined(dim, cosine, epsilon), "vid long, other long, links long")
+    # An interval travels once for each run of FAN consecutive intervals that hold partners, and each partner once.
+    blobs = intervals.select("leaf", "level1", "vids", "copies", "raws", "leads")
+    partners = blobs.join(pairs.withColumnRenamed("y", "leaf"), "leaf").select("x", F.col("level1").alias("run"), F.col("leaf").alias("y"), "vids", "copies", "raws", "leads")
+    runs = pairs.join(intervals.select(F.col("leaf").alias("y"), "level1"), "y").select(F.col("x").alias("leaf"), F.col("level1").alias("run")).distinct()
+    owners = blobs.join(runs, "leaf").select(F.col("leaf").alias("x"), "run", F.lit(None).cast("long").alias("y"), "vids", "copies", "raws", "leads")
+    dealt = owners.unionByName(partners).repartition("x", "run").sortWithinPartitions("x", "run", F.col("y").asc_nulls_first())
+    return dealt.mapInArrow(_joined(dim, kind, cosine, epsilon), "vid long, other long, links long")
