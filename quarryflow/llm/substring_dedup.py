@@ -161,6 +161,6 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     factors = duplicate_factors(texts, scratch, window)
     by_doc = scratch.write(factors.groupBy("id", "th").agg(F.collect_set(_packed(32, 0)).alias("factors")), "factors")
-    joined = texts.join(hinted(by_doc.withColumnsRenamed({"id": "fid", "th": "fth"}), 64 + 8 * F.size("factors")), F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")), "left")
+    joined = texts.join(by_doc.withColumnsRenamed({"id": "fid", "th": "fth"}), F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")), "left")
     out = joined.select("id", "text", "factors").mapInArrow(_cut(window, with_text), "id long, n_words long, n_removed long, kept string")
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", F.col("kept").alias("text" if with_text else "kept_sha256"))
