@@ -20,8 +20,10 @@ def camel(name: str) -> str:
     return head + "".join(w.capitalize() for w in rest)
 
 
-def _named(df: DataFrame, *columns: str | Column) -> DataFrame:
-    return df.select(*(F.col(c).alias(camel(c.split(".")[-1])) if isinstance(c, str) else c for c in columns))
+def _named(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns in camelCase, or under the name after AS."""
+    parts = (c.partition(" AS ") for c in columns)
+    return df.select(*(F.col(c).alias(name or camel(c.split(".")[-1])) for c, _, name in parts))
 
 
 def where_given(df: DataFrame, *predicates: tuple[object, Column]) -> DataFrame:
@@ -69,7 +71,7 @@ def category_list(t: Tables) -> DataFrame:
 
 # Loans
 
-LOAN = ("loan_id", "l.book_id", "l.member_id", "loan_date", "due_date", "return_date", "loan_status", "extend_cnt", F.col("title").alias("bookTitle"), "member_nm")
+LOAN = ("loan_id", "l.book_id", "l.member_id", "loan_date", "due_date", "return_date", "loan_status", "extend_cnt", "title AS bookTitle", "member_nm")
 
 
 def _loans(t: Tables) -> DataFrame:
@@ -119,7 +121,7 @@ def member(t: Tables, member_id: str) -> DataFrame:
 
 # Overdue
 
-OVERDUE = ("overdue_id", "o.loan_id", "overdue_start_date", "overdue_days", "release_date", "sanction_status", "m.member_id", "member_nm", F.col("title").alias("bookTitle"))
+OVERDUE = ("overdue_id", "o.loan_id", "overdue_start_date", "overdue_days", "release_date", "sanction_status", "m.member_id", "member_nm", "title AS bookTitle")
 
 
 def _overdue_members(t: Tables) -> DataFrame:
