@@ -81,13 +81,18 @@ def band_of(n: int) -> int:
 
 
 def positions(band: int) -> int:
-    """Bits of the sketch of a set of the band: four times the largest size or more."""
+    """Positions whose contents are joined: four times the largest size of the band or more, so most hold one shingle."""
     return 4 << band
 
 
+def sketch_bits(band: int) -> int:
+    """Bits of a stored sketch, a folded form: once to twice the size of the set is enough to tell strangers apart."""
+    return max(8, 1 << band)
+
+
 def sketch(shingles: np.ndarray, band: int) -> bytes:
     """Parity bits."""
-    k = positions(band)
+    k = sketch_bits(band)
     flips = np.bincount((shingles & np.uint64(k - 1)).astype(np.int64), minlength=k) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -95,7 +100,7 @@ def sketch(shingles: np.ndarray, band: int) -> bytes:
 def fold(bits: bytes, band: int) -> bytes:
     """A sketch of the same set for a smaller band; the position is the low bits, so halves are XORed."""
     x = np.frombuffer(bits, np.uint8)
-    while len(x) * 8 > positions(band):
+    while len(x) * 8 > sketch_bits(band):
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     return x.tobytes()
 
@@ -217,7 +222,7 @@ def _cross(rule: Rule):
         n, comp, rid, block = (np.array([r[i] for r in rows]) for i in (2, 1, 0, 4))
         bits = {}
         for band in {band_of(int(x)) for x in n}:
-            bits[band] = np.stack([np.frombuffer(fold(r[3], band), np.uint8) if band_of(r[2]) >= band else np.zeros(positions(band) // 8, np.uint8) for r in rows])
+            bits[band] = np.stack([np.frombuffer(fold(r[3], band), np.uint8) if band_of(r[2]) >= band else np.zeros(sketch_bits(band) // 8, np.uint8) for r in rows])
         mixed = len(set(block.tolist())) > 1
         for i in range(len(rows)):
             j = np.arange(i + 1, int(np.searchsorted(n, n[i] * rule.den // rule.num, side="right")))
@@ -323,10 +328,10 @@ def _links(pairs: DataFrame, heads: DataFrame, texts_of, rule: Rule, scratch: Sc
 
 
 def _across(members: DataFrame, labels: DataFrame, heads: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of one key in different components, as far as their sketches allow a link. Large groups are cut into
-    blocks, and every two blocks of a key meet in a task of their own."""
-    all_of = members.select("key", "rid").union(members.select("key", F.col("least").alias("rid")).distinct())
-    placed = all_of.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("comp"))
+    """Pairs (a, b) of one key in different components, as far as their sketches allow a link; a key's least member has
+    been compared with all others before. Large groups are cut into blocks, and every two blocks of a key meet in a task
+    of their own."""
+    placed = members.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("comp"))
     placed = scratch.write(placed, "placed")
     groups = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     groups = scratch.write(groups.select("key", F.ceil(F.col("size") / GROUP_BLOCK).cast("int").alias("blocks")), "groups")
