@@ -279,7 +279,7 @@ def jaccard_components(df: DataFrame, rule: Rule | None = None, id_col: str = "d
     """id, n_shingles, component_id (least id reachable by links) of every row. The id must be an integer."""
     rule = rule or Rule()
     spark = df.sparkSession
-    arrow_limits(spark)
+    arrow_limits(spark, records=1024, mib=2)  # arrays over a batch take some forty times its text
     scratch = Scratch(spark, "ngram")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     made = scratch.write(texts.mapInArrow(_sets(rule), "rid long, id long, th long, n long, k1 long, k2 long, sketch binary, bucket int, seen long"), "sets")
