@@ -105,7 +105,12 @@ def fit_counts(lengths: list[int], counts: list[int], goal: float) -> list[int]:
         if more > 0:
             take[k] += more
             left -= more * lengths[k]
-    order = sorted(range(len(lengths)), key=lambda k: lengths[k])
+    order, returned = sorted(range(len(lengths)), key=lambda k: lengths[k]), 0
+    for k in order:  # short documents go back to the pool, so that they can make up for a long one
+        back = min(take[k], max(0, CAPACITY - returned) // lengths[k])
+        take[k] -= back
+        returned += back * lengths[k]
+    left += returned
     extra = subset_sum([lengths[k] for k in order], [counts[k] - take[k] for k in order], left)
     for k, e in zip(order, extra):
         take[k] += e
