@@ -58,4 +58,46 @@ def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_gif_media, op3_heap_token_counts, op4_language_crf, op5_line_similarity_join, op6_epsilon_grid_join, op7_main_text, op8_relative_lz, op9_streaming_bpe, op10_parity_sketch_join)}
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+#: Labels by links: every node reaches itself and what its links reach.
+_REACH = "reach AS (SELECT id, id AS other FROM nodes UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other)"
+
+ORACLES: dict[str, str] = {
+    "op5_line_similarity_join": rf"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+line AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM docs),
+known AS (SELECT row_number() OVER (ORDER BY doc_id, pos) AS k, doc_id, pos, list_distinct({_WORDS.format("line")}) AS w FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+first AS (SELECT min(k) AS k, list_sort(w) AS w FROM known GROUP BY 2),
+token AS (SELECT k, unnest(w) AS t, len(w) AS n FROM first),
+rare AS (SELECT t, count(*) AS df FROM token GROUP BY 1),
+placed AS (SELECT k, t, n, row_number() OVER (PARTITION BY k ORDER BY df, t) AS r FROM token JOIN rare USING (t)),
+prefix AS (SELECT k, t, n FROM placed WHERE r <= n - (3 * n + 3) // 4 + 1),
+pair AS (SELECT DISTINCT a.k AS a, b.k AS b FROM prefix a JOIN prefix b ON a.t = b.t AND a.k < b.k AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+later AS (SELECT DISTINCT b FROM pair JOIN first x ON x.k = a JOIN first y ON y.k = b WHERE 7 * len(list_intersect(x.w, y.w)) >= 3 * (len(x.w) + len(y.w))),
+gone AS (SELECT doc_id, pos FROM known WHERE k NOT IN (SELECT k FROM first) OR k IN (SELECT b FROM later)),
+kept AS (SELECT doc_id, count(pos) AS n_kept, string_agg(line, chr(10) ORDER BY pos) AS kept FROM line ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, (coalesce(len(lines), 0) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)""",
+    "op6_epsilon_grid_join": f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+links AS (SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+{_REACH},
+low AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1), n AS (SELECT a AS id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT id AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM low LEFT JOIN n USING (id)""",
+    "op8_relative_lz": rf"""
+WITH docs AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s : s + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM docs)),
+twice AS (SELECT k FROM win GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, s + i AS pos FROM win SEMI JOIN twice USING (k), range(0, 35) AS r(i)),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM docs),
+kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(x, ' ' ORDER BY pos) AS kept FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)""",
+    "op10_parity_sketch_join": rf"""
+WITH RECURSIVE docs AS (SELECT doc_id AS id, coalesce({_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, []) AS w FROM documents),
+nodes AS (SELECT id FROM docs),
+shingle AS (SELECT DISTINCT id, array_to_string(w[s : s + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM docs WHERE len(w) > 0)),
+size AS (SELECT id, count(*) AS n FROM shingle GROUP BY 1),
+met AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM shingle x JOIN shingle y ON x.g = y.g AND x.id <> y.id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN size p ON p.id = a JOIN size q ON q.id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+{_REACH}
+SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM (SELECT id, min(other) AS component_id FROM reach GROUP BY 1) LEFT JOIN size USING (id)""",
+}
