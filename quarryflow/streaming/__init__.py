@@ -1 +1 @@
-
+"""Extras of this engine: incremental forms of batch operators."""
