@@ -18,6 +18,8 @@ CHAIN_ORDER = ("URL", "CONTROLLER_METHOD", "SERVICE_METHOD", "IMPL_METHOD", "MAP
 CONSTANT = r"\b([A-Z][A-Za-z0-9]*)\.[A-Z]"
 CONSTANT_LINES = 40
 SEPARATOR = "\n\n---\n\n"
+#: The wording of a chain's summary.
+FLOW, TABLES_OPEN, NOTHING = "처리 흐름: ", "테이블(", "처리 흐름: 관련 코드를 찾지 못했습니다."
 
 
 def candidate_tiers(edges: DataFrame, hits: DataFrame, expanded: int = 3) -> DataFrame:
@@ -34,8 +36,8 @@ def chain_summary(nodes: DataFrame) -> DataFrame:
     part = lambda kind, by: sorted_join(F.collect_set(F.when(F.col("node_type") == kind, F.col("label"))), by)
     parts = nodes.agg(part("URL", " / ").alias("u"), part("CONTROLLER_METHOD", " / ").alias("c"), part("IMPL_METHOD", " / ").alias("i"), part("TABLE", ", ").alias("t"))
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
-    chained = F.concat_ws(" → ", filled("u"), filled("c"), filled("i"), F.concat(F.lit("테이블("), filled("t"), F.lit(")")))
-    return parts.select(F.when(chained != "", F.concat(F.lit("처리 흐름: "), chained)).otherwise(F.lit("처리 흐름: 관련 코드를 찾지 못했습니다.")).alias("summary"))
+    chained = F.concat_ws(" → ", filled("u"), filled("c"), filled("i"), F.concat(F.lit(TABLES_OPEN), filled("t"), F.lit(")")))
+    return parts.select(F.when(chained != "", F.concat(F.lit(FLOW), chained)).otherwise(F.lit(NOTHING)).alias("summary"))
 
 
 def call_chain(nodes: DataFrame) -> DataFrame:

@@ -43,10 +43,23 @@ def parse_mappers(files: DataFrame) -> DataFrame:
     return parsed.withColumn("referenced_tables", table_refs("sql_text")).select(*(c.split()[0] for c in STATEMENTS.split(", ")))
 
 
+#: What a statement's dynamic parts look like, and what stands for them.
+SIMPLER = [
+    (r"(?is)<where>.*?</where>", ""),
+    (r"(?is)<if\b[^>]*>.*?</if>", ""),
+    (r"(?is)</?(?:foreach|choose|when|otherwise|set|trim)\b[^>]*>", ""),
+    (r"(?i)LIMIT\s+#\{[^}]+\}\s*,\s*#\{[^}]+\}", "LIMIT 10"),
+    (r"#\{[^}]+\}", "'값'"),
+]
+#: Names of the kinds of statements.
+KINDS = {"select": "조회", "insert": "등록", "update": "수정", "delete": "삭제"}
+
+
 def simplified(sql: str = "sql_text"):
-    """A statement without its dynamic parts: optional blocks gone, other tags stripped, parameters made constants."""
+    """A statement without its dynamic parts: optional blocks gone, other tags stripped, parameters made constants, no
+    empty lines."""
     x = F.col(sql)
-    for pattern, by in ((r"(?is)<where>.*?</where>", ""), (r"(?is)<if\b[^>]*>.*?</if>", ""), (r"(?is)</?(?:foreach|choose|when|otherwise|set|trim)\b[^>]*>", ""), (r"(?i)LIMIT\s+#\{[^}]+\}\s*,\s*#\{[^}]+\}", "LIMIT 10"), (r"#\{[^}]+\}", "'값'"), (r"(?m)[ \t\r]+$", ""), (r"\n{2,}", "\n"), (r"^\n+|\n+$", "")):
+    for pattern, by in [*SIMPLER, (r"(?m)[ \t\r]+$", ""), (r"\n{2,}", "\n"), (r"^\n+|\n+$", "")]:
         x = F.regexp_replace(x, pattern, by)
     return x
 
@@ -56,7 +69,7 @@ def purpose(statements: DataFrame, files: DataFrame) -> DataFrame:
     lines = files.select(F.col("path").alias("file_path"), F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n").alias("__lines"))
     before = F.get("__lines", F.col("start_line") - 2)
     comment = F.when(F.col("start_line") > 1, F.nullif(F.regexp_extract(F.trim(before), r"^<!--\s*(.*?)\s*-->", 1), F.lit("")))
-    kinds = F.create_map(*(F.lit(x) for kv in (("select", "조회"), ("insert", "등록"), ("update", "수정"), ("delete", "삭제")) for x in kv))
+    kinds = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
     tables = F.coalesce(F.nullif(F.array_join("referenced_tables", ", "), F.lit("")), F.lit("-"))
     built = F.concat(F.substring_index("namespace", ".", -1), F.lit("."), "sql_id", F.lit(" — "), F.coalesce(kinds[F.col("sql_type")], "sql_type"), F.lit(" (테이블: "), tables, F.lit(")"))
     return statements.join(lines, "file_path", "left").withColumn("purpose", F.coalesce(comment, built)).drop("__lines")
