@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Where tables go if the session names no shared folder, as in local tests.
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
-_left: list[tuple[SparkSession, str]] = []
+_left: list[tuple[object, object, str]] = []  # JVM, its Hadoop configuration, folder
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -23,16 +23,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SCRATCH).rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def _tidy() -> None:
-    for spark, path in _left:
+    for jvm, conf, path in _left:
         try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone by now; its folder is temporary anyway
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone by now; the folder is temporary anyway
             return
 
 
@@ -42,20 +38,17 @@ atexit.register(_tidy)
 class Scratch:
     """Tables written once to the shared folder, so that lost executors cost no recomputation.
 
-    A table can be dropped as soon as no plan reads it any more; what is left goes when the interpreter ends."""
+    The tables go when the interpreter ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/quarryflow-{name}-{uuid.uuid4().hex}"
-        _left.append((spark, self.root))
+        _left.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), self.root))
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.root}/{name}")
-
 
 def arrow_limits(spark: SparkSession, records: int = 2048, mib: int = 8) -> None:
     """Bound what a Python worker holds at once; documents can be very long."""
