@@ -4,10 +4,17 @@ A line's tokens are its distinct words. Lines are in order of (id, hash of the t
 is removed if an earlier line has the same words or a Jaccard similarity of num / den or more. Lines without words stay.
 
 Equal lines are one class, known by a 128-bit hash; its first line stands for it. Tokens are ordered by rarity: all
-tokens of the corpus are counted in 65,536 hash buckets, and a token's place is its bucket's level, then its hash. With
+tokens of the corpus are counted in 131,072 hash buckets, and a token's place is its bucket's level, then its hash. With
 n tokens, a line is indexed by its first n - ceil(n * num / den) + 1 tokens, which two similar lines must share one of.
-Index entries that meet must pass the length filter and the positional filter (what can still be shared after this
-position is enough). The pairs that remain are verified on the words themselves.
+
+Near copies of one line are settled first. A class is compared with the earliest class that has the same token, for four
+of its index tokens from the rarest to the commonest; where many classes are near that one, those without a match yet
+are compared with the first few of them too. So the pairs of a group of copies are not listed.
+
+The classes without an earlier match so far are open, and each meets every class in the index. Entries that meet must
+pass the length filter, the positional filter (what is shared up to this position and after it can be enough) and a
+parity sketch of 64 bits, 128 for long lines, which must not differ in more bits than similar lines have tokens apart. A
+pair must then share as many index tokens as two similar lines must. Pairs that remain are verified on their words.
 
 Defined results: null text stays null; empty texts stay empty; rows with the same id and text are one document, and
 decisions hold for all of them; a text of which all lines go becomes empty; other columns are carried along.
@@ -17,16 +24,22 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, hinted
 
 SPACE = r"[\x20\x09-\x0D]+"
 SOLID = r"[^\x20\x09-\x0D]"
-BUCKETS = 1 << 16
+BUCKET_BITS = 17
 NUM, DEN = 3, 4
+#: Lines of more tokens have sketches of twice the bits.
+LONG = 40
+#: From so many classes near the first one of a token on, a class is compared with the first LEADERS of them before it
+#: enters the join.
+CROWD, LEADERS = 16, 64
 
 
 def _words(line: Column) -> Column:
@@ -34,65 +47,121 @@ def _words(line: Column) -> Column:
 
 
 def _bucket(token_hash: Column) -> Column:
-    return F.shiftrightunsigned(token_hash, 48)
-
-
-def _levels(lines: DataFrame) -> Column:
-    """An array of a level for each bucket: 4 for each doubling of the tokens counted in it. It has a fixed size."""
-    counts = lines.select(F.explode(_words(F.col("line"))).alias("w")).groupBy(_bucket(F.xxhash64("w")).cast("int").alias("bucket")).count().collect()
-    levels = [0] * BUCKETS
-    for r in counts:
-        levels[r["bucket"]] = min(63, int(2 * math.log2(1 + r["count"])))
-    return F.from_json(F.lit(json.dumps(levels)), "array<int>")
+    return F.shiftrightunsigned(token_hash, 64 - BUCKET_BITS).cast("int")
 
 
-def _index(lines: DataFrame, levels: Column) -> DataFrame:
-    """(token, h, n, at) for the first tokens of each distinct line; token is its place in the order."""
-    hashes = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    coded = F.transform(hashes, lambda x: F.shiftleft(F.element_at(levels, _bucket(x).cast("int") + 1).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(x, 7)))
-    ordered = lines.select("line").distinct().select(F.xxhash64("line").alias("h"), F.sort_array(coded).alias("tokens"))
-    n = F.size("tokens")
-    prefix = n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1
-    return ordered.where(n > 0).select("h", n.alias("n"), F.posexplode(F.slice("tokens", 1, prefix)).alias("at", "token"))
+def _levels(docs: DataFrame) -> Column:
+    """A constant array of fixed size with a level for each bucket: 8 for each doubling of the tokens counted in it, 255
+    at most."""
+    counts = docs.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    levels = [0] * (1 << BUCKET_BITS)
+    for r in counts.collect():
+        levels[r["bucket"]] = min(255, int(8 * math.log2(1 + r["n"])))
+    return F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<int>")
 
 
-def _candidates(index: DataFrame) -> DataFrame:
-    a, b = index.alias("a"), index.alias("b")
-    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))  # this token and what comes after
-    fits = (F.least("a.n", "b.n") * DEN >= F.greatest("a.n", "b.n") * NUM) & (left * (NUM + DEN) >= (F.col("a.n") + F.col("b.n")) * NUM)
-    return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.h") < F.col("b.h")) & fits).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")).distinct()
+def _hashes(line: Column) -> Column:
+    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, a2, b, b2): the classes of pairs whose words are similar."""
-    wanted = scratch.write(pairs.select(F.col("ha").alias("h")).union(pairs.select(F.col("hb").alias("h"))).distinct(), "wanted")
-    texts = scratch.write(lines.join(hinted(wanted, 8), "h", "left_semi").select("line").distinct().select(*_key(), F.array_remove(F.array_distinct(_words(F.col("line"))), "").alias("words")), "texts")
-    side = lambda h, k: texts.select(F.col("h").alias(h), F.col("h2").alias(f"{k}2"), F.col("words").alias(f"w{k}"))
+def _described(raw: DataFrame, levels: Column) -> DataFrame:
+    """Each line with its class (h, h2), number of tokens, parity sketch and first tokens in the order."""
+    code = lambda x: F.shiftleft(F.get(levels, _bucket(x)).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(x, 9))
+    key = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]
+    ordered = raw.select("id", "th", "at", *key, F.sort_array(F.transform(_hashes(F.col("line")), code)).alias("tokens"))
+    parity = lambda tokens: F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    odd = F.when(F.size("tokens") > LONG, parity(F.filter("tokens", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    n = F.size("tokens")
+    prefix = n - _least(n) + 1
+    return ordered.select("id", "th", "at", "h", "h2", n.alias("n"), parity(F.col("tokens")).alias("parity"), odd.alias("odd"), F.slice("tokens", 1, prefix).alias("first"))
+
+
+def _least(n: Column) -> Column:
+    """Tokens that a line of n tokens shares with any similar line, at least."""
+    return F.floor((n * NUM + DEN - 1) / DEN).cast("int")
+
+
+def _near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Length filter and parity sketches. NUM + DEN times the largest symmetric difference is (DEN - NUM) times both
+    sizes. For two long lines the tokens with an odd seventh bit and the others have sketches of their own."""
+    differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    even = lambda side: side("parity").bitwiseXOR(side("odd"))
+    bits = F.when((a("n") > LONG) & (b("n") > LONG), differ(even(a), even(b)) + differ(a("odd"), b("odd"))).otherwise(differ(a("parity"), b("parity")))
+    return (F.least(a("n"), b("n")) * DEN >= F.greatest(a("n"), b("n")) * NUM) & (bits * (NUM + DEN) <= (a("n") + b("n")) * (DEN - NUM))
+
+
+def _candidates(stands: DataFrame) -> DataFrame:
+    """Pairs (ha, hb) of an open class and any other that pass the filters; two open classes give one pair."""
+    index = stands.select("h", "n", "parity", "odd", "open", F.posexplode("first").alias("at", "token"))
+    # Size, position and state in one number, which keeps the exchange narrow.
+    index = index.select("token", "h", "parity", "odd", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at") * 2 + F.col("open").cast("long")).alias("packed"))
+
+    def unpacked(side: str) -> Callable[[str], Column]:
+        p = F.col(f"{side}.packed")
+        parts = {"n": F.shiftright(p, 32).cast("int"), "at": F.shiftright(p.bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int"), "open": p.bitwiseAND(F.lit(1)) == 1}
+        return lambda c: parts.get(c, F.col(f"{side}.{c}"))
+
+    a, b = unpacked("a"), unpacked("b")
+    both = a("n") + b("n")
+    shared = F.least(a("at"), b("at")) + F.least(a("n") - a("at"), b("n") - b("at"))
+    # In one expression, so that no part of it moves below the exchange and both sides read the same one.
+    once = F.when(a("open"), ~b("open") | (a("h") < b("h"))).otherwise(F.lit(False))
+    met = index.alias("a").join(index.alias("b"), (a("token") == b("token")) & once & _near(a, b) & (shared * (NUM + DEN) >= both * NUM))
+    counted = met.groupBy(a("h").alias("ha"), b("h").alias("hb"), a("n").alias("na"), b("n").alias("nb")).agg(F.count(F.lit(1)).alias("c"))
+    # Of the prefix that ends first, all tokens that the lines share are in the other prefix too.
+    needed = F.ceil((F.col("na") + F.col("nb")) * NUM / (NUM + DEN)) + 1 - F.greatest(_least(F.col("na")), _least(F.col("nb")))
+    return counted.where(F.col("c") >= needed).select("ha", "hb")
+
+
+def _later(pairs: DataFrame, docs: DataFrame, stands: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(h, h2) of the later class of each pair whose words are similar."""
+    wanted = scratch.write(pairs.select(F.explode(F.array("ha", "hb")).alias("h")).distinct(), f"{name}-wanted")
+    chosen = stands.join(hinted(wanted, 8), "h", "left_semi").groupBy("id", "th").agg(F.collect_list(F.struct("at", "h", "h2")).alias("parts"))
+    chosen = scratch.write(chosen.withColumnsRenamed({"id": "cid", "th": "cth"}), f"{name}-chosen")
+    held = docs.join(hinted(chosen, 64 + 40 * F.size("parts")), F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")))
+    rows = held.select("id", "th", F.split("text", "\n").alias("lines"), F.explode("parts").alias("p")).select("p.h", "p.h2", F.struct(F.col("id").isNull().alias("last"), "id", "th", "p.at").alias("place"), F.get("lines", F.col("p.at")).alias("line"))
+    texts = scratch.write(rows.dropDuplicates(["h", "h2"]), f"{name}-texts")
+    side = lambda h, k: texts.select(F.col("h").alias(h), F.col("h2").alias(f"{k}2"), F.col("place").alias(f"p{k}"), F.col("line").alias(f"l{k}"))
     both = pairs.join(side("ha", "a"), "ha").join(side("hb", "b"), "hb")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return both.withColumn("shared", shared).where(F.col("shared") * DEN >= (F.size("wa") + F.size("wb") - F.col("shared")) * NUM).select(F.col("ha").alias("a"), "a2", F.col("hb").alias("b"), "b2")
-
-
-def _key() -> list[Column]:
-    return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]
+    hashed = both.select("ha", "a2", "pa", "hb", "b2", "pb", _hashes(F.col("la")).alias("wa"), _hashes(F.col("lb")).alias("wb"))
+    counted = hashed.select("ha", "a2", "pa", "hb", "b2", "pb", (F.size("wa") + F.size("wb")).alias("total"), F.size(F.array_intersect("wa", "wb")).alias("shared"))
+    found = counted.where(F.col("shared") * (NUM + DEN) >= F.col("total") * NUM)
+    ends = lambda k: F.struct(F.col(f"h{k}").alias("h"), F.col(f"{k}2").alias("h2"))
+    return scratch.write(found.select(F.when(F.col("pa") < F.col("pb"), ends("b")).otherwise(ends("a")).alias("k")).select("k.*").distinct(), name)
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, th, gone array<int>): numbers of the lines that go. docs: id, th (a hash of the text), text."""
     raw = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(SOLID))
-    lines = raw.select("id", "th", "at", "line", *_key())
-    pairs = scratch.write(_candidates(_index(raw, _levels(raw))), "pairs")
-    edges = scratch.write(_similar(pairs, lines, scratch), "edges")
-    ends = scratch.write(edges.select(F.col("a").alias("h"), F.col("a2").alias("h2")).union(edges.select("b", "b2")).distinct().withColumn("end", F.lit(True)), "ends")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "at")
-    firsts = lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
-    firsts = scratch.write(firsts.join(hinted(ends, 32), ["h", "h2"], "left").where("copies > 1 OR end"), "firsts")
-    of = lambda k: firsts.select(F.col("h").alias(k), F.col("h2").alias(f"{k}2"), F.col("first").alias(f"f{k}"))
-    ordered = edges.join(of("a"), ["a", "a2"]).join(of("b"), ["b", "b2"])
-    later = ordered.select(F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b").alias("h"), F.col("b2").alias("h2"))).otherwise(F.struct(F.col("a").alias("h"), F.col("a2").alias("h2"))).alias("k"))
-    later = later.select("k.*").distinct().withColumn("later", F.lit(True))
-    decided = scratch.write(firsts.join(later, ["h", "h2"], "left").select("h", "h2", "first", F.coalesce("later", F.lit(False)).alias("later")), "decided")
-    gone = lines.join(hinted(decided, 96), ["h", "h2"]).where(F.col("later") | (place != F.col("first"))).select("id", "th", "at")
+    lines = scratch.write(_described(raw, _levels(docs)), "lines")
+    repeated = lines.groupBy("h", "h2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    repeated = scratch.write(repeated, "repeated")
+    stands = lines.join(hinted(repeated, 64), ["h", "h2"], "left").where(F.col("place").isNull() | (place == F.col("place"))).drop("place")
+
+    entry = F.struct(place.alias("place"), "h", "n", "parity", "odd")
+    size = F.size("first")
+    ends = F.array_distinct(F.array(F.get("first", F.lit(0)), F.get("first", F.floor(size / 4).cast("int")), F.get("first", F.floor(size / 2).cast("int")), F.get("first", size - 1)))
+    keyed = stands.select(entry.alias("x"), F.explode(ends).alias("t"))
+    by_token = Window.partitionBy("t").orderBy("x")
+    fits = (F.col("x.h") != F.col("y.h")) & _near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+    led = keyed.select("t", "x", F.first("x").over(by_token).alias("y"), F.row_number().over(by_token).alias("nth")).withColumn("fits", fits)
+    led = led.withColumn("many", F.sum(F.col("fits").cast("int")).over(Window.partitionBy("t")))
+    as_pairs = lambda df: df.where(fits).select(F.col("y.h").alias("ha"), F.col("x.h").alias("hb")).distinct()
+    led = scratch.write(led.where((F.col("many") >= CROWD) | F.col("fits")), "led")
+    settled = _later(scratch.write(as_pairs(led), "near"), docs, stands, scratch, "settled")
+    open_only = lambda df, k: df.join(hinted(settled.select(F.col("h").alias("sh")), 8), F.col(f"{k}.h") == F.col("sh"), "left_anti")
+    crowded = led.where(F.col("many") >= CROWD)
+    heads = crowded.where(F.col("nth").between(2, LEADERS)).select("t", F.col("x").alias("y"))
+    met = open_only(crowded.select("t", "x"), "x").join(heads, "t").where(F.col("y") < F.col("x"))
+    settled = settled.union(_later(scratch.write(as_pairs(met), "near2"), docs, stands, scratch, "settled2")).distinct()
+
+    marked = stands.join(hinted(scratch.write(settled.withColumn("settled", F.lit(True)), "settled-all"), 24), ["h", "h2"], "left").withColumn("open", F.col("settled").isNull())
+    more = _later(scratch.write(_candidates(marked), "pairs"), docs, stands, scratch, "more")
+
+    later = settled.union(more).distinct().withColumn("later", F.lit(True))
+    decided = scratch.write(repeated.join(later, ["h", "h2"], "full").select("h", "h2", "place", F.coalesce("later", F.lit(False)).alias("later")), "decided")
+    gone = lines.join(hinted(decided, 96), ["h", "h2"]).where(F.col("later") | (place != F.col("place"))).select("id", "th", "at")
     return scratch.write(gone.groupBy("id", "th").agg(F.collect_set("at").alias("gone")), "gone")
 
 
