@@ -135,13 +135,14 @@ def duplicate_factors(texts: DataFrame, scratch: Scratch, window: int = WINDOW,
     """(id, th, s1, s2): runs of duplicate windows. texts: id long, th long (a hash of the text), text."""
     keys = ("anchor", "c1", "c2")
     index = scratch.write(texts.mapInArrow(_index(window, gram), "occ long, id long, th long, s1 int, s2 int, anchor long, c1 long, c2 long"), "index")
-    again = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Written first, so that the join reads both sides from exchanges of its own and can split a very common anchor.
+    again = scratch.write(index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "again")
     shared = scratch.write(index.join(again, "anchor"), "shared")
     contents = scratch.write(shared.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("occ").alias("occ")), "contents")
     whole = contents.where("n > 1").select(*keys)
     factors = shared.join(whole, list(keys)).select("id", "th", "s1", "s2")
     # Blocks that share an anchor but not all words: every window of one block for each content.
-    differ = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
+    differ = scratch.write(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor"), "differ")
     edge = contents.join(differ, "anchor").select("occ", (F.col("n") == 1).alias("single"))
     parts = shared.join(edge, "occ").groupBy("id", "th").agg(F.collect_set(_packed(33, 1).bitwiseOR(F.col("single").cast("long"))).alias("parts"))
     parts = scratch.write(parts, "parts")
