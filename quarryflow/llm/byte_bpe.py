@@ -19,13 +19,12 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, arrow_limits, map_rows
+from .common import Memo, arrow_limits, held, map_rows
 
 #: Fixed values of the byte-level format: the bytes that stand for themselves, and the pretoken pattern.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -126,7 +125,7 @@ class Transducer:
 class ByteBpe:
     """A tokenizer file of the byte-level kind, read by its path."""
 
-    def __init__(self, path: str, memo_entries: int = 300_000):
+    def __init__(self, path: str, memo_entries: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
@@ -172,9 +171,8 @@ class ByteBpe:
         yield machine.decode(b"", True)
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    return held(("byte_bpe", path), lambda: ByteBpe(path))
 
 
 def digest(path: str, text: str | None) -> tuple[int, str, str]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -50,7 +52,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_limits(spark: SparkSession, records: int = 2048, mib: int = 8) -> None:
+def arrow_limits(spark: SparkSession, records: int = 1024, mib: int = 2) -> None:
     """Bound what a Python worker holds at once; documents can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mib << 20)
@@ -67,7 +69,7 @@ def word_count(text: Column) -> Column:
 class Memo(dict):
     """A bounded cache of a pure function of short strings: it starts anew when full, so memory stays constant."""
 
-    def __init__(self, make: Callable, entries: int = 300_000, longest: int = 40):
+    def __init__(self, make: Callable, entries: int = 120_000, longest: int = 40):
         super().__init__()
         self.make, self.entries, self.longest = make, entries, longest
 
@@ -80,6 +82,32 @@ class Memo(dict):
         return value
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """The object of a key, of which a worker keeps one at a time: the tables of one model make room for the next one's."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def tidied(run: Callable) -> Callable:
+    """A batch function that hands unused memory back when its task ends, since workers stay between tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, arrow_schema: pa.Schema) -> DataFrame:
     """fn gets the columns of an Arrow batch as lists and returns the columns of the result."""
 
@@ -88,7 +116,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}), schema=arrow_schema)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 #: A written table is broadcast up to this size; beyond it the join shuffles both sides.

@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_limits, map_rows
+from .common import Memo, arrow_limits, held, map_rows
 
 UNKNOWN = "und"
 FEATURE_BITS = 17
 BLOCK = 128
 #: Words whose chains are held at once.
-BATCH_WORDS = 300_000
+BATCH_WORDS = 40_000
 
 
 _rng = np.random.default_rng(20240229)
@@ -294,9 +294,6 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, allo
     return [(r[0], r[1]) for r in sample.collect()]
 
 
-_labellers: dict[str, Labeller] = {}
-
-
 def identify(df: DataFrame, train: DataFrame | None = None, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns in `keep`, lang_pred, score of every row. train: labelled rows (df by default), of which only
     those where `allowed` holds are learned from."""
@@ -309,10 +306,8 @@ def identify(df: DataFrame, train: DataFrame | None = None, allowed: Column | No
     arrow_limits(spark)
 
     def run(c: dict[str, list]) -> dict[str, list]:
-        if name not in _labellers:
-            _labellers.clear()  # a worker keeps one model
-            _labellers[name] = Labeller(pickle.loads(model.value))
-        pred, score = _labellers[name].label(c.pop("__text"))
+        labeller = held(("crf", name), lambda: Labeller(pickle.loads(model.value)))
+        pred, score = labeller.label(c.pop("__text"))
         return c | {"lang_pred": pred, "score": score}
 
     carried = df.select(id_col, *keep)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_limits, hinted
+from .common import Scratch, arrow_limits, hinted, tidied
 from .components import components
 from .hashing import Words, as_bytes, mix, signed
 
@@ -279,10 +279,10 @@ def jaccard_components(df: DataFrame, rule: Rule | None = None, id_col: str = "d
     """id, n_shingles, component_id (least id reachable by links) of every row. The id must be an integer."""
     rule = rule or Rule()
     spark = df.sparkSession
-    arrow_limits(spark, records=1024, mib=2)  # arrays over a batch take some forty times its text
+    arrow_limits(spark)  # arrays over a batch take some forty times its text
     scratch = Scratch(spark, "ngram")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    made = scratch.write(texts.mapInArrow(_sets(rule), "rid long, id long, th long, n long, k1 long, k2 long, sketch binary, bucket int, seen long"), "sets")
+    made = scratch.write(texts.mapInArrow(tidied(_sets(rule)), "rid long, id long, th long, n long, k1 long, k2 long, sketch binary, bucket int, seen long"), "sets")
     sets = made.where(F.col("rid").isNotNull())
     seen = made.where(F.col("rid").isNull()).groupBy("bucket").agg(F.sum("seen").alias("seen")).collect()  # 65,536 rows at most
     rarity = np.zeros(1 << COUNT_BITS, np.uint8)
@@ -296,8 +296,8 @@ def jaccard_components(df: DataFrame, rule: Rule | None = None, id_col: str = "d
     heads = scratch.write(heads.where(F.col("n") > 2).select("rid", "id", "th", "n", "sketch"), "heads")
     texts_of = lambda chosen: texts.join(hinted(chosen.select("rid", F.col("id").alias("hid"), F.col("th").alias("hth")), 40), F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth"))).select("rid", "text")
 
-    rows = texts_of(heads).mapInArrow(_key_rows(rule, table), "key long, rid long")
-    members = scratch.write(rows.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_shared, "key long, least long, rid long"), "members")
+    rows = texts_of(heads).mapInArrow(tidied(_key_rows(rule, table)), "key long, rid long")
+    members = scratch.write(rows.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(tidied(_shared), "key long, least long, rid long"), "members")
 
     linked = _links(members.select(F.col("least").alias("a"), F.col("rid").alias("b")).distinct(), heads, texts_of, rule, scratch, "star", True)
     labels = components(linked, scratch)
@@ -318,13 +318,13 @@ def _links(pairs: DataFrame, heads: DataFrame, texts_of, rule: Rule, scratch: Sc
     if sketches:
         s = heads.select("rid", "n", "sketch")
         pairs = pairs.join(s.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        pairs = pairs.where(F.least("na", "nb") * rule.den >= F.greatest("na", "nb") * rule.num).mapInArrow(_sketched(rule), "a long, b long")
+        pairs = pairs.where(F.least("na", "nb") * rule.den >= F.greatest("na", "nb") * rule.num).mapInArrow(tidied(_sketched(rule)), "a long, b long")
     pairs = scratch.write(pairs, f"{name}-pairs")
     wanted = scratch.write(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), f"{name}-wanted")
     chosen = scratch.write(heads.select("rid", "id", "th").join(hinted(wanted, 16), "rid", "left_semi"), f"{name}-chosen")
-    sets = scratch.write(texts_of(chosen).mapInArrow(_set_rows(rule), "rid long, members binary").dropDuplicates(["rid"]), f"{name}-sets")
+    sets = scratch.write(texts_of(chosen).mapInArrow(tidied(_set_rows(rule)), "rid long, members binary").dropDuplicates(["rid"]), f"{name}-sets")
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("rid").alias("b"), F.col("members").alias("mb")), "b")
-    return scratch.write(both.select("a", "b", "ma", "mb").mapInArrow(_verified(rule), "a long, b long"), f"{name}-links")
+    return scratch.write(both.select("a", "b", "ma", "mb").mapInArrow(tidied(_verified(rule)), "a long, b long"), f"{name}-links")
 
 
 def _across(members: DataFrame, labels: DataFrame, heads: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
@@ -339,5 +339,5 @@ def _across(members: DataFrame, labels: DataFrame, heads: DataFrame, rule: Rule,
     block = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
     dealt = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rid", "comp", "n", "sketch", "block")
-    found = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_cross(rule), "a long, b long")
+    found = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(tidied(_cross(rule)), "a long, b long")
     return scratch.write(found.distinct(), "across")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_limits, hinted
+from .common import Scratch, arrow_limits, hinted, tidied
 from .hashing import Words, as_bytes, mix, signed
 
 WINDOW, GRAM = 35, 8
@@ -134,7 +134,7 @@ def _packed(high: int, low: int) -> Column:
 def duplicate_factors(texts: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id, th, s1, s2): runs of duplicate windows. texts: id long, th long (a hash of the text), text."""
     keys = ("anchor", "c1", "c2")
-    index = scratch.write(texts.mapInArrow(_index(window, gram), "occ long, id long, th long, s1 int, s2 int, anchor long, c1 long, c2 long"), "index")
+    index = scratch.write(texts.mapInArrow(tidied(_index(window, gram)), "occ long, id long, th long, s1 int, s2 int, anchor long, c1 long, c2 long"), "index")
     # Written first, so that the join reads both sides from exchanges of its own and can split a very common anchor.
     again = scratch.write(index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "again")
     shared = scratch.write(index.join(again, "anchor"), "shared")
@@ -147,7 +147,7 @@ def duplicate_factors(texts: DataFrame, scratch: Scratch, window: int = WINDOW,
     parts = shared.join(edge, "occ").groupBy("id", "th").agg(F.collect_set(_packed(33, 1).bitwiseOR(F.col("single").cast("long"))).alias("parts"))
     parts = scratch.write(parts, "parts")
     with_text = texts.join(hinted(parts.withColumnsRenamed({"id": "pid", "th": "pth"}), 64 + 8 * F.size("parts")), F.col("id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth"))).select("id", "th", "text", "parts")
-    windows = scratch.write(with_text.mapInArrow(_windows(window), "w1 long, w2 long, id long, th long, s int, single boolean").distinct(), "windows")
+    windows = scratch.write(with_text.mapInArrow(tidied(_windows(window)), "w1 long, w2 long, id long, th long, s int, single boolean").distinct(), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k"), F.max("single").alias("any")).where("k > 1 AND any").select("w1", "w2")
     found = windows.where("single").join(twice, ["w1", "w2"]).select("id", "th", F.col("s").alias("s1"), F.col("s").alias("s2"))
     return factors.unionByName(found)
@@ -163,5 +163,5 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     factors = duplicate_factors(texts, scratch, window)
     by_doc = scratch.write(factors.groupBy("id", "th").agg(F.collect_set(_packed(32, 0)).alias("factors")), "factors")
     joined = texts.join(by_doc.withColumnsRenamed({"id": "fid", "th": "fth"}), F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")), "left")
-    out = joined.select("id", "text", "factors").mapInArrow(_cut(window, with_text), "id long, n_words long, n_removed long, kept string")
+    out = joined.select("id", "text", "factors").mapInArrow(tidied(_cut(window, with_text)), "id long, n_words long, n_removed long, kept string")
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", F.col("kept").alias("text" if with_text else "kept_sha256"))

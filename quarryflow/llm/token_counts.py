@@ -15,13 +15,12 @@ from __future__ import annotations
 
 import heapq
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import Memo, arrow_limits, map_rows
+from .common import Memo, arrow_limits, held, map_rows
 
 SPACE = "▁"
 
@@ -29,7 +28,7 @@ SPACE = "▁"
 class PieceCounter:
     """The merges of a sentencepiece BPE model whose normalizer is the identity with a dummy prefix."""
 
-    def __init__(self, path: str, memo_entries: int = 300_000):
+    def __init__(self, path: str, memo_entries: int = 120_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.rank: dict[str, int] = {}
         usable = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
@@ -76,9 +75,8 @@ class PieceCounter:
         return sum(map(self.memo.__getitem__, self.parts.findall(SPACE + text.replace(" ", SPACE))))
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> PieceCounter:
-    return PieceCounter(path)
+    return held(("pieces", path), lambda: PieceCounter(path))
 
 
 def token_counts(df: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
