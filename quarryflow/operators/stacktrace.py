@@ -13,9 +13,9 @@ EXCEPTION = r"(?m)^\s*([\w.$]*(?:Exception|Error)):?\s*(.*)$"
 CAUSED_BY = r"(?m)^\s*Caused by:\s*([\w.$]*(?:Exception|Error)):?\s*(.*)$"
 
 
-def parse_traces(df: DataFrame, content: str = "content", own_prefix: str = "egovframework.library") -> DataFrame:
+def parse_traces(df: DataFrame, content: str = "content", own_prefix: str = "") -> DataFrame:
     """The rows with exception_chain, all_frames, our_frames, origin_frame (the first own frame in text order) and
-    is_trace (false, with empty arrays, if no frame matches)."""
+    is_trace (false, with empty arrays, if no frame matches). Own frames are those of classes below own_prefix."""
     c = col(content)
     every = lambda pattern, group: F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
     zipped = F.arrays_zip(*(every(FRAME, g).alias(f"g{g}") for g in (1, 2, 3, 4)))
