@@ -13,8 +13,9 @@ repeated rows give repeated results; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import re
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import pyarrow as pa
 import sentencepiece
@@ -26,47 +27,66 @@ SPACE = "▁"
 
 
 class PieceCounter:
-    """The merges of a sentencepiece BPE model whose normalizer is the identity with a dummy prefix."""
+    """The merges of a sentencepiece BPE model whose normalizer is the identity with a dummy prefix.
+
+    Pieces are numbered from 1 by score. `pairs` maps two adjacent pieces to the one they form; a heap entry is the rank
+    of that one followed by a position in one small integer: the lowest rank first, the leftmost among equals."""
 
     def __init__(self, path: str, memo_entries: int = 120_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.rank: dict[str, int] = {}
         usable = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        scores = {s: r for r, s in enumerate(sorted({model.get_score(i) for i in usable}, reverse=True))}
-        for i in usable:
-            self.rank[model.id_to_piece(i)] = scores[model.get_score(i)]
-        if any(SPACE in p.lstrip(SPACE) for p in self.rank) or any("\n" in p for p in self.rank) or model.encode(" ﬁ ") != model.encode(SPACE + "ﬁ" + SPACE):
-            raise ValueError("pieces that cross word starts or line feeds, or a normalizer that changes text, are not supported")
+        number = {model.id_to_piece(i): r for r, i in enumerate(sorted(usable, key=model.get_score, reverse=True), 1)}
+        score = {r: model.get_score(model.piece_to_id(p)) for p, r in number.items()}
+        self.rank = [0]  # pieces of equal score have one rank, the first one's number
+        for r in range(1, len(number) + 1):
+            self.rank.append(r if r == 1 or score[r] != score[r - 1] else self.rank[-1])
+        if any(SPACE in p.lstrip(SPACE) for p in number) or any("\n" in p for p in number):
+            raise ValueError("pieces that cross word starts or line feeds are not supported")
+        if not any(map(model.is_byte, range(model.vocab_size()))):
+            raise ValueError("models without byte fallback are not supported")
+        if any(model.encode(x) != model.encode(y) for x, y in self.SAME) or any(model.encode(x) == model.encode(y) for x, y in self.APART):
+            raise ValueError("a normalizer that changes text is not supported")
+        self.bits, self.unknown = len(number).bit_length(), 0
+        self.chars = Memo(lambda c: self.unknown, longest=0)
+        self.chars.update((p, i) for p, i in number.items() if len(p) == 1)
+        halves = ((number.get(p[:k]), number.get(p[k:]), i) for p, i in number.items() for k in range(1, len(p)))
+        self.pairs = {a << self.bits | b: i for a, b, i in halves if a and b}
         self.parts = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.memo = Memo(self.count_part, memo_entries)
 
+    #: Texts that an identity normalizer with a dummy prefix must read alike, and apart.
+    SAME = ((" a", SPACE + "a"), (" ﬁ ", SPACE + "ﬁ" + SPACE), ("a b", "a" + SPACE + "b"))
+    APART = (("ﬁ", "fi"), ("a  b", "a b"), ("a ", "a"), (" a", "a"), ("é", "e\u0301"), ("Ａ", "A"), ("a\tb", "a b"))
+
     def count_part(self, part: str) -> int:
-        rank, n = self.rank, len(part)
-        symbols = list(part)
-        total = n if all(c in rank for c in symbols) else sum(1 if c in rank else len(c.encode()) for c in symbols)
-        if n < 2:
-            return total
-        s = max(8, (n + 1).bit_length())
-        low, get = (1 << s) - 1, rank.get
-        heap = [(r << 2 * s) | (i << s) | 2 for i in range(n - 1) if (r := get(part[i : i + 2])) is not None]
+        bits, get, rank = self.bits, self.pairs.get, self.rank
+        ids = [*map(self.chars.__getitem__, part)]
+        n = total = len(ids)
+        if not all(ids):
+            total = sum(1 if i else len(c.encode()) for c, i in zip(part, ids))
+        s = n.bit_length()
+        heap = [rank[r] << s | i for i, (a, b) in enumerate(pairwise(ids)) if (r := get(a << bits | b))]
         if not heap:
             return total
-        heapq.heapify(heap)
-        after, before, pop, push = list(range(1, n + 1)), list(range(-1, n - 1)), heapq.heappop, heapq.heappush
+        heapify(heap)
+        after, before, place = [*range(1, n + 1)], [*range(-1, n - 1)], (1 << s) - 1
+        ids.append(self.unknown)
         while heap:
-            key = pop(heap)
-            i = (key >> s) & low
-            a = symbols[i]
-            if not a or (j := after[i]) >= n or len(merged := a + symbols[j]) != key & low:
+            key = heappop(heap)
+            i = key & place
+            j = after[i]
+            made = get(ids[i] << bits | ids[j])
+            if not made or rank[made] != key >> s:
                 continue  # a part of this pair was merged meanwhile
             total -= 1
-            symbols[i], symbols[j], after[i] = merged, "", (k := after[j])
+            k = after[i] = after[j]
+            ids[i], ids[j], h = made, self.unknown, before[i]
             if k < n:
                 before[k] = i
-                if (r := get(merged + symbols[k])) is not None:
-                    push(heap, (r << 2 * s) | (i << s) | len(merged) + len(symbols[k]))
-            if (h := before[i]) >= 0 and (r := get(symbols[h] + merged)) is not None:
-                push(heap, (r << 2 * s) | (h << s) | len(symbols[h]) + len(merged))
+                if r := get(made << bits | ids[k]):
+                    heappush(heap, rank[r] << s | i)
+            if h >= 0 and (r := get(ids[h] << bits | made)):
+                heappush(heap, rank[r] << s | h)
         return total
 
     def count(self, text: str | None) -> int:
