@@ -67,16 +67,19 @@ def word_count(text: Column) -> Column:
 
 
 class Memo(dict):
-    """A bounded cache of a pure function of short strings: it starts anew when full, so memory stays constant."""
+    """A bounded cache of a pure function of short strings. It keeps two generations of `entries` each: what the older one
+    still knows moves over when asked for, so common strings stay and memory is constant."""
 
     def __init__(self, make: Callable, entries: int = 120_000, longest: int = 40):
         super().__init__()
-        self.make, self.entries, self.longest = make, entries, longest
+        self.make, self.entries, self.longest, self.older = make, entries, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        if (value := self.older.get(key)) is None:
+            value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.entries:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
