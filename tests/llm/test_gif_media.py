@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -48,6 +49,43 @@ def test_broken_files_are_reported(spark):
         G.lzw_decode(bytes([0xFF, 0xFF, 0xFF]), 8, 10)
 
 
+def test_short_streams_and_strange_indices_are_errors():
+    short = struct.pack("<BHHHHB", 0x2C, 0, 0, 16, 16, 0) + b"\x08" + bytes([len(s := G.lzw_encode(bytes(10)))]) + s + b"\0\x3b"
+    with pytest.raises(ValueError, match="ends before"):
+        list(G.decode_gif(G.encode_gif(bytes(64))[: 13 + 768] + short))
+    head = b"GIF89a" + struct.pack("<HHBBB", 2, 1, 0x80, 0, 0) + bytes(6)
+    with pytest.raises(ValueError, match="palette"):
+        list(G.decode_gif(head + _image(0, 0, 2, 1, [1, 3]) + b"\x3b"))
+
+
+def _plain_decode(data, root, limit):
+    """The textbook decoder, a code at a time."""
+    clear, width, value, bits, out, table, last = 1 << root, root + 1, 0, 0, [], {}, None
+    for byte in data:
+        value, bits = value | byte << bits, bits + 8
+        while bits >= width:
+            code, value, bits = value & ((1 << width) - 1), value >> width, bits - width
+            if code == clear:
+                table, last, width = {i: [i] for i in range(clear)} | {clear: [], clear + 1: []}, None, root + 1
+                continue
+            if code == clear + 1:
+                return bytes(out[:limit])
+            s = table.get(code) or last + last[:1]
+            if last is not None and len(table) < 4096:
+                table[len(table)] = last + s[:1]
+            out, last = out + s, s
+            width = min(12, max(root + 1, len(table).bit_length()))
+    return bytes(out[:limit])
+
+
+def test_codes_are_read_as_the_textbook_does():
+    rnd = random.Random(8)
+    for root, n in ((2, 50), (3, 900), (8, 1), (8, 9000), (5, 7000)):
+        samples = bytes(rnd.choice((0, 1, rnd.randrange(1 << root))) for _ in range(n))
+        data = G.lzw_encode(samples, root)
+        assert G.lzw_decode(data, root, n) == samples == _plain_decode(data, root, n)
+
+
 def test_query_columns(corpus, nothing):
     rows = {(r["doc_id"], r["text"]) for r in corpus.collect()}
     got = {(r["doc_id"], r["payload_sha256"]): r for r in G.media_digest(G.text_media(corpus)).collect()}
@@ -56,7 +94,10 @@ def test_query_columns(corpus, nothing):
         data = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
         r = got[(i, hashlib.sha256(data).hexdigest())]
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(data), zlib.crc32(data[-64:]))
-        assert r["feature"].count(",") == 15 and sum(map(int, r["feature"].split("grey=")[1].split(","))) == len(data)
+        assert all(sum(map(int, part.split(","))) == len(data) and part.count(",") == 15 for part in re.findall("(?:red|green|blue)=([0-9,]+)", r["feature"]))
+        times = [(f["start_ms"], f["delay_ms"], f["frame"]) for f in r["frames"]]
+        assert times == [(100 * i, 100, i) for i in range(-(-len(data) // 65536))] and f"frames={len(times)};ms={100 * len(times)};" in r["feature"]
+        assert sum(sum(f["histogram"]) for f in r["frames"]) == 3 * len(data)
     assert G.media_digest(G.text_media(nothing)).count() == 0
 
 
