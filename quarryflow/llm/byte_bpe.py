@@ -65,7 +65,8 @@ class Transducer:
         for rank, (left, right, made) in enumerate(merges):
             self.pairs.setdefault(left << SHIFT | right, rank << SHIFT | made)
         self.lookahead = sufficient_lookahead(merges, length)
-        self.window = max(window, 4 * self.lookahead)
+        # The first token of a full window always ends before the lookahead begins, so every window emits something.
+        self.window = max(window, 4 * self.lookahead, self.lookahead + max(length.values()))
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of one window, lowest rank and then leftmost first."""

@@ -11,8 +11,10 @@ steps than short ones.
 
 Training fits weights and transitions by gradient ascent on the conditional likelihood. It uses a documented bounded
 sample of labelled rows (`per_lang` documents a language, chosen by a hash of the id over all rows, and `words_per_lang`
-of their words), with chains joined from pieces of several languages so that transitions see switches. Prediction
-covers every word of every text.
+of their words, in pieces of PIECE words chosen by a hash from all over their lines before anything is collected), with
+chains joined from pieces of several languages so that transitions see switches. Every label there is gets learned; more
+than `most_langs` of them raise an error, since the model grows with their number. Prediction covers every word of every
+text.
 
 Defined results: null text and text without a letter give `und` and score 0; without any labelled row every text does;
 ties go to the label that sorts first; repeated rows give repeated results; other columns are ignored.
@@ -26,14 +28,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, arrow_limits, held, map_rows
 
 UNKNOWN = "und"
+WHITE = r"[\x20\x09-\x0D]+"
 FEATURE_BITS = 17
 BLOCK = 128
+#: Words of a training piece.
+PIECE = 24
 #: Words whose chains are held at once.
 BATCH_WORDS = 40_000
 
@@ -235,9 +240,9 @@ def fit(rows: list[tuple[str, str]], words_per_lang: int = 30_000, rounds: int =
         rnd.shuffle(by[lang])
         left = words_per_lang
         for line in by[lang]:
-            for i in range(0, len(line), 24):
+            for i in range(0, len(line), PIECE):
                 if left > 0:
-                    pieces.append([(w, k) for w in line[i : i + 24]])
+                    pieces.append([(w, k) for w in line[i : i + PIECE]])
                     left -= len(pieces[-1])
     rnd.shuffle(pieces)
     chains, i = [], 0
@@ -279,30 +284,37 @@ def fit(rows: list[tuple[str, str]], words_per_lang: int = 30_000, rounds: int =
     return model
 
 
-def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, allowed: Column, per_lang: int, most_langs: int = 256) -> list[tuple[str, str]]:
-    """At most about per_lang documents a language, by a hash of the id: a language's share is set by its count over all rows."""
-    rows = df.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = {r[lang_col]: r["count"] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_langs).collect()}
+def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str, allowed: Column, per_lang: int, words_per_lang: int, most_langs: int) -> list[tuple[str, str]]:
+    """Pieces (words, language) of about per_lang documents a language, by a hash of the id: a language's share is set by
+    its count over all rows. Of their pieces, those of the least hashes, with about words_per_lang words."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(allowed)
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
+    counts = rows.groupBy("lang").count().limit(most_langs + 1).collect()
+    if len(counts) > most_langs:
+        raise ValueError(f"more than {most_langs} languages to learn")
     if not counts:
         return []
-    h = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col).cast("string")), F.lit(1 << 30))
-    chosen = [(F.col(lang_col) == lang) & (h < int(min(1.0, 1.25 * per_lang / n) * (1 << 30))) for lang, n in counts.items()]
-    any_of = chosen[0]
-    for c in chosen[1:]:
-        any_of |= c
-    sample = rows.where(any_of).select(text_col, lang_col, h.alias("h")).orderBy("h", text_col).limit(2 * per_lang * len(counts))
-    return [(r[0], r[1]) for r in sample.collect()]
-
-
-def identify(df: DataFrame, train: DataFrame | None = None, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, keep: tuple[str, ...] = ()) -> DataFrame:
+    share = df.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 1.25 * per_lang / r["count"]) * (1 << 30))) for r in counts], "lang string, below long")
+    h = lambda *of: F.pmod(F.xxhash64(F.lit("language sample"), *of), F.lit(1 << 30))
+    sample = rows.join(F.broadcast(share), "lang").where(h(F.col("id").cast("string")) < F.col("below"))
+    lines = sample.select("id", "lang", F.posexplode(F.split("text", "\n")).alias("nth", "line")).withColumn("words", F.filter(F.split("line", WHITE), lambda w: w != ""))
+    cut = lambda i: F.array_join(F.slice("words", i + 1, PIECE), " ")
+    pieces = lines.where(F.size("words") > 0).select("id", "lang", "nth", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(PIECE)), cut)).alias("at", "piece"))
+    order = Window.partitionBy("lang").orderBy("h", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.size(F.split("piece", " "))).over(order), F.lit(0))
+    chosen = pieces.select("lang", "piece", h(F.col("id").cast("string"), F.col("nth"), F.col("at")).alias("h")).withColumn("before", before)
+    return [(r["piece"], r["lang"]) for r in chosen.where(F.col("before") < words_per_lang).select("piece", "lang").collect()]
+
+
+def identify(df: DataFrame, train: DataFrame | None = None, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, words_per_lang: int = 30_000, most_langs: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns in `keep`, lang_pred, score of every row. train: labelled rows (df by default), of which only
     those where `allowed` holds are learned from."""
     import pickle
     import uuid
 
     spark = df.sparkSession
-    rows = training_rows(df if train is None else train, id_col, text_col, lang_col, F.lit(True) if allowed is None else allowed, per_lang)
-    name, model = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(fit(rows)))
+    rows = training_rows(df if train is None else train, id_col, text_col, lang_col, F.lit(True) if allowed is None else allowed, per_lang, words_per_lang, most_langs)
+    name, model = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(fit(rows, words_per_lang)))
     arrow_limits(spark)
 
     def run(c: dict[str, list]) -> dict[str, list]:

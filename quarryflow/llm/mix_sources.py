@@ -2,11 +2,15 @@
 
 Documents are counted by source and exact length. A source's target is its weighted share of the mix, stopped at twice
 its size. Whole passes over a source come first; the rest of its budget is fitted on the counts by length: every length
-gives the same fraction of its documents, rounded down, larger lengths fill up what that leaves, and bounded-knapsack
-dynamic programming over the left documents makes the remaining words exact, or as near as any subset can. Which
+gives the same fraction of its documents, rounded down, longer ones first fill up what that leaves, and bounded-knapsack
+dynamic programming over documents to add and to give back makes the remaining words exact, or as near as it can. Which
 documents of a length are taken is decided by a seeded hash of their ids.
 
-Only the counts by length meet in one task for each source. Documents of one length are ranked in about the root of
+The dynamic program sees the sums around the goal: all of them for a source of up to WINDOW words, otherwise those
+within the larger of WINDOW and REACH times the longest document. Within that it finds the nearest sum there is.
+
+Sources are a table too: their order is numbered by range partitions, and the level of the targets comes from sums over
+them. Only the counts by length meet in one task for each source. Documents of one length are ranked in about the root of
 their number of hash buckets, so no length, however common, is gathered into one task.
 
 Defined results: null text has size 0; a null source is a source of its own, last in the order; a source without words
@@ -15,6 +19,8 @@ takes none; rows that are equal in id, source and size are interchangeable, so r
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import cycle
 
@@ -23,10 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_count
+from .common import Scratch, hinted, word_count
 
-#: Words that dynamic programming covers; larger remainders are filled up greedily to within it.
-CAPACITY = 1 << 16
+#: Words on each side of the goal that the dynamic program sees at least, and in lengths of the longest document.
+WINDOW, REACH = 1 << 22, 8
 
 
 @dataclass(frozen=True)
@@ -39,56 +45,69 @@ class Mix:
     seed: int = 20240229
 
 
-def targets(sizes: list[int], mix: Mix) -> list[float]:
-    """Shares of the mix by weight; what exceeds a source's limit goes to the others by weight, until none exceeds it."""
-    weights = [w for w, _ in zip(cycle(mix.weights), sizes)]
-    limit = [mix.most * s for s in sizes]
-    out, left, free = [0.0] * len(sizes), mix.share * sum(sizes), set(range(len(sizes)))
-    while free:
-        unit = left / sum(weights[i] for i in free)
-        full = {i for i in free if weights[i] * unit >= limit[i]}
-        if not full:
-            for i in free:
-                out[i] = weights[i] * unit
-            break
-        for i in sorted(full):
-            out[i] = limit[i]
-            left = max(0.0, left - limit[i])
-        free -= full
-    return out
+def level(budget: float, sums: Callable[[float], tuple[float, float]]) -> float:
+    """Words for each unit of weight, such that the shares sum to the budget when no source exceeds its limit. sums: of a
+    level, the limits of the sources that reach theirs, and the weights of the others. Levels only rise."""
+    unit = 0.0
+    while True:
+        full, free = sums(unit)
+        if not free:
+            return math.inf
+        higher = max(0.0, budget - full) / free
+        if higher <= unit:
+            return unit
+        unit = higher
 
 
-def subset_sum(lengths: list[int], counts: list[int], goal: int) -> list[int]:
-    """How many of each length to take so that the sum is as near to goal as can be, the lower sum among equals.
-    Bounded knapsack: counts are split into powers of two; each reachable sum remembers the item that reached it first."""
-    take = [0] * len(lengths)
-    if goal <= 0:
-        return take
-    top = goal + min((n for n, c in zip(lengths, counts) if c), default=0)
-    reached = np.zeros(top + 1, bool)
-    reached[0] = True
-    by = np.full(top + 1, -1, np.int32)
+def targets(sizes: list[int], mix: Mix) -> list[float]:
+    """Shares of the mix by weight; what exceeds a source's limit goes to the others by weight, until none exceeds it."""
+    weights, limit = [w for w, _ in zip(cycle(mix.weights), sizes)], [mix.most * s for s in sizes]
+    reach = lambda unit: [w * unit >= x for w, x in zip(weights, limit)]
+    sums = lambda unit: (sum(x for x, r in zip(limit, reach(unit)) if r), sum(w for w, r in zip(weights, reach(unit)) if not r))
+    unit = level(mix.share * sum(sizes), sums)
+    return [min(w * unit, x) if x else 0.0 for w, x in zip(weights, limit)]
+
+
+def adjusted(lengths: list[int], counts: list[int], take: list[int], goal: int) -> list[int]:
+    """take, with documents added or given back so that the sum is as near to goal as can be, the lower sum among equals.
+    Bounded knapsack: what can be added and what can be given back is split into powers of two; each reachable sum
+    remembers the item that reached it first."""
+    now, total = sum(n * t for n, t in zip(lengths, take)), sum(n * c for n, c in zip(lengths, counts))
+    width = max(WINDOW, REACH * max((n for n, c in zip(lengths, counts) if c), default=0), abs(goal - now))
+    low, high = max(0, min(goal, total) - width), min(total, max(goal, 0) + width)
+    size, aim = high - low + 1, goal - low
+    reached, by = np.zeros(size, bool), np.full(size, -1, np.int32)
+    reached[now - low] = True
+    first = last = now - low  # the sums that are reached lie between
     items: list[tuple[int, int]] = []
-    for k, (length, count) in enumerate(zip(lengths, counts)):
-        count, part = min(count, top // length), 1
-        while count > 0 and not reached[goal]:
-            part = min(part, count)
-            weight = part * length
-            if weight <= top:
-                new = np.flatnonzero(reached[: top + 1 - weight] & ~reached[weight:]) + weight
-                reached[new], by[new] = True, len(items)
-                items.append((k, part))
-            count -= part
-            part *= 2
-        if reached[goal]:
-            break
+    for k, length in enumerate(lengths):
+        for most, sign in ((counts[k] - take[k], 1), (take[k], -1)):
+            part = 1
+            while most > 0 and not (0 <= aim < size and reached[aim]):
+                part = min(part, most)
+                weight = sign * part * length
+                if abs(weight) < size:
+                    a, b = max(first, -weight, 0), min(last, size - 1 - weight, size - 1)
+                    if a <= b:
+                        new = np.flatnonzero(reached[a : b + 1] & ~reached[a + weight : b + 1 + weight]) + a + weight
+                        if len(new):
+                            reached[new], by[new] = True, len(items)
+                            first, last = min(first, int(new[0])), max(last, int(new[-1]))
+                            items.append((k, sign * part))
+                most -= part
+                part *= 2
     sums = np.flatnonzero(reached)
-    at = int(sums[np.argmin(np.abs(sums - goal))])
-    while at:
+    at, out = int(sums[np.argmin(np.abs(sums - aim))]), list(take)
+    while at != now - low:
         k, part = items[by[at]]
-        take[k] += part
+        out[k] += part
         at -= part * lengths[k]
-    return take
+    return out
+
+
+def subset_sum(lengths: list[int], counts: list[int], goal: int) -> list[int]:
+    """How many of each length to take so that the sum is as near to goal as can be, the lower sum among equals."""
+    return adjusted(lengths, counts, [0] * len(lengths), goal)
 
 
 def fit_counts(lengths: list[int], counts: list[int], goal: float) -> list[int]:
@@ -98,23 +117,39 @@ def fit_counts(lengths: list[int], counts: list[int], goal: float) -> list[int]:
         return list(counts)
     take = [c * goal // total for c in counts]
     left = goal - sum(n * t for n, t in zip(lengths, take))
-    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-        if left <= CAPACITY:
-            break
-        more = min(counts[k] - take[k], (left - CAPACITY // 2) // lengths[k])
-        if more > 0:
+    longest_first = sorted(range(len(lengths)), key=lambda k: -lengths[k])
+    for most in (1, left):  # one more of each length, then as many as there is room for
+        for k in longest_first:
+            more = min(most, counts[k] - take[k], left // lengths[k])
             take[k] += more
             left -= more * lengths[k]
-    order, returned = sorted(range(len(lengths)), key=lambda k: lengths[k]), 0
-    for k in order:  # short documents go back to the pool, so that they can make up for a long one
-        back = min(take[k], max(0, CAPACITY - returned) // lengths[k])
-        take[k] -= back
-        returned += back * lengths[k]
-    left += returned
-    extra = subset_sum([lengths[k] for k in order], [counts[k] - take[k] for k in order], left)
-    for k, e in zip(order, extra):
-        take[k] += e
-    return take
+    if not left:
+        return take
+    order = longest_first[::-1]
+    fitted = adjusted([lengths[k] for k in order], [counts[k] for k in order], [take[k] for k in order], goal)
+    return [n for _, n in sorted(zip(order, fitted))]
+
+
+def source_targets(counts: DataFrame, mix: Mix, scratch: Scratch) -> DataFrame:
+    """(source, words, target) of every source, written. Sources are numbered in order: each range partition's first
+    number is the count of the partitions before it."""
+    words = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("words"))
+    ordered = words.orderBy(F.col("source").asc_nulls_last()).select("source", "words", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"))
+    ordered = scratch.write(ordered, "sources")
+    parts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    weight = F.get(F.array(*map(F.lit, mix.weights)), F.pmod(F.col("before") + F.col("nth"), F.lit(len(mix.weights))).cast("int"))
+    known = ordered.join(before, "part").select("source", "words", weight.alias("weight"), (F.col("words") * mix.most).alias("limit"))
+    known = scratch.write(known, "weights")
+    full = lambda unit: F.col("weight") * unit >= F.col("limit")
+
+    def sums(unit: float) -> tuple[float, float]:
+        row = known.agg(F.sum(F.when(full(unit), F.col("limit"))), F.sum(F.when(~full(unit), F.col("weight")))).first()
+        return row[0] or 0.0, row[1] or 0.0
+
+    unit = level(mix.share * (known.agg(F.sum("words")).first()[0] or 0), sums)
+    target = F.when(F.col("words") == 0, 0.0).otherwise(F.least(F.col("weight") * unit, F.col("limit")))
+    return scratch.write(known.select("source", "words", target.alias("target")), "targets")
 
 
 def mix_sources(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -125,31 +160,31 @@ def mix_sources(df: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", t
     scratch = Scratch(spark, "mix")
     sized = scratch.write(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sized")
     counts = scratch.write(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), "counts")
-    # One row a source: its order is by code point (Python and Spark agree), null last.
-    sources = sorted(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("words")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
-    goal = dict(zip((r[0] for r in sources), zip((int(r[1]) for r in sources), targets([int(r[1]) for r in sources], mix))))
+    known = source_targets(counts, mix, scratch)
+    wanted = counts.join(hinted(known, 64), counts["source"].eqNullSafe(known["source"])).select(counts["source"], "size", "docs", "words", "target")
 
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        name = None if pd.isna(key[0]) else key[0]
-        words, target = goal[name]
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        words, target = int(rows["words"].iloc[0]), float(rows["target"].iloc[0])
         passes = int(target // words) if words else 0
-        rows = rows[rows["size"] > 0].sort_values("size")
-        lengths, docs = rows["size"].astype(int).tolist(), rows["docs"].astype(int).tolist()
-        take = fit_counts(lengths, docs, target - passes * words) if lengths else []
-        return pd.DataFrame({"source": name, "size": lengths, "docs": docs, "passes": passes, "take": take}).astype({"source": object})
+        solid = (rows["size"] > 0).to_numpy()
+        take = np.zeros(len(rows), np.int64)
+        if solid.any():
+            take[solid] = fit_counts(rows["size"][solid].astype(int).tolist(), rows["docs"][solid].astype(int).tolist(), target - passes * words)
+        return rows.assign(passes=np.where(solid, passes, 0), take=take)
 
-    plan = counts.groupBy("source").applyInPandas(fit, "source string, size long, docs long, passes int, take long")
+    plan = wanted.groupBy("source").applyInPandas(fit, "source string, size long, docs long, words long, target double, passes int, take long")
     plan = scratch.write(plan, "plan")
-    totals = spark.createDataFrame([(n, *w) for n, w in goal.items()] or [("", 0, 0.0)], "source string, source_size long, target double")
     h = F.xxhash64(F.lit(mix.seed), F.col("id").cast("string"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["size"] == b["size"])
-    joined = sized.join(plan, same(sized, plan), "left").select("id", sized["source"], sized["size"], h.alias("h"), *(F.coalesce(plan[c], F.lit(0)).alias(c) for c in ("docs", "passes", "take")))
+    carried = ("words", "target", "passes", "take")
+    joined = sized.join(hinted(plan, 80), same(sized, plan)).select("id", sized["source"], sized["size"], h.alias("h"), "docs", *carried)
     ranked = joined.where((F.col("take") > 0) & (F.col("take") < F.col("docs"))).withColumn("bucket", F.pmod("h", F.ceil(F.sqrt("docs")).cast("long")))
     ranked = scratch.write(ranked, "ranked")
     group = ("source", "size", "bucket")
     before = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select(*group, F.coalesce("before", F.lit(0)).alias("before"))
     place = ranked.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("h", F.col("id").asc_nulls_last())))
-    chosen = place.join(before, same(place, before) & (place["bucket"] == before["bucket"])).select("id", place["source"], place["size"], "passes", (F.col("before") + F.col("nth") <= F.col("take")).alias("more"))
-    whole = joined.where((F.col("take") <= 0) | (F.col("take") >= F.col("docs"))).select("id", "source", "size", "passes", ((F.col("take") > 0) & (F.col("take") >= F.col("docs"))).alias("more"))
+    out = ("words", "target", "passes")
+    chosen = place.join(before, same(place, before) & (place["bucket"] == before["bucket"])).select("id", place["source"], place["size"], *out, (F.col("before") + F.col("nth") <= F.col("take")).alias("more"))
+    whole = joined.where((F.col("take") <= 0) | (F.col("take") >= F.col("docs"))).select("id", "source", "size", *out, ((F.col("take") > 0) & (F.col("take") >= F.col("docs"))).alias("more"))
     rows = chosen.unionByName(whole).withColumn("copies", F.col("passes") + F.col("more").cast("int"))
-    return rows.join(totals, rows["source"].eqNullSafe(totals["source"])).select(F.col("id").alias(id_col), rows["source"].alias(source_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", F.col("words").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")

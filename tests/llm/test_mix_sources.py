@@ -37,6 +37,34 @@ def test_large_budgets_come_near():
     assert abs(3 * got[0] + 50 * got[1] + 70000 * got[2] + 200001 * got[3] - 33_333_333) <= 25
 
 
+def test_fitted_counts_are_as_near_as_any_subset():
+    rnd = random.Random(6)
+    total = lambda lengths, take: sum(n * t for n, t in zip(lengths, take))
+    assert total([100000, 150000, 200000], M.fit_counts([100000, 150000, 200000], [1, 1, 1], 250000)) == 250000
+    assert total([90000, 100000], M.fit_counts([90000, 100000], [1000, 1000], 300000)) == 300000
+    assert total([3_000_000, 5_000_000], M.fit_counts([3_000_000, 5_000_000], [40, 40], 121_000_000)) == 121_000_000
+    for most in (30, 300_000):
+        for _ in range(40):
+            lengths = rnd.sample(range(1, most), rnd.randrange(1, 6))
+            counts = [rnd.randrange(1, 4) for _ in lengths]
+            goal = rnd.randrange(total(lengths, counts) + 1)
+            got = M.fit_counts(lengths, counts, goal)
+            assert all(0 <= g <= c for g, c in zip(got, counts))
+            sums = {total(lengths, pick) for pick in itertools.product(*(range(c + 1) for c in counts))}
+            assert abs(total(lengths, got) - goal) == min(abs(s - goal) for s in sums)
+
+
+def test_many_sources(spark):
+    rows = [(k, "w " * (1 + k % 7), f"host{k % 50:03d}") for k in range(400)]
+    got = M.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    size = Counter()
+    for r in got:
+        size[r["source"]] += r["size"]
+    names = sorted(size)
+    want = dict(zip(names, M.targets([size[n] for n in names], M.Mix())))
+    assert all(abs(r["target"] - want[r["source"]]) < 1e-6 for r in got)
+
+
 def test_whole_mix(corpus, nothing):
     rows = corpus.collect()
     got = found(M.mix_sources(corpus))

@@ -49,6 +49,18 @@ def test_streaming_needs_only_the_lookahead():
     assert 0 < toy.lookahead <= 4 and list(toy.stream([b"\0\1\1\0\1\0"])) == toy.merge([0, 1, 1, 0, 1, 0])
 
 
+def test_tokens_longer_than_the_window_end():
+    made, merges, length = 1000, [], {i: 1 for i in range(256)}
+    left = 0
+    for k in range(700):  # each token is the one before and a byte more
+        merges.append((left, 1, made + k))
+        left, length[made + k] = made + k, (length[left] + 1)
+    t = byte_bpe.Transducer(list(range(256)), merges, length)
+    assert t.window >= t.lookahead + 701
+    data = bytes([0] + [1] * 700) * 3
+    assert list(t.stream(data[i : i + 50] for i in range(0, len(data), 50))) == [left] * 3
+
+
 def test_counts_are_the_library(corpus):
     import sentencepiece
 
