@@ -1,4 +1,5 @@
 import os
+import sys
 
 import pytest
 
@@ -16,7 +17,11 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_the_optional_subpackage_may_be_absent(monkeypatch):
-    monkeypatch.setattr(entry, "HAS_LLM", False)
-    monkeypatch.setattr(entry, "HAS_PIPELINE", False)
-    assert "overdue_list_4way" in entry.queries() and not any(name.startswith("op1") for name in entry.queries())
+@pytest.mark.parametrize("missing", ["quarryflow.llm", "quarryflow.llm.queries", "regex", "corpus_pipeline"])
+def test_the_other_queries_stay_without_optional_parts(monkeypatch, missing):
+    for name in [n for n in sys.modules if n.startswith("quarryflow.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    found = entry.queries()
+    assert "overdue_list_4way" in found and "pipeline" not in found and set(entry.oracle_sql()) <= set(found)
+    assert missing == "corpus_pipeline" or not any(name.startswith("op1") for name in found)
