@@ -4,12 +4,13 @@ A line's tokens are its distinct words. Lines are in order of (id, hash of the t
 is removed if an earlier line has the same words or a Jaccard similarity of num / den or more. Lines without words stay.
 
 Equal lines are one class, known by a 128-bit hash; its first line stands for it. Tokens are ordered by rarity: all
-tokens of the corpus are counted in 131,072 hash buckets, and a token's place is its bucket's level, then its hash. With
+tokens of the corpus are counted in 65,536 hash buckets, and a token's place is its bucket's level, then its hash. With
 n tokens, a line is indexed by its first n - ceil(n * num / den) + 1 tokens, which two similar lines must share one of.
 
 Near copies of one line are settled first. A class is compared with the earliest class that has the same token, for four
 of its index tokens from the rarest to the commonest; where many classes are near that one, those without a match yet
-are compared with the first few of them too. So the pairs of a group of copies are not listed.
+are compared with the first few of them too. So the pairs of a group of copies are not listed. The classes of a token
+that occurs more than HOT times, as its level tells, are dealt into so many groups that each stays below about that.
 
 The classes without an earlier match so far are open, and each meets every class in the index. Entries that meet must
 pass the length filter, the positional filter (what is shared up to this position and after it can be enough) and a
@@ -33,31 +34,49 @@ from .common import Scratch, hinted
 
 SPACE = r"[\x20\x09-\x0D]+"
 SOLID = r"[^\x20\x09-\x0D]"
-BUCKET_BITS = 17
+#: White space that a pattern must look for. Most texts have none of it and are split at single characters.
+RARE = ("\t", "\x0b", "\f", "\r")
+#: A token's code: its level, then its hash, in 63 bits.
+BUCKET_BITS, HASH_BITS, STEPS = 16, 55, 6
 NUM, DEN = 3, 4
 #: Lines of more tokens have sketches of twice the bits.
 LONG = 40
 #: From so many classes near the first one of a token on, a class is compared with the first LEADERS of them before it
 #: enters the join.
 CROWD, LEADERS = 16, 64
+HOT = 1 << 20
 
 
 def _words(line: Column) -> Column:
-    return F.split(line, SPACE)
+    """The words of a text without line feeds, with empty strings among them."""
+    rare = F.lit(False)
+    for c in RARE:
+        rare |= F.contains(line, F.lit(c))
+    return F.when(rare, F.split(line, SPACE)).otherwise(F.split(line, " "))
 
 
-def _bucket(token_hash: Column) -> Column:
-    return F.shiftrightunsigned(token_hash, 64 - BUCKET_BITS).cast("int")
+def _bucket(code: Column) -> Column:
+    return F.shiftrightunsigned(code, HASH_BITS - BUCKET_BITS).cast("int")
+
+
+def _code(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - HASH_BITS)
 
 
 def _levels(docs: DataFrame) -> Column:
-    """A constant array of fixed size with a level for each bucket: 8 for each doubling of the tokens counted in it, 255
-    at most."""
-    counts = docs.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """A constant array of fixed size with a level for each bucket, in the upper bits of a code: STEPS for each doubling
+    of the tokens counted in it, 255 at most."""
+    words = docs.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
+    counts = words.groupBy(_bucket(_code(F.col("w"))).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     levels = [0] * (1 << BUCKET_BITS)
     for r in counts.collect():
-        levels[r["bucket"]] = min(255, int(8 * math.log2(1 + r["n"])))
-    return F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<int>")
+        levels[r["bucket"]] = min(255, int(STEPS * math.log2(1 + r["n"]))) << HASH_BITS
+    return F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<long>")
+
+
+def _groups(token: Column) -> Column:
+    """Into how many groups the classes of a token are dealt, by the count that its level stands for."""
+    return F.greatest(F.lit(1), F.pow(F.lit(2.0), F.shiftrightunsigned(token, HASH_BITS) / STEPS - math.log2(HOT)).cast("int"))
 
 
 def _hashes(line: Column) -> Column:
@@ -66,14 +85,17 @@ def _hashes(line: Column) -> Column:
 
 def _described(raw: DataFrame, levels: Column) -> DataFrame:
     """Each line with its class (h, h2), number of tokens, parity sketch and first tokens in the order."""
-    code = lambda x: F.shiftleft(F.get(levels, _bucket(x)).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(x, 9))
+    placed = lambda x: F.coalesce(F.get(levels, _bucket(x)), F.lit(0).cast("long")).bitwiseOR(x)
+    codes = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), _code)), _code(F.lit("")))
     key = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]
-    ordered = raw.select("id", "th", "at", *key, F.sort_array(F.transform(_hashes(F.col("line")), code)).alias("tokens"))
-    parity = lambda tokens: F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    odd = F.when(F.size("tokens") > LONG, parity(F.filter("tokens", lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    ordered = raw.select("id", "th", "at", *key, F.sort_array(F.transform(codes, placed)).alias("tokens"))
+    flip = lambda one, x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
+    nil, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    parity = F.aggregate("tokens", nil, lambda bits, x: bits.bitwiseXOR(flip(one, x)))
+    odd = F.aggregate("tokens", nil, lambda bits, x: bits.bitwiseXOR(flip(F.shiftrightunsigned(x, 6).bitwiseAND(one), x)))
     n = F.size("tokens")
     prefix = n - _least(n) + 1
-    return ordered.select("id", "th", "at", "h", "h2", n.alias("n"), parity(F.col("tokens")).alias("parity"), odd.alias("odd"), F.slice("tokens", 1, prefix).alias("first"))
+    return ordered.select("id", "th", "at", "h", "h2", n.alias("n"), parity.alias("parity"), F.when(n > LONG, odd).otherwise(nil).alias("odd"), F.slice("tokens", 1, prefix).alias("first"))
 
 
 def _least(n: Column) -> Column:
@@ -119,12 +141,11 @@ def _later(pairs: DataFrame, docs: DataFrame, stands: DataFrame, scratch: Scratc
     chosen = stands.join(hinted(wanted, 8), "h", "left_semi").groupBy("id", "th").agg(F.collect_list(F.struct("at", "h", "h2")).alias("parts"))
     chosen = scratch.write(chosen.withColumnsRenamed({"id": "cid", "th": "cth"}), f"{name}-chosen")
     held = docs.join(hinted(chosen, 64 + 40 * F.size("parts")), F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")))
-    rows = held.select("id", "th", F.split("text", "\n").alias("lines"), F.explode("parts").alias("p")).select("p.h", "p.h2", F.struct(F.col("id").isNull().alias("last"), "id", "th", "p.at").alias("place"), F.get("lines", F.col("p.at")).alias("line"))
+    rows = held.select("id", "th", F.split("text", "\n").alias("lines"), F.explode("parts").alias("p")).select("p.h", "p.h2", F.struct(F.col("id").isNull().alias("last"), "id", "th", "p.at").alias("place"), _hashes(F.get("lines", F.col("p.at"))).alias("words"))
     texts = scratch.write(rows.dropDuplicates(["h", "h2"]), f"{name}-texts")
-    side = lambda h, k: texts.select(F.col("h").alias(h), F.col("h2").alias(f"{k}2"), F.col("place").alias(f"p{k}"), F.col("line").alias(f"l{k}"))
+    side = lambda h, k: texts.select(F.col("h").alias(h), F.col("h2").alias(f"{k}2"), F.col("place").alias(f"p{k}"), F.col("words").alias(f"w{k}"))
     both = pairs.join(side("ha", "a"), "ha").join(side("hb", "b"), "hb")
-    hashed = both.select("ha", "a2", "pa", "hb", "b2", "pb", _hashes(F.col("la")).alias("wa"), _hashes(F.col("lb")).alias("wb"))
-    counted = hashed.select("ha", "a2", "pa", "hb", "b2", "pb", (F.size("wa") + F.size("wb")).alias("total"), F.size(F.array_intersect("wa", "wb")).alias("shared"))
+    counted = both.select("ha", "a2", "pa", "hb", "b2", "pb", (F.size("wa") + F.size("wb")).alias("total"), F.size(F.array_intersect("wa", "wb")).alias("shared"))
     found = counted.where(F.col("shared") * (NUM + DEN) >= F.col("total") * NUM)
     ends = lambda k: F.struct(F.col(f"h{k}").alias("h"), F.col(f"{k}2").alias("h2"))
     return scratch.write(found.select(F.when(F.col("pa") < F.col("pb"), ends("b")).otherwise(ends("a")).alias("k")).select("k.*").distinct(), name)
@@ -142,7 +163,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     entry = F.struct(place.alias("place"), "h", "n", "parity", "odd")
     size = F.size("first")
     ends = F.array_distinct(F.array(F.get("first", F.lit(0)), F.get("first", F.floor(size / 4).cast("int")), F.get("first", F.floor(size / 2).cast("int")), F.get("first", size - 1)))
-    keyed = stands.select(entry.alias("x"), F.explode(ends).alias("t"))
+    keyed = stands.select(entry.alias("x"), F.explode(ends).alias("token"))
+    keyed = keyed.select("x", F.struct("token", F.pmod("x.h", _groups(F.col("token"))).alias("part")).alias("t"))
     by_token = Window.partitionBy("t").orderBy("x")
     fits = (F.col("x.h") != F.col("y.h")) & _near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
     led = keyed.select("t", "x", F.first("x").over(by_token).alias("y"), F.row_number().over(by_token).alias("nth")).withColumn("fits", fits)
