@@ -5,13 +5,14 @@ compared. A class of n shingles has a parity sketch: every shingle flips one of
 Two sketches differ in at most as many bits as the sets have shingles apart, so a Hamming distance above the largest
 symmetric difference that the threshold allows rules a pair out without a miss.
 
-Candidates come from a pigeonhole join in each size band. The sketch's positions are its blocks, and a position's
-content is the XOR of the hashes of the shingles that fall there. A pair within the threshold is apart in at most
-D = floor(n / 3) shingles (at 75 %), so at most D contents of either side differ and all other contents are shared. It
-is enough to index the D + 1 contents that come first in a common order, rarest first: by pigeonhole the first shared
-content is among them on both sides. A class with too few contents for that (many shingles in one position) also gets a
-key of its band that all such classes share. Classes of the upper quarter of a band are indexed in the next band too,
-so sizes on both sides of a band's border meet.
+Candidates come from a pigeonhole join in each size band. There the sketch is read as SEGMENTS words of 64 bits, into
+which the shingles' hashes are XORed: one to two shingles a word on average, so a word says which of them are odd. A pair
+within the threshold is apart in at most D = floor(n / 3) shingles (at 75 %), so at most D words differ and all others are
+equal. Of the words that are not empty, it is enough to index the D + 1 that come first in a common order, rarest first: by
+pigeonhole the first equal word is among them on both sides, if either side has more than D of them. A class with fewer
+is dealt into words again by the next of a series of hashes, until it has enough. Two classes meet under the hash with
+which the first of them has enough, since the other one is indexed under it too; so no key is shared by default. Classes
+of the upper quarter of a band are indexed in the next band too, so sizes on both sides of a band's border meet.
 
 Within a key all members are first compared with the least one only. Where that leaves a key's members in more than one
 component, the other pairs across components are compared as well, in blocks, sketches first. Every candidate that the
@@ -80,9 +81,9 @@ def band_of(n: int) -> int:
     return int(n).bit_length()
 
 
-def positions(band: int) -> int:
-    """Positions whose contents are joined: four times the largest size of the band or more, so most hold one shingle."""
-    return 4 << band
+def segments(band: int) -> int:
+    """Words of the sketch that is joined: half the largest size of the band."""
+    return 1 << band - 1
 
 
 def sketch_bits(band: int) -> int:
@@ -111,21 +112,19 @@ def keys(shingles: np.ndarray, rarity: np.ndarray, rule: Rule) -> np.ndarray:
     far = rule.most_apart(n)
     if not far:
         return np.zeros(0, np.uint64)  # only an equal set can be linked
-    own, last = band_of(n), band_of(n * rule.den // rule.num)
     out = []
     level = rarity[(shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64)
-    for band in range(own, last + 1):
-        place = shingles & np.uint64(positions(band) - 1)
-        order = np.argsort(place, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(place[order]) != 0))
-        content = np.bitwise_xor.reduceat(shingles[order], cuts)
-        rank = np.minimum.reduceat(level[order], cuts) << np.uint64(58) | content >> np.uint64(6)
-        few = len(content) <= far
-        if len(content) > far + 1:
-            content = content[np.argpartition(rank, far)[: far + 1]]
-        out.append(mix(content, 100 + band))
-        if few:
-            out.append(mix(np.array([band], np.uint64), 99))
+    for band in range(band_of(n), band_of(n * rule.den // rule.num) + 1):
+        deal, content = 0, ()
+        while len(content) <= far:
+            place = (shingles if not deal else mix(shingles, 200 + deal)) & np.uint64(segments(band) - 1)
+            order = np.argsort(place, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(place[order]) != 0))
+            content = np.bitwise_xor.reduceat(shingles[order], cuts)
+            rank = np.minimum.reduceat(level[order], cuts) << np.uint64(58) | mix(content) >> np.uint64(6)
+            first = content[np.argpartition(rank, far)[: far + 1]] if len(content) > far + 1 else content
+            out.append(mix(first, 100 + band + 64 * deal))
+            deal += 1
     return np.concatenate(out)
 
 
@@ -277,6 +276,14 @@ def _verified(rule: Rule):
 
 def jaccard_components(df: DataFrame, rule: Rule | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (least id reachable by links) of every row. The id must be an integer."""
+    kind = df.schema[id_col].dataType
+    rows = similar_groups(df, rule, id_col, text_col)
+    return rows.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
+
+
+def similar_groups(df: DataFrame, rule: Rule | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, th (a 64-bit hash of the text), n (shingles), root (a number of the component, null for an empty set), component
+    (its least id) of every row. The id must be an integer."""
     rule = rule or Rule()
     spark = df.sparkSession
     arrow_limits(spark)  # arrays over a batch take some forty times its text
@@ -308,9 +315,9 @@ def jaccard_components(df: DataFrame, rule: Rule | None = None, id_col: str = "d
     root = classes.join(labels, classes["rid"] == labels["node"], "left").select("k1", "k2", "n", "least_id", F.coalesce("root", "rid").alias("root"))
     root = scratch.write(root, "roots")
     least = root.groupBy("root").agg(F.min("least_id").alias("component"))
-    named = scratch.write(root.join(least, "root").select("k1", "k2", "n", "component"), "named")
+    named = scratch.write(root.join(least, "root").select("k1", "k2", "n", "root", "component"), "named")
     same = [sets[c] == named[c] for c in ("k1", "k2", "n")]
-    return sets.join(named, same, "left").select(sets["id"].cast(df.schema[id_col].dataType).alias(id_col), sets["n"].alias("n_shingles"), F.coalesce("component", "id").cast(df.schema[id_col].dataType).alias("component_id"))
+    return sets.join(named, same, "left").select("id", "th", sets["n"], "root", "component")
 
 
 def _links(pairs: DataFrame, heads: DataFrame, texts_of, rule: Rule, scratch: Scratch, name: str, sketches: bool) -> DataFrame:
