@@ -1,10 +1,14 @@
 """Operator 7: main text of web pages by tree scoring.
 
 A forgiving parser builds the tree of block elements; inline tags leave no node, only the length of link text. Every
-paragraph passes points for its length and its commas to its container, half of them to the next ancestor, a third and
-so on to those above; a container's points are discounted by its link density. The best container and those of its
-siblings that look like text are kept; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments of readers are not, wherever they stand.
+paragraph passes points for its length and its commas to its container, and every element half of its points to the one
+around it; a container's points are discounted by its link density. The best container (the first in page order among
+equals) and those of its siblings that look like text are kept.
+
+Elements that never show main text go by their tag, their role or a hidden attribute, wherever they stand. Class and id
+names only raise doubt: an element with a name like `comments` or `cookie-notice` goes unless it holds most of the page's
+points and no paragraph outside such elements is long; one with a mere mention, as in `has-sidebar`, goes only if it does
+not hold most of the points. A page is read and scored in time proportional to its length.
 
 Defined results: null or empty html and pages without text give the empty string; broken markup (unclosed tags,
 comments, quotes) is read as far as it makes sense; repeated rows give repeated results; other columns are ignored.
@@ -14,13 +18,16 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_limits, map_rows
 
-TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>?|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
+TOKEN = re.compile(r"""<!--|<!\[CDATA\[|<[!?][^>]*>?|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
+COMMENT_END = re.compile("--!?>")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Fixed values of HTML: elements whose content is not markup, that hold nothing, that never show main text, that stand in a line.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
@@ -31,52 +38,109 @@ PARAGRAPHS = {"p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th",
 #: Opening the key closes an open element of the value's kinds, up to the nearest list, table or container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "div", "article", "section", "main", "body"}
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner\w*|sponsor\w*|promo\w*|side-?bar\w*|menu\w*|nav\w*|breadcrumbs?|foot(?:er)?|head(?:er)|masthead|cookies?|notices?|consent|gdpr|pop-?up|modal|newsletter|subscribe|shar(?:e|ing)|social|comments?|comment-?list|disqus|respond|repl(?:y|ies)|related|recommend\w*|widgets?|log-?in|sign-?up|search|pag(?:er|ination)|toolbar|hidden)(?:$|[\s_-])", re.I)
-LIKELY = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
+#: Words of names: of what is not main text, what such names may also hold, and what names of main text hold.
+UNLIKELY = re.compile(r"ads?|advert\w*|adbox|banners?|sponsor\w*|promo\w*|sidebars?|side|menus?|nav\w*|breadcrumbs?|foot(?:er)?|header|masthead|cookies?|notices?|consent|gdpr|pop-?up|modal|newsletter|subscribe|shar(?:e|ing)|social|comments?|disqus|respond|repl(?:y|ies)|related|recommend\w*|widgets?|login|signup|search|pag(?:er|ination)|toolbar|hidden")
+NEUTRAL = re.compile(r"\d+|site|page|top|bottom|left|right|global|block|box|bar|list|lists|section|wrapper|wrap|container|area|panel|slot|unit|inner|outer|reader|readers|user|users|form|links?|items?|buttons?|posts|articles|stories|region|group|row|col|thread|bottom|sticky|fixed|up|down|main|primary|secondary|js|id|the")
+LIKELY = re.compile(r"article|body|content|entry|main|post|story|text")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
-SENTENCE_END = re.compile(r"[.!?。！？…][\"'”’)]*$")
+#: A paragraph of so many characters, mostly not links, looks like an article's.
+LONG = 80
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "gone", "hint", "chars", "link", "score")
+    """An element. gone: it never shows main text. doubt: 2 for the name of something else, 1 for a mention of it."""
+
+    __slots__ = ("tag", "parent", "gone", "doubt", "hint", "chars", "link", "points", "score", "dropped")
 
-    def __init__(self, tag: str, parent: Node | None, gone: bool, hint: int):
-        self.tag, self.parent, self.children, self.gone, self.hint = tag, parent, [], gone, hint
+    def __init__(self, tag: str, parent: Node | None, gone: bool, doubt: int, hint: int):
+        self.tag, self.parent, self.gone, self.doubt, self.hint = tag, parent, gone, doubt, hint
         self.chars = self.link = 0
-        self.score = 0.0
-        if parent is not None:
-            parent.children.append(self)
+        self.points = self.score = 0.0
+        self.dropped = False
 
     def density(self) -> float:
         return self.link / self.chars if self.chars else 0.0
 
+    def total(self) -> float:
+        return (self.score + self.hint + 25 * (self.tag in ("article", "main"))) * (1 - self.density())
+
+
+def name_doubt(names: str) -> int:
+    """2 if a name consists of words for what is not main text, and no other name speaks of main text; 1 if a name has
+    such a word at all."""
+    doubt, likely = 0, False
+    for name in names.lower().split():
+        parts = re.split("[-_]+", name.replace("side-bar", "sidebar").replace("log-in", "login").replace("sign-up", "signup"))
+        bad = [bool(UNLIKELY.fullmatch(x)) for x in parts]
+        if any(bad):
+            doubt = max(doubt, 2 if all(b or not x or NEUTRAL.fullmatch(x) for b, x in zip(bad, parts)) else 1)
+        else:
+            likely |= bool(LIKELY.search(name))
+    return min(doubt, 1) if likely else doubt
+
 
-def _kind(tag: str, attrs: str, inside: bool) -> tuple[bool, int]:
-    """Whether an element never shows main text; a hint from its names. inside: it stands in an article."""
+def _kind(tag: str, attrs: str, inside: bool) -> tuple[bool, int, int]:
+    """Whether an element never shows main text, the doubt and the hint from its names. inside: it stands in an article."""
     if tag in NEVER or tag == "header" and not inside:
-        return True, 0
+        return True, 0, 0
     if not attrs or tag in ("html", "body"):
-        return False, 0
+        return False, 0, 0
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
-        return True, 0
+        return True, 0, 0
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    if tag not in ("article", "main") and UNLIKELY.search(names):
-        return True, 0
-    return False, 25 * bool(LIKELY.search(names))
+    doubt = 0 if tag in ("article", "main") else name_doubt(names)
+    return False, doubt, 0 if doubt else 25 * bool(LIKELY.search(names.lower()))
+
+
+class _Open:
+    """The open elements, and where each tag and each holder of lists or tables stands among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.holders, self.articles = [root], defaultdict(list), [], 0
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.nodes))
+        if node.tag in HOLDS:
+            self.holders.append(len(self.nodes))
+        self.articles += node.tag in ("article", "main")
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """Closes the elements from place `at` on; the root stays."""
+        while len(self.nodes) > max(at, 1):
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if node.tag in HOLDS:
+                self.holders.pop()
+            self.articles -= node.tag in ("article", "main")
 
+    def close(self, tag: str) -> bool:
+        if not self.at[tag]:
+            return False
+        self.cut(self.at[tag][-1])
+        return True
 
-def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
-    """The tree, and in page order the text of each stretch without a block boundary: its node, text, characters of links."""
-    root = Node("html", None, False, 0)
-    here, at, link, words, linked = root, 0, 0, [], 0
+    def close_kinds(self, kinds: set[str]) -> None:
+        """Closes the outermost element of these kinds within the nearest holder, with all in it."""
+        holder = self.holders[-1] if self.holders else 0
+        found = [at[k] for x in kinds if (at := self.at[x]) and (k := bisect_right(at, holder)) < len(at)]
+        if found:
+            self.cut(min(found))
+
+
+def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """The elements, each after the one around it, and in page order the text of each stretch without a block boundary:
+    its element, text, characters of links."""
+    nodes = [Node("html", None, False, 0, 0)]
+    open_, at, link, words, linked = _Open(nodes[0]), 0, 0, [], 0
     runs: list[tuple[Node, str, int]] = []
     skip_inline: list[str] = []  # inline elements that are hidden, with those open inside them
-    inside = 0
+    last, no_cdata = page.rfind(">") + 1, False
 
     def text(piece: str) -> None:
         nonlocal linked
-        if piece and not here.gone and not skip_inline:
+        if piece and not open_.nodes[-1].gone and not skip_inline:
             words.append(entities.unescape(piece) if "&" in piece else piece)
             if link:
                 linked += len("".join(words[-1].split()))
@@ -85,114 +149,143 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         nonlocal linked
         if words:
             if whole := " ".join("".join(words).split()):
-                runs.append((here, whole, linked))
+                runs.append((open_.nodes[-1], whole, linked))
             words.clear()
         linked = 0
 
-    while m := TOKEN.search(page, at):
+    while m := TOKEN.search(page, at, last):  # what follows the last ">" has no tags
         text(page[at : m.start()])
         at, tag = m.end(), (m["tag"] or "").lower()
-        if not tag:
-            text(m["cdata"] or "")
+        if m[0] == "<!--":
+            end = COMMENT_END.search(page, at)
+            at = end.end() if end else page.startswith(">", at) and at + 1 or len(page)
+        elif m[0] == "<![CDATA[":
+            end = -1 if no_cdata else page.find("]]>", at)
+            no_cdata = end < 0
+            if no_cdata:
+                at = page.index(">", at) + 1 if page.find(">", at) >= 0 else len(page)
+            else:
+                text(page[at:end])
+                at = end + 3
+        elif not tag:
+            continue
         elif m["close"]:
             if tag in INLINE:
                 link = max(0, link - (tag == "a"))
                 if skip_inline and tag in skip_inline:
                     del skip_inline[len(skip_inline) - 1 - skip_inline[::-1].index(tag) :]
-                continue
-            up = here
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
+            elif open_.at[tag]:
                 flush()
-                while here is not up.parent:
-                    inside -= here.tag in ("article", "main")
-                    here = here.parent
+                open_.close(tag)
                 link = 0
                 skip_inline.clear()
         elif tag in INLINE:
             link += tag == "a"
-            if skip_inline or m["attrs"] and _kind(tag, m["attrs"], True)[0]:
+            if skip_inline or m["attrs"] and ((kind := _kind(tag, m["attrs"], True))[0] or kind[1] > 1):
                 skip_inline.append(tag)
         elif tag in VOID:
             if tag == "hr":
                 flush()
             elif tag == "br":
                 text(" ")
-        elif tag in ("html", "body") and here is root and tag == "html":
+        elif tag == "html" and len(open_.nodes) == 1:
             continue
         else:
             flush()
             link = 0
             skip_inline.clear()
             if tag not in RAW:
-                up, kinds = here, CLOSES.get(tag, set())
-                while kinds and up.parent is not None and up.tag not in HOLDS:
-                    if up.tag in kinds:
-                        here = up.parent
-                    up = up.parent
-                while here.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and here.parent is not None:
-                    here = here.parent
-                if tag == "body":
-                    while here.parent is not None and here.tag == "head":
-                        here = here.parent
-            gone, hint = _kind(tag, m["attrs"], inside > 0)
-            here = Node(tag, here, here.gone or gone, hint)
-            inside += tag in ("article", "main")
+                if tag in CLOSES:
+                    open_.close_kinds(CLOSES[tag])
+                while open_.nodes[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+                    open_.cut(len(open_.nodes) - 1)
+                if tag == "body" and open_.nodes[-1].tag == "head":
+                    open_.close("head")
+            here = open_.nodes[-1]
+            gone, doubt, hint = _kind(tag, m["attrs"], open_.articles > 0)
+            nodes.append(Node(tag, here, here.gone or gone, doubt, hint))
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
-                at, here = (end.end() if end else len(page)), here.parent
+                at = end.end() if end else len(page)
+            else:
+                open_.push(nodes[-1])
+        if at >= len(page):
+            break
     text(page[at:])
     flush()
-    return root, runs
+    return nodes, runs
+
+
+def _doubts(nodes: list[Node], runs: list[tuple[Node, str, int]], points: list[float]) -> None:
+    """Marks the elements whose names raise a doubt that their share of the points does not lift, and all in them."""
+    doubtful = {}
+    for x in nodes:
+        doubtful[id(x)] = x.doubt > 0 or x.parent is not None and doubtful[id(x.parent)]
+    for (node, _, _), p in zip(runs, points):
+        node.points += p
+    for x in reversed(nodes):
+        if x.parent is not None:
+            x.parent.points += x.points
+    plain = any(len(run) >= LONG and 2 * linked < len(run) and not doubtful[id(node)] for node, run, linked in runs)
+    for x in nodes:
+        most = 2 * x.points > nodes[0].points
+        x.dropped = x.parent is not None and x.parent.dropped or x.doubt > 0 and not (most and (x.doubt == 1 or not plain))
+
+
+def run_points(runs: list[tuple[Node, str, int]]) -> list[float]:
+    """Points of each stretch of text, for length and commas, discounted by its own link density."""
+    return [(1 + run.count(",") + run.count("，") + run.count("、") + len(run) / 100) * (1 - min(1.0, linked / len(run))) for _, run, linked in runs]
+
+
+def score(nodes: list[Node], runs: list[tuple[Node, str, int]], points: list[float]) -> set[int]:
+    """Fills in the elements' characters, link characters and scores, from the leaves up; returns those with points."""
+    holders = set()
+    for (node, run, linked), p in zip(runs, points):
+        node.chars, node.link = node.chars + len(run), node.link + min(len(run), linked)
+        to = (node.parent or node) if node.tag in PARAGRAPHS else node
+        to.score += p
+        holders.add(id(to))
+    for x in reversed(nodes):
+        if x.parent is not None:
+            x.parent.chars, x.parent.link, x.parent.score = x.parent.chars + x.chars, x.parent.link + x.link, x.parent.score + x.score / 2
+            if id(x) in holders:
+                holders.add(id(x.parent))
+    return holders
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the main text in page order, one line each."""
     if not page:
         return ""
-    root, runs = parse(page)
-    if not runs:
+    nodes, runs = parse(page)
+    points = run_points(runs)
+    _doubts(nodes, runs, points)
+    kept_runs = [(run, p) for run, p in zip(runs, points) if not run[0].dropped]
+    if not kept_runs:
         return ""
-    scored: dict[int, Node] = {}
-    for node, run, linked in runs:
-        n, up = len(run), node
-        while up is not None:
-            up.chars, up.link = up.chars + n, up.link + min(n, linked)
-            up = up.parent
-        points = (1 + run.count(",") + run.count("，") + run.count("、") + n / 100) * (1 - min(1.0, linked / n))
-        up, level = (node.parent or node) if node.tag in PARAGRAPHS else node, 0
-        while up is not None:
-            up.score += points if not level else points / (2 if level == 1 else 3 * level)
-            scored[id(up)] = up
-            up, level = up.parent, level + 1
-    total = lambda x: (x.score + x.hint + 25 * (x.tag in ("article", "main"))) * (1 - x.density())
-    best = max(scored.values(), key=total)  # the first in page order among equals
+    holders = score(nodes, *zip(*kept_runs))
+    best = max((x for x in nodes if id(x) in holders), key=Node.total)
     up = best
     while up is not None:  # an article is kept whole
         if up.tag in ("article", "main"):
             best = up
             break
         up = up.parent
-    kept = {id(best)}
+    kept, siblings = {id(best)}, [x for x in nodes if x.parent is best.parent and not x.gone and not x.dropped]
     if best.parent is not None and best.tag not in ("article", "main", "body"):
-        least = max(10.0, 0.2 * total(best))
-        for x in best.parent.children:
-            bare = x.chars > 80 and x.density() < 0.25 or x.chars > 0 and not x.link and x.tag in PARAGRAPHS
-            if not x.gone and (total(x) >= least or x.tag in PARAGRAPHS and bare):
+        least = max(10.0, 0.2 * best.total())
+        for x in siblings:
+            bare = x.chars > LONG and x.density() < 0.25 or x.chars > 0 and not x.link and x.tag in PARAGRAPHS
+            if x.total() >= least or x.tag in PARAGRAPHS and bare:
                 kept.add(id(x))
     elif best.tag == "article" and best.parent is not None:
-        kept |= {id(x) for x in best.parent.children if x.tag == "article" and total(x) >= 0.2 * total(best)}
-    out = []
-    for node, run, _ in runs:
-        up, within, menu = node, False, False
-        while up is not None and not within:
-            within = id(up) in kept
-            menu |= not within and up.tag in ("ul", "ol", "table") and up.density() > 0.7
-            up = up.parent
-        if within and not menu or node is best:
-            out.append(run)
-    return "\n".join(out)
+        kept |= {id(x) for x in siblings if x.tag == "article" and x.total() >= 0.2 * best.total()}
+    within, menu = {}, {}
+    for x in nodes:
+        above = x.parent is not None and within[id(x.parent)]
+        within[id(x)] = id(x) in kept or above
+        menu[id(x)] = id(x) not in kept and above and (menu[id(x.parent)] or x.tag in ("ul", "ol", "table") and x.density() > 0.7)
+    return "\n".join(run for (node, run, _), _ in kept_runs if within[id(node)] and not menu[id(node)])
 
 
 def extract(df: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:

@@ -1,3 +1,9 @@
+import os
+import time
+
+import pytest
+
+from quarryflow.llm import html_extract as H
 from quarryflow.llm.html_extract import extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
@@ -29,3 +35,48 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (1, "u", PAGE, "t")], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r for r in extract(df).collect()}
     assert got[1]["n_chars"] == len(main_text(PAGE)) and got[2]["text"] == "" and extract(df).count() == 3 and extract(df.limit(0)).count() == 0
+
+
+TWO = "<p>First paragraph, with, commas and some words that make it long enough to be an article.</p><p>Second one, also long, with more and more words for all to read.</p>"
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post with-comments", "site-content no-sidebar", "layout menu-open", "story related-0", "sidebar", "page-header"])
+def test_a_name_alone_loses_no_article(name):
+    assert main_text(f'<body><div class="{name}">{TWO}</div><div class=x>other short text</div></body>').startswith("First paragraph") and main_text(f'<div id="{name}">{TWO}</div>').count("\n") == 1
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "user-comments-2", "sidebar", "cookie-notice", "related-posts", "site-footer", "ad-slot", "newsletter signup"])
+def test_what_is_named_for_something_else_goes(name):
+    other = "<p>Some reader, or advertiser, says something, with commas, and at length, but not as the article.</p>" * 9
+    assert main_text(f'<body><div class="post">{TWO}</div><div class="{name}">{other}</div></body>').count("\n") == 1
+    assert main_text(f'<body><div class="post">{TWO}<div class="{name}"><p>Short, extra, text.</p></div></div></body>').count("\n") == 1
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 16000, "<a " * 300000, "<![CDATA[>" * 100000, "<p>a</x></x>" * 60000, "<x><li>" * 50000, "<a<b" * 200000, "<div>" * 30000 + "</p>" * 100000, "<a \"'>" * 100000, "<ul>" * 20000 + "<li>y" * 20000])
+def test_hostile_pages_end_soon(page):
+    start = time.time()
+    main_text(page)
+    assert time.time() - start < 20
+
+
+def _plain_scores(nodes, runs):
+    """Scores by their definition: each paragraph climbs to the root, half as much at each step."""
+    found = {id(x): 0.0 for x in nodes}
+    for (node, _, _), p in zip(runs, H.run_points(runs)):
+        up = (node.parent or node) if node.tag in H.PARAGRAPHS else node
+        while up is not None:
+            found[id(up)] += p
+            up, p = up.parent, p / 2
+    return found
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_scores_are_the_definition_and_blocks_stay_whole(spark):
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        nodes, runs = H.parse(row["html"] or "")
+        H.score(nodes, runs, H.run_points(runs))
+        want = _plain_scores(nodes, runs)
+        assert all(abs(x.score - want[id(x)]) < 1e-6 for x in nodes)
+        text, order, at = main_text(row["html"]), [r for _, r, _ in runs], -1
+        for line in text.split("\n") if text else []:
+            at = order.index(line, at + 1)  # in page order
