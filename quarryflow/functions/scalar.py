@@ -42,8 +42,9 @@ def pagination(total: Column | str, page_index: int | None = None, page_size: in
 
 
 def surrogate_id(prefix: str, *natural_key: Column | str) -> Column:
-    """Prefix and 8 upper-case hex digits; of a hash of the natural key, so that reruns agree."""
-    return F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(F.concat_ws("\x1f", *(col(c).cast("string") for c in natural_key)), 256), 1, 8)))
+    """Prefix and 16 upper-case hex digits of a hash of the natural key, so that reruns agree. What tells rows of one
+    natural key apart belongs into it."""
+    return F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(F.concat_ws("\x1f", *(col(c).cast("string") for c in natural_key)), 256), 1, 16)))
 
 
 def default_if_blank(c: Column | str, default: Column | str | int) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryflow.functions.scalar import MOST_LOANS, default_if_blank, due_date, extended_due_date, overdue_days, surrogate_id
@@ -123,14 +123,55 @@ def refresh_overdue(t: Tables, as_of: str, strict: bool = False) -> Outcome:
     return Outcome(tables, rows.select("loan_id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("code")), {"updated": total})
 
 
+def _nth(*natural_key: str) -> Column:
+    """Which of the rows with the same natural key this is, so that copies get ids of their own."""
+    return F.row_number().over(Window.partitionBy(*natural_key).orderBy(*natural_key))
+
+
 def insert_books(t: Tables, rows: DataFrame, now: str) -> DataFrame:
-    ready = rows.withColumn("book_id", default_if_blank("book_id", surrogate_id("BK", "isbn", "title"))).withColumn("loan_yn", default_if_blank("loan_yn", "Y"))
-    return R.insert_book(t, ready, now)
+    ready = rows.withColumn("nth", _nth("isbn", "title")).withColumn("book_id", default_if_blank("book_id", surrogate_id("BK", "isbn", "title", "nth", F.lit(now)))).drop("nth")
+    return R.insert_book(t, ready.withColumn("loan_yn", default_if_blank("loan_yn", "Y")), now)
 
 
 def insert_members(t: Tables, rows: DataFrame, now: str) -> DataFrame:
-    ready = rows.withColumn("member_id", default_if_blank("member_id", surrogate_id("MB", "member_nm", "phone"))).withColumn("member_status", default_if_blank("member_status", "1"))
-    return R.insert_member(t, ready, now)
+    ready = rows.withColumn("nth", _nth("member_nm", "phone")).withColumn("member_id", default_if_blank("member_id", surrogate_id("MB", "member_nm", "phone", "nth", F.lit(now)))).drop("nth")
+    return R.insert_member(t, ready.withColumn("member_status", default_if_blank("member_status", "1")), now)
+
+
+def _checked(table: DataFrame, key: str, requests: DataFrame, missing: str) -> tuple[DataFrame, DataFrame]:
+    """The requests whose row exists, and a row for each request: key, ok, code."""
+    known = requests.join(table.select(key, F.lit(True).alias("__known")), key, "left")
+    code = F.when(F.col("__known").isNull(), missing)
+    return known.where("__known").drop("__known"), known.select(key, code.isNull().alias("ok"), code.alias("code"))
+
+
+def _changed(t: Tables, name: str, key: str, requests: DataFrame, columns: tuple[str, ...], missing: str) -> Outcome:
+    done, results = _checked(t[name], key, requests, missing)
+    changes = done.select(key, *(c for c in columns if c in requests.columns))
+    return Outcome(t | {name: R.merged(t[name], key, changes)}, results)
+
+
+def _removed(t: Tables, name: str, key: str, requests: DataFrame, missing: str) -> Outcome:
+    done, results = _checked(t[name], key, requests, missing)
+    return Outcome(t | {name: t[name].join(done.select(key), key, "left_anti").select(*t[name].columns)}, results)
+
+
+def update_books(t: Tables, requests: DataFrame) -> Outcome:
+    """requests: book_id and the columns to change (null: unchanged). An unknown book is refused."""
+    return _changed(t, "book", "book_id", requests, R.BOOK_CHANGES, "BOOK_NOT_FOUND")
+
+
+def delete_books(t: Tables, requests: DataFrame) -> Outcome:
+    return _removed(t, "book", "book_id", requests, "BOOK_NOT_FOUND")
+
+
+def update_members(t: Tables, requests: DataFrame) -> Outcome:
+    """requests: member_id and the columns to change (null: unchanged). An unknown member is refused."""
+    return _changed(t, "member", "member_id", requests, R.MEMBER_CHANGES, "MEMBER_NOT_FOUND")
+
+
+def delete_members(t: Tables, requests: DataFrame) -> Outcome:
+    return _removed(t, "member", "member_id", requests, "MEMBER_NOT_FOUND")
 
 
 def lookup(table: DataFrame, key: str, keys: DataFrame, missing: str) -> DataFrame:

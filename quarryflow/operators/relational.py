@@ -187,13 +187,18 @@ def merged(table: DataFrame, key: str, changes: DataFrame) -> DataFrame:
     return joined.select(*(F.coalesce(F.col(f"c.{c}"), F.col(f"t.{c}")).alias(c) if c in own else F.col(c) for c in table.columns))
 
 
+#: What an update of a book or a member may change.
+BOOK_CHANGES = ("isbn", "title", "author", "publisher", "publish_date", "category_cd", "location")
+MEMBER_CHANGES = ("member_nm", "birth_date", "phone", "email")
+
+
 def insert_book(t: Tables, row: DataFrame, now: str) -> DataFrame:
     return inserted(t["book"], row.withColumn("reg_date", F.lit(now).cast("timestamp_ntz")))
 
 
 def update_book(t: Tables, book_id: str, changes: dict[str, object]) -> DataFrame:
     """Registration date and availability are not changed here."""
-    return updated(t["book"], "book_id", book_id, {k: v for k, v in changes.items() if k in ("isbn", "title", "author", "publisher", "publish_date", "category_cd", "location")})
+    return updated(t["book"], "book_id", book_id, {k: v for k, v in changes.items() if k in BOOK_CHANGES})
 
 
 def delete_book(t: Tables, book_id: str) -> DataFrame:
@@ -229,7 +234,7 @@ def insert_member(t: Tables, row: DataFrame, now: str) -> DataFrame:
 
 
 def update_member(t: Tables, member_id: str, changes: dict[str, object]) -> DataFrame:
-    return updated(t["member"], "member_id", member_id, {k: v for k, v in changes.items() if k in ("member_nm", "birth_date", "phone", "email")})
+    return updated(t["member"], "member_id", member_id, {k: v for k, v in changes.items() if k in MEMBER_CHANGES})
 
 
 def delete_member(t: Tables, member_id: str) -> DataFrame:
