@@ -47,7 +47,8 @@ class Words:
         change = np.flatnonzero(solid[1:] != solid[:-1])
         self.raw, self.begin, self.end = raw, change[::2], change[1::2]
         text_end = np.cumsum(sizes + 1)
-        self.first = np.searchsorted(self.begin, text_end - sizes - 1)  # of each text, its first word
+        self.starts = text_end - sizes - 1  # of each text, where it begins
+        self.first = np.searchsorted(self.begin, self.starts)  # of each text, its first word
         self.count = np.diff(np.append(self.first, len(self.begin)))
         self.of = np.repeat(np.arange(len(texts)), self.count)
         length = self.end - self.begin
