@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarryflow.functions.scalar import sorted_join
 
@@ -67,20 +71,26 @@ def block(file_path: Column, start: Column, end: Column, node_type: Column, labe
 def pack(blocks: DataFrame, group: str, order: list[str], size: Column, budget: int = BUDGET, used: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """group, the order columns, carry, size, kept, used of every block. In order, a block is kept if it still fits; one
     that does not is skipped and later, smaller ones may fit, so this is a fold over each group's sorted blocks and not
-    a running sum. A group is one question's candidates."""
-    entry = F.struct(*order, *carry, size.cast("long").alias("size"))
+    a running sum. A group is one question's candidates; its blocks stream past in order, and only the sum is held."""
     start = (used if used is not None else F.lit(0)).cast("long")
-    grouped = blocks.groupBy(group).agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.first(start).alias("start"))
-    element = "struct<kept:boolean,used:bigint>"
-    zero = F.struct(F.col("start").alias("used"), F.array().cast(f"array<{element}>").alias("out"))
-
-    def step(state: Column, e: Column) -> Column:
-        fits = state["used"] + e["size"] <= F.lit(budget)
-        after = F.when(fits, state["used"] + e["size"]).otherwise(state["used"])
-        return F.struct(after.alias("used"), F.concat(state["out"], F.array(F.struct(fits.alias("kept"), after.alias("used")))).alias("out"))
-
-    folded = grouped.select(group, "entries", F.aggregate("entries", zero, step)["out"].alias("out"))
-    return folded.select(group, F.explode(F.arrays_zip("entries", "out")).alias("z")).select(group, "z.entries.*", "z.out.*")
+    rows = blocks.select(group, *order, *carry, size.cast("long").alias("size"), start.alias("__start"))
+    rows = rows.repartition(group).sortWithinPartitions(group, *order, *carry)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = object(), 0
+        for batch in batches:
+            kept, after = [], []
+            for key, n, first in zip(*(batch.column(c).to_pylist() for c in (group, "size", "__start"))):
+                if key != last:
+                    last, total = key, first
+                kept.append(total + n <= budget)
+                total += n if kept[-1] else 0
+                after.append(total)
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.bool_()), pa.array(after, pa.int64())], names=[*batch.schema.names[:-1], "kept", "used"])
+
+    out = T.StructType([*rows.schema.fields[:-1], T.StructField("kept", T.BooleanType()), T.StructField("used", T.LongType())])
+    return rows.mapInArrow(fold, out)
 
 
 def references(packed: DataFrame, code: str = "code") -> DataFrame:
@@ -102,6 +112,14 @@ def question_prompt(context: Column, question: Column) -> Column:
     return F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), question)
 
 
+def diagnose_prompt(log: Column, context: Column) -> Column:
+    return F.concat(F.lit("Error log:\n"), log, F.lit("\n\nContext:\n"), context)
+
+
+def manual_prompt(url: Column, context: Column) -> Column:
+    return F.concat(F.lit("Screen or URL:\n"), url, F.lit("\n\nContext:\n"), context, F.lit("\n\nDescribe the steps of this function as a numbered list."))
+
+
 def sql_prompt(schema: Column, shots: Column, question: Column, today: Column) -> Column:
     return F.concat(F.lit("Schema:\n"), schema, F.lit("\n\nToday: "), today, F.lit(" (this month: "), F.substring(today, 1, 7), F.lit(")\n\nExamples:\n"), shots, F.lit("\n\nQuestion: "), question)
 
@@ -110,13 +128,25 @@ def retry_prompt(prompt: Column, reason: Column) -> Column:
     return F.concat(prompt, F.lit("\n\nThe previous statement failed: "), reason)
 
 
-def manual_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """url, controllers, impls, tables, sql_count of every URL, in one pass over all of them."""
+#: The wording of a manual entry's chain line.
+ARROW, SQL_COUNT, NO_CHAIN = " → ", ("SQL ", "건"), "(호출그래프에서 찾지 못함)"
+
+
+def manual_rows(nodes: DataFrame, edges: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:
+    """url, title, controllers, impls, tables, sql_count, chain_line of every URL, in one pass over all of them. The title
+    is that of the controller's method, or the method, or the URL; the chain line names controller, implementations and
+    the number of statements."""
     urls = nodes.where(F.col("node_type") == "URL").select("id", F.col("label").alias("url"))
     reached = closure(edges, urls.select("id")).join(nodes, "id").withColumnRenamed("start", "url_id")
-    pick = lambda kind: F.array_sort(F.collect_set(F.when(F.col("node_type") == kind, F.col("label"))))
-    rows = reached.groupBy("url_id").agg(pick("CONTROLLER_METHOD").alias("controllers"), pick("IMPL_METHOD").alias("impls"), pick("TABLE").alias("tables"), F.count_if(F.col("node_type") == "SQL").alias("sql_count"))
-    return urls.join(rows, urls["id"] == rows["url_id"]).select("url", "controllers", "impls", "tables", "sql_count")
+    pick = lambda kind, c="label": F.array_sort(F.collect_set(F.when(F.col("node_type") == kind, F.col(c))))
+    rows = reached.groupBy("url_id").agg(pick("CONTROLLER_METHOD").alias("controllers"), pick("CONTROLLER_METHOD", "method_name").alias("methods"), pick("IMPL_METHOD").alias("impls"), pick("TABLE").alias("tables"), F.count_if(F.col("node_type") == "SQL").alias("sql_count"))
+    named = F.create_map(*(F.lit(x) for pair in (titles or {"": ""}).items() for x in pair))
+    method = F.get("methods", F.lit(0))
+    title = F.coalesce(F.try_element_at(named, method), method, F.col("url"))
+    parts = F.concat(F.slice("controllers", 1, 1), F.col("impls"))
+    sqls = F.when(F.col("sql_count") > 0, F.concat(F.lit(ARROW + SQL_COUNT[0]), F.col("sql_count").cast("string"), F.lit(SQL_COUNT[1]))).otherwise("")
+    line = F.concat(F.array_join(parts, ARROW), sqls)
+    return urls.join(rows, urls["id"] == rows["url_id"]).select("url", title.alias("title"), "controllers", "impls", "tables", "sql_count", F.coalesce(F.nullif(line, F.lit("")), F.lit(NO_CHAIN)).alias("chain_line"))
 
 
 def appendix(catalog: DataFrame) -> DataFrame:
@@ -134,7 +164,7 @@ def assemble_manual(entries: list[dict], domains: list[str], only: str | None =
     out += [f"- {d}: {sum(e['domain'] == d for e in entries)}" for d in domains]
     for n, d in enumerate([d for d in domains if only in (None, d)], 2):
         out.append(f"## {n}. {d}")
-        out += [f"### {e['url']}\n{e['body']}" for e in entries if e["domain"] == d]
+        out += [f"### {e.get('title') or e['url']}\n`{e['url']}`\n\n{e['body']}\n\n{e.get('chain_line', '')}".rstrip() for e in entries if e["domain"] == d]
     return "\n\n".join([*out, "## Appendix", *appendix_rows])
 
 

@@ -103,9 +103,15 @@ def catalog_of(sql: str) -> list[dict]:
             if not depth:
                 break
             end += 1
-        stop = words.index(";", end) if ";" in words[end:] else len(words)
+        if end == len(words):  # never closed: what stands before the next statement, as far as it can be told apart
+            end = words.index(";", i) if ";" in words[i:] else len(words)
+            stop = end
+        else:
+            stop = words.index(";", end) if ";" in words[end:] else len(words)
         body, options = words[i + 1 : end], words[end + 1 : stop]
         try:
+            if end == stop < len(words) or end == len(words):
+                raise ValueError("not closed")
             out += _table(name, body, options)
         except (ValueError, IndexError):
             out += _comments_only(name, body, options)

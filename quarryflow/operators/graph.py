@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryflow.functions.scalar import first_url_segment, last_segment
+from quarryflow.sources.scratch import Scratch
 
 #: Node types of the layers that can be called, in the order of a call chain.
 LAYER_NODE = {"CONTROLLER": "CONTROLLER_METHOD", "SERVICE_INTERFACE": "SERVICE_METHOD", "SERVICE_IMPL": "IMPL_METHOD", "MAPPER": "MAPPER_METHOD"}
@@ -95,22 +98,30 @@ def build_graph(classes: DataFrame, statements: DataFrame) -> tuple[DataFrame, D
 # Reachability
 
 
-def closure(edges: DataFrame, starts: DataFrame, reverse: bool = False, most_steps: int = 1000) -> DataFrame:
-    """(start, id) for every node reachable from each start, itself included. starts: id. All starts go in one pass;
-    every round joins the frontier with the edges and drops what was seen, so cycles end. Rounds are checkpointed."""
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+#: Levels of a walk that are kept as tables of their own before they are put together.
+LEVELS = 8
+
+
+def closure(edges: DataFrame, starts: DataFrame, reverse: bool = False) -> DataFrame:
+    """(start, id) for every node reachable from each start, itself included. starts: id. All starts go in one pass; every
+    round joins the frontier with the edges and drops what was seen, so cycles end. Edges and levels are written once: a
+    small frontier is then broadcast by its size. Levels are put together every LEVELS rounds, so a long walk reads few
+    tables a round."""
+    scratch = Scratch(edges.sparkSession, "closure")
     a, b = ("dst_id", "src_id") if reverse else ("src_id", "dst_id")
-    steps = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
-    seen = starts.select(F.col("id").alias("start"), "id").distinct().checkpoint()
-    frontier = seen
-    for _ in range(most_steps):
-        frontier = frontier.join(steps, "id").select("start", F.col("next").alias("id")).distinct().join(seen, ["start", "id"], "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError("closure: steps ran out")
+    steps = scratch.write(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "steps")
+    frontier = scratch.write(starts.select(F.col("id").alias("start"), "id").distinct(), "level0")
+    levels, k = [frontier], 0
+    while not frontier.isEmpty():
+        k += 1
+        found = frontier.join(steps, "id").select("start", F.col("next").alias("id")).distinct()
+        for seen in levels:
+            found = found.join(seen, ["start", "id"], "left_anti")
+        frontier = scratch.write(found, f"level{k}")
+        levels.append(frontier)
+        if len(levels) > LEVELS:
+            levels = [scratch.write(reduce(DataFrame.union, levels), f"seen{k}")]
+    return reduce(DataFrame.union, levels)
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, start: str, reverse: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarryflow.sources.schema import CLASSES
 
@@ -319,18 +320,32 @@ def classes_of(path: str, source: str) -> list[dict]:
     return out
 
 
-def parse_java(files: DataFrame) -> DataFrame:
-    """files: path, content. A row for each top-level class; files without readable content give none."""
+def _parsed(files: DataFrame) -> DataFrame:
+    """A row for each top-level class, and one with `reason` for each file that cannot be read or parsed."""
     columns = [c.split()[0] for c in re.split(r", (?=\w+ )", CLASSES)]
 
+    def found(path: str, source: str | None) -> list[dict]:
+        try:
+            if source is None:
+                return [{"file_path": path, "reason": "not UTF-8 text"}]
+            return classes_of(path, source)
+        except (IndexError, ValueError, KeyError, RecursionError) as e:
+            return [{"file_path": path, "reason": f"{type(e).__name__}: {e}"}]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [c for p, s in zip(batch["path"], batch["content"]) if s is not None for c in classes_of(p, s)]
-            yield pd.DataFrame(rows, columns=columns)
+            rows = [r for p, s in zip(batch["path"], batch["content"]) for r in found(p, s)]
+            yield pd.DataFrame([[r.get(c) for c in (*columns, "reason")] for r in rows], columns=[*columns, "reason"]).astype({"start_line": "Int32", "end_line": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, f"{CLASSES}, reason string")
 
-    return files.select("path", "content").mapInPandas(run, CLASSES)
+
+def parse_java(files: DataFrame) -> DataFrame:
+    """files: path, content. A row for each top-level class; files that cannot be read or parsed give none, `failed_files`
+    lists them."""
+    return _parsed(files).where("reason IS NULL").drop("reason")
 
 
 def failed_files(files: DataFrame) -> DataFrame:
-    """Paths that could not be read as text."""
-    return files.where("content IS NULL").select("path")
+    """path, reason of the files that could not be read as text or parsed."""
+    return _parsed(files).where("reason IS NOT NULL").select(F.col("file_path").alias("path"), "reason")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,7 @@ from quarryflow.functions.scalar import last_segment, line_slice
 
 from .graph import downstream_tables, method_id, sql_id
 
-#: Fixed values of chunk headers and prefixes.
+#: Fixed values of chunk headers and prefixes; the other labels of a header stand where they are used.
 LAYER_LABEL = {"CONTROLLER": "Controller", "SERVICE_IMPL": "ServiceImpl"}
 PASSAGE, QUERY = "passage: ", "query: "
 
@@ -44,30 +45,42 @@ def sql_chunks(statements: DataFrame) -> DataFrame:
     return statements.select(sql_id().alias("node_id"), F.lit("SQL").alias("layer"), mapper.alias("class_name"), F.col("sql_id").alias("method_name"), "file_path", "start_line", "end_line", F.lit(None).cast("string").alias("url"), F.col("referenced_tables").alias("tables"), text.alias("text"))
 
 
+#: Texts that go to the embedding model at once.
+BATCH = 16
+
+
 def hashed_bag(texts: list[str], dim: int = 256) -> np.ndarray:
     """A stand-in backend: signed hashed counts of words, L2-normalised; the same text always gives the same vector."""
+    words = [text.lower().split() for text in texts]
+    known = sorted({w for row in words for w in row})
+    h = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in known], np.uint64)
+    at = {w: i for i, w in enumerate(known)}
+    flat = np.array([at[w] for row in words for w in row], np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
     out = np.zeros((len(texts), dim), np.float32)
-    for i, text in enumerate(texts):
-        for word in text.lower().split():
-            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-            out[i, h % dim] += 1.0 if h >> 63 else -1.0
+    if len(flat):
+        np.add.at(out, (row, (h[flat] % np.uint64(dim)).astype(np.int64)), np.where(h[flat] >> np.uint64(63), 1.0, -1.0).astype(np.float32))
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.where(norm > 0, norm, 1)
 
 
 def embed(df: DataFrame, text: str = "text", prefix: str = PASSAGE, backend: Callable[[list[str]], np.ndarray] = hashed_bag, out: str = "embedding") -> DataFrame:
-    """The rows with a vector of the prefixed text; null text is empty."""
+    """The rows with a vector of the prefixed text, BATCH texts a call of the backend; null text is empty."""
 
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(backend([prefix + (t or "") for t in texts])))
+        ready = [prefix + (t or "") for t in texts]
+        return pd.Series([v for i in range(0, len(ready), BATCH) for v in backend(ready[i : i + BATCH])])
 
     return df.withColumn(out, vectors(F.col(text)))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """In double precision; null where a norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
@@ -75,7 +88,9 @@ def search(vectors: DataFrame, query: list[float], k: int = 5, layer: str | None
     """The k rows of greatest cosine, filtered before ranking; ties by id. score = cosine."""
     rows = vectors.where(F.col("layer") == layer) if layer else vectors
     q = F.array(*(F.lit(float(x)) for x in query))
-    return rows.withColumn("score", cosine(F.col(vector_col), q)).orderBy(F.col("score").desc_nulls_last(), id_col).limit(k)
+    norm = math.sqrt(sum(float(x) * float(x) for x in query))
+    score = F.try_divide(dot(F.col(vector_col), q), F.sqrt(dot(F.col(vector_col), F.col(vector_col))) * F.lit(norm))
+    return rows.withColumn("score", score).orderBy(F.col("score").desc_nulls_last(), id_col).limit(k)
 
 
 def examples(manual: DataFrame, mandatory: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:

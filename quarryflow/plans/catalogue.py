@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarryflow.functions import scalar as S
 from quarryflow.operators import context as C
-from quarryflow.operators import ddl, graph, sql_guard, stacktrace, vector
+from quarryflow.operators import ddl, graph, harness, sql_guard, stacktrace, vector
 from quarryflow.operators.relational import where_given
 from quarryflow.sources.files import table
 
@@ -336,9 +336,8 @@ def context_pack(spark, d):
 
 @query("SELECT doc_id, source AS file, CAST(1 AS INTEGER) AS line_start, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line_end, substring(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 200) AS snippet FROM documents")
 def references_snippet(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.lit("").alias("label"), F.lit(True).alias("kept"), F.col("text").alias("code"))
-    snippet = F.substring(F.regexp_replace("code", r"^\s+|\s+$", ""), 1, 200)
-    return rows.select("doc_id", F.col("file_path").alias("file"), F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end"), snippet.alias("snippet"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.col("doc_id").cast("string").alias("label"), F.lit(True).alias("kept"), F.col("text").alias("code"))
+    return C.references(rows).select(F.col("class_method").cast("long").alias("doc_id"), "file", "line_start", "line_end", "snippet")
 
 
 @query("SELECT '처리 흐름: ' || (SELECT string_agg(r_name, ' / ' ORDER BY r_name) FROM region) || ' → ' || (SELECT string_agg(n_name, ' / ' ORDER BY n_name) FROM nation) || ' → 테이블(' || (SELECT string_agg(c_mktsegment, ', ' ORDER BY c_mktsegment) FROM (SELECT DISTINCT c_mktsegment FROM customer)) || ')' AS summary")
@@ -390,6 +389,14 @@ def sql_guard_verdicts(spark, d):
 
 @query("SELECT event_type, count(*) AS runs, round(avg(value), 4) AS mean_value, round(max(value), 4) AS max_value, round(arg_min(value, event_id), 4) AS first_value, CASE WHEN arg_min(value, event_id) > 1.5 * (sum(value) - arg_min(value, event_id)) / (count(*) - 1) THEN true ELSE false END AS cold_start FROM events GROUP BY 1")
 def run_stats(spark, d):
-    first = F.min_by("value", "event_id")
-    rest = (F.sum("value") - first) / (F.count(F.lit(1)) - 1)
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("value"), 4).alias("mean_value"), F.round(F.max("value"), 4).alias("max_value"), F.round(first, 4).alias("first_value"), (first > 1.5 * rest).alias("cold_start"))
+    return harness.run_stats(table(spark, d, "events"), "event_type", "event_id", "value")
+
+
+@query("SELECT user_id, good, total, CASE WHEN good = total THEN '시연 확정' WHEN good >= 0.8 * total THEN '예비' ELSE '제외' END AS verdict FROM (SELECT user_id, count(*) FILTER (WHERE value < 90) AS good, count(*) AS total FROM events GROUP BY 1)")
+def run_verdicts(spark, d):
+    return harness.verdicts(table(spark, d, "events"), "user_id", F.col("value") < 90)
+
+
+@query("SELECT doc_id, coalesce(contains(text, 'th') AND (contains(text, 'ing') OR contains(text, 'tion')), false) AS good FROM documents")
+def keyword_checks(spark, d):
+    return table(spark, d, "documents").select("doc_id", harness.holds_words(F.col("text"), ["th"], [["ing", "tion"], []]).alias("good"))

@@ -3,18 +3,21 @@ manual. Text generation is a pluggable function; everything before it is determi
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryflow.functions.scalar import first_url_segment, line_slice, marked_slice
+from quarryflow.functions.scalar import first_url_segment, line_slice, marked_slice, pagination
 from quarryflow.operators import context as C
 from quarryflow.operators import ddl, graph, java_source, mapper_xml, stacktrace, vector
 from quarryflow.operators.relational import Tables
-from quarryflow.functions.scalar import pagination
+from quarryflow.sources.files import save_table, with_cached
+from quarryflow.sources.scratch import Scratch
 
 
 @dataclass
@@ -41,12 +44,71 @@ class Context:
     status: int = 200
 
 
-def build_index(java: DataFrame, mappers: DataFrame, ddl_text: DataFrame, backend: Callable[[list[str]], np.ndarray] = vector.hashed_bag) -> Index:
-    """java, mappers: path, content; ddl_text: content. The frames are cached, since every question reads them."""
-    classes, statements, catalog = java_source.parse_java(java).cache(), mapper_xml.parse_mappers(mappers).cache(), ddl.parse_ddl(ddl_text).cache()
-    nodes, edges, calls = (df.cache() for df in graph.build_graph(classes, statements))
+#: Tables of a stored index, beside `files`.
+STORED = ("classes", "statements", "nodes", "edges", "calls", "catalog", "chunks")
+
+
+def build_index(java: DataFrame, mappers: DataFrame, ddl_text: DataFrame, backend: Callable[[list[str]], np.ndarray] = vector.hashed_bag, folder: str | None = None, progress: Callable[[str, int, int], None] = lambda stage, done, total: None) -> Index:
+    """java, mappers: path, content; ddl_text: content. Each frame is written once, since every question reads them: to
+    `folder`, where `load_index` finds them later, or for the session only. Building again overwrites. progress gets the
+    stage, and how many of the stages are done."""
+    spark, n = java.sparkSession, len(STORED) + 1
+    scratch = Scratch(spark, "index")
+
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        progress(name, (*STORED, "files").index(name), n)
+        if folder is None:
+            return scratch.write(df, name)
+        save_table(df, f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    classes, statements, catalog = stored("classes", java_source.parse_java(java)), stored("statements", mapper_xml.parse_mappers(mappers)), stored("catalog", ddl.parse_ddl(ddl_text))
+    nodes, edges, calls = (stored(name, df) for name, df in zip(("nodes", "edges", "calls"), graph.build_graph(classes, statements)))
     chunks = vector.method_chunks(classes, java, nodes, edges).unionByName(vector.sql_chunks(statements))
-    return Index(java.unionByName(mappers), classes, statements, nodes, edges, calls, catalog, vector.embed(chunks, backend=backend).cache(), backend)
+    chunks, files = stored("chunks", vector.embed(chunks, backend=backend)), stored("files", java.unionByName(mappers))
+    progress("done", n, n)
+    return Index(files, classes, statements, nodes, edges, calls, catalog, chunks, backend)
+
+
+def load_index(spark: SparkSession, folder: str, backend: Callable[[list[str]], np.ndarray] = vector.hashed_bag) -> Index:
+    """An index that `build_index` has stored."""
+    read = {name: spark.read.parquet(f"{folder}/{name}") for name in (*STORED, "files")}
+    return Index(**read, backend=backend)
+
+
+class IndexJob:
+    """One run of an index build at a time, and its state: status (idle, running, done, error), stage, current, total,
+    error, stats, elapsed_sec."""
+
+    def __init__(self, build: Callable[[Callable[[str, int, int], None]], Index]):
+        self.build, self.lock, self.index = build, threading.Lock(), None
+        self.state: dict = {"status": "idle", "stage": None, "current": 0, "total": 1, "error": None, "stats": None, "elapsed_sec": None}
+
+    def _set(self, **values) -> None:
+        with self.lock:
+            self.state.update(values)
+
+    def start(self) -> threading.Thread:
+        """Starts a run in a thread; RuntimeError if one is running."""
+        with self.lock:
+            if self.state["status"] == "running":
+                raise RuntimeError("an index build is already running")
+            self.state.update(status="running", stage="waiting", current=0, total=1, error=None, stats=None, elapsed_sec=None)
+        thread = threading.Thread(target=self._run, daemon=True)
+        thread.start()
+        return thread
+
+    def _run(self) -> None:
+        began = time.monotonic()
+        try:
+            self.index = self.build(lambda stage, done, total: self._set(stage=stage, current=done, total=total))
+            self._set(status="done", stats={r["metric"]: r["value"] for r in index_stats(self.index).collect()}, elapsed_sec=time.monotonic() - began)
+        except Exception as e:  # noqa: BLE001  whatever went wrong is what the state reports
+            self._set(status="error", error=str(e), elapsed_sec=time.monotonic() - began)
+
+    def status(self) -> dict:
+        with self.lock:
+            return dict(self.state)
 
 
 def index_stats(index: Index) -> DataFrame:
@@ -115,16 +177,18 @@ def diagnose_context(index: Index, log: str, own_prefix: str, budget: int = C.BU
     return Context(text, refs, summary, left_out, [r["label"] for r in C.call_chain(around).collect()], warning)
 
 
-def manual(index: Index, describe: Callable[[dict], str], domains: list[str] | None = None, only: str | None = None) -> str:
-    """A section a domain, an entry a URL; `describe` writes an entry's text from its facts, unless all its
-    implementations only delegate."""
-    rows = C.manual_rows(index.nodes, index.edges).withColumn("domain", first_url_segment("url"))
+def manual(index: Index, describe: Callable[[dict], str], domains: list[str] | None = None, only: str | None = None, titles: dict[str, str] | None = None, cached: DataFrame | None = None) -> str:
+    """A section a domain, an entry a URL with its title, procedure and chain. `describe` writes a procedure from the
+    entry's facts, unless all its implementations only delegate or `cached` (url, procedure, generated_at) has one."""
+    rows = C.manual_rows(index.nodes, index.edges, titles).withColumn("domain", first_url_segment("url"))
     code = _code_rows(index, index.nodes.withColumn("tier", F.lit(C.OTHER))).where("node_type = 'IMPL_METHOD'").withColumn("label", F.concat_ws(".", "class_name", "method_name"))
     trivial = C.is_trivial(rows.select("url", F.explode_outer("impls").alias("label")).join(code, "label"), "url")
-    facts = [r.asDict() for r in rows.join(trivial, "url", "left").orderBy("url").collect()]  # a row a URL
-    entries = [f | {"body": "Delegates to the service." if f["trivial"] else describe(f)} for f in facts]
-    known = domains or sorted({f["domain"] for f in facts})
-    return C.assemble_manual(entries, known, only, [r["markdown"] for r in C.appendix(index.catalog).orderBy("table_name").collect()])
+    known = rows.join(trivial, "url", "left")
+    known = with_cached(known, cached) if cached is not None else known.withColumn("procedure", F.lit(None).cast("string"))
+    facts = [r.asDict() for r in known.orderBy("url").collect()]  # a row a URL
+    entries = [f | {"body": f["procedure"] or ("Delegates to the service." if f["trivial"] else describe(f))} for f in facts]
+    named = domains or sorted({f["domain"] for f in facts})
+    return C.assemble_manual(entries, named, only, [r["markdown"] for r in C.appendix(index.catalog).orderBy("table_name").collect()])
 
 
 def list_page(tables: Tables, rows: Callable[..., DataFrame], count: Callable[..., DataFrame], page_index: int | None = None, page_size: int | None = None, **given) -> tuple[DataFrame, DataFrame]:

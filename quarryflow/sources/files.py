@@ -42,6 +42,16 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def import_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """What `export_json` has written."""
+    return spark.read.schema(ddl).json(path)
+
+
+def reload_table(df: DataFrame, rows: DataFrame, path: str) -> None:
+    """Empties a table and loads rows, null where they lack a column."""
+    rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema)).write.mode("overwrite").parquet(path)
+
+
 def read_jdbc(spark: SparkSession, url: str, query: str, user: str, password: str, timeout_sec: int = 10) -> DataFrame:
     """A read-only query of an outside database; needs its driver on the class path."""
     return spark.read.format("jdbc").options(url=url, query=query, user=user, password=password, queryTimeout=timeout_sec).load()
@@ -54,6 +64,21 @@ def latest_manual(spark: SparkSession, folder: str) -> DataFrame:
     return newest.where("m IS NOT NULL").select("m.*")
 
 
+def save_manual(spark: SparkSession, folder: str, text: str, generated_at: str) -> str:
+    """Writes manual_<time>.md of an ISO time and returns its path."""
+    path = f"{folder.rstrip('/')}/manual_{generated_at.replace(':', '').replace('-', '').replace('.', '_')}.md"
+    return _put(spark, path, text)
+
+
+def _put(spark: SparkSession, path: str, text: str) -> str:
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(to, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return path
+
+
 def procedure_cache(text: str | None) -> dict[str, dict]:
     """A saved cache by URL; what cannot be read is empty."""
     try:
@@ -63,9 +88,14 @@ def procedure_cache(text: str | None) -> dict[str, dict]:
     return found if isinstance(found, dict) else {}
 
 
+def save_procedures(spark: SparkSession, path: str, cache: dict[str, dict]) -> None:
+    """Saves what `procedure_cache` reads."""
+    _put(spark, path, json.dumps(cache, ensure_ascii=False, indent=2))
+
+
 def with_cached(urls: DataFrame, cache: DataFrame, url_col: str = "url") -> DataFrame:
-    """URLs with their cached procedure, null where none is stored."""
-    return urls.join(F.broadcast(cache.select(F.col("url").alias(url_col), "procedure", "generated_at")) if cache.count() <= 10_000 else cache, url_col, "left")
+    """URLs with their cached procedure, null where none is stored. Spark broadcasts the cache if its size allows it."""
+    return urls.join(cache.select(F.col("url").alias(url_col), "procedure", "generated_at"), url_col, "left")
 
 
 def as_records(df: DataFrame) -> list[dict]:

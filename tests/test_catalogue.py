@@ -5,9 +5,10 @@ import os
 
 import pytest
 
-from quarryflow.plans.catalogue import ORACLES, QUERIES
+from quarryflow.plans import catalogue, lending
 from quarryflow.sources.files import TABLES
 
+QUERIES, ORACLES = catalogue.QUERIES | lending.QUERIES, catalogue.ORACLES | lending.ORACLES
 SF = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 

@@ -83,6 +83,15 @@ def test_java_classes(spark):
     assert rows["LoanServiceImpl"]["extends"] == "Base" and rows["LoanServiceImpl"]["implements"] == ["LoanService"]
     assert [m["method_name"] for m in rows["LoanServiceImpl"]["methods"]] == ["find"] and [m["method_name"] for m in rows["Status"]["methods"]] == ["code"]
     assert [r["path"] for r in java_source.failed_files(spark.createDataFrame(list(JAVA.items()), "path string, content string")).collect()] == ["bad.java"]
+    odd = spark.createDataFrame([("x.java", "class A { void f( { } }"), ("y.java", "class B { }"), ("z.java", None)], "path string, content string")
+    assert [r["class_name"] for r in java_source.parse_java(odd).collect()] == ["B"]
+    assert {r["path"]: r["reason"].split(":")[0] for r in java_source.failed_files(odd).collect()} == {"x.java": "IndexError", "z.java": "not UTF-8 text"}
+
+
+def test_an_unclosed_table_keeps_its_comments():
+    got = ddl.catalog_of("CREATE TABLE a (x INT COMMENT 'key', y VARCHAR(5) COMMENT 'name'; CREATE TABLE b (z INT);")
+    assert [(r["table_name"], r["column_name"], r["column_comment"], r["data_type"]) for r in got] == [("a", "x", "key", ""), ("a", "y", "name", ""), ("b", "z", None, "INT")]
+    assert ddl.catalog_of("CREATE TABLE c (x INT COMMENT 'k'") [0]["column_comment"] == "k"
 
 
 def test_mapper_statements(spark):

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarryflow.operators import context, graph, sql_guard, vector
+from quarryflow.operators import context, graph, harness, sql_guard, vector
 from quarryflow.plans.catalogue import _CASES
 
 EDGES = [("a", "b", "X"), ("b", "c", "X"), ("c", "a", "X"), ("a", "d", "X"), ("a", "d", "X"), ("d", "d", "X"), ("e", "f", "X")]
@@ -72,3 +72,25 @@ def test_guard_and_answer(spark):
     assert len(sql_guard.answer(spark, "q", lambda p: next(said), {"orders"}).rows) == 3
     assert sql_guard.answer(spark, "q", lambda p: "```DELETE FROM orders```", {"orders"}).status == 400
     assert sql_guard.answer(spark, "q", lambda p: "SELECT nope FROM orders", {"orders"}).rows == []
+
+
+def test_the_guard_refuses_functions_that_reach_out(spark):
+    for sql in ("SELECT java_method('java.lang.System','getenv','PATH') FROM t1", "SELECT a FROM t1 WHERE reflect('x', 'y') = 1", "SELECT `try_reflect` ('x','y') FROM t1"):
+        v = sql_guard.validate(spark, sql, {"t1"})
+        assert not v.ok and not v.retryable and "not allowed" in v.reason
+    assert sql_guard.validate(spark, "SELECT count(*), reflect_col FROM t1 GROUP BY 2", {"t1"}).ok
+    assert not sql_guard.validate(spark, "SELECT * FROM other.t1", {"t1"}).ok
+
+
+def test_long_chains_and_cycles_end(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}", "X") for k in range(20)] + [("n20", "n5", "X")], "src_id string, dst_id string, edge_type string")
+    starts = spark.createDataFrame([("n0",), ("n19",), ("lost",)], "id string")
+    got = {(r["start"], r["id"]) for r in graph.closure(edges, starts).collect()}
+    assert got == {("n0", f"n{k}") for k in range(21)} | {("n19", f"n{k}") for k in range(5, 21)} | {("lost", "lost")}
+
+
+def test_grades_of_runs(spark):
+    rows = spark.createDataFrame([("a", 1, True)] * 5 + [("b", 1, True)] * 4 + [("b", 2, False)] + [("c", 1, False)], "g string, n int, ok boolean")
+    assert {r["g"]: r["verdict"] for r in harness.verdicts(rows, "g", F.col("ok")).collect()} == {"a": harness.CONFIRMED, "b": harness.RESERVE, "c": harness.EXCLUDED}
+    text = spark.createDataFrame([("a b", 1), ("a", 2), (None, 3)], "t string, i int").select("i", harness.holds_words(F.col("t"), ["a"], [["b", "c"], []]).alias("k"))
+    assert {r["i"]: r["k"] for r in text.collect()} == {1: True, 2: False, 3: False}

@@ -1,8 +1,11 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from quarryflow.operators import relational as R
 from quarryflow.plans import service
+from quarryflow.sources import files
 from quarryflow.streaming.events import windowed_counts
 
 from .library import tables
@@ -36,7 +39,7 @@ def test_failure(index):
 
 def test_manual_and_stats(index):
     text = service.manual(index, lambda f: f"tables: {', '.join(f['tables'])}")
-    assert "### /loan/list.do\nDelegates to the service." in text and "## Appendix" in text and "| A | INT |" in text
+    assert "### list\n`/loan/list.do`\n\nDelegates to the service.\n\nLoanController.list → LoanServiceImpl.find → SQL 1건" in text and "## Appendix" in text and "| A | INT |" in text
     stats = {r["metric"]: r["value"] for r in service.index_stats(index).collect()}
     assert stats["chunks"] == 6 and stats["catalog_tables"] == 1
 
@@ -56,3 +59,34 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["event_type"], r["cnt"]) for r in spark.table("counted").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_titles_and_saved_procedures(index, spark, tmp_path):
+    cached = spark.createDataFrame([("/loan/list.do", "1. saved", "2026-01-01")], "url string, procedure string, generated_at string")
+    text = service.manual(index, lambda f: "made", titles={"list": "Loans"}, cached=cached)
+    assert "### Loans\n`/loan/list.do`\n\n1. saved" in text
+    assert files.save_manual(spark, str(tmp_path), "old", "2026-01-01T09:00:00.5").endswith("manual_20260101T090000_5.md")
+    files.save_manual(spark, str(tmp_path), text, "2026-01-02T09:00:00")
+    assert files.latest_manual(spark, str(tmp_path)).first()["content"] == text
+    files.save_procedures(spark, str(tmp_path / "cache.json"), {"/a": {"procedure": "가"}})
+    assert files.procedure_cache((tmp_path / "cache.json").read_text()) == {"/a": {"procedure": "가"}} and files.procedure_cache("{") == {}
+
+
+def test_a_stored_index_and_its_job(spark, tmp_path):
+    java = spark.createDataFrame(list(JAVA.items()), "path string, content string")
+    xml = spark.createDataFrame([("l.xml", XML)], "path string, content string")
+    ddl = spark.createDataFrame([("CREATE TABLE TB_LOAN (A INT);",)], "content string")
+    gate = threading.Event()
+    job = service.IndexJob(lambda progress: gate.wait(60) and service.build_index(java, xml, ddl, folder=str(tmp_path), progress=progress))
+    thread = job.start()
+    with pytest.raises(RuntimeError, match="already running"):
+        job.start()
+    gate.set()
+    thread.join(300)
+    state = job.status()
+    assert state["status"] == "done" and state["current"] == state["total"] and state["stats"]["chunks"] == 6
+    again = service.load_index(spark, str(tmp_path))
+    assert again.chunks.count() == 6 and service.ask_context(again, "LoanServiceImpl find loan").text == service.ask_context(job.index, "LoanServiceImpl find loan").text
+    broken = service.IndexJob(lambda progress: 1 / 0)
+    broken.start().join(60)
+    assert broken.status()["status"] == "error" and "zero" in broken.status()["error"]
