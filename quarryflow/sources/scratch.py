@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,20 +23,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SCRATCH).rstrip("/")
 
 
-def _tidy() -> None:
-    for jvm, conf, path in _left:
+def _tidy(since: int = 0) -> None:
+    while len(_left) > since:
+        jvm, conf, path = _left.pop()
         try:
             folder = jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(conf).delete(folder, True)
         except Exception:  # noqa: BLE001  the JVM may be gone by now; the folder is temporary anyway
-            return
+            continue
 
 
 atexit.register(_tidy)
 
 
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Tables that are written inside go at the end of the block: what is read later must have been written elsewhere."""
+    since = len(_left)
+    yield
+    _tidy(since)
+
+
 class Scratch:
-    """A folder of written tables. It goes when the interpreter ends."""
+    """A folder of written tables. It goes with its block of `temporary_tables`, or when the interpreter ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/quarryflow-{name}-{uuid.uuid4().hex}"
