@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarryflow.llm import byte_bpe, language_crf, line_dedup, mix_sources, ngram_join
 from quarryflow.llm.common import Scratch, documents, hinted
 from quarryflow.llm.queries import vocabulary
+from quarryflow.sources.scratch import temporary_tables
 
 #: A document whose best language has a mean marginal below this has no language.
 LEAST_SCORE = 0.4
@@ -101,5 +102,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with temporary_tables():
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
     return docs

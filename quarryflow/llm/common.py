@@ -2,54 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryflow.sources.scratch import Scratch  # noqa: F401  the operators take it from here
+
 #: A word is a maximal run of anything but ASCII white space. ``bytes.split()`` splits by the same rule.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Where tables go if the session names no shared folder, as in local tests.
-LOCAL_SCRATCH = "file:///tmp/checkpoints"
-_left: list[tuple[object, object, str]] = []  # JVM, its Hadoop configuration, folder
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or LOCAL_SCRATCH).rstrip("/")
-
-
-def _tidy() -> None:
-    for jvm, conf, path in _left:
-        try:
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone by now; the folder is temporary anyway
-            return
-
-
-atexit.register(_tidy)
-
-
-class Scratch:
-    """Tables written once to the shared folder, so that lost executors cost no recomputation.
-
-    The tables go when the interpreter ends."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{scratch_dir(spark)}/quarryflow-{name}-{uuid.uuid4().hex}"
-        _left.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), self.root))
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def arrow_limits(spark: SparkSession, records: int = 1024, mib: int = 2) -> None:
