@@ -134,19 +134,21 @@ ARROW, SQL_COUNT, NO_CHAIN = " → ", ("SQL ", "건"), "(호출그래프에서 
 
 def manual_rows(nodes: DataFrame, edges: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:
     """url, title, controllers, impls, tables, sql_count, chain_line of every URL, in one pass over all of them. The title
-    is that of the controller's method, or the method, or the URL; the chain line names controller, implementations and
-    the number of statements."""
+    is that of the handling controller's method, or the method, or the URL; the chain line names that controller, the
+    implementations and the number of statements."""
     urls = nodes.where(F.col("node_type") == "URL").select("id", F.col("label").alias("url"))
     reached = closure(edges, urls.select("id")).join(nodes, "id").withColumnRenamed("start", "url_id")
-    pick = lambda kind, c="label": F.array_sort(F.collect_set(F.when(F.col("node_type") == kind, F.col(c))))
-    rows = reached.groupBy("url_id").agg(pick("CONTROLLER_METHOD").alias("controllers"), pick("CONTROLLER_METHOD", "method_name").alias("methods"), pick("IMPL_METHOD").alias("impls"), pick("TABLE").alias("tables"), F.count_if(F.col("node_type") == "SQL").alias("sql_count"))
+    pick = lambda kind: F.array_sort(F.collect_set(F.when(F.col("node_type") == kind, F.col("label"))))
+    handles = edges.where(F.col("edge_type") == "HANDLES").select(F.col("src_id").alias("id"), F.col("dst_id").alias("handler"))
+    handlers = handles.join(nodes.select(F.col("id").alias("handler"), "label", "method_name"), "handler").groupBy("id").agg(F.min(F.struct("label", "method_name")).alias("by"))
+    rows = reached.groupBy("url_id").agg(pick("CONTROLLER_METHOD").alias("controllers"), pick("IMPL_METHOD").alias("impls"), pick("TABLE").alias("tables"), F.count_if(F.col("node_type") == "SQL").alias("sql_count"))
     named = F.create_map(*(F.lit(x) for pair in (titles or {"": ""}).items() for x in pair))
-    method = F.get("methods", F.lit(0))
+    method = F.col("by.method_name")
     title = F.coalesce(F.try_element_at(named, method), method, F.col("url"))
-    parts = F.concat(F.slice("controllers", 1, 1), F.col("impls"))
+    parts = F.concat(F.array_compact(F.array("by.label")), F.col("impls"))
     sqls = F.when(F.col("sql_count") > 0, F.concat(F.lit(ARROW + SQL_COUNT[0]), F.col("sql_count").cast("string"), F.lit(SQL_COUNT[1]))).otherwise("")
     line = F.concat(F.array_join(parts, ARROW), sqls)
-    return urls.join(rows, urls["id"] == rows["url_id"]).select("url", title.alias("title"), "controllers", "impls", "tables", "sql_count", F.coalesce(F.nullif(line, F.lit("")), F.lit(NO_CHAIN)).alias("chain_line"))
+    return urls.join(handlers, "id", "left").join(rows, F.col("id") == F.col("url_id")).select("url", title.alias("title"), "controllers", "impls", "tables", "sql_count", F.coalesce(F.nullif(line, F.lit("")), F.lit(NO_CHAIN)).alias("chain_line"))
 
 
 def appendix(catalog: DataFrame) -> DataFrame:

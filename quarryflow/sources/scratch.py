@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Where tables go if the session names no shared folder and all its executors are on this machine, as in tests.
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _left: list[tuple[object, object, str]] = []  # JVM, its Hadoop configuration, folder
 
 
@@ -52,6 +53,11 @@ class Scratch:
         _left.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), self.root))
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        """The table, read back. Its shuffle files go when it is written, not when the driver's memory happens to be tidied."""
+        path, before = f"{self.root}/{name}", self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
