@@ -15,8 +15,9 @@ which the first of them has enough, since the other one is indexed under it too;
 of the upper quarter of a band are indexed in the next band too, so sizes on both sides of a band's border meet.
 
 Within a key all members are first compared with the least one only. Where that leaves a key's members in more than one
-component, the other pairs across components are compared as well, in blocks, sketches first. Every candidate that the
-sketches do not rule out is verified on the shingle sets. So no link between different sets is lost, and the pairs of a
+component, the other pairs across components are compared as well, in blocks, sketches first: at first only as many pairs
+as would join the components, then, across the components that are still apart, all. Every candidate that the sketches
+do not rule out is verified on the shingle sets. So no link between different sets is lost, and the pairs of a
 group of near copies are never listed.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; texts of fewer than n
@@ -87,8 +88,9 @@ def segments(band: int) -> int:
 
 
 def sketch_bits(band: int) -> int:
-    """Bits of a stored sketch, a folded form: once to twice the size of the set is enough to tell strangers apart."""
-    return max(8, 1 << band)
+    """Bits of a stored sketch, a folded form: four to eight times the size of the set, so few flips fall together and the
+    distance stays close to the number of shingles apart."""
+    return max(8, 4 << band)
 
 
 def sketch(shingles: np.ndarray, band: int) -> bytes:
@@ -212,11 +214,18 @@ def _sketched(rule: Rule):
     return run
 
 
-def _cross(rule: Rule):
-    """From members sorted by key, pair of blocks: pairs of one key in different components that sketches do not rule out."""
+def _cross(rule: Rule, forest: bool):
+    """From members sorted by key, pair of blocks: pairs of one key in different components that sketches do not rule out.
+    forest: only those that join components which the pairs before have not joined."""
 
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        out = []
+        out, up = [], {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
         rows.sort(key=lambda r: r[2])
         n, comp, rid, block = (np.array([r[i] for r in rows]) for i in (2, 1, 0, 4))
         bits = {}
@@ -231,7 +240,13 @@ def _cross(rule: Rule):
             if len(j):
                 own = bits[band_of(int(n[i]))]
                 near = np.bitwise_count(own[j] ^ own[i]).sum(axis=1) <= rule.apart(n[i] + n[j])
-                out += [(int(rid[i]), int(x)) for x in rid[j[near]]]
+                if not forest:
+                    out += [(int(rid[i]), int(x)) for x in rid[j[near]]]
+                    continue
+                for c, x in zip(comp[j[near]].tolist(), rid[j[near]].tolist()):
+                    if (a := root(int(comp[i]))) != (b := root(c)):
+                        up[b] = a
+                        out.append((int(rid[i]), x))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,10 +323,12 @@ def similar_groups(df: DataFrame, rule: Rule | None = None, id_col: str = "doc_i
 
     linked = _links(members.select(F.col("least").alias("a"), F.col("rid").alias("b")).distinct(), heads, texts_of, rule, scratch, "star", True)
     labels = components(linked, scratch)
-    rest = _across(members, labels, heads, rule, scratch)
-    if not rest.isEmpty():
-        more = _links(rest, heads, texts_of, rule, scratch, "cross", False)
-        labels = components(linked.union(more), Scratch(spark, "ngram"))
+    for step in ("forest", "all"):
+        rest = _across(members, labels, heads, rule, scratch, step)
+        if rest.isEmpty():
+            break
+        linked = linked.union(_links(rest, heads, texts_of, rule, scratch, step, False))
+        labels = components(linked, Scratch(spark, "ngram"))
     root = classes.join(labels, classes["rid"] == labels["node"], "left").select("k1", "k2", "n", "least_id", F.coalesce("root", "rid").alias("root"))
     root = scratch.write(root, "roots")
     least = root.groupBy("root").agg(F.min("least_id").alias("component"))
@@ -334,17 +351,17 @@ def _links(pairs: DataFrame, heads: DataFrame, texts_of, rule: Rule, scratch: Sc
     return scratch.write(both.select("a", "b", "ma", "mb").mapInArrow(tidied(_verified(rule)), "a long, b long"), f"{name}-links")
 
 
-def _across(members: DataFrame, labels: DataFrame, heads: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+def _across(members: DataFrame, labels: DataFrame, heads: DataFrame, rule: Rule, scratch: Scratch, step: str) -> DataFrame:
     """Pairs (a, b) of one key in different components, as far as their sketches allow a link; a key's least member has
     been compared with all others before. Large groups are cut into blocks, and every two blocks of a key meet in a task
     of their own."""
     placed = members.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("comp"))
-    placed = scratch.write(placed, "placed")
+    placed = scratch.write(placed, f"{step}-placed")
     groups = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    groups = scratch.write(groups.select("key", F.ceil(F.col("size") / GROUP_BLOCK).cast("int").alias("blocks")), "groups")
+    groups = scratch.write(groups.select("key", F.ceil(F.col("size") / GROUP_BLOCK).cast("int").alias("blocks")), f"{step}-groups")
     open_ = placed.join(hinted(groups, 24), "key").join(heads.select("rid", "n", "sketch"), "rid")
     block = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
     dealt = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rid", "comp", "n", "sketch", "block")
-    found = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(tidied(_cross(rule)), "a long, b long")
-    return scratch.write(found.distinct(), "across")
+    found = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(tidied(_cross(rule, step == "forest")), "a long, b long")
+    return scratch.write(found.distinct(), f"{step}-across")
