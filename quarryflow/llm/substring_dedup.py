@@ -132,13 +132,22 @@ def removed_words(n: int, factors: list[tuple[int, int, int]], window: int) -> n
     return gone
 
 
+def _block_lists(column: pa.Array) -> Iterator[list[tuple[int, int, int]]]:
+    """The blocks (first window, last window, reference) of each document; none for null."""
+    offsets, values = column.offsets.to_numpy(), column.values
+    place, ref = values.field("place").to_numpy(), values.field("ref").to_numpy()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        at = place[a:b]
+        yield list(zip((at >> 32).tolist(), (at & 0xFFFFFFFF).tolist(), ref[a:b].tolist()))
+
+
 def _cut(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text, found in zip(as_bytes(batch.column("text")), batch.column("blocks").to_pylist()):
+            for text, found in zip(as_bytes(batch.column("text")), _block_lists(batch.column("blocks"))):
                 words = (text or b"").split()
-                gone = removed_words(len(words), parse([(b["s1"], b["s2"], b["ref"]) for b in found or ()]), window)
+                gone = removed_words(len(words), parse(found), window)
                 kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if gone.any() else b" ".join(words)
                 out.append((len(words), int(gone.sum()), kept.decode() if with_text else hashlib.sha256(kept).hexdigest()))
             n, removed, last = (list(x) for x in zip(*out)) if out else ([], [], [])
@@ -147,8 +156,12 @@ def _cut(window: int, with_text: bool):
     return run
 
 
-def _packed() -> Column:
-    return F.shiftleft(F.col("s1").cast("long"), 33).bitwiseOR(F.shiftleft(F.col("s2").cast("long"), 1))
+def _packed(high: int, low: int) -> Column:
+    return F.shiftleft(F.col("s1").cast("long"), high).bitwiseOR(F.shiftleft(F.col("s2").cast("long"), low))
+
+
+def _blocks_of_documents(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("id", "th").agg(F.collect_set(F.struct(_packed(32, 0).alias("place"), "ref")).alias("blocks"))
 
 
 def duplicate_blocks(texts: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +178,7 @@ def duplicate_blocks(texts: DataFrame, scratch: Scratch, window: int = WINDOW, g
     # Blocks that share an anchor but not all words: every window of one block for each content.
     differ = scratch.write(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor"), "differ")
     edge = contents.join(differ, "anchor").select("occ", (F.col("n") == 1).alias("single"))
-    parts = shared.join(edge, "occ").groupBy("id", "th").agg(F.collect_set(_packed().bitwiseOR(F.col("single").cast("long"))).alias("parts"))
+    parts = shared.join(edge, "occ").groupBy("id", "th").agg(F.collect_set(_packed(33, 1).bitwiseOR(F.col("single").cast("long"))).alias("parts"))
     parts = scratch.write(parts, "parts")
     with_text = texts.join(hinted(parts.withColumnsRenamed({"id": "pid", "th": "pth"}), 64 + 8 * F.size("parts")), F.col("id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth"))).select("id", "th", "text", "parts")
     windows = scratch.write(with_text.mapInArrow(tidied(_windows(window)), "w1 long, w2 long, id long, th long, s int, single boolean").distinct(), "windows")
@@ -182,12 +195,12 @@ def relative_factors(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     scratch = Scratch(spark, "factors")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     blocks, index = duplicate_blocks(texts, scratch, window)
-    by_doc = blocks.groupBy("id", "th").agg(F.collect_set(F.struct("s1", "s2", "ref")).alias("blocks"))
+    by_doc = _blocks_of_documents(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_pylist()
-            found = [(i, s1, s2 - s1 + window, ref) for i, b in zip(ids, batch.column("blocks").to_pylist()) for s1, s2, ref in parse([(x["s1"], x["s2"], x["ref"]) for x in b])]
+            found = [(i, s1, s2 - s1 + window, ref) for i, b in zip(ids, _block_lists(batch.column("blocks"))) for s1, s2, ref in parse(b)]
             columns = list(zip(*found)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["id", "start", "n_words", "ref"])
 
@@ -204,7 +217,7 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     scratch = Scratch(spark, "substring")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     blocks, _ = duplicate_blocks(texts, scratch, window)
-    by_doc = scratch.write(blocks.groupBy("id", "th").agg(F.collect_set(F.struct("s1", "s2", "ref")).alias("blocks")), "blocks")
+    by_doc = scratch.write(_blocks_of_documents(blocks), "blocks")
     joined = texts.join(by_doc.withColumnsRenamed({"id": "fid", "th": "fth"}), F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")), "left")
     out = joined.select("id", "text", "blocks").mapInArrow(tidied(_cut(window, with_text)), "id long, n_words long, n_removed long, kept string")
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", F.col("kept").alias("text" if with_text else "kept_sha256"))
