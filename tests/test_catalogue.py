@@ -5,10 +5,10 @@ import os
 
 import pytest
 
-from quarryflow.plans import catalogue, lending
+from quarryflow.plans import catalogue, extraction, lending
 from quarryflow.sources.files import TABLES
 
-QUERIES, ORACLES = catalogue.QUERIES | lending.QUERIES, catalogue.ORACLES | lending.ORACLES
+QUERIES, ORACLES = catalogue.QUERIES | lending.QUERIES | extraction.QUERIES, catalogue.ORACLES | lending.ORACLES | extraction.ORACLES
 SF = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 
