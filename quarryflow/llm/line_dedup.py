@@ -1,12 +1,11 @@
-"""Operator 5: line dedup by an exact set-similarity join.
+"""Operator 5: line dedup by an exact set-similarity join, with DataFrame operations only.
 
 A line's tokens are its distinct words. Lines are in order of (id, hash of the text, line number), null ids last; a line
 is removed if an earlier line has the same words or a Jaccard similarity of num / den or more. Lines without words stay.
 
-Lines of equal words are one class, known by a 128-bit hash of the set; its first line stands for it. Tokens are ordered
-by rarity: all tokens of the corpus are counted in 2 ** 20 hash buckets, and a token's place is its bucket's level, then
-its hash. With n tokens, a line is indexed by its first n - ceil(n * num / den) + 1 tokens, which two similar lines must
-share one of.
+Equal lines are one class, known by a 128-bit hash; its first line stands for it. Tokens are ordered by rarity: all
+tokens of the corpus are counted in 131,072 hash buckets, and a token's place is its bucket's level, then its hash. With
+n tokens, a line is indexed by its first n - ceil(n * num / den) + 1 tokens, which two similar lines must share one of.
 
 Near copies of one line are settled first. A class is compared with the earliest class that has the same token, for four
 of its index tokens from the rarest to the commonest; where many classes are near that one, those without a match yet
@@ -18,93 +17,70 @@ pass the length filter, the positional filter (what is shared up to this positio
 parity sketch of 64 bits, 128 for long lines, which must not differ in more bits than similar lines have tokens apart. A
 pair must then share as many index tokens as two similar lines must. Pairs that remain are verified on their words.
 
-Counting tokens and describing lines (hashes, order, sketches) are array operations on Arrow batches: as DataFrame
-functions alone they took more than the whole limit (the README has the figures). All joins, filters and verifications
-are DataFrame operations.
-
 Defined results: null text stays null; empty texts stay empty; rows with the same id and text are one document, and
 decisions hold for all of them; a text of which all lines go becomes empty; other columns are carried along.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_limits, hinted, tidied
-from .hashing import Words, as_bytes, mix, signed
+from .common import Scratch, hinted
 
 SPACE = r"[\x20\x09-\x0D]+"
 SOLID = r"[^\x20\x09-\x0D]"
 #: White space that a pattern must look for. Most texts have none of it and are split at single characters.
 RARE = ("\t", "\x0b", "\f", "\r")
-#: A token's code: its level, then its hash, in 63 bits. STEPS levels for each doubling of a bucket's tokens.
-BUCKET_BITS, HASH_BITS, STEPS = 20, 55, 6
-#: Buckets of a row of counts.
-SLICE = 1 << 13
+#: A token's code: its level, then its hash, in 63 bits.
+BUCKET_BITS, HASH_BITS, STEPS = 17, 55, 6
 NUM, DEN = 3, 4
-#: Lines of more tokens have sketches of twice the bits.
-LONG = 40
+#: Lines of more tokens have sketches of twice the bits; up to here 64 bits tell strangers apart.
+LONG = 72
 #: From so many classes near the first one of a token on, a class is compared with the first LEADERS of them before it
 #: enters the join.
 CROWD, LEADERS = 16, 64
 HOT = 1 << 20
 
 
-def _words(line: Column) -> Column:
-    """The words of a text without line feeds, with empty strings among them."""
-    rare = F.lit(False)
-    for c in RARE:
-        rare |= F.contains(line, F.lit(c))
-    return F.when(rare, F.split(line, SPACE)).otherwise(F.split(line, " "))
+def _has(text: Column, *parts: str) -> Column:
+    return reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in parts))
 
 
-def _bucket(token_hash: np.ndarray) -> np.ndarray:
-    return (token_hash >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _words(line: Column) -> Column:
+    """The words of a text without line feeds, with empty strings among them."""
+    return F.when(_has(line, *RARE), F.split(line, SPACE)).otherwise(F.split(line, " "))
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At a task's end a row for each slice of the buckets: what the task has counted in it."""
-    counts = np.zeros(1 << BUCKET_BITS, np.uint32)
-    for batch in batches:
-        counts += np.bincount(_bucket(Words(as_bytes(batch.column("text"))).hash), minlength=len(counts)).astype(np.uint32)
-    slices = counts.reshape(-1, SLICE)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(slices))), pa.array([x.tobytes() for x in slices], pa.binary())], names=["slice", "counts"])
+def _distinct(line: Column, of: Callable[[Column], Column]) -> Column:
+    """of(word) of a line's words, each once. Only lines with white space at an end or doubled can have empty strings."""
+    odd = _has(line, "  ", *RARE) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    every = lambda by: F.array_distinct(F.transform(F.split(line, by), of))
+    return F.when(odd, F.array_remove(every(SPACE), of(F.lit("")))).otherwise(every(" "))
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by slice: the levels of each slice, a byte a bucket. Holds one slice."""
-    at, total = None, np.zeros(SLICE, np.int64)
+def _bucket(code: Column) -> Column:
+    return F.shiftrightunsigned(code, HASH_BITS - BUCKET_BITS).cast("int")
 
-    def made() -> pa.RecordBatch:
-        level = np.minimum(255, (STEPS * np.log2(1 + total)).astype(np.int64)).astype(np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
 
-    for batch in batches:
-        for k, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-            if k != at:
-                if at is not None:
-                    yield made()
-                at, total = k, np.zeros(SLICE, np.int64)
-            total += np.frombuffer(counts, np.uint32)
-    if at is not None:
-        yield made()
+def _code(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - HASH_BITS)
 
 
-def _levels(docs: DataFrame) -> Broadcast:
-    """A byte for each bucket, of fixed size: STEPS for each doubling of the tokens counted in it, 255 at most."""
-    rows = docs.select("text").mapInArrow(tidied(_counts), "slice long, counts binary")
-    summed = rows.repartition("slice").sortWithinPartitions("slice").mapInArrow(_summed, "slice long, levels binary")
-    levels = np.zeros(1 << BUCKET_BITS, np.uint8)
-    for r in summed.collect():
-        levels[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["levels"], np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(levels.tobytes())
+def _levels(docs: DataFrame) -> Column:
+    """A constant array of fixed size with a level for each bucket, in the upper bits of a code: STEPS for each doubling
+    of the tokens counted in it, 255 at most."""
+    words = docs.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
+    counts = words.groupBy(_bucket(_code(F.col("w"))).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    levels = [0] * (1 << BUCKET_BITS)
+    for r in counts.collect():
+        levels[r["bucket"]] = min(255, int(STEPS * math.log2(1 + r["n"]))) << HASH_BITS
+    return F.from_json(F.lit(json.dumps(levels, separators=(",", ":"))), "array<long>")
 
 
 def _groups(token: Column) -> Column:
@@ -113,57 +89,22 @@ def _groups(token: Column) -> Column:
 
 
 def _hashes(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return _distinct(line, lambda w: F.xxhash64(w))
 
 
-def distinct_codes(line: np.ndarray, token: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of words (line number, not falling; hash; level): line, hash and code of each line's distinct ones, in order."""
-    code = level.astype(np.uint64) << np.uint64(HASH_BITS) | token >> np.uint64(64 - HASH_BITS)
-    bits = max(1, int(line[-1]).bit_length()) if len(line) else 1
-    key = line.astype(np.uint64) << np.uint64(64 - bits) | code << np.uint64(1) >> np.uint64(bits)
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    if (same & (token[order][1:] != token[order][:-1])).any():  # the shortened keys do not tell all tokens apart
-        order = np.lexsort((token, code, line))
-    line, token, code = line[order], token[order], code[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-    return line[new], token[new], code[new]
-
-
-_LINES = ("id", "th", "at", "h", "h2", "n", "parity", "odd", "first")
-
-
-def _described(levels: Broadcast) -> Callable:
+def _described(raw: DataFrame, levels: Column) -> DataFrame:
     """Each line with its class (h, h2), number of tokens, parity sketch and first tokens in the order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(levels.value, np.uint8)
-        for batch in batches:
-            w = Words(as_bytes(batch.column("text")))
-            if not len(w.hash):
-                continue
-            breaks = np.flatnonzero(w.raw == 10)
-            before = np.searchsorted(breaks, w.begin)  # line feeds of the batch before each word
-            first_of = np.searchsorted(breaks, w.starts)  # ... and before each text
-            number = before + w.of  # rises from line to line and from text to text
-            line, token, code = distinct_codes(number, w.hash, table[_bucket(w.hash)])
-            start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-            n = np.diff(np.append(start, len(line)))
-            head = np.searchsorted(number, line[start])  # a word of each line
-            of = w.of[head]
-            bit = np.uint64(1) << (code & np.uint64(63))
-            parity = np.bitwise_xor.reduceat(bit, start)
-            odd = np.where(n > LONG, np.bitwise_xor.reduceat(np.where(code & np.uint64(64), bit, np.uint64(0)), start), np.uint64(0))
-            keys = [mix(np.add.reduceat(mix(token, 51 + k), start), 61 + k) for k in range(2)]
-            prefix = n - (n * NUM + DEN - 1) // DEN + 1
-            indexed = np.arange(len(line)) - np.repeat(start, n) < np.repeat(prefix, n)
-            offsets = np.concatenate(([0], np.cumsum(prefix))).astype(np.int32)
-            take = pa.array(of)
-            columns = [batch.column("id").take(take), batch.column("th").take(take), pa.array((before[head] - first_of[of]).astype(np.int32)), *(pa.array(signed(k)) for k in keys), pa.array(n.astype(np.int32)), pa.array(signed(parity)), pa.array(signed(odd)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(code[indexed])))]
-            yield pa.RecordBatch.from_arrays(columns, names=_LINES)
-
-    return run
+    placed = lambda x: F.coalesce(F.get(levels, _bucket(x)), F.lit(0).cast("long")).bitwiseOR(x)
+    codes = _distinct(F.col("line"), _code)
+    key = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]
+    ordered = raw.select("id", "th", "at", *key, F.sort_array(F.transform(codes, placed)).alias("tokens"))
+    flip = lambda one, x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
+    nil, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    parity = F.aggregate("tokens", nil, lambda bits, x: bits.bitwiseXOR(flip(one, x)))
+    odd = F.aggregate("tokens", nil, lambda bits, x: bits.bitwiseXOR(flip(F.shiftrightunsigned(x, 6).bitwiseAND(one), x)))
+    n = F.size("tokens")
+    prefix = n - _least(n) + 1
+    return ordered.select("id", "th", "at", "h", "h2", n.alias("n"), parity.alias("parity"), F.when(n > LONG, odd).otherwise(nil).alias("odd"), F.slice("tokens", 1, prefix).alias("first"))
 
 
 def _least(n: Column) -> Column:
@@ -221,11 +162,9 @@ def _later(pairs: DataFrame, docs: DataFrame, stands: DataFrame, scratch: Scratc
 
 def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, th, gone array<int>): numbers of the lines that go. docs: id, th (a hash of the text), text."""
-    arrow_limits(docs.sparkSession)
-    kind = docs.schema["id"].dataType.simpleString()
+    raw = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(SOLID))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "at")
-    described = docs.select("id", "th", "text").mapInArrow(tidied(_described(_levels(docs))), f"id {kind}, th long, at int, h long, h2 long, n int, parity long, odd long, first array<long>")
-    lines = scratch.write(described, "lines")
+    lines = scratch.write(_described(raw, _levels(docs)), "lines")
     repeated = lines.groupBy("h", "h2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     repeated = scratch.write(repeated, "repeated")
     stands = lines.join(hinted(repeated, 64), ["h", "h2"], "left").where(F.col("place").isNull() | (place == F.col("place"))).drop("place")
