@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, hinted
 from .components import components
 
 LEADING = 8
@@ -41,16 +42,15 @@ def _usable(kind: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out, dims = [], [], []
-            for vid, v in zip(batch.column("vid").to_pylist(), batch.column("v").to_pylist()):
-                if not v or None in v:
-                    continue
-                x = np.array(v, np.float64)
-                if np.isfinite(x).all() and x.any():
-                    ids.append(vid)
-                    out.append(x.astype(kind).tobytes())
-                    dims.append(len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(dims, pa.int32())], names=["vid", "raw", "dim"])
+            v = batch.column("v")
+            n = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = pc.fill_null(v.flatten(), float("nan")).to_numpy(zero_copy_only=False).astype(kind)
+            start, some = np.cumsum(n) - n, np.flatnonzero(n)
+            if len(some):
+                some = some[np.logical_and.reduceat(np.isfinite(x), start[some]) & np.logical_or.reduceat(x != 0, start[some])]
+            raw, size = x.tobytes(), x.itemsize
+            rows = [raw[a * size : (a + k) * size] for a, k in zip(start[some].tolist(), n[some].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("vid").take(pa.array(some)), pa.array(rows, pa.binary()), pa.array(n[some].astype(np.int32))], names=["vid", "raw", "dim"])
 
     return run
 
@@ -248,8 +248,9 @@ def cosine_links(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec
     counts = links.where(F.col("links").isNotNull()).groupBy("vid").agg(F.sum("links").alias("links"))
     usable = classes.join(units.select("vid"), "vid", "left_semi").join(counts, "vid", "left").join(labels.withColumnRenamed("node", "vid"), "vid", "left")
     usable = scratch.write(usable.select(*h, "least_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "vid").alias("root")), "usable")
-    least = usable.groupBy("root").agg(F.min("least_id").alias("component"))
-    named = usable.join(least, "root").select("h0", "h1", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component")
+    # Vectors without links are their own components; only the others meet by root, which Spark may split where one is large.
+    least = scratch.write(usable.where(F.col("links") > 0).groupBy("root").agg(F.min("least_id").alias("component")), "least")
+    named = usable.join(hinted(least, 16), "root", "left").withColumn("component", F.coalesce("component", "least_id")).select("h0", "h1", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component")
     named = scratch.write(named, "named")
     id_type = df.schema[id_col].dataType
     out = rows.select("id", *h).join(named, ["h0", "h1"], "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
