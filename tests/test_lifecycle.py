@@ -26,7 +26,7 @@ def test_insert_loan(t, spark):
     out = L.insert_loan(t, asked, AS_OF, NOW)
     assert {r["member_id"]: r["ok"] for r in out.results.collect()} == {"M1": True, "M4": False}
     new = out.tables["loan"].join(t["loan"], "loan_id", "left_anti").first()
-    assert str(new["due_date"]) == "2026-04-03" and new["loan_id"].startswith("LN") and len(new["loan_id"]) == 10
+    assert str(new["due_date"]) == "2026-04-03" and new["loan_id"].startswith("LN") and len(new["loan_id"]) == 18
     assert one(out.tables["book"], "book_id = 'B2'")["loan_yn"] == "Y" and out.tables["loan_hist"].count() == 2
     strict = L.insert_loan(t, asked, AS_OF, NOW, strict=True)
     assert {r["member_id"]: r["code"] for r in strict.results.collect()}["M1"] == "BOOK_NOT_AVAILABLE"
