@@ -16,7 +16,7 @@ of the upper quarter of a band are indexed in the next band too, so sizes on bot
 
 Within a key all members are first compared with the least one only. Where that leaves a key's members in more than one
 component, the other pairs across components are compared as well, in blocks, sketches first: at first only as many pairs
-as would join the components, then, across the components that are still apart, all. Every candidate that the sketches
+as would join the components, then, for keys where one of those was no link, all across the components still apart. Every candidate that the sketches
 do not rule out is verified on the shingle sets. So no link between different sets is lost, and the pairs of a
 group of near copies are never listed.
 
@@ -88,9 +88,9 @@ def segments(band: int) -> int:
 
 
 def sketch_bits(band: int) -> int:
-    """Bits of a stored sketch, a folded form: four to eight times the size of the set, so few flips fall together and the
+    """Bits of a stored sketch, a folded form: two to four times the size of the set, so few flips fall together and the
     distance stays close to the number of shingles apart."""
-    return max(8, 4 << band)
+    return max(8, 2 << band)
 
 
 def sketch(shingles: np.ndarray, band: int) -> bytes:
@@ -249,6 +249,9 @@ def _cross(rule: Rule, forest: bool):
                         out.append((int(rid[i]), x))
         return out
 
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({n: [p[i] for p in found] for i, n in enumerate(("key", "a", "b"))}, schema=pa.schema([(n, pa.int64()) for n in ("key", "a", "b")]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
         for batch in batches:
@@ -257,12 +260,11 @@ def _cross(rule: Rule, forest: bool):
             for key, lo, hi, *row in zip(*(c[n] for n in ("key", "lo", "hi", "rid", "comp", "n", "sketch", "block"))):
                 if (key, lo, hi) != group:
                     if len(rows) > 1:
-                        found += pairs(rows)
+                        found += [(group[0], *p) for p in pairs(rows)]
                     group, rows = (key, lo, hi), []
                 rows.append(tuple(row))
-            yield pa.RecordBatch.from_pydict({"a": [p[0] for p in found], "b": [p[1] for p in found]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-        found = pairs(rows) if len(rows) > 1 else []
-        yield pa.RecordBatch.from_pydict({"a": [p[0] for p in found], "b": [p[1] for p in found]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            yield made(found)
+        yield made([(group[0], *p) for p in pairs(rows)] if len(rows) > 1 else [])
 
     return run
 
@@ -324,11 +326,15 @@ def similar_groups(df: DataFrame, rule: Rule | None = None, id_col: str = "doc_i
     linked = _links(members.select(F.col("least").alias("a"), F.col("rid").alias("b")).distinct(), heads, texts_of, rule, scratch, "star", True)
     labels = components(linked, scratch)
     for step in ("forest", "all"):
-        rest = _across(members, labels, heads, rule, scratch, step)
-        if rest.isEmpty():
+        found = _across(members, labels, heads, rule, scratch, step)
+        if found.isEmpty():
             break
-        linked = linked.union(_links(rest, heads, texts_of, rule, scratch, step, False))
+        more = _links(found.select("a", "b").distinct(), heads, texts_of, rule, scratch, step, False)
+        linked = linked.union(more)
         labels = components(linked, Scratch(spark, "ngram"))
+        # Where every pair of a key's forest is linked, no candidate of that key is left across components.
+        failed = scratch.write(found.join(more, ["a", "b"], "left_anti").select("key").distinct(), f"{step}-failed")
+        members = members.join(hinted(failed, 16), "key", "left_semi")
     root = classes.join(labels, classes["rid"] == labels["node"], "left").select("k1", "k2", "n", "least_id", F.coalesce("root", "rid").alias("root"))
     root = scratch.write(root, "roots")
     least = root.groupBy("root").agg(F.min("least_id").alias("component"))
@@ -352,7 +358,7 @@ def _links(pairs: DataFrame, heads: DataFrame, texts_of, rule: Rule, scratch: Sc
 
 
 def _across(members: DataFrame, labels: DataFrame, heads: DataFrame, rule: Rule, scratch: Scratch, step: str) -> DataFrame:
-    """Pairs (a, b) of one key in different components, as far as their sketches allow a link; a key's least member has
+    """(key, a, b): pairs of one key in different components, as far as their sketches allow a link; a key's least member has
     been compared with all others before. Large groups are cut into blocks, and every two blocks of a key meet in a task
     of their own."""
     placed = members.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("comp"))
@@ -363,5 +369,5 @@ def _across(members: DataFrame, labels: DataFrame, heads: DataFrame, rule: Rule,
     block = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
     dealt = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rid", "comp", "n", "sketch", "block")
-    found = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(tidied(_cross(rule, step == "forest")), "a long, b long")
+    found = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(tidied(_cross(rule, step == "forest")), "key long, a long, b long")
     return scratch.write(found.distinct(), f"{step}-across")
