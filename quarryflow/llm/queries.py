@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, gif_media, html_extract, language_crf, line_dedup, mix_sources, ngram_join, substring_dedup, token_counts, vector_join
+from . import byte_bpe, gif_media, html_extract, language_crf, line_dedup, mix_sources, ngram_join, substring_dedup, token_counts, vector_join, whitening
 from .common import documents
 
 
@@ -57,7 +57,13 @@ def op10_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_gif_media, op3_heap_token_counts, op4_language_crf, op5_line_similarity_join, op6_epsilon_grid_join, op7_main_text, op8_relative_lz, op9_streaming_bpe, op10_parity_sketch_join)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_gif_media, op3_heap_token_counts, op4_language_crf, op5_line_similarity_join, op6_epsilon_grid_join, op7_main_text, op8_relative_lz, op9_streaming_bpe, op10_parity_sketch_join, op11_whitening)}
+
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 #: Labels by links: every node reaches itself and what its links reach.
 _REACH = "reach AS (SELECT id, id AS other FROM nodes UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other)"
