@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_windows, gif_media, html_extract, language_crf, line_dedup, mix_sources, ngram_join, substring_dedup, token_counts, vector_join, whitening
+from . import byte_bpe, chat_windows, gif_media, html_extract, language_crf, line_dedup, mix_sources, ngram_join, ranked_search, substring_dedup, token_counts, vector_join, whitening
 from .common import documents
 
 
@@ -69,9 +69,14 @@ def op12_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.chat_windows(said.unionByName(hostile)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_gif_media, op3_heap_token_counts, op4_language_crf, op5_line_similarity_join, op6_epsilon_grid_join, op7_main_text, op8_relative_lz, op9_streaming_bpe, op10_parity_sketch_join, op11_whitening, op12_budgeted_windows)}
+def op13_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_gif_media, op3_heap_token_counts, op4_language_crf, op5_line_similarity_join, op6_epsilon_grid_join, op7_main_text, op8_relative_lz, op9_streaming_bpe, op10_parity_sketch_join, op11_whitening, op12_budgeted_windows, op13_tput_search)}
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 #: Labels by links: every node reaches itself and what its links reach.
 _REACH = "reach AS (SELECT id, id AS other FROM nodes UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other)"
 
@@ -134,4 +139,15 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY nth), '')) AS loss_sha256, any_value(formatted_chars) AS formatted_chars
 FROM turns JOIN size USING (conv_id) GROUP BY conv_id""",
+    "op13_tput_search": rf"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, unnest({_TERMS}) AS t FROM documents),
+item AS (SELECT i, item_id, t, count(*) AS q FROM (SELECT row_number() OVER () AS i, item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+tf AS (SELECT r, doc_id, t, count(*) AS tf FROM doc GROUP BY ALL), size AS (SELECT r, count(*) AS n FROM doc GROUP BY 1),
+total AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM size), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, total),
+m AS (SELECT r, 25 + (75 * n * nn) // ll AS m FROM size, total),
+score AS (SELECT i, item_id, r, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM item JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r)::INT AS rank FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
