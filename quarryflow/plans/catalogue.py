@@ -379,12 +379,43 @@ def schema_text(spark, d):
     return ddl.schema_text(ddl.parse_ddl(spark.createDataFrame([(_DDL,)], "content string")))
 
 
-_CASES = [("plain", "SELECT * FROM orders LIMIT 5"), ("no_limit", "SELECT o_orderkey FROM orders"), ("lowered", "SELECT * FROM orders LIMIT 500"), ("pair", "SELECT * FROM orders LIMIT 10, 20"), ("delete", "DELETE FROM orders"), ("two", "SELECT 1; SELECT 2"), ("empty", "  "), ("syntax", "SELEC x FRM y"), ("unknown", "SELECT * FROM nowhere"), ("lower_case", "select * from ORDERS"), ("literal", "SELECT 'INTO OUTFILE' FROM orders"), ("union", "SELECT 1 FROM orders UNION SELECT 2 FROM orders"), ("cte", "WITH x AS (SELECT * FROM orders) SELECT * FROM x"), ("nested", "SELECT * FROM (SELECT * FROM nowhere) q")]
-
-
-@query("SELECT * FROM (VALUES ('plain', true, NULL::BOOLEAN, 5), ('no_limit', true, NULL, 100), ('lowered', true, NULL, 100), ('pair', true, NULL, 20), ('delete', false, false, NULL), ('two', false, false, NULL), ('empty', false, true, NULL), ('syntax', false, true, NULL), ('unknown', false, true, NULL), ('lower_case', true, NULL, 100), ('literal', false, false, NULL), ('union', false, false, NULL), ('cte', false, true, NULL), ('nested', false, true, NULL)) AS t(case_name, ok, retryable, row_limit)")
+#: Statements about a table {t} with a number {k}; what the guard says if {t} is known, its row limit as SQL.
+_CASES = (
+    ("SELECT * FROM `{t}` LIMIT {k}", "true", "NULL", "k"),
+    ("SELECT n_name FROM `{t}`", "true", "NULL", "100"),
+    ("SELECT * FROM `{t}` ORDER BY 1 LIMIT {k}00", "true", "NULL", "least(100 * k, 100)"),
+    ("SELECT * FROM `{t}` LIMIT {k}, 20", "true", "NULL", "20"),
+    ("select count(*), max(length(a)) AS m from `{t}` where b between 1 and {k} and not c like '%x' group by d having count(*) > 1", "true", "NULL", "100"),
+    ("SELECT a, row_number() OVER (PARTITION BY b ORDER BY c) FROM `{t}` x LEFT JOIN (SELECT {k} AS b) y USING (b)", "true", "NULL", "100"),
+    ("SELECT * FROM `{t}` WHERE a IN (SELECT b FROM secret)", "false", "true", "NULL"),
+    ("SELECT * FROM (SELECT * FROM nowhere) q, `{t}`", "false", "true", "NULL"),
+    ("WITH x AS (SELECT * FROM `{t}`) SELECT * FROM x", "false", "true", "NULL"),
+    ("SELEC x FRM `{t}`", "false", "true", "NULL"),
+    (" -- {t}", "false", "true", "NULL"),
+    ("DELETE FROM `{t}`", "false", "false", "NULL"),
+    ("SELECT {k} FROM `{t}`; SELECT 2", "false", "false", "NULL"),
+    ("SELECT 'INTO OUTFILE' FROM `{t}`", "false", "false", "NULL"),
+    ("SELECT 1 FROM `{t}` UNION SELECT {k} FROM `{t}`", "false", "false", "NULL"),
+    ("SELECT java_method('java.lang.System', 'getenv', 'PATH') FROM `{t}`", "false", "false", "NULL"),
+    ("SELECT IDENTIFIER('java_method')('java.lang.System', 'exit') FROM `{t}`", "false", "false", "NULL"),
+    ("SELECT * FROM IDENTIFIER('{t}')", "false", "false", "NULL"),
+    ("SELECT TRANSFORM(a) USING 'cat' AS (b) FROM `{t}`", "false", "false", "NULL"),
+    ("SELECT * FROM `{t}`, range({k})", "false", "false", "NULL"),
+)
+_VERDICTS = ", ".join(f"({n}, {ok}, {again}::BOOLEAN, '{limit}', {sql.startswith(('SELECT', 'select')) and ok == 'true'})" for n, (sql, ok, again, limit) in enumerate(_CASES))
+
+
+@query(f"""SELECT n_nationkey, n AS case_no, ok AND (n_regionkey < 3 OR NOT ok) AS ok, CASE WHEN ok AND n_regionkey >= 3 THEN true ELSE again END AS retryable,
+CAST(CASE WHEN NOT ok OR n_regionkey >= 3 THEN NULL WHEN lim = 'k' THEN n_nationkey WHEN lim LIKE 'least%' THEN least(100 * n_nationkey, 100) ELSE TRY_CAST(lim AS INTEGER) END AS INTEGER) AS row_limit
+FROM nation, (VALUES {_VERDICTS}) AS t(n, ok, again, lim, reads)""")
 def sql_guard_verdicts(spark, d):
-    return sql_guard.verdict_rows(spark, _CASES, {"orders", "customer"})
+    """Every case about every nation's name as a table, of which those of the first three regions are known."""
+    nations = table(spark, d, "nation")
+    cases = F.array(*(F.struct(F.lit(n).alias("case_no"), F.lit(sql).alias("sql")) for n, (sql, *_) in enumerate(_CASES)))
+    each = nations.select("n_nationkey", "n_name", F.inline(cases))
+    filled = F.replace(F.replace("sql", F.lit("{t}"), "n_name"), F.lit("{k}"), F.col("n_nationkey").cast("string"))
+    known = {r["n_name"] for r in nations.where("n_regionkey < 3").select("n_name").toLocalIterator()}
+    return sql_guard.verdict_rows(each.withColumn("sql", filled), ["n_nationkey", "case_no"], "sql", known)
 
 
 @query("SELECT event_type, count(*) AS runs, round(avg(value), 4) AS mean_value, round(max(value), 4) AS max_value, round(arg_min(value, event_id), 4) AS first_value, CASE WHEN arg_min(value, event_id) > 1.5 * (sum(value) - arg_min(value, event_id)) / (count(*) - 1) THEN true ELSE false END AS cold_start FROM events GROUP BY 1")

@@ -65,7 +65,9 @@ def test_guard_and_answer(spark):
     spark.createDataFrame([(i, b"x") for i in range(150)], "i int, b binary").createOrReplaceTempView("orders")
     verdict = sql_guard.validate(spark, "SELECT i, b FROM orders", {"ORDERS"})
     assert verdict.ok and verdict.notes and len(sql_guard.run(spark, verdict)) == 100
-    assert [sql_guard.validate(spark, sql, {"orders"}).ok for _, sql in _CASES].count(True) == 5
+    for sql, ok, again, _ in _CASES:
+        v = sql_guard.validate(spark, sql.format(t="orders", k=3), {"orders"})
+        assert (v.ok, v.retryable) == ({"true": True, "false": False}[ok], {"true": True, "false": False, "NULL": None}[again]), (sql, v)
     assert sql_guard.validate(spark, "WITH x AS (SELECT * FROM orders) SELECT * FROM x", {"orders"}, strict=False).ok
     assert sql_guard.extract_sql("so:\n```sql\nSELECT 1\n```") == "SELECT 1" and sql_guard.extract_sql("I say select 2") == "select 2" and sql_guard.extract_sql("no") is None
     said = iter(["nothing", "```SELECT i FROM orders LIMIT 3```"])
@@ -74,12 +76,86 @@ def test_guard_and_answer(spark):
     assert sql_guard.answer(spark, "q", lambda p: "SELECT nope FROM orders", {"orders"}).rows == []
 
 
-def test_the_guard_refuses_functions_that_reach_out(spark):
-    for sql in ("SELECT java_method('java.lang.System','getenv','PATH') FROM t1", "SELECT a FROM t1 WHERE reflect('x', 'y') = 1", "SELECT `try_reflect` ('x','y') FROM t1"):
-        v = sql_guard.validate(spark, sql, {"t1"})
-        assert not v.ok and not v.retryable and "not allowed" in v.reason
-    assert sql_guard.validate(spark, "SELECT count(*), reflect_col FROM t1 GROUP BY 2", {"t1"}).ok
-    assert not sql_guard.validate(spark, "SELECT * FROM other.t1", {"t1"}).ok
+REACHING = (
+    "SELECT java_method('java.lang.System','getenv','PATH') FROM t1",
+    "SELECT a FROM t1 WHERE reflect('x', 'y') = 1",
+    "SELECT `try_reflect` ('x','y') FROM t1",
+    "SELECT IDENTIFIER('java_method')('java.lang.System','getProperty','java.version') FROM t1",
+    "SELECT IDENTIFIER('a') FROM t1",
+    "SELECT b FROM IDENTIFIER('secret')",
+    "SELECT * FROM t1 JOIN IDENTIFIER('sec' || 'ret') USING (a)",
+    "SELECT TRANSFORM(a) USING 'cat' AS (b) FROM t1",
+    "SELECT * FROM (SELECT TRANSFORM(a) USING 'cat' AS (b) FROM t1)",
+    "SELECT * FROM range(3)",
+    "SELECT * FROM t1, explode(array(1))",
+    "SELECT * FROM t1 LATERAL VIEW explode(a) x AS y",
+    "SELECT (SELECT max(java_method('a','b')) FROM t1) FROM t1",
+    "SELECT a FROM t1 WHERE a IN (SELECT reflect('a','b') FROM t1)",
+    "SELECT a FROM t1 WHERE EXISTS (SELECT * FROM IDENTIFIER('secret'))",
+    "SELECT a FROM t1 ORDER BY java_method('a','b')",
+    "SELECT sum(a) OVER (ORDER BY reflect('a','b')) FROM t1",
+    "SELECT transform(array(a), x -> java_method('a', x)) FROM t1",
+    "SELECT a FROM t1 GROUP BY a HAVING reflect('a','b') = 1",
+    "SELECT input_file_name(), current_user(), version() FROM t1",
+    "SELECT system.builtin.java_method('a','b') FROM t1",
+    "SELECT * FROM VALUES (java_method('a','b')) AS v(x), t1",
+    "SELECT :p FROM t1",
+    "SELECT * FROM t1 TABLESAMPLE (10 PERCENT)",
+    "SELECT /*+ BROADCAST(t1) */ xpath_string('<a/>', 'a') FROM t1",
+    "SELECT * FROM t1 |> WHERE a = 1",
+    "SELECT own(a) FROM t1",
+)
+
+
+@pytest.mark.parametrize("sql", REACHING)
+def test_the_guard_refuses_what_reaches_out(spark, sql):
+    v = sql_guard.validate(spark, sql, {"t1"})
+    assert not v.ok and not v.retryable and v.sql is None and "not allowed" in v.reason
+    with pytest.raises(sql_guard.Refused):
+        sql_guard.run(spark, sql_guard.Verdict(True, sql, tables=frozenset({"T1"})))
+
+
+def test_a_replaced_function_is_not_the_built_in_one(spark):
+    assert sql_guard.validate(spark, "SELECT upper(a) FROM t1", {"t1"}).ok
+    spark.udf.register("upper", lambda s: "gone")
+    try:
+        assert not sql_guard.validate(spark, "SELECT upper(a) FROM t1", {"t1"}).ok
+    finally:
+        spark._jsparkSession.sessionState().catalog().dropTempFunction("upper", True)
+        spark._jsparkSession.sessionState().functionRegistry().dropFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier("upper"))
+
+
+def test_resolved_names_must_be_known(spark):
+    spark.createDataFrame([(1, 2)], "a int, b int").createOrReplaceTempView("t1")
+    spark.createDataFrame([(7, 7)], "a int, b int").createOrReplaceTempView("secret")
+    # A common table expression that reads a table of its own name is more than the parsed names show.
+    hidden = "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret"
+    assert not sql_guard.validate(spark, hidden, {"t1"}).ok
+    loose = sql_guard.validate(spark, hidden, {"t1"}, strict=False)
+    with pytest.raises(sql_guard.Refused, match="secret"):
+        sql_guard.run(spark, loose)
+    fine = sql_guard.validate(spark, "WITH x AS (SELECT a FROM t1) SELECT count(*) AS n FROM x", {"t1"}, strict=False)
+    assert sql_guard.run(spark, fine) == [{"n": 1}]
+    assert not sql_guard.validate(spark, "SELECT * FROM other.t1", {"t1"}).ok and not sql_guard.validate(spark, "SELECT * FROM parquet.`/tmp`", {"t1"}).ok
+
+
+ORDINARY = (
+    "SELECT DISTINCT a FROM t1 WHERE b IN (1, 2) AND a NOT IN (SELECT b FROM t1) OR a IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t1 x WHERE x.a = t1.b)",
+    "SELECT CASE WHEN a = 1 THEN 'x' ELSE 'y' END AS c, cast(a AS string), DATE '2020-01-01' + INTERVAL 3 DAY, CURDATE(), NOW(), CURRENT_DATE, CURRENT_TIMESTAMP FROM t1",
+    "SELECT EXTRACT(YEAR FROM CURRENT_DATE), SUBSTRING('abc' FROM 1 FOR 2), TRIM(BOTH 'x' FROM 'xax'), TIMESTAMPDIFF(DAY, NOW(), NOW()), -a, a DIV 2, a % 2, (SELECT max(b) FROM t1) FROM t1",
+    "SELECT a, sum(b) OVER (PARTITION BY a ORDER BY b ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), lag(a) OVER w FROM t1 WINDOW w AS (ORDER BY b)",
+    "SELECT x.a, count(DISTINCT y.b) AS n, count(*) FILTER (WHERE y.b > 1) FROM t1 x INNER JOIN t1 y ON x.a <= y.a LEFT OUTER JOIN t1 z USING (b) CROSS JOIN (SELECT 1 AS k) GROUP BY x.a HAVING n > 0 ORDER BY n DESC NULLS LAST, 1 LIMIT 5 OFFSET 0",
+    "SELECT a FROM (SELECT a FROM t1 UNION ALL SELECT b FROM t1 EXCEPT SELECT 9) q WHERE a BETWEEN 0 AND 9 AND cast(a AS string) RLIKE '.' AND a <=> 1 AND cast(a AS string) LIKE '%1%'",
+    "SELECT date_format(NOW(), 'yyyy-MM'), concat('a', a) || 'b', coalesce(a, b), if(a > 1, a, b), round(avg(b), 2) FROM t1 GROUP BY a, b",
+)
+
+
+@pytest.mark.parametrize("sql", ORDINARY)
+def test_ordinary_statements_pass_and_run(spark, sql):
+    spark.createDataFrame([(1, 2)], "a int, b int").createOrReplaceTempView("t1")
+    v = sql_guard.validate(spark, sql, {"t1"})
+    assert v.ok, v.reason
+    sql_guard.run(spark, v)
 
 
 def test_long_chains_and_cycles_end(spark):
