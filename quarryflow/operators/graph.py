@@ -98,30 +98,55 @@ def build_graph(classes: DataFrame, statements: DataFrame) -> tuple[DataFrame, D
 # Reachability
 
 
-#: Levels of a walk that are kept as tables of their own before they are put together.
+#: Rounds of a walk that are kept as tables of their own before they are put together.
 LEVELS = 8
-
-
-def closure(edges: DataFrame, starts: DataFrame, reverse: bool = False) -> DataFrame:
-    """(start, id) for every node reachable from each start, itself included. starts: id. All starts go in one pass; every
-    round joins the frontier with the edges and drops what was seen, so cycles end. Edges and levels are written once: a
-    small frontier is then broadcast by its size. Levels are put together every LEVELS rounds, so a long walk reads few
-    tables a round."""
+#: The first rounds go step by step, which is all that a shallow graph needs; then steps are doubled while that makes at
+#: most so many rows for each edge.
+PLAIN, GROWTH = 4, 8
+
+
+def _doubled(jump: DataFrame, most: int, scratch: Scratch, name: str) -> DataFrame | None:
+    """Pairs (id, next) twice as far apart, or None if a walk through a node in the middle makes too many of them."""
+    into = jump.groupBy(F.col("next").alias("id")).agg(F.count(F.lit(1)).alias("ins"))
+    out = jump.groupBy("id").agg(F.count(F.lit(1)).alias("outs"))
+    walks = into.join(out, "id").agg(F.coalesce(F.sum(F.col("ins") * F.col("outs")), F.lit(0))).first()[0]
+    if walks > most:
+        return None
+    first, second = jump.select("id", F.col("next").alias("mid")), jump.select(F.col("id").alias("mid"), "next")
+    return scratch.write(first.join(second, "mid").select("id", "next").distinct(), name)
+
+
+def closure(edges: DataFrame, starts: DataFrame, reverse: bool = False, growth: int = GROWTH) -> DataFrame:
+    """(start, id) for every node reachable from each start, itself included. starts: id. All starts go in one pass.
+
+    After some single steps rounds double: when every node closer than m steps is known, pairs of nodes that are s <= m
+    steps apart lead to those closer than m + s, and joined with themselves they are 2 s steps apart. A path of n nodes
+    needs about PLAIN + log2(n) rounds, and each makes no more pairs than there are edges. Where paths multiply, joining
+    pairs would make ever more of them; when it would make more than `growth` rows an edge, steps stay as long as they are
+    and the walk goes on from the newest nodes. A round that finds nothing new ends it, so cycles end too: distances have
+    no gaps."""
     scratch = Scratch(edges.sparkSession, "closure")
     a, b = ("dst_id", "src_id") if reverse else ("src_id", "dst_id")
-    steps = scratch.write(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "steps")
-    frontier = scratch.write(starts.select(F.col("id").alias("start"), "id").distinct(), "level0")
-    levels, k = [frontier], 0
-    while not frontier.isEmpty():
+    jump = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
+    jump = scratch.write(jump, "steps")
+    most = growth * jump.count() + 10_000
+    newest = scratch.write(starts.select(F.col("id").alias("start"), "id").distinct(), "level0")
+    levels, k, doubled, apart = [newest], 0, False, True
+    while True:
         k += 1
-        found = frontier.join(steps, "id").select("start", F.col("next").alias("id")).distinct()
+        known = reduce(DataFrame.union, levels) if doubled else newest
+        found = known.join(jump, "id").select("start", F.col("next").alias("id")).distinct()
         for seen in levels:
             found = found.join(seen, ["start", "id"], "left_anti")
-        frontier = scratch.write(found, f"level{k}")
-        levels.append(frontier)
+        newest = scratch.write(found, f"level{k}")
+        if newest.isEmpty():
+            return reduce(DataFrame.union, levels)
+        levels.append(newest)
         if len(levels) > LEVELS:
             levels = [scratch.write(reduce(DataFrame.union, levels), f"seen{k}")]
-    return reduce(DataFrame.union, levels)
+        further = _doubled(jump, most, scratch, f"jump{k}") if apart and k >= PLAIN else None
+        doubled, apart = further is not None, apart and (k < PLAIN or further is not None)
+        jump = jump if further is None else further
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, start: str, reverse: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -241,6 +241,23 @@ def graph_downstream(spark, d):
     return graph.subgraph(*_graph(spark, d), "REGION::1")[0]
 
 
+#: Runs of 5,000 orders, each order followed by the next and leading to its customer.
+_RUNS = "SELECT o_orderkey AS k, o_custkey AS c, o_orderkey // 5000 AS run FROM orders"
+
+
+@query(f"""WITH o AS ({_RUNS}), s AS (SELECT * FROM o WHERE k % 5000 IN (0, 4321)), own AS (SELECT s.k AS start, o.k, o.c FROM s JOIN o USING (run) WHERE o.k >= s.k)
+SELECT 'ORDER::' || start AS start, 'ORDER::' || k AS id FROM own UNION SELECT 'ORDER::' || start, 'CUSTOMER::' || c FROM own""")
+def graph_deep_runs(spark, d):
+    """What is reached over up to 5,000 steps, from several orders at once."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    named = lambda kind, c: F.concat(F.lit(f"{kind}::"), c)
+    following = orders.select("k").join(orders.select((F.col("k") - 1).alias("k"), F.col("k").alias("next")), "k").where(F.col("next") % 5000 != 0)
+    edges = following.select(named("ORDER", "k").alias("src_id"), named("ORDER", "next").alias("dst_id"))
+    edges = edges.unionByName(orders.select(named("ORDER", "k").alias("src_id"), named("CUSTOMER", "c").alias("dst_id")))
+    starts = orders.where((F.col("k") % 5000).isin(0, 4321)).select(named("ORDER", "k").alias("id"))
+    return graph.closure(edges, starts)
+
+
 @query(f"WITH RECURSIVE {_NODES}, {_EDGES}, {_DOWN.format('NATION::3')} SELECT edges.* FROM edges WHERE src_id IN (SELECT id FROM down)")
 def graph_downstream_edges(spark, d):
     return graph.subgraph(*_graph(spark, d), "NATION::3")[1].select("src_id", "dst_id", "edge_type")

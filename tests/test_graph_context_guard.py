@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +167,48 @@ def test_long_chains_and_cycles_end(spark):
     assert got == {("n0", f"n{k}") for k in range(21)} | {("n19", f"n{k}") for k in range(5, 21)} | {("lost", "lost")}
 
 
+def brute_closure(edges, starts):
+    follow, out = {}, set()
+    for a, b in edges:
+        follow.setdefault(a, set()).add(b)
+    for s in starts:
+        seen, todo = {s}, [s]
+        while todo:
+            for x in follow.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        out |= {(s, x) for x in seen}
+    return out
+
+
+@pytest.mark.parametrize(("growth", "size", "arrows", "plain"), [(0, 40, 45, 1), (1, 60, 200, 2), (8, 30, 30, 4)])
+def test_any_graph_is_walked_to_its_end(spark, monkeypatch, growth, size, arrows, plain):
+    """Paths, cycles of several lengths, ladders (where paths multiply), hubs, loops, repeats and nulls."""
+    rnd = random.Random(growth)
+    monkeypatch.setattr(graph, "PLAIN", plain)
+    edges = [(f"p{k}", f"p{k + 1}") for k in range(size)] + [(f"p{size}", "p7"), ("p3", "p3"), ("p1", "p2"), (None, "p1"), ("p2", None)]
+    edges += [(f"l{k}{a}", f"l{k + 1}{b}") for k in range(12) for a in "xyz" for b in "xyz"] + [("hub", f"p{k}") for k in range(0, size, 3)]
+    edges += [(f"r{rnd.randrange(size)}", f"r{rnd.randrange(size)}") for _ in range(arrows)]
+    starts = ["p0", "p20", "l0x", "hub", "r1", "r2", "lost"]
+    df = spark.createDataFrame([(*e, "X") for e in edges], "src_id string, dst_id string, edge_type string")
+    ids = spark.createDataFrame([(x,) for x in [*starts, "p0"]], "id string")
+    for reverse in (False, True):
+        ways = [(b, a) if reverse else (a, b) for a, b in edges]
+        want = {p for p in brute_closure([w for w in ways if w[0] is not None], starts) if p[1] is not None}
+        rows = [(r["start"], r["id"]) for r in graph.closure(df, ids, reverse, growth).collect()]
+        assert {r for r in rows if r[1] is not None} == want and len(rows) == len(set(rows))
+
+
+def test_a_chain_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
+    rounds, write = [], graph.Scratch.write
+    monkeypatch.setattr(graph.Scratch, "write", lambda self, df, name: (rounds.append(name), write(self, df, name))[1])
+    edges = spark.range(10_000).select(F.col("id").cast("string").alias("src_id"), (F.col("id") + 1).cast("string").alias("dst_id"))
+    got = graph.closure(edges, spark.createDataFrame([("0",), ("9000",)], "id string"))
+    assert {r["start"]: r["count"] for r in got.groupBy("start").count().collect()} == {"0": 10_001, "9000": 1_001}
+    assert sum(r.startswith("level") for r in rounds) <= 20
+
+
 def test_grades_of_runs(spark):
     rows = spark.createDataFrame([("a", 1, True)] * 5 + [("b", 1, True)] * 4 + [("b", 2, False)] + [("c", 1, False)], "g string, n int, ok boolean")
     assert {r["g"]: r["verdict"] for r in harness.verdicts(rows, "g", F.col("ok")).collect()} == {"a": harness.CONFIRMED, "b": harness.RESERVE, "c": harness.EXCLUDED}
