@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from quarryflow.functions import scalar as S
 from quarryflow.operators import context as C
-from quarryflow.operators import ddl, graph, harness, sql_guard, stacktrace, vector
+from quarryflow.operators import ddl, graph, harness, sql_guard, stacktrace, vector, vector_index
 from quarryflow.operators.relational import where_given
 from quarryflow.sources.files import table
+from quarryflow.sources.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -241,6 +242,28 @@ def graph_downstream(spark, d):
     return graph.subgraph(*_graph(spark, d), "REGION::1")[0]
 
 
+def _neighbours(spark, d, exact):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    index = vector_index.VectorIndex.build(rows, f"{Scratch(spark, 'vectors').root}/index")
+    queries = rows.where("id % 100 = 0").select(F.col("id").alias("query"), "vector")
+    found = index.search(queries, 10, exact=exact)
+    return found.select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s WHERE isfinite(score)) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def vector_index_exact(spark, d):
+    return _neighbours(spark, d, True)
+
+
+def vector_index_search(spark, d):
+    """The same by probing cells; tests hold it against the exact result."""
+    return _neighbours(spark, d, False)
+
+
+QUERIES["vector_index_search"] = vector_index_search
+
+
 #: Runs of 5,000 orders, each order followed by the next and leading to its customer.
 _RUNS = "SELECT o_orderkey AS k, o_custkey AS c, o_orderkey // 5000 AS run FROM orders"
 
