@@ -64,7 +64,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
     again = F.col(i).eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))
     single, several = kept.join(hinted(repeated, 24), again, "left_anti"), kept.join(hinted(repeated, 24), again, "left_semi")
-    one = several.groupBy(i, "th").agg(F.min(F.struct(*names.values())).alias("row")).select("row.*")
+    # Columns may be of types without an order, such as maps; their text has one.
+    one = several.groupBy(i, "th").agg(F.min_by(F.struct(*names.values()), F.to_json(F.struct(*names.values()))).alias("row")).select("row.*")
     return single.select(*names.values()).unionByName(one).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
