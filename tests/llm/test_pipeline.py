@@ -54,3 +54,10 @@ def test_columns_of_any_name(spark, corpus):
         docs = stage(spark, docs, "unused")
         rows = docs.collect()
         assert rows and all(r[c] == v for r in rows for c, v in odd.items()) and all(r["n_chars"] == len(r["text"]) for r in rows), name
+
+
+def test_repeated_rows_with_columns_of_any_type(spark):
+    rows = [(1, "one two three four five six", {"a": 1}, ({"b": [1]},)), (1, "one two three four five six", {"a": 2}, None), (2, "something else", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>, more struct<m:map<string,array<int>>>")
+    got = corpus_pipeline.near_duplicates(spark, docs, "unused")
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 2]
