@@ -161,6 +161,7 @@ class VectorIndex:
     spark: SparkSession
     folder: str
     centres: np.ndarray
+    schema: T.StructType
     probes: int = 1
 
     @classmethod
@@ -181,10 +182,11 @@ class VectorIndex:
         dealt = Scratch(spark, "cells").write(vectors.mapInArrow(deal, schema), "dealt")
         many = dealt.groupBy("cell").count().withColumn("parts", F.ceil(F.col("count") / FILE_ROWS).cast("int")).select("cell", "parts")
         split = dealt.join(F.broadcast(many), "cell").withColumn("part", F.pmod(F.xxhash64("id", "vector"), F.col("parts")))  # a row a cell
-        split.repartition("cell", "part").drop("parts", "part").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/cells")
-        index = cls(spark, folder, centres)
+        stored = split.repartition("cell", "part").drop("parts", "part").write.mode("overwrite").partitionBy("cell")
+        stored.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/cells")
+        index = cls(spark, folder, centres, schema)
         index.probes = index._measured()
-        model = spark.createDataFrame([(json.dumps(centres.tolist()), index.probes)], "centres string, probes int")
+        model = spark.createDataFrame([(json.dumps(centres.tolist()), schema.json(), index.probes)], "centres string, schema string, probes int")
         model.coalesce(1).write.mode("overwrite").parquet(f"{folder}/model")
         return index
 
@@ -192,7 +194,8 @@ class VectorIndex:
     def load(cls, spark: SparkSession, folder: str) -> VectorIndex:
         model = spark.read.parquet(f"{folder}/model").first()
         centres = np.array(json.loads(model["centres"]))
-        return cls(spark, folder, centres if centres.size else np.zeros((0, 0)), model["probes"])
+        schema = T.StructType.fromJson(json.loads(model["schema"]))
+        return cls(spark, folder, centres if centres.size else np.zeros((0, 0)), schema, model["probes"])
 
     def _measured(self) -> int:
         """The least number of probes with which RECALL of the sample's neighbours, itself left out, are found."""
@@ -216,7 +219,7 @@ class VectorIndex:
 
     def rows(self, cells: set[int] | None = None) -> DataFrame:
         """The stored rows, of some cells only if they are given: the other folders are not read."""
-        stored = self.spark.read.parquet(f"{self.folder}/cells")
+        stored = self.spark.read.schema(self.schema).parquet(f"{self.folder}/cells")  # an empty table has no files
         return stored if cells is None else stored.where(F.col("cell").isin(*sorted(cells)) if cells else F.lit(False))
 
     def search(self, queries: DataFrame, k: int = 5, probes: int | None = None, exact: bool = False, where: Column | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarryflow.operators import lifecycle as L
 from quarryflow.operators import relational as R
+from quarryflow.operators import sequences
 from quarryflow.plans.service import list_page
 from quarryflow.sources.files import table
 
@@ -488,3 +489,41 @@ def page_rows(t):
 @query("SELECT n AS total, 3 AS page_index, 5 AS page_size, CAST(ceil(n / 5.0) AS INTEGER) AS total_pages, 1 AS first_page, least(10, CAST(ceil(n / 5.0) AS INTEGER)) AS last_page, 10 AS first_index FROM (SELECT count(*) AS n FROM member WHERE member_status = '1')")
 def page_numbers(t):
     return list_page(t, R.member_list, R.member_count, page_index=3, page_size=5, status="1")[1]
+
+
+# Batches in order, with members and books that repeat
+
+_LINE = """asked AS (SELECT o_orderkey AS nth, 'B'||(o_orderkey % 2500) AS book_id, 'M'||(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 ELSE o_custkey * 13 % 1600 END) AS member_id FROM orders),
+known AS (SELECT a.*, member_status, loan_yn, CASE WHEN member_status = '1' THEN greatest(5 - coalesce(n, 0), 0) ELSE 0 END AS room FROM asked a LEFT JOIN member USING (member_id)
+LEFT JOIN (SELECT member_id, count(*) AS n FROM loan WHERE loan_status = '1' GROUP BY 1) USING (member_id) LEFT JOIN book USING (book_id))"""
+_FIRST_RULE = "CASE WHEN member_status IS NULL THEN 'MEMBER_NOT_FOUND' WHEN member_status <> '1' THEN 'OVERDUE_MEMBER' WHEN {0} >= room THEN 'LOAN_LIMIT_EXCEEDED' {1} END"
+
+
+def _line(t, strict):
+    orders = t["loan"].select(F.substring("loan_id", 2, 99).cast("long").alias("nth"), F.substring("member_id", 2, 99).cast("long").alias("c"))
+    member = F.when(F.col("nth") % 3 == 0, F.col("nth") % 4).otherwise(F.col("c") * 13 % 1600)
+    asked = orders.select("nth", F.concat(F.lit("B"), F.col("nth") % 2500).alias("book_id"), F.concat(F.lit("M"), member).alias("member_id"))
+    return sequences.lend(t, asked, AS_OF, NOW, strict=strict).results.select("nth", "book_id", "member_id", "ok", "code")
+
+
+@query(f"SELECT nth, book_id, member_id, code IS NULL AS ok, code FROM (SELECT *, {_FIRST_RULE.format('row_number() OVER (PARTITION BY member_id ORDER BY nth) - 1', '')} AS code FROM known)", _LINE)
+def sequence_lend(t):
+    return _line(t, False)
+
+
+_HAD = "(SELECT count(*) FROM won w WHERE w.{0} = known.{0} AND w.nth < known.nth)"
+_BOOK_RULES = f"WHEN loan_yn IS NULL THEN 'BOOK_NOT_FOUND' WHEN loan_yn <> 'Y' OR {_HAD.format('book_id')} > 0 THEN 'BOOK_NOT_AVAILABLE'"
+_STRICT = f"SELECT known.*, {_FIRST_RULE.format(_HAD.format('member_id'), _BOOK_RULES)} AS code FROM known"
+
+
+@query(f"SELECT nth, book_id, member_id, code IS NULL AS ok, code FROM ({_STRICT})", f"""{_LINE},
+able AS MATERIALIZED (SELECT nth, book_id, member_id, room FROM known WHERE room > 0 AND loan_yn = 'Y'),
+step AS (SELECT CAST(-1 AS BIGINT) AS nth, NULL::VARCHAR AS book_id, NULL::VARCHAR AS member_id, []::VARCHAR[] AS books, []::VARCHAR[] AS members
+UNION ALL SELECT a.nth, a.book_id, a.member_id, list_append(books, a.book_id), list_append(members, a.member_id) FROM step s JOIN able a ON a.nth > s.nth AND NOT list_contains(books, a.book_id)
+AND len(list_filter(members, lambda x: x = a.member_id)) < a.room QUALIFY row_number() OVER (ORDER BY a.nth) = 1),
+won AS (SELECT nth, book_id, member_id FROM step WHERE nth >= 0)""")
+def sequence_lend_strict(t):
+    return _line(t, True)
+
+
+ORACLES["lending_sequence_lend_strict"] = ORACLES["lending_sequence_lend_strict"].replace("WITH ", "WITH RECURSIVE ", 1)
