@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryflow.functions.scalar import sorted_join
+from quarryflow.sources.scratch import Scratch
 
 from .graph import closure
 
@@ -44,6 +45,25 @@ def chain_summary(nodes: DataFrame) -> DataFrame:
     return parts.select(F.when(chained != "", F.concat(F.lit(FLOW), chained)).otherwise(F.lit(NOTHING)).alias("summary"))
 
 
+def candidate_tiers_by_question(edges: DataFrame, hits: DataFrame, expanded: int = 3) -> DataFrame:
+    """q, id, tier of all questions in one walk each way. hits: q, id, rank (from 1)."""
+    chosen = hits.where(F.col("rank") <= expanded).select("q", F.col("id").alias("start"))
+    starts = chosen.select(F.col("start").alias("id")).distinct()
+    tagged = lambda df, tier: df.select("q", "id", F.lit(tier).alias("tier"))
+    around = [tagged(closure(edges, starts, back).join(chosen, "start"), tier) for back, tier in ((False, DOWNSTREAM), (True, UPSTREAM))]
+    return tagged(hits, HIT).unionByName(around[0]).unionByName(around[1]).groupBy("q", "id").agg(F.min("tier").alias("tier"))
+
+
+def chain_summaries(nodes: DataFrame, q: str = "q") -> DataFrame:
+    """q, summary: the summary of each question's nodes."""
+    part = lambda kind, by: sorted_join(F.collect_set(F.when(F.col("node_type") == kind, F.col("label"))), by)
+    kinds = (("URL", " / "), ("CONTROLLER_METHOD", " / "), ("IMPL_METHOD", " / "), ("TABLE", ", "))
+    parts = nodes.groupBy(q).agg(*(part(kind, by).alias(f"p{n}") for n, (kind, by) in enumerate(kinds)))
+    filled = [F.nullif(F.col(f"p{n}"), F.lit("")) for n in range(4)]
+    chained = F.concat_ws(" → ", *filled[:3], F.concat(F.lit(TABLES_OPEN), filled[3], F.lit(")")))
+    return parts.select(q, F.when(chained != "", F.concat(F.lit(FLOW), chained)).otherwise(F.lit(NOTHING)).alias("summary"))
+
+
 def call_chain(nodes: DataFrame) -> DataFrame:
     """label of the nodes of a chain without statements and tables, by layer and name."""
     rank = F.array_position(F.array(*map(F.lit, CHAIN_ORDER)), F.col("node_type"))
@@ -93,6 +113,66 @@ def pack(blocks: DataFrame, group: str, order: list[str], size: Column, budget:
     return rows.mapInArrow(fold, out)
 
 
+#: Rows of a group that one round folds.
+CHUNK = 20_000
+
+
+def pack_parallel(
+    blocks: DataFrame, group: str, order: list[str], size: Column, budget: int = BUDGET, used: Column | None = None, carry: tuple[str, ...] = (), chunk: int = CHUNK
+) -> DataFrame:
+    """What `pack` returns, for groups of any size: no task sees a group as a whole.
+
+    Rows are dealt by ranges of (group, order) and numbered. What is left of a budget only shrinks, so a row larger than
+    it never fits again. A round looks, for each group, at the next `chunk` rows that still fit what is left, folds only
+    those, and goes on behind them; it ends for a group when there are fewer or nothing is left. `used` is a prefix sum
+    over the kept rows: within each range, then over the ranges' totals."""
+    scratch = Scratch(blocks.sparkSession, "pack")
+    start = (used if used is not None else F.lit(0)).cast("long")
+    rows = blocks.select(F.struct(F.col(group).alias("g")).alias("__key"), *order, *carry, size.cast("long").alias("size"), start.alias("__start"))
+    by = ["__key", *order, *carry, "size"]
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__pos", F.monotonically_increasing_id())
+    placed = scratch.write(placed, "placed")
+    state = scratch.write(placed.groupBy("__key").agg((F.lit(budget) - F.min("__start")).alias("left"), F.lit(-1).cast("long").alias("after")), "state0")
+    narrow, kept, k = placed.select("__key", "__pos", "size").where("size > 0"), None, 0
+    while not state.isEmpty():
+        k += 1
+        fits = narrow.join(state, "__key").where("__pos > after AND size <= left")
+        nearest = Window.partitionBy("__key").orderBy("__pos")
+        some = fits.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= chunk).select("__key", "__pos", "size", "left")
+        folded = scratch.write(some.repartition("__key").sortWithinPartitions("__key", "__pos").mapInArrow(_fold_left, some.schema.add("kept", "boolean")), f"folded{k}")
+        ended = folded.groupBy("__key").agg(F.max_by("left", "__pos").alias("left"), F.max("__pos").alias("after"), F.count(F.lit(1)).alias("n"))
+        state = scratch.write(ended.where((F.col("n") == chunk) & (F.col("left") > 0)).select("__key", "left", "after"), f"state{k}")
+        now = folded.where("kept").select("__pos", F.lit(True).alias("__fits"))
+        kept = now if kept is None else kept.unionByName(now)
+    part = F.shiftright("__pos", 33)  # of the range
+    marked = placed.join(kept, "__pos", "left") if kept is not None else placed.withColumn("__fits", F.lit(None).cast("boolean"))
+    empty = (F.col("size") == 0) & (F.col("__start") <= budget)
+    marked = marked.withColumn("kept", F.coalesce("__fits", empty)).withColumn("__part", part)
+    own = Window.partitionBy("__key", "__part").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    taken = F.when(F.col("kept"), F.col("size")).otherwise(0)
+    marked = scratch.write(marked.withColumn("used", F.col("__start") + F.sum(taken).over(own)), "marked")
+    totals = marked.groupBy("__key", "__part").agg(F.sum(taken).alias("total"))
+    earlier = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("__key", "__part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
+    whole = marked.join(before, ["__key", "__part"])
+    return whole.select(F.col("__key.g").alias(group), *order, *carry, "size", "kept", (F.col("used") + F.col("before")).alias("used"))
+
+
+def _fold_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by key and place with what is left before the first of a key: kept, and what is left after each."""
+    last, left = object(), 0
+    for batch in batches:
+        kept, after = [], []
+        for key, n, first in zip(*(batch.column(c).to_pylist() for c in ("__key", "size", "left"))):
+            if key != last:
+                last, left = key, first
+            kept.append(n <= left)
+            left -= n if kept[-1] else 0
+            after.append(left)
+        columns = [*(batch.column(c) for c in ("__key", "__pos", "size")), pa.array(after, pa.int64()), pa.array(kept, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["__key", "__pos", "size", "left", "kept"])
+
+
 def references(packed: DataFrame, code: str = "code") -> DataFrame:
     """What kept blocks show: file, lines, label, first 200 characters of the trimmed code."""
     snippet = F.substring(F.regexp_replace(code, r"^\s+|\s+$", ""), 1, 200)

@@ -374,6 +374,16 @@ def context_pack(spark, d):
     return C.pack(parts, "p_brand", ["first", "p_partkey"], F.col("p_size"), budget=310).select("p_brand", "p_partkey", "kept", "used")
 
 
+@query("""WITH RECURSIVE items AS MATERIALIZED (SELECT row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS n, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS size FROM lineitem),
+took AS (SELECT CAST(0 AS BIGINT) AS n, CAST(12345 AS BIGINT) AS room UNION ALL SELECT i.n, t.room - i.size FROM took t JOIN items i ON i.n > t.n AND i.size <= t.room QUALIFY row_number() OVER (ORDER BY i.n) = 1)
+SELECT l_orderkey, l_linenumber, t.n IS NOT NULL AS kept, CAST(sum(CASE WHEN t.n IS NULL THEN 0 ELSE size END) OVER (ORDER BY items.n) AS BIGINT) AS used FROM items LEFT JOIN (SELECT n FROM took WHERE n > 0) t ON t.n = items.n""")
+def context_pack_one_group(spark, d):
+    """All line items in one group, in the order of their prices."""
+    lines = table(spark, d, "lineitem").withColumns({"everything": F.lit("all"), "first": -F.col("l_extendedprice")})
+    packed = C.pack_parallel(lines, "everything", ["first", "l_orderkey", "l_linenumber"], F.col("l_quantity"), budget=12345)
+    return packed.select("l_orderkey", "l_linenumber", "kept", "used")
+
+
 @query("SELECT doc_id, source AS file, CAST(1 AS INTEGER) AS line_start, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line_end, substring(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 200) AS snippet FROM documents")
 def references_snippet(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.col("doc_id").cast("string").alias("label"), F.lit(True).alias("kept"), F.col("text").alias("code"))

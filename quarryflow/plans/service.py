@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarryflow.functions.scalar import first_url_segment, line_slice, marked_slice, pagination
 from quarryflow.operators import context as C
-from quarryflow.operators import ddl, graph, java_source, mapper_xml, stacktrace, vector
+from quarryflow.operators import ddl, graph, java_source, mapper_xml, stacktrace, vector, vector_index
 from quarryflow.operators.relational import Tables
 from quarryflow.sources.files import save_table, with_cached
 from quarryflow.sources.scratch import Scratch
@@ -148,6 +148,60 @@ def ask_context(index: Index, question: str, k: int = 5, budget: int = C.BUDGET)
     return Context(text, refs, summary, left_out)
 
 
+def question_hits(index: Index, questions: DataFrame, k: int = 5) -> DataFrame:
+    """q, id, rank: the k nearest chunks of each question. questions: q and vector, or text, which is embedded."""
+    if "vector" not in questions.columns:
+        questions = vector.embed(questions, "text", vector.QUERY, index.backend, "vector")
+    chunks = index.chunks.select(F.col("node_id").alias("id"), F.col("embedding").alias("vector"))
+    return vector_index.top_k_join(questions.select(F.col("q").alias("query"), "vector"), chunks, k).select(F.col("query").alias("q"), "id", "rank")
+
+
+def question_blocks(index: Index, hits: DataFrame, budget: int = C.BUDGET) -> tuple[DataFrame, DataFrame]:
+    """The candidate blocks of all questions, packed question by question (q, tier, file_path, start_line, id, label,
+    end_line, code, block, size, kept, used), and q, summary. hits: q, id, rank."""
+    scratch = Scratch(hits.sparkSession, "questions")
+    hits = scratch.write(hits, "hits")
+    tiers = scratch.write(C.candidate_tiers_by_question(index.edges, hits), "tiers")
+    summaries = scratch.write(C.chain_summaries(tiers.join(index.nodes.select("id", "node_type", "label"), "id")), "summaries")
+    nodes = index.nodes.join(tiers.select("id").distinct(), "id", "left_semi")
+    code = _code_rows(index, nodes.withColumn("tier", F.lit(0))).drop("tier", "content")  # once a node, however many ask
+    asked = scratch.write(code.join(tiers, "id"), "asked")
+
+    seen = asked.where(F.col("tier") == C.HIT).select("q", F.explode(F.regexp_extract_all("code", F.lit(C.CONSTANT), F.lit(1))).alias("class_name")).distinct()
+    small = (F.col("layer") == "ETC") & (F.col("end_line") - F.col("start_line") + 1 <= C.CONSTANT_LINES)
+    classes = index.classes.where(small).select("class_name", "file_path", "start_line", "end_line")
+    constants = seen.join(classes, "class_name").join(asked.select("q", "class_name").distinct(), ["q", "class_name"], "left_anti")
+    constants = constants.join(index.files.select(F.col("path").alias("file_path"), "content"), "file_path")
+    named = {"id": F.concat(F.lit("ETC_REF::"), "class_name"), "node_type": F.lit("ETC_REF"), "method_name": F.lit(None).cast("string"), "tier": F.lit(C.HIT)}
+    constants = constants.withColumns(named).withColumn("code", line_slice("content", F.col("start_line"), F.col("end_line"))).drop("content")
+
+    rows = asked.unionByName(constants).join(summaries, "q")
+    rows = rows.withColumn("label", C.block_label(F.col("node_type"), F.col("class_name"), F.col("method_name")))
+    block = C.block(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("node_type"), F.col("label"), F.col("code"))
+    packed = C.pack(rows.withColumn("block", block), "q", ["tier", "file_path", "start_line"], F.length("block"), budget, F.length("summary"), ("id", "label", "end_line", "code", "block"))
+    return packed, summaries
+
+
+def ask_contexts(index: Index, questions: DataFrame, k: int = 5, budget: int = C.BUDGET) -> DataFrame:
+    """(q, summary, text, references, truncated): `ask_context` of any number of questions in one plan. questions: q
+    (unique) and text, or vector. A row holds kept blocks only, so its size is bounded by the budget."""
+    packed, summaries = question_blocks(index, question_hits(index, questions, k), budget)
+    snippet = F.substring(F.regexp_replace("code", r"^\s+|\s+$", ""), 1, 200)
+    reference = F.struct(F.col("file_path").alias("file"), F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end"), F.col("label").alias("class_method"), snippet.alias("snippet"))
+    part = F.when(F.col("kept"), F.struct("tier", "file_path", "start_line", "id", "block", reference.alias("reference")))
+    made = packed.groupBy("q").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.bool_or(~F.col("kept")).alias("truncated"))
+    whole = questions.select("q").join(summaries, "q", "left").join(made, "q", "left")
+    summary = F.coalesce("summary", F.lit(C.NOTHING))
+    text = F.array_join(F.concat(F.array(summary), F.transform("parts", lambda p: p["block"])), C.SEPARATOR)
+    return whole.select(
+        "q",
+        summary.alias("summary"),
+        F.coalesce(text, summary).alias("text"),
+        F.transform("parts", lambda p: p["reference"]).alias("references"),
+        F.coalesce("truncated", F.lit(False)).alias("truncated"),
+    )
+
+
 def diagnose_context(index: Index, log: str, own_prefix: str, budget: int = C.BUDGET) -> Context:
     """Status 400 if the log is no stack trace; without an own frame there is nothing to look up. The origin's block marks
     the failing line; if that lies outside the method (the code has moved), the first line is marked, with a warning."""

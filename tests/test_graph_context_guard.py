@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quarryflow.operators import context as C
 from quarryflow.operators import context, graph, harness, sql_guard, vector
 from quarryflow.plans.catalogue import _CASES
 
@@ -40,6 +41,24 @@ def test_packing_is_not_a_running_sum(spark):
     assert [r["kept"] for r in rows] == [True, False, True, False] and rows[-1]["used"] == 10
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 20_000])
+def test_packing_large_groups_equals_the_fold(spark, chunk):
+    rnd = random.Random(chunk)
+    rows = [(g, rnd.choice((i, i // 3, None)), rnd.choice((0, 1, 2, 5, 30, 61, 500)), 40) for g in ("a", "b", None) for i in range(90)]
+    rows += [rows[5], rows[5], ("late", 1, 0, 400), ("late", 1, 1, 400), ("full", 1, 5, 300), ("full", 2, 0, 300)]
+    blocks = spark.createDataFrame(rows, "q string, i int, s int, kept_before int").repartition(4)
+    got = C.pack_parallel(blocks, "q", ["i"], F.col("s"), budget=300, used=F.col("kept_before"), carry=("kept_before",), chunk=chunk)
+    place = lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[3], r[2])
+    want, total = [], {}
+    for q, i, s, start in sorted(rows, key=place):
+        total.setdefault(q, start)
+        kept = total[q] + s <= 300
+        total[q] += s if kept else 0
+        want.append((q, i, start, s, kept, total[q]))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert C.pack_parallel(blocks.limit(0), "q", ["i"], F.col("s")).collect() == []
+
+
 def test_search_examples_and_embedding(spark):
     rows = spark.createDataFrame([("a", "SQL", [1.0, 0.0]), ("b", "SQL", [1.0, 0.0]), ("c", "X", [1.0, 0.1]), ("z", "SQL", [0.0, 0.0])], "node_id string, layer string, embedding array<float>")
     found = vector.search(rows, [2.0, 0.0], 3).collect()
