@@ -27,6 +27,17 @@ def test_question(index):
     assert small.text == c.summary and small.references == [] and small.truncated
 
 
+def test_many_questions_are_answered_as_one_is(index, spark):
+    asked, budget = ["LoanServiceImpl find loan", "", "대출 mapper"], 450
+    got = service.ask_contexts(index, spark.createDataFrame(list(enumerate(asked)), "q int, text string"), budget=budget).collect()
+    assert sorted(r["q"] for r in got) == list(range(len(asked)))
+    for r in got:
+        one = service.ask_context(index, asked[r["q"]], budget=budget)
+        assert (r["summary"], r["text"], r["truncated"]) == (one.summary, one.text, one.truncated)
+        assert [x.asDict() for x in r["references"]] == one.references
+    assert service.ask_contexts(index, spark.createDataFrame([], "q int, text string")).collect() == []
+
+
 def test_failure(index):
     log = "java.lang.RuntimeException: x\n\tat app.loan.LoanServiceImpl.find(LoanServiceImpl.java:{0})\n\tat q.R.s(R.java:1)"
     c = service.diagnose_context(index, log.format(9), "app.")
