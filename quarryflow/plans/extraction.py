@@ -154,6 +154,47 @@ def statement_purposes(spark, d):
     return rows.select("namespace", "sql_id", "purpose", F.trim(mapper_xml.simplified()).alias("simpler"))
 
 
+def _varied_mappers(spark, d):
+    """A mapper file a supplier, of a shape that its key decides: how many statements stand in comments before the first
+    one, whether there is a second one in a CDATA section, a self-closing one, an end, and a content at all."""
+    k = F.col("s_suppkey")
+    hidden = F.transform(F.sequence(F.lit(1), k % 4 + 1), lambda j: F.concat(F.lit("  <!-- <select id='no"), j, F.lit("'>SELECT 1 FROM TB_NO</select> -->")))
+    text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    find = [
+        text("  <select id=\"find", k, "\" resultType='R", k, "'"),
+        F.lit("    parameterType=\"long\" note=\"a > b\">"),
+        text("    SELECT * FROM TB_", k % 7, " A <if test='a &lt; 1'>JOIN tb_b B</if> WHERE A.X &lt; ", k, " &#38; 1 <!-- kept -->"),
+        F.lit("  </select>"),
+    ]
+    drop = text("  <delete id='drop", k, "'><![CDATA[DELETE FROM TB_X WHERE A < ", k, "]]></delete\n>")
+    some = lambda condition, line: F.array_compact(F.array(F.when(condition, line)))
+    lines = F.concat(
+        F.array(F.lit("<?xml version=\"1.0\"?>"), text("<mapper namespace='app.m", k, "'>")),
+        hidden.cast("array<string>"),
+        F.array(*find),
+        some(k % 3 == 0, drop),
+        some(k % 2 == 0, F.lit("  <update id='empty'/>")),
+        some(k % 5 != 4, F.lit("</mapper>")),
+    )
+    content = F.when(k % 11 != 10, F.array_join(lines, "\n"))
+    return table(spark, d, "supplier").select(F.concat(F.lit("m"), k, F.lit(".xml")).alias("path"), content.alias("content"))
+
+
+@query("""WITH m AS (SELECT s_suppkey AS k, s_suppkey % 4 + 4 AS line FROM supplier WHERE s_suppkey % 5 <> 4 AND s_suppkey % 11 <> 10)
+SELECT 'm' || k || '.xml' AS file_path, 'app.m' || k AS namespace, 'find' || k AS sql_id, 'select' AS sql_type, CAST(line AS INTEGER) AS start_line, CAST(line + 3 AS INTEGER) AS end_line,
+'SELECT * FROM TB_' || k % 7 || ' A <if test=''a < 1''>JOIN tb_b B</if> WHERE A.X < ' || k || ' & 1 <!-- kept -->' AS sql_text, 'TB_' || k % 7 || ',TB_B' AS refs, 'R' || k AS result_type, 'long' AS parameter_type FROM m
+UNION ALL SELECT 'm' || k || '.xml', 'app.m' || k, 'drop' || k, 'delete', CAST(line + 4 AS INTEGER), CAST(line + 5 AS INTEGER), '<![CDATA[DELETE FROM TB_X WHERE A < ' || k || ']]>', 'TB_X', NULL, NULL FROM m WHERE k % 3 = 0""")
+def varied_statements(spark, d):
+    refs = F.array_join("referenced_tables", ",").alias("refs")
+    return mapper_xml.parse_mappers(_varied_mappers(spark, d)).select("file_path", "namespace", "sql_id", "sql_type", "start_line", "end_line", "sql_text", refs, "result_type", "parameter_type")
+
+
+@query("SELECT 'm' || s_suppkey || '.xml' AS path, s_suppkey % 11 <> 10 AS is_text FROM supplier WHERE s_suppkey % 5 = 4 OR s_suppkey % 11 = 10")
+def failed_mappers(spark, d):
+    failed = mapper_xml.failed_mappers(_varied_mappers(spark, d))
+    return failed.select("path", (F.col("error") != "not readable as UTF-8").alias("is_text"))
+
+
 @query("SELECT 'S' || s_suppkey || 'Bad.java' AS path FROM supplier")
 def failed_files(spark, d):
     broken = _files(spark, d, JAVA | {"S{k}Bad.java": "class A{k} { void f( { } }"})

@@ -151,3 +151,38 @@ def test_scans_and_slices(spark, tmp_path):
     (tmp_path / "manual_1.md").write_text("old")
     assert files.latest_manual(spark, str(tmp_path)).first()["content"] == "old"
     assert files.procedure_cache("{broken") == {} and files.procedure_cache('{"a": {}}') == {"a": {}}
+
+
+MAPPERS = {
+    "ok.xml": "\ufeff<?xml version='1.0' encoding='EUC-KR'?>\r\n<!DOCTYPE mapper PUBLIC '-//x//' 'http://nowhere/x.dtd'>\r\n<mapper namespace='a.B'>\r\n<!-- <select id='no'>x</select> -->\r\n<SELECT id='가' note=\"a > 'b'\"\r\n>\r\n 조회 &lt; <if test=\"a &gt; 1\">x</if>\r\n</SELECT><sql id='part'>y</sql><update id='self'/><insert id='i'><selectKey>z</selectKey>v</insert></mapper>",
+    "comment.xml": "<mapper namespace='c'><delete id='d'>a <!-- <select id='no'>n</select> --> b</delete></mapper>",
+    "none.xml": "<mapper/>",
+    "open.xml": "<mapper namespace='o'><select id='a'>x</select>",
+    "twice.xml": "<mapper><select id='a' id='b'>x</select></mapper>",
+    "two.xml": "<mapper/><mapper/>",
+    "text.xml": "hello",
+    "empty.xml": "",
+    "null.xml": None,
+}
+
+
+def test_mapper_files_of_any_kind(spark):
+    files = spark.createDataFrame(list(MAPPERS.items()), "path string, content string").repartition(3)
+    rows = [(r["file_path"], r["namespace"], r["sql_id"], r["sql_type"], r["start_line"], r["end_line"], r["sql_text"]) for r in mapper_xml.parse_mappers(files).orderBy("file_path", "start_line", "sql_id").collect()]
+    assert rows == [
+        ("comment.xml", "c", "d", "delete", 1, 1, "a <!-- <select id='no'>n</select> --> b"),
+        ("ok.xml", "a.B", "가", "select", 5, 8, '조회 < <if test="a > 1">x</if>'),
+        ("ok.xml", "a.B", "i", "insert", 8, 8, "<selectKey>z</selectKey>v"),
+    ]
+    failed = {r["path"]: r["error"] for r in mapper_xml.failed_mappers(files).collect()}
+    assert set(failed) == {"open.xml", "twice.xml", "two.xml", "text.xml", "empty.xml", "null.xml"} and "line 1" in failed["open.xml"] and all(failed.values())
+    assert mapper_xml.failed_mappers(files.limit(0)).collect() == []
+
+
+def test_a_large_mapper_file_takes_linear_time():
+    import time
+
+    body = "".join(f"<select id='s{k}'>\nSELECT {k} FROM TB_A\n</select>\n" for k in range(30_000))
+    began = time.process_time()
+    _, found, error = mapper_xml.read_mapper("x", f"<mapper namespace='n'>\n{body}</mapper>")
+    assert error is None and len(found) == 30_000 and found[-1]["end_line"] == 1 + 3 * 30_000 and time.process_time() - began < 10
