@@ -16,6 +16,7 @@ from quarryflow.functions.scalar import first_url_segment, line_slice, marked_sl
 from quarryflow.operators import context as C
 from quarryflow.operators import ddl, graph, java_source, mapper_xml, stacktrace, vector, vector_index
 from quarryflow.operators.relational import Tables
+from quarryflow.sources import publish
 from quarryflow.sources.files import save_table, with_cached
 from quarryflow.sources.scratch import Scratch
 
@@ -31,6 +32,8 @@ class Index:
     catalog: DataFrame
     chunks: DataFrame
     backend: Callable[[list[str]], np.ndarray]
+    #: The edges once more, where they are stored by target; else the same as edges.
+    incoming: DataFrame | None = None
 
 
 @dataclass
@@ -45,34 +48,59 @@ class Context:
 
 
 #: Tables of a stored index, beside `files`.
-STORED = ("classes", "statements", "nodes", "edges", "calls", "catalog", "chunks")
-
-
-def build_index(java: DataFrame, mappers: DataFrame, ddl_text: DataFrame, backend: Callable[[list[str]], np.ndarray] = vector.hashed_bag, folder: str | None = None, progress: Callable[[str, int, int], None] = lambda stage, done, total: None) -> Index:
-    """java, mappers: path, content; ddl_text: content. Each frame is written once, since every question reads them: to
-    `folder`, where `load_index` finds them later, or for the session only. Building again overwrites. progress gets the
-    stage, and how many of the stages are done."""
-    spark, n = java.sparkSession, len(STORED) + 1
-    scratch = Scratch(spark, "index")
-
-    def stored(name: str, df: DataFrame) -> DataFrame:
-        progress(name, (*STORED, "files").index(name), n)
-        if folder is None:
-            return scratch.write(df, name)
-        save_table(df, f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    classes, statements, catalog = stored("classes", java_source.parse_java(java)), stored("statements", mapper_xml.parse_mappers(mappers)), stored("catalog", ddl.parse_ddl(ddl_text))
-    nodes, edges, calls = (stored(name, df) for name, df in zip(("nodes", "edges", "calls"), graph.build_graph(classes, statements)))
-    chunks = vector.method_chunks(classes, java, nodes, edges).unionByName(vector.sql_chunks(statements))
-    chunks, files = stored("chunks", vector.embed(chunks, backend=backend)), stored("files", java.unionByName(mappers))
+STORED = ("classes", "statements", "catalog", "nodes", "edges", "calls", "incoming", "chunks")
+#: Columns that stored tables are sorted by: edges by source, and once more by target.
+LOOKED_UP_BY = {"nodes": "id", "edges": "src_id", "incoming": "dst_id", "chunks": "node_id"}
+
+
+def build_index(
+    java: DataFrame,
+    mappers: DataFrame,
+    ddl_text: DataFrame,
+    backend: Callable[[list[str]], np.ndarray] = vector.hashed_bag,
+    folder: str | None = None,
+    progress: Callable[[str, int, int], None] = lambda stage, done, total: None,
+) -> Index:
+    """java, mappers: path, content; ddl_text: content. Each frame is written once, since every question reads them: as a
+    new version below `folder`, which becomes the current one when all of it is there and which `load_index` finds later,
+    or for the session only. progress gets the stage, and how many of the stages are done."""
+    spark, n, made = java.sparkSession, len(STORED) + 1, {}
+
+    def build(write: Callable[[str, DataFrame], DataFrame]) -> None:
+        def stored(name: str, df: DataFrame) -> DataFrame:
+            progress(name, (*STORED, "files").index(name), n)
+            made[name] = write(name, df)
+            return made[name]
+
+        classes, statements = stored("classes", java_source.parse_java(java)), stored("statements", mapper_xml.parse_mappers(mappers))
+        stored("catalog", ddl.parse_ddl(ddl_text))
+        nodes, edges, _ = (stored(name, df) for name, df in zip(("nodes", "edges", "calls"), graph.build_graph(classes, statements)))
+        stored("incoming", edges)
+        chunks = vector.method_chunks(classes, java, nodes, edges).unionByName(vector.sql_chunks(statements))
+        stored("chunks", vector.embed(chunks, backend=backend))
+        stored("files", java.unionByName(mappers))
+
+    if folder is None:
+        build(Scratch(spark, "index").write)
+    else:
+        publish.publish(spark, folder, lambda version: build(lambda name, df: _laid_out(spark, version, name, df)))
     progress("done", n, n)
-    return Index(files, classes, statements, nodes, edges, calls, catalog, chunks, backend)
+    return Index(**made, backend=backend)
+
+
+def _laid_out(spark: SparkSession, version: str, name: str, df: DataFrame) -> DataFrame:
+    """A stored table, in the order of the column that it is looked up by: readers then skip what lies outside."""
+    by = LOOKED_UP_BY.get(name)
+    save_table(df.repartitionByRange(by).sortWithinPartitions(by) if by else df, f"{version}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{version}/{name}")
 
 
 def load_index(spark: SparkSession, folder: str, backend: Callable[[list[str]], np.ndarray] = vector.hashed_bag) -> Index:
-    """An index that `build_index` has stored."""
-    read = {name: spark.read.parquet(f"{folder}/{name}") for name in (*STORED, "files")}
+    """The current version of an index that `build_index` has stored."""
+    version = publish.current(spark, folder)
+    if version is None:
+        raise FileNotFoundError(f"no index in {folder}")
+    read = {name: spark.read.parquet(f"{version}/{name}") for name in (*STORED, "files")}
     return Index(**read, backend=backend)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarryflow.operators import relational as R
 from quarryflow.plans import service
-from quarryflow.sources import files
+from quarryflow.sources import files, publish
 from quarryflow.streaming.events import windowed_counts
 
 from .library import tables
@@ -101,3 +101,33 @@ def test_a_stored_index_and_its_job(spark, tmp_path):
     broken = service.IndexJob(lambda progress: 1 / 0)
     broken.start().join(60)
     assert broken.status()["status"] == "error" and "zero" in broken.status()["error"]
+
+
+def test_an_index_is_published_whole(spark, tmp_path):
+    java = spark.createDataFrame(list(JAVA.items()), "path string, content string")
+    xml = spark.createDataFrame([("l.xml", XML)], "path string, content string")
+    ddl = spark.createDataFrame([("CREATE TABLE TB_LOAN (A INT);",)], "content string")
+    root = str(tmp_path / "index")
+    with pytest.raises(FileNotFoundError):
+        service.load_index(spark, root)
+    service.build_index(java, xml, ddl, folder=root)
+    first = publish.current(spark, root)
+    held = service.load_index(spark, root)
+
+    def dies(stage, done, total):
+        if stage == "chunks":
+            raise RuntimeError("killed")
+
+    with pytest.raises(RuntimeError, match="killed"):
+        service.build_index(java.limit(1), xml, ddl, folder=root, progress=dies)
+    assert publish.current(spark, root) == first and service.load_index(spark, root).nodes.count() == held.nodes.count()
+    service.build_index(java.limit(1), xml, ddl, folder=root)
+    second = publish.current(spark, root)
+    assert second != first and service.load_index(spark, root).classes.count() == 1
+    assert held.nodes.count() > 3  # who has begun with the old version can go on
+    assert publish.drop_old(spark, root, keep=1) == [first.split("/")[-1]] and publish.current(spark, root) == second
+    into = service.load_index(spark, root).incoming.where("dst_id = 'TABLE::TB_LOAN'")
+    assert "EqualTo(dst_id" in into._jdf.queryExecution().executedPlan().toString() and into.count() == into.distinct().count() > 0
+    stored = [r["dst_id"] for r in spark.read.parquet(f"{second}/incoming").coalesce(1).collect()]
+    assert len(stored) > 1
+    assert not [p for p in (tmp_path / "index").iterdir() if p.name.startswith(".CURRENT") and not p.name.endswith(".crc")]
