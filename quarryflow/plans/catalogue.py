@@ -396,37 +396,62 @@ def chain_summary(spark, d):
     return C.chain_summary(named("region", "URL", "r_name").unionByName(named("nation", "IMPL_METHOD", "n_name")).unionByName(named("customer", "TABLE", "c_mktsegment")))
 
 
-# Extraction and the guard, on inline text
+# Extraction and the guard, on texts that the tables' rows make
 
-_TRACE = "ERROR request failed\njava.lang.IllegalStateException: no loan\n\tat app.loan.LoanService.find(LoanService.java:41)\n\tat java.base/java.lang.Thread.run(Thread.java:10)\n\tat org.web.Filter.doFilter(Filter.java:7)\nCaused by: java.lang.NullPointerException\n\tat app.loan.LoanDao.load(LoanDao.java:9)\n\tat app.X.y(Native Method)"
+_TRACE = "ERROR request failed\njava.lang.IllegalStateException: no loan\n\tat app.loan.LoanService.find(LoanService.java:{k})\n\tat java.base/java.lang.Thread.run(Thread.java:10)\n\tat org.web.Filter.doFilter(Filter.java:7)\nCaused by: java.lang.NullPointerException\n\tat app.loan.LoanDao.load(LoanDao.java:9)\n\tat app.X.y(Native Method)"
 
 
-@query("SELECT * FROM (VALUES (0, 'app.loan.LoanService', 'app.loan', 'LoanService', 'find', 'LoanService.java', 41), (1, 'org.web.Filter', 'org.web', 'Filter', 'doFilter', 'Filter.java', 7), (2, 'app.loan.LoanDao', 'app.loan', 'LoanDao', 'load', 'LoanDao.java', 9)) AS t(position, full_class, package, class_name, method_name, file_name, line_number)")
-def stacktrace_frames(spark, d):
-    parsed = stacktrace.parse_traces(spark.createDataFrame([(_TRACE,)], "content string"), own_prefix="app.")
-    return stacktrace.frame_rows(parsed)
+def _traces(spark, d):
+    """A log for each order, its number in the first own frame; every fourth one is no trace."""
+    text = F.when(F.col("o_orderkey") % 4 != 0, F.replace(F.lit(_TRACE), F.lit("{k}"), F.col("o_orderkey").cast("string"))).otherwise("all is well")
+    return stacktrace.parse_traces(table(spark, d, "orders").select("o_orderkey", text.alias("content")), own_prefix="app.")
 
 
-@query("SELECT 'java.lang.IllegalStateException, java.lang.NullPointerException' AS classes, CAST(2 AS INTEGER) AS own_frames, CAST(41 AS INTEGER) AS origin_line, true AS is_trace")
-def stacktrace_summary(spark, d):
-    parsed = stacktrace.parse_traces(spark.createDataFrame([(_TRACE,)], "content string"), own_prefix="app.")
-    return parsed.select(F.array_join(F.transform("exception_chain", lambda e: e["exception_class"]), ", ").alias("classes"), F.size("our_frames").alias("own_frames"), F.col("origin_frame.line_number").alias("origin_line"), "is_trace")
+@query("""SELECT o_orderkey, position, full_class, package, class_name, method_name, file_name, CAST(coalesce(line, o_orderkey) AS INTEGER) AS line_number FROM orders, (VALUES (0, 'app.loan.LoanService', 'app.loan', 'LoanService', 'find', 'LoanService.java', NULL),
+(1, 'org.web.Filter', 'org.web', 'Filter', 'doFilter', 'Filter.java', 7), (2, 'app.loan.LoanDao', 'app.loan', 'LoanDao', 'load', 'LoanDao.java', 9)) AS t(position, full_class, package, class_name, method_name, file_name, line) WHERE o_orderkey % 4 <> 0""")
+def stacktrace_frames(spark, d):
+    return stacktrace.frame_rows(_traces(spark, d), "o_orderkey")
 
 
-_SQLS = ["select * from tb_loan l join TB_BOOK b on 1 = 1", "update TB_MEMBER set a = 1", "insert into TB_LOAN values (1)", "select 1 from other", "SELECT * FROM TB_LOAN JOIN tb_loan x, tb_skip"]
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN 'java.lang.IllegalStateException, java.lang.NullPointerException' ELSE '' END AS classes, CAST(CASE WHEN o_orderkey % 4 <> 0 THEN 2 ELSE 0 END AS INTEGER) AS own_frames,
+CAST(CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey END AS INTEGER) AS origin_line, o_orderkey % 4 <> 0 AS is_trace FROM orders""")
+def stacktrace_summary(spark, d):
+    classes = F.array_join(F.transform("exception_chain", lambda e: e["exception_class"]), ", ")
+    return _traces(spark, d).select("o_orderkey", classes.alias("classes"), F.size("our_frames").alias("own_frames"), F.col("origin_frame.line_number").alias("origin_line"), "is_trace")
 
 
-@query("SELECT i, list_distinct_in_order AS refs FROM (VALUES (0, ['TB_LOAN', 'TB_BOOK']), (1, ['TB_MEMBER']), (2, ['TB_LOAN']), (3, []), (4, ['TB_LOAN'])) AS t(i, list_distinct_in_order)")
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN ['TB_L' || p_size, 'TB_BOOK'] WHEN 1 THEN ['TB_M' || p_size] WHEN 2 THEN ['TB_LOAN'] WHEN 3 THEN [] ELSE ['TB_LOAN'] END AS refs FROM part""")
 def table_refs(spark, d):
-    return spark.createDataFrame(list(enumerate(_SQLS)), "i int, sql string").select("i", S.table_refs("sql").alias("refs"))
-
-
-_DDL = "CREATE TABLE b_loan (id VARCHAR(20) NOT NULL COMMENT 'key', cnt INT DEFAULT 0, m VARCHAR(5), PRIMARY KEY (id), CONSTRAINT f FOREIGN KEY (m) REFERENCES a_mem (mid)) COMMENT='loans';\nCREATE TABLE a_mem (mid VARCHAR(5) PRIMARY KEY);"
-
-
-@query("SELECT 'TABLE a_mem' || chr(10) || '  - mid VARCHAR(5) [PK, NOT NULL]' || chr(10) || chr(10) || 'TABLE b_loan -- loans' || chr(10) || '  - id VARCHAR(20) [PK, NOT NULL]  -- key' || chr(10) || '  - cnt INT [DEFAULT 0]' || chr(10) || '  - m VARCHAR(5) [FK -> a_mem.mid]' AS schema_text")
+    """Statements of five shapes: a join, an update, an insert, no table of ours, and repeated names."""
+    size = F.col("p_size").cast("string")
+    shapes = [
+        F.concat(F.lit("select * from tb_l"), size, F.lit(" l join TB_BOOK b on 1 = 1")),
+        F.concat(F.lit("update TB_M"), size, F.lit(" set a = 1")),
+        F.lit("insert into TB_LOAN values (1)"),
+        F.lit("select 1 from other"),
+        F.lit("SELECT * FROM TB_LOAN JOIN tb_loan x, tb_skip"),
+    ]
+    sql = F.get(F.array(*shapes), (F.col("p_partkey") % 5).cast("int"))
+    return table(spark, d, "part").select("p_partkey", sql.alias("sql")).select("p_partkey", S.table_refs("sql").alias("refs"))
+
+
+@query("""WITH t AS (SELECT n_nationkey AS k, 't' || lpad(n_nationkey::VARCHAR, 2, '0') AS name, n_name FROM nation)
+SELECT string_agg('TABLE ' || name || CASE WHEN k % 4 < 2 THEN ' -- of ' || n_name ELSE '' END || chr(10) || '  - id VARCHAR(' || k + 5 || ') [PK, NOT NULL]  -- key of ' || k
+|| CASE WHEN k % 2 = 0 THEN chr(10) || '  - cnt INT [DEFAULT ' || k || ']' ELSE '' END || CASE WHEN k % 3 = 0 THEN chr(10) || '  - m VARCHAR(5) [FK -> t00.id]' ELSE '' END || chr(10) || '  - note TEXT', chr(10) || chr(10) ORDER BY name) AS schema_text FROM t""")
 def schema_text(spark, d):
-    return ddl.schema_text(ddl.parse_ddl(spark.createDataFrame([(_DDL,)], "content string")))
+    """A CREATE TABLE statement for each nation, with columns, keys and comments as its number decides."""
+    k, optional = F.col("n_nationkey"), lambda condition, *parts: F.when(condition, F.concat(*parts)).otherwise("")
+    made = F.concat(
+        F.lit("CREATE TABLE t"), F.lpad(k.cast("string"), 2, "0"), F.lit(" (id VARCHAR("), (k + 5).cast("string"), F.lit(") NOT NULL COMMENT 'key of "), k.cast("string"), F.lit("', "),
+        optional(k % 2 == 0, F.lit("cnt INT DEFAULT "), k.cast("string"), F.lit(", ")),
+        optional(k % 3 == 0, F.lit("m VARCHAR(5), ")),
+        F.lit("note TEXT, PRIMARY KEY (id)"),
+        optional(k % 3 == 0, F.lit(", CONSTRAINT f FOREIGN KEY (m) REFERENCES t00 (id)")),
+        F.lit(")"),
+        optional(k % 4 < 2, F.lit(" COMMENT='of "), F.col("n_name"), F.lit("'")),
+        F.lit(";"),
+    )
+    return ddl.schema_text(ddl.parse_ddl(table(spark, d, "nation").select(made.alias("content"))))
 
 
 #: Statements about a table {t} with a number {k}; what the guard says if {t} is known, its row limit as SQL.

@@ -258,17 +258,35 @@ def manual_entries(spark, d):
 # Chunks
 
 
-@query(_named("node_id, layer, url, tables, text", "'IMPL_METHOD::S{k}ServiceImpl.find' | 'SERVICE_IMPL' | NULL | 'TB_ALL,TB_S{k}' | '계층: ServiceImpl | 클래스: S{k}ServiceImpl | 메서드: find§관련 테이블: TB_ALL, TB_S{k}§---§    @Override§    public String find(int id) {§        if (id < 0) { throw new IllegalArgumentException(\"} \" + id); }§        s{k}Mapper.gone(id);§        return s{k}Mapper.select(id);§    }'".replace(" | 클래스", "¦ 클래스").replace(" | 메서드", "¦ 메서드"), "'CONTROLLER_METHOD::S{k}Controller.help' | 'CONTROLLER' | NULL | '' | '계층: Controller¦ 클래스: S{k}Controller¦ 메서드: help§---§    private String help(String s) { return s; }'"))
+#: Texts of a module's chunks, line feeds written as § and bars as ¦.
+_CHUNK_TEXTS = (
+    """'IMPL_METHOD::S{k}ServiceImpl.find' | 'SERVICE_IMPL' | NULL | 'TB_ALL,TB_S{k}' | '계층: ServiceImpl ¦ 클래스: S{k}ServiceImpl ¦ 메서드: find§관련 테이블: TB_ALL, TB_S{k}§---§    @Override§"""
+    """    public String find(int id) {§        if (id < 0) { throw new IllegalArgumentException("} " + id); }§        s{k}Mapper.gone(id);§        return s{k}Mapper.select(id);§    }'""",
+    """'CONTROLLER_METHOD::S{k}Controller.help' | 'CONTROLLER' | NULL | '' | '계층: Controller ¦ 클래스: S{k}Controller ¦ 메서드: help§---§    private String help(String s) { return s; }'""",
+    """'CONTROLLER_METHOD::S{k}Controller.list' | 'CONTROLLER' | '/s{k}/list.do' | 'TB_ALL,TB_S{k}' | '계층: Controller ¦ 클래스: S{k}Controller ¦ 메서드: list§URL: /s{k}/list.do§주석: 목록 {k}§관련 테이블: TB_ALL, TB_S{k}§---§"""
+    """    @RequestMapping(value = "/list.do", method = {RequestMethod.GET, RequestMethod.POST})§    public String list(int id, Map<String, String> model) {§        model.put("a", s{k}Service.find(id));§        return help("x");§    }'""",
+)
+_SQL_TEXTS = (
+    "'SQL::app.s{k}.S{k}Mapper.mark' | 'S{k}Mapper' | '계층: SQL ¦ Mapper: S{k}Mapper ¦ SQL ID: mark§유형: update§관련 테이블: TB_S{k}§XML 파일: S{k}Mapper.xml§---§UPDATE TB_S{k} SET A = ''a'' WHERE B < 5'",
+    "'SQL::app.s{k}.S{k}Mapper.select' | 'S{k}Mapper' | '계층: SQL ¦ Mapper: S{k}Mapper ¦ SQL ID: select§유형: select§관련 테이블: TB_S{k}, TB_ALL§XML 파일: S{k}Mapper.xml§---§"
+    "SELECT * FROM TB_S{k} A JOIN tb_all B ON A.X = B.X§        <where><if test=\"id > 0\">AND A.ID = #{id}</if></where>'",
+)
+
+
+def _in_one_line(text):
+    return F.translate(text, "\n|", "§¦")
+
+
+@query(_named("node_id, layer, url, tables, text", *_CHUNK_TEXTS))
 def method_chunks(spark, d):
     nodes, edges, _ = _graph(spark, d)
-    chunks = vector.method_chunks(_classes(spark, d), _files(spark, d, JAVA), nodes, edges).where("method_name <> 'list'")
-    return chunks.select("node_id", "layer", "url", F.array_join("tables", ",").alias("tables"), F.replace(F.replace("text", F.lit("\n"), F.lit("§")), F.lit(" |"), F.lit("¦")).alias("text"))
+    chunks = vector.method_chunks(_classes(spark, d), _files(spark, d, JAVA), nodes, edges)
+    return chunks.select("node_id", "layer", "url", F.array_join("tables", ",").alias("tables"), _in_one_line("text").alias("text"))
 
 
-@query(_named("node_id, class_name, text", "'SQL::app.s{k}.S{k}Mapper.mark' | 'S{k}Mapper' | '계층: SQL¦ Mapper: S{k}Mapper¦ SQL ID: mark§유형: update§관련 테이블: TB_S{k}§XML 파일: S{k}Mapper.xml§---§UPDATE TB_S{k} SET A = ''a'' WHERE B < 5'"))
+@query(_named("node_id, class_name, text", *_SQL_TEXTS))
 def sql_chunks(spark, d):
-    chunks = vector.sql_chunks(_statements(spark, d)).where("method_name = 'mark'")
-    return chunks.select("node_id", "class_name", F.replace(F.replace("text", F.lit("\n"), F.lit("§")), F.lit(" |"), F.lit("¦")).alias("text"))
+    return vector.sql_chunks(_statements(spark, d)).select("node_id", "class_name", _in_one_line("text").alias("text"))
 
 
 @query("SELECT vec_id AS node_id, CASE WHEN vec_id = 1 THEN 0 WHEN vec_id = 2 THEN 1 ELSE 2 END AS tier FROM (SELECT vec_id FROM embeddings WHERE vec_id < 3 AND vec_id > 0 UNION ALL SELECT vec_id FROM (SELECT vec_id FROM embeddings WHERE vec_id <> 2 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 4))")
