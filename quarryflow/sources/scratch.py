@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _left: list[tuple[object, object, str]] = []  # JVM, its Hadoop configuration, folder
+_blocks = threading.local()  # of each thread, the lists of the blocks that it is in
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -24,9 +26,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SCRATCH).rstrip("/")
 
 
-def _tidy(since: int = 0) -> None:
-    while len(_left) > since:
-        jvm, conf, path = _left.pop()
+def _tidy(folders: list[tuple[object, object, str]]) -> None:
+    while folders:
+        jvm, conf, path = folders.pop()
         try:
             folder = jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(conf).delete(folder, True)
@@ -34,15 +36,21 @@ def _tidy(since: int = 0) -> None:
             continue
 
 
-atexit.register(_tidy)
+atexit.register(_tidy, _left)
 
 
 @contextmanager
 def temporary_tables() -> Iterator[None]:
-    """Tables that are written inside go at the end of the block: what is read later must have been written elsewhere."""
-    since = len(_left)
-    yield
-    _tidy(since)
+    """Tables that this thread writes inside go at the end of the block, also if it fails: what is read later must have been
+    written elsewhere. Blocks may stand in each other; other threads' tables stay."""
+    own: list[tuple[object, object, str]] = []
+    stack = _blocks.__dict__.setdefault("stack", [])
+    stack.append(own)
+    try:
+        yield
+    finally:
+        stack.pop()
+        _tidy(own)
 
 
 class Scratch:
@@ -50,7 +58,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/quarryflow-{name}-{uuid.uuid4().hex}"
-        _left.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), self.root))
+        stack = _blocks.__dict__.get("stack")
+        held = stack[-1] if stack else _left
+        held.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), self.root))
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """The table, read back. Its shuffle files go when it is written, not when the driver's memory happens to be tidied."""
