@@ -7,8 +7,10 @@ equals) and those of its siblings that look like text are kept.
 
 Elements that never show main text go by their tag, their role or a hidden attribute, wherever they stand. Class and id
 names only raise doubt: an element with a name like `comments` or `cookie-notice` goes unless it holds most of the page's
-points and no paragraph outside such elements is long; one with a mere mention, as in `has-sidebar`, goes only if it does
-not hold most of the points. A page is read and scored in time proportional to its length.
+points and no paragraph outside such elements (but for those around it) is long; one with a mere mention, as in
+`has-sidebar`, goes only if it does not hold most of the points. Forms, field sets and a `nav` that is never closed are
+doubted like names, since some pages stand in one as a whole, and stay only with a long paragraph in them. A page is read
+and scored in time proportional to its length.
 
 Defined results: null or empty html and pages without text give the empty string; broken markup (unclosed tags,
 comments, quotes) is read as far as it makes sense; repeated rows give repeated results; other columns are ignored.
@@ -19,7 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,14 +34,16 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|
 #: Fixed values of HTML: elements whose content is not markup, that hold nothing, that never show main text, that stand in a line.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-NEVER = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "select", "object", "canvas", "svg", "math", "audio", "video", "datalist", "fieldset"} | RAW
+NEVER = {"footer", "aside", "head", "menu", "dialog", "button", "select", "object", "canvas", "svg", "math", "audio", "video", "datalist"} | RAW
+#: Elements that hold a whole page at times.
+DOUBTED = {"form", "fieldset", "nav"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 PARAGRAPHS = {"p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt", "dd", "blockquote", "figcaption", "caption"}
 #: Opening the key closes an open element of the value's kinds, up to the nearest list, table or container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "div", "article", "section", "main", "body"}
 #: Words of names: of what is not main text, what such names may also hold, and what names of main text hold.
-UNLIKELY = re.compile(r"ads?|advert\w*|adbox|banners?|sponsor\w*|promo\w*|sidebars?|side|menus?|nav\w*|breadcrumbs?|foot(?:er)?|header|masthead|cookies?|notices?|consent|gdpr|pop-?up|modal|newsletter|subscribe|shar(?:e|ing)|social|comments?|disqus|respond|repl(?:y|ies)|related|recommend\w*|widgets?|login|signup|search|pag(?:er|ination)|toolbar|hidden")
+UNLIKELY = re.compile(r"ads?|advert\w*|adbox|banners?|sponsor\w*|promo\w*|sidebars?|side|menus?|nav\w*|breadcrumbs?|foot(?:er)?|header|masthead|cookies?|notices?|consent|gdpr|pop-?up|modal|newsletter|subscribe|shar(?:e|ing)|social|comments?|disqus|respond|responses?|repl(?:y|ies)|related|recommend\w*|widgets?|login|signup|search|pag(?:er|ination)|toolbar|hidden")
 NEUTRAL = re.compile(r"\d+|site|page|top|bottom|left|right|global|block|box|bar|list|lists|section|wrapper|wrap|container|area|panel|slot|unit|inner|outer|reader|readers|user|users|form|links?|items?|buttons?|posts|articles|stories|region|group|row|col|thread|bottom|sticky|fixed|up|down|main|primary|secondary|js|id|the")
 LIKELY = re.compile(r"article|body|content|entry|main|post|story|text")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
@@ -50,13 +54,13 @@ LONG = 80
 class Node:
     """An element. gone: it never shows main text. doubt: 2 for the name of something else, 1 for a mention of it."""
 
-    __slots__ = ("tag", "parent", "gone", "doubt", "hint", "chars", "link", "points", "score", "dropped")
+    __slots__ = ("tag", "parent", "gone", "doubt", "hint", "chars", "link", "points", "score", "dropped", "closed", "long")
 
     def __init__(self, tag: str, parent: Node | None, gone: bool, doubt: int, hint: int):
         self.tag, self.parent, self.gone, self.doubt, self.hint = tag, parent, gone, doubt, hint
         self.chars = self.link = 0
         self.points = self.score = 0.0
-        self.dropped = False
+        self.dropped = self.closed = self.long = False  # long: it holds a long paragraph
 
     def density(self) -> float:
         return self.link / self.chars if self.chars else 0.0
@@ -83,16 +87,42 @@ def _kind(tag: str, attrs: str, inside: bool) -> tuple[bool, int, int]:
     """Whether an element never shows main text, the doubt and the hint from its names. inside: it stands in an article."""
     if tag in NEVER or tag == "header" and not inside:
         return True, 0, 0
+    if tag in DOUBTED and not attrs:
+        return False, 2, 0
     if not attrs or tag in ("html", "body"):
         return False, 0, 0
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
         return True, 0, 0
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    doubt = 0 if tag in ("article", "main") else name_doubt(names)
+    doubt = 0 if tag in ("article", "main") else 2 if tag in DOUBTED else name_doubt(names)
     return False, doubt, 0 if doubt else 25 * bool(LIKELY.search(names.lower()))
 
 
+class _Hidden:
+    """Inline elements that are hidden, with those open inside them."""
+
+    def __init__(self):
+        self.tags, self.count = [], Counter()
+
+    def push(self, tag: str) -> None:
+        self.tags.append(tag)
+        self.count[tag] += 1
+
+    def close(self, tag: str) -> None:
+        """Closes the innermost element of this tag, with all in it."""
+        while self.count[tag]:
+            last = self.tags.pop()
+            self.count[last] -= 1
+            if last == tag:
+                break
+
+    def clear(self) -> None:
+        if self.tags:
+            self.tags.clear()
+            self.count.clear()
+
+
 class _Open:
     """The open elements, and where each tag and each holder of lists or tables stands among them."""
 
@@ -118,6 +148,7 @@ class _Open:
     def close(self, tag: str) -> bool:
         if not self.at[tag]:
             return False
+        self.nodes[self.at[tag][-1]].closed = True
         self.cut(self.at[tag][-1])
         return True
 
@@ -135,12 +166,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     nodes = [Node("html", None, False, 0, 0)]
     open_, at, link, words, linked = _Open(nodes[0]), 0, 0, [], 0
     runs: list[tuple[Node, str, int]] = []
-    skip_inline: list[str] = []  # inline elements that are hidden, with those open inside them
+    hidden = _Hidden()
     last, no_cdata = page.rfind(">") + 1, False
 
     def text(piece: str) -> None:
         nonlocal linked
-        if piece and not open_.nodes[-1].gone and not skip_inline:
+        if piece and not open_.nodes[-1].gone and not hidden.tags:
             words.append(entities.unescape(piece) if "&" in piece else piece)
             if link:
                 linked += len("".join(words[-1].split()))
@@ -172,17 +203,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         elif m["close"]:
             if tag in INLINE:
                 link = max(0, link - (tag == "a"))
-                if skip_inline and tag in skip_inline:
-                    del skip_inline[len(skip_inline) - 1 - skip_inline[::-1].index(tag) :]
+                hidden.close(tag)
             elif open_.at[tag]:
                 flush()
                 open_.close(tag)
                 link = 0
-                skip_inline.clear()
+                hidden.clear()
         elif tag in INLINE:
             link += tag == "a"
-            if skip_inline or m["attrs"] and ((kind := _kind(tag, m["attrs"], True))[0] or kind[1] > 1):
-                skip_inline.append(tag)
+            if hidden.tags or m["attrs"] and ((kind := _kind(tag, m["attrs"], True))[0] or kind[1] > 1):
+                hidden.push(tag)
         elif tag in VOID:
             if tag == "hr":
                 flush()
@@ -193,7 +223,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         else:
             flush()
             link = 0
-            skip_inline.clear()
+            hidden.clear()
             if tag not in RAW:
                 if tag in CLOSES:
                     open_.close_kinds(CLOSES[tag])
@@ -217,19 +247,29 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
 
 
 def _doubts(nodes: list[Node], runs: list[tuple[Node, str, int]], points: list[float]) -> None:
-    """Marks the elements whose names raise a doubt that their share of the points does not lift, and all in them."""
-    doubtful = {}
+    """Marks the elements that are doubted and whose share of the points does not lift the doubt, and all in them."""
+    nearest: dict[int, Node | None] = {}  # the nearest doubted element around what stands in an element
     for x in nodes:
-        doubtful[id(x)] = x.doubt > 0 or x.parent is not None and doubtful[id(x.parent)]
-    for (node, _, _), p in zip(runs, points):
+        nearest[id(x)] = x if x.doubt else nearest[id(x.parent)] if x.parent is not None else None
+    plain = set()  # doubted elements (and None for the page) with a long paragraph that no doubted element in them holds
+    for (node, run, linked), p in zip(runs, points):
         node.points += p
+        if len(run) >= LONG and 2 * linked < len(run):
+            node.long = True
+            around = nearest[id(node)]
+            plain.add(None if around is None else id(around))
     for x in reversed(nodes):
         if x.parent is not None:
             x.parent.points += x.points
-    plain = any(len(run) >= LONG and 2 * linked < len(run) and not doubtful[id(node)] for node, run, linked in runs)
+            x.parent.long |= x.long
+    other: dict[int, bool] = {}  # whether there is such a paragraph outside an element, in the page or a doubted one around
     for x in nodes:
-        most = 2 * x.points > nodes[0].points
-        x.dropped = x.parent is not None and x.parent.dropped or x.doubt > 0 and not (most and (x.doubt == 1 or not plain))
+        up = x.parent
+        other[id(x)] = None in plain if up is None else other[id(up)] or bool(up.doubt) and id(up) in plain
+        lifted = 2 * x.points > nodes[0].points and (x.doubt == 1 or not other[id(x)])
+        if x.tag in DOUBTED:
+            lifted = lifted and x.long and not (x.tag == "nav" and x.closed)
+        x.dropped = up is not None and up.dropped or x.doubt > 0 and not lifted
 
 
 def run_points(runs: list[tuple[Node, str, int]]) -> list[float]:
@@ -273,10 +313,10 @@ def main_text(page: str | None) -> str:
         up = up.parent
     kept, siblings = {id(best)}, [x for x in nodes if x.parent is best.parent and not x.gone and not x.dropped]
     if best.parent is not None and best.tag not in ("article", "main", "body"):
-        least = max(10.0, 0.2 * best.total())
         for x in siblings:
             bare = x.chars > LONG and x.density() < 0.25 or x.chars > 0 and not x.link and x.tag in PARAGRAPHS
-            if x.total() >= least or x.tag in PARAGRAPHS and bare:
+            worthy = x.total() >= 0.2 * best.total() and (x.total() >= 10 or x.long and x.density() < 0.25)
+            if worthy or x.tag in PARAGRAPHS and bare:
                 kept.add(id(x))
     elif best.tag == "article" and best.parent is not None:
         kept |= {id(x) for x in siblings if x.tag == "article" and x.total() >= 0.2 * best.total()}

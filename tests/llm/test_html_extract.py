@@ -52,7 +52,7 @@ def test_what_is_named_for_something_else_goes(name):
     assert main_text(f'<body><div class="post">{TWO}<div class="{name}"><p>Short, extra, text.</p></div></div></body>').count("\n") == 1
 
 
-@pytest.mark.parametrize("page", ["<div>x" * 16000, "<a " * 300000, "<![CDATA[>" * 100000, "<p>a</x></x>" * 60000, "<x><li>" * 50000, "<a<b" * 200000, "<div>" * 30000 + "</p>" * 100000, "<a \"'>" * 100000, "<ul>" * 20000 + "<li>y" * 20000])
+@pytest.mark.parametrize("page", ["<div>x" * 16000, "<a " * 300000, "<![CDATA[>" * 100000, "<p>a</x></x>" * 60000, "<x><li>" * 50000, "<a<b" * 200000, "<div>" * 30000 + "</p>" * 100000, "<a \"'>" * 100000, "<ul>" * 20000 + "<li>y" * 20000, "<span hidden>" * 60000 + "</i>" * 60000, "<span hidden>" * 60000 + "<i></i>" * 60000 + "</span>" * 60000])
 def test_hostile_pages_end_soon(page):
     start = time.time()
     main_text(page)
@@ -80,3 +80,91 @@ def test_scores_are_the_definition_and_blocks_stay_whole(spark):
         text, order, at = main_text(row["html"]), [r for _, r, _ in runs], -1
         for line in text.split("\n") if text else []:
             at = order.index(line, at + 1)  # in page order
+
+
+def test_a_form_or_an_open_nav_around_the_page_keeps_the_article():
+    menu = "<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>"
+    for page in (f"<body><form method=post>{menu}<div>{TWO}</div></form><p>(c) 2020</p></body>", f"<body><form id=aspnetForm><fieldset><div>{TWO}</div></fieldset></form></body>", f"<body><nav>{menu}<div>{TWO}</div></body>"):
+        got = main_text(page)
+        assert got.startswith("First paragraph") and "Second one" in got and "One" not in got.split("\n") and "(c)" not in got
+    small = f"<body><div>{TWO}</div><form><p>Subscribe, now, to our letter, which comes once a week, and has all the news of all.</p></form></body>"
+    assert main_text(small).count("\n") == 1
+    assert main_text(f"<body><nav><p>A long text in a menu, with commas, and with more words than any menu should ever hold.</p></nav><p>short</p></body>") == "short"
+    comments = "<p>Some reader says something, with commas, and at length, but it is not the article at all.</p>" * 9
+    assert main_text(f'<body><form><div class=post>{TWO}</div><div class="comments">{comments}</div></form></body>').count("\n") == 1
+
+
+def test_a_second_container_of_the_article_stays():
+    p = "<p>One more paragraph, with commas, of the very same article, long enough to be read as such.</p>"
+    assert main_text(f"<body><div><div>{p * 3}</div><div>{p * 2}</div><div>share, this</div></div></body>").count("\n") == 4
+
+
+def test_reader_responses_go():
+    assert main_text(f'<body><article>{TWO}<div class="reader-responses"><p>Nice, text.</p></div></article></body>').count("\n") == 1
+
+
+def _chosen(page):
+    """The choice of blocks by its definition: sets of ancestors, sums over all runs below, no passes over the tree."""
+    nodes, runs = H.parse(page)
+    points = H.run_points(runs)
+    above = lambda x: [x, *above(x.parent)] if x is not None else []
+    below = lambda x, some: [(r, p) for r, p in some if x in above(r[0])]
+    every = list(zip(runs, points))
+    total = sum(points)
+    is_long = lambda r: len(r[1]) >= H.LONG and 2 * r[2] < len(r[1])
+
+    def lifted(x):
+        others = [a for a in above(x.parent)]
+        outside = any(is_long(r) and all(d in others for d in above(r[0]) if d.doubt) for r, _ in every)
+        share = 2 * sum(p for _, p in below(x, every)) > total
+        fine = share and (x.doubt == 1 or not outside)
+        return fine and (x.tag not in H.DOUBTED or any(is_long(r) for r, _ in below(x, every)) and not (x.tag == "nav" and x.closed))
+
+    left = [(r, p) for r, p in every if all(not a.doubt or lifted(a) for a in above(r[0]))]
+    if not left:
+        return ""
+    to = lambda r: (r[0].parent or r[0]) if r[0].tag in H.PARAGRAPHS else r[0]
+    score = lambda x: sum(p / 2 ** above(to(r)).index(x) for r, p in left if x in above(to(r)))
+    density = lambda x: sum(min(len(r[1]), r[2]) for r, _ in below(x, left)) / max(1, sum(len(r[1]) for r, _ in below(x, left)))
+    worth = {id(x): (score(x) + x.hint + 25 * (x.tag in ("article", "main"))) * (1 - density(x)) for x in nodes}
+    best = max((x for x in nodes if any(x in above(to(r)) for r, _ in left)), key=lambda x: worth[id(x)])
+    best = next((a for a in above(best) if a.tag in ("article", "main")), best)
+    near = [x for x in nodes if x.parent is best.parent and not x.gone and all(not a.doubt or lifted(a) for a in above(x))]
+    kept = [best]
+    for x in near if best.parent is not None else []:
+        text = sum(len(r[1]) for r, _ in below(x, left))
+        if best.tag in ("article", "main", "body"):
+            good = best.tag == "article" and x.tag == "article" and worth[id(x)] >= 0.2 * worth[id(best)]
+        else:
+            bare = x.tag in H.PARAGRAPHS and (text > H.LONG and density(x) < 0.25 or text > 0 and density(x) == 0)
+            long = any(is_long(r) for r, _ in below(x, every))
+            good = bare or worth[id(x)] >= 0.2 * worth[id(best)] and (worth[id(x)] >= 10 or long and density(x) < 0.25)
+        kept += [x] * good
+    out = []
+    for r, _ in left:
+        line = above(r[0])
+        inside = next((n for n, a in enumerate(line) if a in kept), None)
+        menus = inside is not None and any(a.tag in ("ul", "ol", "table") and density(a) > 0.7 for a in line[:inside])
+        out += [r[1]] if inside is not None and not menus else []
+    return "\n".join(out)
+
+
+def test_the_choice_is_its_definition():
+    import random
+
+    rnd = random.Random(5)
+    tags = ("div", "div", "section", "article", "form", "nav", "fieldset", "p", "p", "ul", "li", "td", "h2")
+    names = ("", "", "", ' class="comments"', ' class="content"', ' class="has-sidebar"', ' id="cookie-notice"', " hidden")
+    words = lambda n: ", ".join(rnd.choice(("word", "more text", "some")) for _ in range(n))
+
+    def block(depth):
+        tag = rnd.choice(tags)
+        inner = "".join(block(depth - 1) for _ in range(rnd.randrange(1, 5))) if depth and tag not in ("p", "h2", "li", "td") else rnd.choice((words(rnd.choice((1, 4, 30))), f"<a href=x>{words(6)}</a>", f"{words(9)} <a>b</a>"))
+        return f"<{tag}{rnd.choice(names)}>{inner}" + (f"</{tag}>" if rnd.random() < 0.9 else "")
+
+    seen = set()
+    for _ in range(400):
+        page = "<body>" + "".join(block(3) for _ in range(rnd.randrange(1, 5)))
+        assert main_text(page) == _chosen(page), page
+        seen.add(main_text(page).count("\n"))
+    assert len(seen) > 4
