@@ -15,7 +15,8 @@ that occurs more than HOT times, as its level tells, are dealt into so many grou
 The classes without an earlier match so far are open, and each meets every class in the index. Entries that meet must
 pass the length filter, the positional filter (what is shared up to this position and after it can be enough) and a
 parity sketch of 64 bits, 128 for long lines, which must not differ in more bits than similar lines have tokens apart. A
-pair must then share as many index tokens as two similar lines must. Pairs that remain are verified on their words.
+pair must then share as many index tokens as two similar lines must. Pairs that remain are verified on their words, for
+each class the most promising one first; pairs of which both ends were settled by those are not looked at.
 
 Defined results: null text stays null; empty texts stay empty; rows with the same id and text are one document, and
 decisions hold for all of them; a text of which all lines go becomes empty; other columns are carried along.
@@ -122,7 +123,8 @@ def _near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
 
 
 def _candidates(stands: DataFrame) -> DataFrame:
-    """Pairs (ha, hb) of an open class and any other that pass the filters; two open classes give one pair."""
+    """Pairs (ha, hb) of an open class and any other that pass the filters, and c, the index tokens that they share; two
+    open classes give one pair."""
     index = stands.select("h", "n", "parity", "odd", "open", F.posexplode("first").alias("at", "token"))
     # Size, position and state in one number, which keeps the exchange narrow.
     index = index.select("token", "h", "parity", "odd", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at") * 2 + F.col("open").cast("long")).alias("packed"))
@@ -141,7 +143,7 @@ def _candidates(stands: DataFrame) -> DataFrame:
     counted = met.groupBy(a("h").alias("ha"), b("h").alias("hb"), a("n").alias("na"), b("n").alias("nb")).agg(F.count(F.lit(1)).alias("c"))
     # Of the prefix that ends first, all tokens that the lines share are in the other prefix too.
     needed = F.ceil((F.col("na") + F.col("nb")) * NUM / (NUM + DEN)) + 1 - F.greatest(_least(F.col("na")), _least(F.col("nb")))
-    return counted.where(F.col("c") >= needed).select("ha", "hb")
+    return counted.where(F.col("c") >= needed).select("ha", "hb", "c")
 
 
 def _later(pairs: DataFrame, docs: DataFrame, stands: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -160,6 +162,20 @@ def _later(pairs: DataFrame, docs: DataFrame, stands: DataFrame, scratch: Scratc
     return scratch.write(found.select(F.when(F.col("pa") < F.col("pb"), ends("b")).otherwise(ends("a")).alias("k")).select("k.*").distinct(), name)
 
 
+def _by_best_partner(pairs: DataFrame, docs: DataFrame, stands: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, h2) of the later class of each similar pair. One similar earlier class is enough, so each class is compared first
+    with the one that it shares most index tokens with, and then only pairs are left in which an end was not settled so."""
+    ends = pairs.select(F.col("ha").alias("h"), F.col("hb").alias("other"), "c").union(pairs.select("hb", "ha", "c"))
+    best = ends.groupBy("h").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
+    best = scratch.write(best.select(F.least("h", "other").alias("ha"), F.greatest("h", "other").alias("hb")).distinct(), "best")
+    found = _later(best, docs, stands, scratch, "more")
+    gone = hinted(found.select("h").distinct(), 8)
+    pairs = pairs.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb"))
+    left = [pairs.join(gone.withColumnRenamed("h", c), c, "left_anti").select("ha", "hb") for c in ("ha", "hb")]
+    rest = scratch.write(left[0].union(left[1]).distinct().join(hinted(best, 16), ["ha", "hb"], "left_anti"), "rest")
+    return found.union(_later(rest, docs, stands, scratch, "more2")).distinct()
+
+
 def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, th, gone array<int>): numbers of the lines that go. docs: id, th (a hash of the text), text."""
     raw = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(SOLID))
@@ -188,7 +204,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     settled = settled.union(_later(scratch.write(as_pairs(met), "near2"), docs, stands, scratch, "settled2")).distinct()
 
     marked = stands.join(hinted(scratch.write(settled.withColumn("settled", F.lit(True)), "settled-all"), 24), ["h", "h2"], "left").withColumn("open", F.col("settled").isNull())
-    more = _later(scratch.write(_candidates(marked), "pairs"), docs, stands, scratch, "more")
+    more = _by_best_partner(scratch.write(_candidates(marked), "pairs"), docs, stands, scratch)
 
     later = settled.union(more).distinct().withColumn("later", F.lit(True))
     decided = scratch.write(repeated.join(later, ["h", "h2"], "full").select("h", "h2", "place", F.coalesce("later", F.lit(False)).alias("later")), "decided")
