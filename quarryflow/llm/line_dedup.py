@@ -12,7 +12,7 @@ of its index tokens from the rarest to the commonest; where many classes are nea
 are compared with the first few of them too. So the pairs of a group of copies are not listed. The classes of a token
 that occurs more than HOT times, as its level tells, are dealt into so many groups that each stays below about that.
 
-The classes without an earlier match so far are open, and each meets every class in the index. Entries that meet must
+The classes without an earlier match so far are open, and each meets every earlier class in the index. Entries that meet must
 pass the length filter, the positional filter (what is shared up to this position and after it can be enough) and a
 parity sketch of 64 bits, 128 for long lines, which must not differ in more bits than similar lines have tokens apart. A
 pair must then share as many index tokens as two similar lines must. Pairs that remain are verified on their words, for
@@ -31,6 +31,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType, IntegralType
 
 from .common import Scratch, hinted
 
@@ -122,23 +123,43 @@ def _near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     return (F.least(a("n"), b("n")) * DEN >= F.greatest(a("n"), b("n")) * NUM) & (bits * (NUM + DEN) <= (a("n") + b("n")) * (DEN - NUM))
 
 
-def _candidates(stands: DataFrame) -> DataFrame:
-    """Pairs (ha, hb) of an open class and any other that pass the filters, and c, the index tokens that they share; two
-    open classes give one pair."""
-    index = stands.select("h", "n", "parity", "odd", "open", F.posexplode("first").alias("at", "token"))
-    # Size, position and state in one number, which keeps the exchange narrow.
-    index = index.select("token", "h", "parity", "odd", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at") * 2 + F.col("open").cast("long")).alias("packed"))
+def _ages(docs: DataFrame) -> Column:
+    """A number from 0 to 511 that never falls from a document to a later one: the id's place between the least and the
+    greatest, where ids are numbers, and the last for null ids. Documents of one number may stand in either order."""
+    kind = docs.schema["id"].dataType
+    if not isinstance(kind, (IntegralType, FractionalType)):
+        return F.lit(0)
+    low, high = docs.agg(F.min("id").cast("double"), F.max("id").cast("double")).first()
+    if low is None or not low < high < math.inf or low == -math.inf:
+        return F.lit(0)
+    place = F.floor((F.col("id").cast("double") - F.lit(low)) / F.lit(high - low) * 510)
+    return F.coalesce(F.greatest(F.least(place, F.lit(510)), F.lit(0)), F.lit(511))
+
+
+def _candidates(stands: DataFrame, age: Column) -> DataFrame:
+    """Pairs (ha, hb) of an open class and an earlier one that pass the filters, and c, the index tokens that they share;
+    where age does not tell which is earlier, one of them is open, and two open classes give one pair."""
+    index = stands.select("h", "n", "parity", "odd", "open", age.cast("long").alias("age"), F.posexplode("first").alias("at", "token"))
+    # Size (28 bits), age (9), position (26) and state in one number, which keeps the exchange narrow.
+    packed = F.shiftleft(F.col("n").cast("long"), 36) + F.shiftleft(F.col("age"), 27) + F.col("at").cast("long") * 2 + F.col("open").cast("long")
+    index = index.select("token", "h", "parity", "odd", packed.alias("packed"))
 
     def unpacked(side: str) -> Callable[[str], Column]:
         p = F.col(f"{side}.packed")
-        parts = {"n": F.shiftright(p, 32).cast("int"), "at": F.shiftright(p.bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int"), "open": p.bitwiseAND(F.lit(1)) == 1}
+        parts = {
+            "n": F.shiftrightunsigned(p, 36).cast("int"),
+            "age": F.shiftrightunsigned(p, 27).bitwiseAND(F.lit((1 << 9) - 1)),
+            "at": F.shiftrightunsigned(p, 1).bitwiseAND(F.lit((1 << 26) - 1)).cast("int"),
+            "open": p.bitwiseAND(F.lit(1)) == 1,
+        }
         return lambda c: parts.get(c, F.col(f"{side}.{c}"))
 
     a, b = unpacked("a"), unpacked("b")
     both = a("n") + b("n")
     shared = F.least(a("at"), b("at")) + F.least(a("n") - a("at"), b("n") - b("at"))
     # In one expression, so that no part of it moves below the exchange and both sides read the same one.
-    once = F.when(a("open"), ~b("open") | (a("h") < b("h"))).otherwise(F.lit(False))
+    either = a("open") & (~b("open") | (a("h") < b("h")))
+    once = F.when(a("age") < b("age"), b("open")).otherwise((a("age") == b("age")) & either)
     met = index.alias("a").join(index.alias("b"), (a("token") == b("token")) & once & _near(a, b) & (shared * (NUM + DEN) >= both * NUM))
     counted = met.groupBy(a("h").alias("ha"), b("h").alias("hb"), a("n").alias("na"), b("n").alias("nb")).agg(F.count(F.lit(1)).alias("c"))
     # Of the prefix that ends first, all tokens that the lines share are in the other prefix too.
@@ -204,7 +225,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     settled = settled.union(_later(scratch.write(as_pairs(met), "near2"), docs, stands, scratch, "settled2")).distinct()
 
     marked = stands.join(hinted(scratch.write(settled.withColumn("settled", F.lit(True)), "settled-all"), 24), ["h", "h2"], "left").withColumn("open", F.col("settled").isNull())
-    more = _by_best_partner(scratch.write(_candidates(marked), "pairs"), docs, stands, scratch)
+    more = _by_best_partner(scratch.write(_candidates(marked, _ages(docs)), "pairs"), docs, stands, scratch)
 
     later = settled.union(more).distinct().withColumn("later", F.lit(True))
     decided = scratch.write(repeated.join(later, ["h", "h2"], "full").select("h", "h2", "place", F.coalesce("later", F.lit(False)).alias("later")), "decided")
