@@ -45,6 +45,20 @@ def test_many_near_copies_and_short_lines(spark):
     assert {k: n for k, n in got.items() if n} == {k: len(v) for k, v in want.items() if v}
 
 
+def test_ids_of_any_kind(spark):
+    base = [f"w{i}" for i in range(20)]
+    rows = [(k, " ".join([*base[: k % 20], f"v{k}", *base[k % 20 + 1 :]])) for k in range(40)]
+    for kind, ids in (("long", lambda k: k * 7 - 90), ("long", lambda k: 10**15 if k == 39 else k), ("string", lambda k: f"{(k * 7) % 40:03}"), ("double", lambda k: float("nan") if k == 3 else k / 3), ("double", lambda k: float("inf") if k == 5 else -k * 1.5)):
+        docs = spark.createDataFrame([(ids(k), t) for k, t in rows], f"doc_id {kind}, text string").withColumn("h", F.xxhash64("text"))
+        place = lambda r: (r["doc_id"] != r["doc_id"], 0 if r["doc_id"] != r["doc_id"] else r["doc_id"])
+        want, seen = 0, []
+        for r in sorted(docs.collect(), key=place):
+            words = frozenset(r["text"].split())
+            want += any(4 * len(words & w) >= 3 * len(words | w) for w in seen)
+            seen.append(words)
+        assert sum(r["n_removed"] for r in L.dedup_lines(docs).collect()) == want > 30, kind
+
+
 def test_no_python_in_the_plan(corpus):
     plan = L.dedup_lines(corpus)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
