@@ -228,7 +228,8 @@ class VectorIndex:
         parts = []
         kinds = (self.rows().schema["id"].dataType, queries.schema["query"].dataType)
         for names, matrix in _passes(queries):
-            near = None if exact else _nearest(matrix, self.centres, probes or self.probes).astype(np.int32)
+            probed = not exact and self.centres.shape[1] == matrix.shape[1]  # of other lengths there is nothing to find
+            near = _nearest(matrix, self.centres, probes or self.probes).astype(np.int32) if probed else None
             rows = self.rows(None if near is None else set(near.ravel().tolist()))
             rows = rows if where is None else rows.where(where)
             rows = rows.select("id", "vector", *(["cell"] if near is not None else []))
