@@ -315,7 +315,7 @@ def identify(df: DataFrame, train: DataFrame | None = None, allowed: Column | No
     spark = df.sparkSession
     rows = training_rows(df if train is None else train, id_col, text_col, lang_col, F.lit(True) if allowed is None else allowed, per_lang, words_per_lang, most_langs)
     name, model = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(fit(rows, words_per_lang)))
-    arrow_limits(spark)
+    arrow_limits(spark, 512, 1)  # a word of a batch takes some hundred bytes while it is labelled
 
     def run(c: dict[str, list]) -> dict[str, list]:
         labeller = held(("crf", name), lambda: Labeller(pickle.loads(model.value)))
