@@ -9,7 +9,7 @@ alone, so thousands of codes are cut out of the bits at once. Every LZW entry eq
 of one code and the first sample after it), so decoding is following references within the output.
 
 Defined results: null text is empty; an empty payload is padded to one block; broken streams raise ValueError in
-`decode_gif` and give null media columns with a reason in `frames`; repeated rows give repeated results.
+`decode_gif` and give null media columns with a reason in `error`; repeated rows give repeated results.
 """
 
 from __future__ import annotations
