@@ -81,7 +81,8 @@ def build_index(
         stored("files", java.unionByName(mappers))
 
     if folder is None:
-        build(Scratch(spark, "index").write)
+        scratch = Scratch(spark, "index")
+        build(lambda name, df: scratch.write(df, name))
     else:
         publish.publish(spark, folder, lambda version: build(lambda name, df: _laid_out(spark, version, name, df)))
     progress("done", n, n)
