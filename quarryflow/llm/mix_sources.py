@@ -6,8 +6,10 @@ gives the same fraction of its documents, rounded down, longer ones first fill u
 dynamic programming over documents to add and to give back makes the remaining words exact, or as near as it can. Which
 documents of a length are taken is decided by a seeded hash of their ids.
 
-The dynamic program sees the sums around the goal: all of them for a source of up to WINDOW words, otherwise those
-within the larger of WINDOW and REACH times the longest document. Within that it finds the nearest sum there is.
+The dynamic program finds the nearest sum that any choice of documents has, and looks only at sums within one longest
+document of the goal. It looks ahead by one document and ends at the first choice that no other can beat, which large
+sources have at once. Where none exists it sees every sum in that span that can be reached: 24 bytes a word of the
+source's longest document, in units of the lengths' greatest common divisor, and 16 for each improvement of a sum.
 
 Sources are a table too: their order is numbered by range partitions, and the level of the targets comes from sums over
 them. Only the counts by length meet in one task for each source. Documents of one length are ranked in about the root of
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, hinted, word_count
 
-#: Words on each side of the goal that the dynamic program sees at least, and in lengths of the longest document.
-WINDOW, REACH = 1 << 22, 8
+#: Changes that the dynamic program looks at together; a bound on memory only.
+CHANGES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -69,39 +71,109 @@ def targets(sizes: list[int], mix: Mix) -> list[float]:
 
 
 def adjusted(lengths: list[int], counts: list[int], take: list[int], goal: int) -> list[int]:
-    """take, with documents added or given back so that the sum is as near to goal as can be, the lower sum among equals.
-    Bounded knapsack: what can be added and what can be given back is split into powers of two; each reachable sum
-    remembers the item that reached it first."""
-    now, total = sum(n * t for n, t in zip(lengths, take)), sum(n * c for n, c in zip(lengths, counts))
-    width = max(WINDOW, REACH * max((n for n, c in zip(lengths, counts) if c), default=0), abs(goal - now))
-    low, high = max(0, min(goal, total) - width), min(total, max(goal, 0) + width)
-    size, aim = high - low + 1, goal - low
-    reached, by = np.zeros(size, bool), np.full(size, -1, np.int32)
-    reached[now - low] = True
-    first = last = now - low  # the sums that are reached lie between
-    items: list[tuple[int, int]] = []
-    for k, length in enumerate(lengths):
-        for most, sign in ((counts[k] - take[k], 1), (take[k], -1)):
-            part = 1
-            while most > 0 and not (0 <= aim < size and reached[aim]):
-                part = min(part, most)
-                weight = sign * part * length
-                if abs(weight) < size:
-                    a, b = max(first, -weight, 0), min(last, size - 1 - weight, size - 1)
-                    if a <= b:
-                        new = np.flatnonzero(reached[a : b + 1] & ~reached[a + weight : b + 1 + weight]) + a + weight
-                        if len(new):
-                            reached[new], by[new] = True, len(items)
-                            first, last = min(first, int(new[0])), max(last, int(new[-1]))
-                            items.append((k, sign * part))
-                most -= part
-                part *= 2
-    sums = np.flatnonzero(reached)
-    at, out = int(sums[np.argmin(np.abs(sums - aim))]), list(take)
-    while at != now - low:
-        k, part = items[by[at]]
-        out[k] += part
-        at -= part * lengths[k]
+    """take, with documents added or given back so that the sum is as near to goal as any choice of documents comes, the
+    lower sum among equals.
+
+    Bounded knapsack over balanced changes: while the sum is at most the goal the next change adds a document, above it
+    the next one gives one back, each list in its own order. Any choice can be reached so, by sums that stay within one
+    longest document of the goal; what is left over when one list is used up only leads away from it. A sum needs to know
+    only how far the list to give back has been used, the less the better. Each improvement is logged with the one that it
+    came from."""
+    now = sum(n * t for n, t in zip(lengths, take))
+    adds = [(k, c - t) for k, (c, t) in enumerate(zip(counts, take)) if c > t]
+    gives = [(k, t) for k, t in enumerate(take) if t]
+    unit = math.gcd(*(lengths[k] for k, _ in adds + gives)) or 1
+    steps = [n // unit for n in lengths]
+    widest = max((steps[k] for k, _ in adds + gives), default=0)
+    ahead, rest = divmod(goal - now, unit)
+    low = max(min(0, ahead - widest + 1), -sum(steps[k] * n for k, n in gives))
+    high = min(max(0, ahead + widest), sum(steps[k] * n for k, n in adds))
+    goal_at, best_at = ahead - low, ahead - low + (2 * rest > unit)  # places of the goal and of the nearest sum there can be
+    place, step = np.array([k for k, _ in gives], np.int64), np.array([steps[k] for k, _ in gives], np.int64)
+    begins = np.cumsum([0] + [n for _, n in gives])
+    given, begins, ends = int(begins[-1]), begins[:-1], begins[1:]
+    placed, added = np.array([k for k, _ in adds], np.int64), np.array([steps[k] for k, _ in adds], np.int64)
+    by_step, by_added = np.argsort(step), np.argsort(added)
+    adding = -1  # the place of the length that is being added
+    used = np.full(high - low + 1, given + 1, np.int32 if given < 1 << 30 else np.int64)  # given + 1: not reached
+    entry = np.zeros(high - low + 1, np.int64)
+    log: list[tuple[np.ndarray, np.ndarray]] = []
+    logged = 0
+
+    def found() -> bool:
+        return 0 <= best_at < len(used) and used[best_at] <= given
+
+    def improve(at: np.ndarray, to: np.ndarray, parent: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sums (each once) that are now reached with less given back, and what they knew before."""
+        nonlocal logged
+        better = to < used[at]
+        at, before = at[better], used[at[better]]
+        used[at], entry[at] = to[better], np.arange(logged, logged + len(at))
+        log.append((parent[better], move[better]))
+        logged += len(at)
+        return at, before
+
+    def final(need: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each need the place of a size near it, and which needs are met exactly."""
+        if not len(sizes):
+            return np.zeros(len(need), np.int64), np.zeros(0, np.int64)
+        k = order[np.minimum(np.searchsorted(sizes, need, sorter=order), len(sizes) - 1)]
+        return k, np.flatnonzero(sizes[k] == need)
+
+    def balance(at: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Gives back from improved sums above the goal, and from those that this improves; the improved ones below it."""
+        below, open_ = [], [(at, before)]
+        while open_ and not found():
+            at, before = open_.pop()
+            low_at = at[at <= goal_at]
+            below.append(low_at)
+            k, last = final(best_at - low_at, added, by_added)
+            last = last[k[last] > adding][:1]
+            if len(last):  # one more document makes the nearest sum
+                k, at = k[last], low_at[last]
+                improve(at + added[k], used[at], entry[at], placed[k])
+                break
+            more = (at > goal_at) & (used[at] < given)
+            at, before = at[more], before[more]
+            if not len(at):
+                continue
+            k, last = final(at - best_at, step, by_step)
+            last = last[ends[k[last]] > used[at[last]]][:1]
+            if len(last):  # one fewer makes it
+                k, at = k[last], at[last]
+                improve(at - step[k], np.maximum(used[at], begins[k]) + 1, entry[at], -1 - place[k])
+                break
+            first = np.searchsorted(begins, used[at], side="right") - 1
+            n = np.maximum(np.searchsorted(begins, np.minimum(before, given), side="left") - first, 1)
+            now_ = max(1, int(np.searchsorted(np.cumsum(n), CHANGES, side="right")))
+            if now_ < len(at):
+                open_.append((at[now_:], before[now_:]))
+                at, first, n = at[:now_], first[:now_], n[:now_]
+            row = np.repeat(np.arange(len(at)), n)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+            to, new = np.maximum(used[at][row], begins[k]) + 1, at[row] - step[k]
+            order = np.flatnonzero(to < used[new])
+            order = order[np.lexsort((to[order], new[order]))]
+            order = order[np.append(True, np.diff(new[order]) != 0)] if len(order) else order
+            if len(order):
+                open_.append(improve(new[order], to[order], entry[at][row[order]], -1 - place[k[order]]))
+        return np.unique(np.concatenate(below)) if below else at[:0]
+
+    balance(*improve(np.array([-low]), np.array([0]), np.array([-1]), np.array([0])))
+    for adding, (k, n) in enumerate(adds):
+        if found():
+            break
+        work = np.flatnonzero(used[: max(0, goal_at + 1)] <= given)
+        while n and len(work) and not found():  # the sums that this length's last document did not improve have added it
+            work = balance(*improve(work + steps[k], used[work], entry[work], np.full(len(work), k)))
+            n -= 1
+    sums, out = np.flatnonzero(used <= given), list(take)
+    at = int(entry[sums[np.argmin(np.abs((sums + low) * unit - (goal - now)))]])
+    parent, move = (np.concatenate(x) for x in zip(*log))
+    while parent[at] >= 0:
+        k = int(move[at])
+        out[k if k >= 0 else -1 - k] += 1 if k >= 0 else -1
+        at = int(parent[at])
     return out
 
 

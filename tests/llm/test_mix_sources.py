@@ -2,6 +2,8 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
+
 from quarryflow.llm import mix_sources as M
 
 from .conftest import found
@@ -54,6 +56,44 @@ def test_fitted_counts_are_as_near_as_any_subset():
             assert abs(total(lengths, got) - goal) == min(abs(s - goal) for s in sums)
 
 
+def nearest(lengths, counts, goal):
+    """How far the nearest sum is: all choices of the lengths but the last, with the best count of that one."""
+    sums = np.zeros(1, np.int64)
+    for n, c in list(zip(lengths, counts))[:-1]:
+        sums = np.unique(sums[:, None] + n * np.arange(c + 1))
+    k = np.clip((goal - sums) // lengths[-1], 0, counts[-1])
+    return min(int(np.abs(sums + lengths[-1] * m - goal).min()) for m in (k, np.minimum(k + 1, counts[-1])))
+
+
+def test_few_long_documents_are_as_near_as_any_subset():
+    rnd = random.Random(11)
+    total = lambda lengths, take: sum(n * t for n, t in zip(lengths, take))
+    cases = [([400009, 700001, 900017], [500] * 3, 400123457), ([5000001, 7000003, 9000007], [300] * 3, 2_100_001_099), ([1000003, 1500007, 2000011], [200] * 3, 300_002_100)]
+    for _ in range(300):
+        lengths = [rnd.choice((1, 1, 6)) * n for n in rnd.sample(range(1, rnd.choice((40, 4000))), rnd.randrange(1, 5))]
+        if len(set(lengths)) == len(lengths):
+            counts = [rnd.randrange(7) for _ in lengths]
+            cases.append((lengths, counts, rnd.randrange(total(lengths, counts) + 2)))
+    for lengths, counts, goal in cases:
+        got = M.fit_counts(lengths, counts, goal)
+        assert all(0 <= g <= c for g, c in zip(got, counts))
+        assert abs(total(lengths, got) - goal) == nearest(lengths, counts, goal)
+    got = M.adjusted([3, 8], [4, 4], [4, 4], 5)  # from above the goal
+    assert total([3, 8], got) in (6,) and got == [2, 0]
+    assert M.adjusted([5], [2], [1], 40) == [2] and M.adjusted([], [], [], 3) == []
+
+
+def test_many_lengths_end_at_an_exact_sum():
+    rnd = random.Random(12)
+    lengths = rnd.sample(range(1, 40000), 20000)
+    counts = [rnd.randrange(1, 50) for _ in lengths]
+    goal = sum(n * c for n, c in zip(lengths, counts)) * 37 // 100 + 5
+    assert sum(n * t for n, t in zip(lengths, M.fit_counts(lengths, counts, goal))) == goal
+    lengths = rnd.sample(range(20000, 80000), 500)  # no short ones
+    goal = sum(lengths) // 3
+    assert sum(n * t for n, t in zip(lengths, M.fit_counts(lengths, [1] * 500, goal))) == goal
+
+
 def test_many_sources(spark):
     rows = [(k, "w " * (1 + k % 7), f"host{k % 50:03d}") for k in range(400)]
     got = M.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
