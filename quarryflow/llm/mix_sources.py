@@ -8,8 +8,8 @@ documents of a length are taken is decided by a seeded hash of their ids.
 
 The dynamic program finds the nearest sum that any choice of documents has, and looks only at sums within one longest
 document of the goal. It looks ahead by one document and ends at the first choice that no other can beat, which large
-sources have at once. Where none exists it sees every sum in that span that can be reached: 24 bytes a word of the
-source's longest document, in units of the lengths' greatest common divisor, and 16 for each improvement of a sum.
+sources have at once; where none exists it sees every sum in that span that can be reached. Its tables take 24 bytes a word
+of the source's longest document, in units of the lengths' greatest common divisor, and 16 for each improvement of a sum.
 
 Sources are a table too: their order is numbered by range partitions, and the level of the targets comes from sums over
 them. Only the counts by length meet in one task for each source. Documents of one length are ranked in about the root of
