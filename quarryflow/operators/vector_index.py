@@ -6,8 +6,8 @@ of rows. Every row is indexed: what has no direction (null, zero, of another len
 probe reads, because its score is null.
 
 Queries go through the vectors in passes of a bounded number of bytes. Each task multiplies its batches of vectors with a
-pass's queries in double precision and keeps the k best a query; only those are shuffled. The exact search does the same
-over all cells.
+pass's queries in double precision, a bounded number of scores at a time, and keeps the k best a query, ties by id; only
+those are shuffled. The exact search does the same over all cells.
 
 How many cells a search must probe depends on the data: near copies and topics share a cell, vectors without structure
 do not. So `build` measures it: for a bounded sample of stored vectors it finds the exact neighbours and how far down the
@@ -37,6 +37,8 @@ SAMPLE, FILE_ROWS = 100_000, 250_000
 MOST_CELLS, PASS_BYTES = 4096, 16 << 20
 #: Digits of a score that count in a comparison: products of equal vectors may differ in the last bits.
 DIGITS = 12
+#: What a score may lack before it is rounded; bytes of scores at once, and rows that a task always may hold.
+SLACK, BLOCK_BYTES, HELD = 2e-12, 16 << 20, 200_000
 NOWHERE = -1
 #: The share of true neighbours that the kept number of probes reaches, of the K best of about TRIALS stored vectors.
 RECALL, TRIALS, K = 0.95, 512, 10
@@ -54,43 +56,62 @@ def directions(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True)), right[fine]
 
 
-def _ranked(scores: np.ndarray, k: int) -> np.ndarray:
-    """Rows of the k greatest scores of each column; more where the k-th ties, so that ids decide later."""
-    if len(scores) <= k:
-        return np.ones(scores.shape, bool)
-    return scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+def _candidates(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the scores that may be among the k best of their column, given what the k-th best must reach."""
+    fits = scores >= least - SLACK
+    if len(scores) > k and np.count_nonzero(fits) > 4 * k * scores.shape[1]:
+        kth = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+        fits = scores >= np.maximum(least, kth) - SLACK
+    return np.nonzero(fits)
+
+
+def _best(found: pa.Table, k: int) -> pa.Table:
+    """The k rows of each query by falling score, ties by id, in the order of the queries."""
+    by = [("at", "ascending"), ("score", "descending"), ("id", "ascending")]
+    found = found.take(pc.sort_indices(found, sort_keys=by, null_placement="at_start"))
+    at = found.column("at").to_numpy()
+    first = np.searchsorted(at, at)  # of the row's query
+    return found.filter(pa.array(np.arange(len(at)) - first < k))
 
 
 def _scan(rows: DataFrame, asked: list, matrix: np.ndarray, near: np.ndarray | None, k: int, id_type: T.DataType, query_type: T.DataType) -> DataFrame:
-    """(query, id, score): each task's k best of each query, ties included. rows: id, vector, and cell if near is given,
-    the cells of each query."""
+    """(query, id, score): each task's k best of each query. rows: id, vector, and cell if near is given, the cells of each
+    query. A task holds at most about BLOCK_BYTES of scores, and a few times k rows a query of a pass."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     dims = matrix.shape[1]
     fields = [T.StructField("query", query_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())]
+    types = [to_arrow_type(f.dataType) for f in fields]
+    most = max(HELD, 4 * k * len(asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in asked]  # (score, id), pruned to the k best and ties
+        held, n, least = [], 0, np.full(len(asked), -np.inf)
         for batch in batches:
             x, at = directions(batch.column("vector"), dims)
-            ids = batch.column("id").take(pa.array(at)).to_pylist()
+            ids = batch.column("id").cast(types[1])
             cells = batch.column("cell").to_numpy(zero_copy_only=False)[at] if near is not None else np.zeros(len(at), np.int64)
             for cell in np.unique(cells):
                 mine = np.flatnonzero(cells == cell)
                 who = np.flatnonzero((near == cell).any(axis=1)) if near is not None else np.arange(len(asked))
-                scores = np.round(x[mine] @ matrix[who].T, DIGITS)
-                best = _ranked(scores, k)
-                for j, q in enumerate(who):
-                    held[q] += [(scores[i, j], ids[mine[i]]) for i in np.flatnonzero(best[:, j])]
-                    if len(held[q]) > 4 * k:
-                        least = sorted((s for s, _ in held[q]), reverse=True)[k - 1]
-                        held[q] = [h for h in held[q] if h[0] >= least]
-        for q, found in enumerate(held):
-            if found:
-                columns = ([asked[q]] * len(found), [i for _, i in found], [float(s) for s, _ in found])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["query", "id", "score"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+                some = max(1, BLOCK_BYTES // 8 // max(1, len(who)))
+                turned = matrix[who].T
+                for part in (mine[i : i + some] for i in range(0, len(mine), some)):
+                    scores = x[part] @ turned
+                    r, c = _candidates(scores, least[who], k)
+                    columns = [pa.array(who[c].astype(np.int32)), pa.array(np.round(scores[r, c], DIGITS)), ids.take(pa.array(at[part[r]]))]
+                    held.append(pa.table(columns, names=["at", "score", "id"]))
+                    n += len(r)
+                    if n > most:
+                        best = _best(pa.concat_tables(held), k)
+                        held, n = [best], best.num_rows
+                        q = best.column("at").to_numpy()
+                        full = np.flatnonzero(np.bincount(q, minlength=len(asked)) >= k)
+                        least[full] = best.column("score").to_numpy()[np.searchsorted(q, full, side="right") - 1]
+        if n:
+            best, names = _best(pa.concat_tables(held), k), pa.array(asked, types[0])
+            for b in best.combine_chunks().to_batches(max_chunksize=10_000):
+                yield pa.RecordBatch.from_arrays([names.take(b.column("at")), b.column("id"), b.column("score")], names=["query", "id", "score"])
 
-    types = [to_arrow_type(f.dataType) for f in fields]
     return rows.mapInArrow(run, T.StructType(fields))
 
 

@@ -84,3 +84,14 @@ def test_recall_over_the_whole_table(spark):
     want = {tuple(r)[:2] for r in QUERIES["vector_index_exact"](spark, "/root/testdata/sf0.01").collect()}
     found = {tuple(r)[:2] for r in QUERIES["vector_index_search"](spark, "/root/testdata/sf0.01").collect()}
     assert len(found & want) >= 0.9 * len(want)
+
+
+def test_a_task_holds_no_more_than_the_best_of_each_query(spark, clustered, monkeypatch):
+    rows, odd, df = clustered
+    monkeypatch.setattr(V, "BLOCK_BYTES", 8 * 64)
+    monkeypatch.setattr(V, "HELD", 10)
+    asked = rows[:3000:300]  # the first one has 601 copies
+    matrix = V.directions(V.pa.array([v for _, v in asked]), 16)[0]
+    kinds = (V.T.LongType(), V.T.LongType())
+    scanned = V._scan(df.select("id", "vector").coalesce(1), [i for i, _ in asked], matrix, None, 7, *kinds)
+    assert sorted((r["query"], r["id"]) for r in scanned.collect()) == [p[:2] for p in sorted(brute(asked, rows + odd, 7), key=lambda p: p[:2])]
