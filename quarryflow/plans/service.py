@@ -185,40 +185,57 @@ def question_hits(index: Index, questions: DataFrame, k: int = 5) -> DataFrame:
     return vector_index.top_k_join(questions.select(F.col("q").alias("query"), "vector"), chunks, k).select(F.col("query").alias("q"), "id", "rank")
 
 
-def question_blocks(index: Index, hits: DataFrame, budget: int = C.BUDGET) -> tuple[DataFrame, DataFrame]:
+def question_blocks(index: Index, hits: DataFrame, budget: int = C.BUDGET) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The candidate blocks of all questions, packed question by question (q, tier, file_path, start_line, id, label,
-    end_line, code, block, size, kept, used), and q, summary. hits: q, id, rank."""
+    end_line, digest, at, size, kept, used); the blocks themselves (at, code, block), once however many ask; and q, summary.
+    hits: q, id, rank. Only sizes go with the questions: a node that many questions reach would repeat its text for each, and
+    a summary names all of a question's nodes."""
     scratch = Scratch(hits.sparkSession, "questions")
     hits = scratch.write(hits, "hits")
     tiers = scratch.write(C.candidate_tiers_by_question(index.edges, hits), "tiers")
-    summaries = scratch.write(C.chain_summaries(tiers.join(index.nodes.select("id", "node_type", "label"), "id")), "summaries")
+    summaries = C.chain_summaries(tiers.join(index.nodes.select("id", "node_type", "label"), "id"))
+    summaries = scratch.write(summaries.withColumn("used", F.length("summary")), "summaries")
     nodes = index.nodes.join(tiers.select("id").distinct(), "id", "left_semi")
-    code = _code_rows(index, nodes.withColumn("tier", F.lit(0))).drop("tier", "content")  # once a node, however many ask
-    asked = scratch.write(code.join(tiers, "id"), "asked")
+    code = _code_rows(index, nodes.withColumn("tier", F.lit(0))).drop("tier", "content")
 
-    seen = asked.where(F.col("tier") == C.HIT).select("q", F.explode(F.regexp_extract_all("code", F.lit(C.CONSTANT), F.lit(1))).alias("class_name")).distinct()
+    hit = code.join(hits.select("id").distinct(), "id", "left_semi")
+    names = hit.select("id", F.explode(F.regexp_extract_all("code", F.lit(C.CONSTANT), F.lit(1))).alias("class_name")).distinct()
     small = (F.col("layer") == "ETC") & (F.col("end_line") - F.col("start_line") + 1 <= C.CONSTANT_LINES)
     classes = index.classes.where(small).select("class_name", "file_path", "start_line", "end_line")
-    constants = seen.join(classes, "class_name").join(asked.select("q", "class_name").distinct(), ["q", "class_name"], "left_anti")
-    constants = constants.join(index.files.select(F.col("path").alias("file_path"), "content"), "file_path")
-    named = {"id": F.concat(F.lit("ETC_REF::"), "class_name"), "node_type": F.lit("ETC_REF"), "method_name": F.lit(None).cast("string"), "tier": F.lit(C.HIT)}
+    named = {"id": F.concat(F.lit("ETC_REF::"), "class_name"), "node_type": F.lit("ETC_REF"), "method_name": F.lit(None).cast("string")}
+    used = scratch.write(names.join(classes.select("class_name").distinct(), "class_name", "left_semi"), "names")
+    constants = classes.join(used.select("class_name").distinct(), "class_name", "left_semi").join(index.files.select(F.col("path").alias("file_path"), "content"), "file_path")
     constants = constants.withColumns(named).withColumn("code", line_slice("content", F.col("start_line"), F.col("end_line"))).drop("content")
 
-    rows = asked.unionByName(constants).join(summaries, "q")
-    rows = rows.withColumn("label", C.block_label(F.col("node_type"), F.col("class_name"), F.col("method_name")))
+    rows = code.unionByName(constants).withColumn("label", C.block_label(F.col("node_type"), F.col("class_name"), F.col("method_name")))
     block = C.block(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("node_type"), F.col("label"), F.col("code"))
-    packed = C.pack(rows.withColumn("block", block), "q", ["tier", "file_path", "start_line"], F.length("block"), budget, F.length("summary"), ("id", "label", "end_line", "code", "block"))
-    return packed, summaries
+    rows = rows.withColumn("block", block).withColumns({"size": F.length("block"), "digest": F.xxhash64("block"), "at": F.monotonically_increasing_id()})
+    blocks = scratch.write(rows, "blocks")
+
+    sizes = blocks.select("id", "node_type", "class_name", "file_path", "start_line", "end_line", "label", "size", "digest", "at")
+    asked = sizes.where("node_type <> 'ETC_REF'").join(tiers, "id")
+    seen = used.join(tiers.where(F.col("tier") == C.HIT), "id").select("q", "class_name").distinct()
+    about = used.select("class_name").distinct()
+    shown = asked.join(about, "class_name", "left_semi").select("q", "class_name").distinct()
+    wanted = seen.join(shown, ["q", "class_name"], "left_anti").withColumn("tier", F.lit(C.HIT))
+    asked = asked.unionByName(sizes.where("node_type = 'ETC_REF'").join(wanted, "class_name"))
+    asked = asked.join(summaries.select("q", "used"), "q")
+    packed = C.pack(asked, "q", ["tier", "file_path", "start_line"], F.col("size"), budget, F.col("used"), ("id", "label", "end_line", "digest", "at"))
+    return packed, blocks.select("at", "code", "block"), summaries.select("q", "summary")
 
 
 def ask_contexts(index: Index, questions: DataFrame, k: int = 5, budget: int = C.BUDGET) -> DataFrame:
     """(q, summary, text, references, truncated): `ask_context` of any number of questions in one plan. questions: q
     (unique) and text, or vector. A row holds kept blocks only, so its size is bounded by the budget."""
-    packed, summaries = question_blocks(index, question_hits(index, questions, k), budget)
+    packed, blocks, summaries = question_blocks(index, question_hits(index, questions, k), budget)
+    packed = Scratch(questions.sparkSession, "contexts").write(packed, "packed")
     snippet = F.substring(F.regexp_replace("code", r"^\s+|\s+$", ""), 1, 200)
     reference = F.struct(F.col("file_path").alias("file"), F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end"), F.col("label").alias("class_method"), snippet.alias("snippet"))
-    part = F.when(F.col("kept"), F.struct("tier", "file_path", "start_line", "id", "block", reference.alias("reference")))
-    made = packed.groupBy("q").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.bool_or(~F.col("kept")).alias("truncated"))
+    part = F.struct("tier", "file_path", "start_line", "id", "block", reference.alias("reference"))
+    kept = packed.where("kept").join(blocks, "at").groupBy("q").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    cut = packed.groupBy("q").agg(F.bool_or(~F.col("kept")).alias("truncated"))
+    none = F.array().cast(kept.schema["parts"].dataType)
+    made = cut.join(kept, "q", "left").withColumn("parts", F.coalesce("parts", none))
     whole = questions.select("q").join(summaries, "q", "left").join(made, "q", "left")
     summary = F.coalesce("summary", F.lit(C.NOTHING))
     text = F.array_join(F.concat(F.array(summary), F.transform("parts", lambda p: p["block"])), C.SEPARATOR)

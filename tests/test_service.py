@@ -38,6 +38,15 @@ def test_many_questions_are_answered_as_one_is(index, spark):
     assert service.ask_contexts(index, spark.createDataFrame([], "q int, text string")).collect() == []
 
 
+def test_a_block_is_kept_once_however_many_ask(index, spark):
+    asked = spark.createDataFrame([(q, "LoanServiceImpl find loan") for q in range(6)], "q int, text string")
+    packed, blocks, summaries = service.question_blocks(index, service.question_hits(index, asked))
+    assert not {"code", "block", "summary"} & set(packed.columns) and summaries.count() == 6
+    rows, texts = packed.collect(), blocks.collect()
+    assert len(texts) == len({r["at"] for r in rows}) == len({r["at"] for r in texts}) and len(rows) == 6 * len(texts)
+    assert {r["at"]: len(r["block"]) for r in texts} == {r["at"]: r["size"] for r in rows}
+
+
 def test_failure(index):
     log = "java.lang.RuntimeException: x\n\tat app.loan.LoanServiceImpl.find(LoanServiceImpl.java:{0})\n\tat q.R.s(R.java:1)"
     c = service.diagnose_context(index, log.format(9), "app.")
