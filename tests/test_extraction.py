@@ -1,3 +1,6 @@
+import os
+
+import pytest
 from quarryflow.functions import scalar as S
 from quarryflow.operators import ddl, graph, java_source, mapper_xml, stacktrace, vector
 from quarryflow.sources import files
@@ -186,3 +189,19 @@ def test_a_large_mapper_file_takes_linear_time():
     began = time.process_time()
     _, found, error = mapper_xml.read_mapper("x", f"<mapper namespace='n'>\n{body}</mapper>")
     assert error is None and len(found) == 30_000 and found[-1]["end_line"] == 1 + 3 * 30_000 and time.process_time() - began < 10
+
+
+def test_few_files_are_parsed_at_once(spark, monkeypatch):
+    files = spark.createDataFrame([(f"C{i}.java", f"class C{i} {{ void f() {{ }} }}") for i in range(7)], "path string, content string").coalesce(1)
+    assert java_source.FILES < 1000
+    monkeypatch.setattr(java_source, "FILES", 3)
+    assert sorted(r["class_name"] for r in java_source.parse_java(files).collect()) == [f"C{i}" for i in range(7)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_a_graph_is_built_from_files_that_are_parsed_once(spark):
+    from quarryflow.plans import extraction
+
+    for part in extraction._graph(spark, "/root/testdata/sf0.001"):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in plan and "MapInArrow" not in plan
