@@ -14,6 +14,7 @@ from quarryflow.functions import scalar as S
 from quarryflow.operators import context as C
 from quarryflow.operators import ddl, graph, java_source, mapper_xml, stacktrace, vector
 from quarryflow.sources.files import table
+from quarryflow.sources.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,7 +107,9 @@ def _statements(spark, d):
 
 
 def _graph(spark, d):
-    return graph.build_graph(_classes(spark, d), _statements(spark, d))
+    """Over classes and statements that are written once: nodes and edges use them several times."""
+    scratch = Scratch(spark, "extracted")
+    return graph.build_graph(scratch.write(_classes(spark, d), "classes"), scratch.write(_statements(spark, d), "statements"))
 
 
 # Java and mapper files
