@@ -113,8 +113,8 @@ def pack(blocks: DataFrame, group: str, order: list[str], size: Column, budget:
     return rows.mapInArrow(fold, out)
 
 
-#: Rows of a group that one round folds.
-CHUNK = 20_000
+#: Rows of a group that one round folds; rows of a range, about.
+CHUNK, RANGE = 20_000, 500_000
 
 
 def pack_parallel(
@@ -130,15 +130,14 @@ def pack_parallel(
     start = (used if used is not None else F.lit(0)).cast("long")
     rows = blocks.select(F.struct(F.col(group).alias("g")).alias("__key"), *order, *carry, size.cast("long").alias("size"), start.alias("__start"))
     by = ["__key", *order, *carry, "size"]
-    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__pos", F.monotonically_increasing_id())
+    placed = rows.repartitionByRange(max(1, -(-rows.count() // RANGE)), *by).sortWithinPartitions(*by).withColumn("__pos", F.monotonically_increasing_id())
     placed = scratch.write(placed, "placed")
     state = scratch.write(placed.groupBy("__key").agg((F.lit(budget) - F.min("__start")).alias("left"), F.lit(-1).cast("long").alias("after")), "state0")
     narrow, kept, k = placed.select("__key", "__pos", "size").where("size > 0"), None, 0
     while not state.isEmpty():
         k += 1
         fits = narrow.join(state, "__key").where("__pos > after AND size <= left")
-        nearest = Window.partitionBy("__key").orderBy("__pos")
-        some = fits.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= chunk).select("__key", "__pos", "size", "left")
+        some = _nearest(fits, chunk, scratch, k)
         folded = scratch.write(some.repartition("__key").sortWithinPartitions("__key", "__pos").mapInArrow(_fold_left, some.schema.add("kept", "boolean")), f"folded{k}")
         ended = folded.groupBy("__key").agg(F.max_by("left", "__pos").alias("left"), F.max("__pos").alias("after"), F.count(F.lit(1)).alias("n"))
         state = scratch.write(ended.where((F.col("n") == chunk) & (F.col("left") > 0)).select("__key", "left", "after"), f"state{k}")
@@ -158,6 +157,19 @@ def pack_parallel(
     return whole.select(F.col("__key.g").alias(group), *order, *carry, "size", "kept", (F.col("used") + F.col("before")).alias("used"))
 
 
+def _nearest(fits: DataFrame, chunk: int, scratch: Scratch, k: int) -> DataFrame:
+    """__key, __pos, size, left of the first `chunk` rows of each key: counted a range at a time, so that no task numbers a
+    whole group, and only ranges that hold some of these rows are numbered."""
+    part = F.shiftright("__pos", 33)
+    counts = fits.groupBy("__key", part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where(F.col("before") < chunk)
+    before = scratch.write(before.select("__key", "__part", "before"), f"before{k}")
+    own = Window.partitionBy("__key", "__part").orderBy("__pos")
+    some = fits.withColumn("__part", part).join(before, ["__key", "__part"]).withColumn("n", F.row_number().over(own))
+    return some.where(F.col("n") + F.col("before") <= chunk).select("__key", "__pos", "size", "left")
+
+
 def _fold_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by key and place with what is left before the first of a key: kept, and what is left after each."""
     last, left = object(), 0

@@ -233,3 +233,18 @@ def test_grades_of_runs(spark):
     assert {r["g"]: r["verdict"] for r in harness.verdicts(rows, "g", F.col("ok")).collect()} == {"a": harness.CONFIRMED, "b": harness.RESERVE, "c": harness.EXCLUDED}
     text = spark.createDataFrame([("a b", 1), ("a", 2), (None, 3)], "t string, i int").select("i", harness.holds_words(F.col("t"), ["a"], [["b", "c"], []]).alias("k"))
     assert {r["i"]: r["k"] for r in text.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_large_groups_are_numbered_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(C, "RANGE", 50)
+    plans, nearest = [], C._nearest
+    monkeypatch.setattr(C, "_nearest", lambda *given: plans.append(nearest(*given)) or plans[-1])
+    sizes = [(i * 7) % 61 for i in range(400)]
+    got = C.pack_parallel(spark.createDataFrame(list(enumerate(sizes)), "i int, s int").withColumn("q", F.lit("all")), "q", ["i"], F.col("s"), budget=2000, chunk=30).orderBy("i").collect()
+    total, want = 0, []
+    for s in sizes:
+        want.append(total + s <= 2000)
+        total += s if want[-1] else 0
+    assert [r["kept"] for r in got] == want and got[-1]["used"] == total and len(plans) > 1
+    assert plans[0]._jdf.queryExecution().optimizedPlan().toString().count("row_number() windowspecdefinition(__key#") == 1
+    assert "__part" in plans[0]._jdf.queryExecution().optimizedPlan().toString().split("row_number() windowspecdefinition(")[1].split(" ASC")[0]
