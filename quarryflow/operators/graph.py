@@ -105,31 +105,37 @@ LEVELS = 8
 PLAIN, GROWTH = 4, 8
 
 
-def _doubled(jump: DataFrame, most: int, scratch: Scratch, name: str) -> DataFrame | None:
-    """Pairs (id, next) twice as far apart, or None if a walk through a node in the middle makes too many of them."""
+def _doubled(jump: DataFrame, single: bool, most: int, scratch: Scratch, name: str) -> DataFrame | None:
+    """Pairs (id, next) twice as far apart, or None if a walk through a node in the middle makes too many of them. single:
+    no id has two of them, so that there are never more, nor any repeated."""
+    first, second = jump.select("id", F.col("next").alias("mid")), jump.select(F.col("id").alias("mid"), "next")
+    pairs = first.join(second, "mid").select("id", "next")
+    if single:
+        return scratch.write(pairs, name)
     into = jump.groupBy(F.col("next").alias("id")).agg(F.count(F.lit(1)).alias("ins"))
     out = jump.groupBy("id").agg(F.count(F.lit(1)).alias("outs"))
     walks = into.join(out, "id").agg(F.coalesce(F.sum(F.col("ins") * F.col("outs")), F.lit(0))).first()[0]
-    if walks > most:
-        return None
-    first, second = jump.select("id", F.col("next").alias("mid")), jump.select(F.col("id").alias("mid"), "next")
-    return scratch.write(first.join(second, "mid").select("id", "next").distinct(), name)
+    return scratch.write(pairs.distinct(), name) if walks <= most else None
 
 
 def closure(edges: DataFrame, starts: DataFrame, reverse: bool = False, growth: int = GROWTH) -> DataFrame:
     """(start, id) for every node reachable from each start, itself included. starts: id. All starts go in one pass.
 
-    After some single steps rounds double: when every node closer than m steps is known, pairs of nodes that are s <= m
-    steps apart lead to those closer than m + s, and joined with themselves they are 2 s steps apart. A path of n nodes
-    needs about PLAIN + log2(n) rounds, and each makes no more pairs than there are edges. Where paths multiply, joining
-    pairs would make ever more of them; when it would make more than `growth` rows an edge, steps stay as long as they are
-    and the walk goes on from the newest nodes. A round that finds nothing new ends it, so cycles end too: distances have
-    no gaps."""
+    Nodes that lead nowhere are left out of the walk and reached by one last step. After some single steps rounds double:
+    when every node closer than m steps is known, pairs of nodes that are s <= m steps apart lead to those closer than
+    m + s, and joined with themselves they are 2 s steps apart. A path of n nodes needs about PLAIN + log2(n) rounds, and
+    each makes no more pairs than there are edges. Where paths multiply, joining pairs would make ever more of them; when it
+    would make more than `growth` rows an edge, steps stay as long as they are and the walk goes on from the newest nodes. A
+    round that finds nothing new ends it, so cycles end too: distances have no gaps."""
     scratch = Scratch(edges.sparkSession, "closure")
     a, b = ("dst_id", "src_id") if reverse else ("src_id", "dst_id")
-    jump = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
-    jump = scratch.write(jump, "steps")
-    most = growth * jump.count() + 10_000
+    steps = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
+    steps = scratch.write(steps, "steps")
+    leading = steps.select(F.col("id").alias("next"), F.lit(True).alias("inner")).distinct()
+    steps = scratch.write(steps.join(leading, "next", "left").select("id", "next", F.col("inner").isNotNull().alias("inner")), "sorted")
+    jump, last = steps.where("inner").drop("inner"), steps.where("NOT inner").drop("inner")
+    n, fan = jump.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    most = growth * n + 10_000
     newest = scratch.write(starts.select(F.col("id").alias("start"), "id").distinct(), "level0")
     levels, k, doubled, apart = [newest], 0, False, True
     while True:
@@ -140,11 +146,12 @@ def closure(edges: DataFrame, starts: DataFrame, reverse: bool = False, growth:
             found = found.join(seen, ["start", "id"], "left_anti")
         newest = scratch.write(found, f"level{k}")
         if newest.isEmpty():
-            return reduce(DataFrame.union, levels)
+            reached = reduce(DataFrame.union, levels)
+            return reached.union(reached.join(last, "id").select("start", F.col("next").alias("id")).distinct())
         levels.append(newest)
         if len(levels) > LEVELS:
             levels = [scratch.write(reduce(DataFrame.union, levels), f"seen{k}")]
-        further = _doubled(jump, most, scratch, f"jump{k}") if apart and k >= PLAIN else None
+        further = _doubled(jump, fan <= 1, most, scratch, f"jump{k}") if apart and k >= PLAIN else None
         doubled, apart = further is not None, apart and (k < PLAIN or further is not None)
         jump = jump if further is None else further
 

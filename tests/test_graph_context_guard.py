@@ -235,6 +235,17 @@ def test_grades_of_runs(spark):
     assert {r["i"]: r["k"] for r in text.collect()} == {1: True, 2: False, 3: False}
 
 
+def test_only_nodes_that_lead_on_are_doubled(spark, monkeypatch):
+    path = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [(f"n{i}", f"leaf{i % 3}") for i in range(40)] + [("leaf0", "leaf0")]
+    edges, seen = spark.createDataFrame(path, "src_id string, dst_id string"), []
+    whole = graph._doubled
+    monkeypatch.setattr(graph, "_doubled", lambda jump, *rest: seen.append(jump.count()) or whole(jump, *rest))
+    got = {tuple(r) for r in graph.closure(edges, spark.createDataFrame([("n0",), ("n30",), ("leaf1",)], "id string")).collect()}
+    reached = lambda a: {(f"n{a}", f"n{i}") for i in range(a, 41)} | {(f"n{a}", f"leaf{i % 3}") for i in range(a, 40)}
+    assert got == reached(0) | reached(30) | {("leaf1", "leaf1")}
+    assert seen and max(seen) == 39
+
+
 def test_large_groups_are_numbered_by_ranges(spark, monkeypatch):
     monkeypatch.setattr(C, "RANGE", 50)
     plans, nearest = [], C._nearest
