@@ -114,7 +114,7 @@ def pack(blocks: DataFrame, group: str, order: list[str], size: Column, budget:
 
 
 #: Rows of a group that one round folds; rows of a range, about.
-CHUNK, RANGE = 20_000, 500_000
+CHUNK, RANGE = 20_000, 200_000
 
 
 def pack_parallel(
@@ -130,7 +130,8 @@ def pack_parallel(
     start = (used if used is not None else F.lit(0)).cast("long")
     rows = blocks.select(F.struct(F.col(group).alias("g")).alias("__key"), *order, *carry, size.cast("long").alias("size"), start.alias("__start"))
     by = ["__key", *order, *carry, "size"]
-    placed = rows.repartitionByRange(max(1, -(-rows.count() // RANGE)), *by).sortWithinPartitions(*by).withColumn("__pos", F.monotonically_increasing_id())
+    ranges = max(1, -(-rows.count() // RANGE))
+    placed = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("__pos", F.monotonically_increasing_id())
     placed = scratch.write(placed, "placed")
     state = scratch.write(placed.groupBy("__key").agg((F.lit(budget) - F.min("__start")).alias("left"), F.lit(-1).cast("long").alias("after")), "state0")
     narrow, kept, k = placed.select("__key", "__pos", "size").where("size > 0"), None, 0
@@ -146,7 +147,7 @@ def pack_parallel(
     part = F.shiftright("__pos", 33)  # of the range
     marked = placed.join(kept, "__pos", "left") if kept is not None else placed.withColumn("__fits", F.lit(None).cast("boolean"))
     empty = (F.col("size") == 0) & (F.col("__start") <= budget)
-    marked = marked.withColumn("kept", F.coalesce("__fits", empty)).withColumn("__part", part)
+    marked = marked.withColumn("kept", F.coalesce("__fits", empty)).withColumn("__part", part).repartition(ranges, "__key", "__part")
     own = Window.partitionBy("__key", "__part").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
     taken = F.when(F.col("kept"), F.col("size")).otherwise(0)
     marked = scratch.write(marked.withColumn("used", F.col("__start") + F.sum(taken).over(own)), "marked")
