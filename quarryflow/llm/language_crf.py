@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_limits, held, map_rows
+from .common import arrow_limits, held, map_rows
 
 UNKNOWN = "und"
 WHITE = r"[\x20\x09-\x0D]+"
@@ -167,10 +167,13 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray, p
     return _lockstep(start[order], end[order], size[order], at[order], e, step, pairs)
 
 
-def _index() -> dict[str, int]:
-    """Numbers words in the order in which they are first asked for."""
-    index: dict[str, int] = Memo(lambda w: len(index), 1 << 62, 1 << 62)
-    return index
+class _Index(dict):
+    """Numbers words in the order in which they are first asked for. Nothing in it refers to itself, so it goes with its
+    last use; in a cycle, the words of many batches would wait for the garbage collector, which strings do not wake."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class Labeller:
@@ -179,7 +182,7 @@ class Labeller:
 
     def chains(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores of all words that are labelled, the chains' lengths, the chains' texts."""
-        index, ids, lengths, owner = _index(), [], [], []
+        index, ids, lengths, owner = _Index(), [], [], []
         for k, text in enumerate(texts):
             for line in text.lower().split("\n"):
                 if words := line.split():
@@ -254,7 +257,7 @@ def fit(rows: list[tuple[str, str]], words_per_lang: int = 30_000, rounds: int =
     model = Model(langs, np.zeros((NONE + 1, n), np.float32), np.zeros((n, n)))
     if n < 2 or not chains:
         return model
-    index = _index()
+    index = _Index()
     ids = np.array([index[w] for c in chains for w, _ in c])
     gold = np.array([k for c in chains for _, k in c])
     lengths = np.array([len(c) for c in chains])

@@ -1,3 +1,4 @@
+import gc
 import itertools
 import os
 
@@ -64,3 +65,15 @@ def test_held_out_accuracy(spark):
     got = C.identify(docs.withColumn("held_out", C.held_out()), allowed=~F.col("held_out"), keep=("held_out",)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
     n, right = got.count(), got.where("lang = lang_pred").count()
     assert n > 150 and right / n > 0.95
+
+
+def test_words_of_a_batch_go_with_it(monkeypatch):
+    monkeypatch.setattr(C, "BATCH_WORDS", 50)
+    labeller = C.Labeller(C.fit([("the house and the garden", "en"), ("das haus und der garten", "de")], 100, 2))
+    gc.collect()
+    gc.disable()
+    try:
+        labeller.label(["das haus qqmarker the garden"] * 100)
+        assert not [x for x in gc.get_objects() if isinstance(x, dict) and "qqmarker" in x]
+    finally:
+        gc.enable()
