@@ -33,7 +33,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType, IntegralType
 
-from .common import Scratch, hinted
+from quarryflow.sources.scratch import temporary_tables
+
+from .common import BROADCAST_BYTES, Scratch, hinted
 
 SPACE = r"[\x20\x09-\x0D]+"
 SOLID = r"[^\x20\x09-\x0D]"
@@ -42,8 +44,9 @@ RARE = ("\t", "\x0b", "\f", "\r")
 #: A token's code: its level, then its hash, in 63 bits.
 BUCKET_BITS, HASH_BITS, STEPS = 17, 55, 6
 NUM, DEN = 3, 4
-#: Lines of more tokens have sketches of twice the bits; up to here 64 bits tell strangers apart.
-LONG = 72
+#: Lines of more tokens have sketches of twice the bits; up to here 64 bits tell strangers apart, also from a line of a
+#: third more tokens: strangers of 70 and 90 tokens differ in no more than the allowed 22 of 64 bits once in sixty times.
+LONG = 40
 #: From so many classes near the first one of a token on, a class is compared with the first LEADERS of them before it
 #: enters the join.
 CROWD, LEADERS = 16, 64
@@ -74,11 +77,10 @@ def _code(word: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(word), 64 - HASH_BITS)
 
 
-def _levels(docs: DataFrame) -> Column:
+def _levels(words: DataFrame) -> Column:
     """A constant array of fixed size with a level for each bucket, in the upper bits of a code: STEPS for each doubling
-    of the tokens counted in it, 255 at most."""
-    words = docs.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
-    counts = words.groupBy(_bucket(_code(F.col("w"))).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    of the codes counted in it, 255 at most."""
+    counts = words.select(F.explode("codes").alias("code")).groupBy(_bucket(F.col("code")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     levels = [0] * (1 << BUCKET_BITS)
     for r in counts.collect():
         levels[r["bucket"]] = min(255, int(STEPS * math.log2(1 + r["n"]))) << HASH_BITS
@@ -94,12 +96,10 @@ def _hashes(line: Column) -> Column:
     return _distinct(line, lambda w: F.xxhash64(w))
 
 
-def _described(raw: DataFrame, levels: Column) -> DataFrame:
+def _described(words: DataFrame, levels: Column) -> DataFrame:
     """Each line with its class (h, h2), number of tokens, parity sketch and first tokens in the order."""
-    placed = lambda x: F.coalesce(F.get(levels, _bucket(x)), F.lit(0).cast("long")).bitwiseOR(x)
-    codes = _distinct(F.col("line"), _code)
-    key = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]
-    ordered = raw.select("id", "th", "at", *key, F.sort_array(F.transform(codes, placed)).alias("tokens"))
+    placed = lambda x: F.get(levels, _bucket(x)).bitwiseOR(x)
+    ordered = words.select("id", "th", "at", "h", "h2", F.sort_array(F.transform("codes", placed)).alias("tokens"))
     flip = lambda one, x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
     nil, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     parity = F.aggregate("tokens", nil, lambda bits, x: bits.bitwiseXOR(flip(one, x)))
@@ -200,28 +200,38 @@ def _by_best_partner(pairs: DataFrame, docs: DataFrame, stands: DataFrame, scrat
 def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, th, gone array<int>): numbers of the lines that go. docs: id, th (a hash of the text), text."""
     raw = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(SOLID))
+    raw = raw.withColumns({"h": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), F.col("line"))})
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "at")
-    lines = scratch.write(_described(raw, _levels(docs)), "lines")
+    lines = scratch.write(raw.drop("line"), "lines")
     repeated = lines.groupBy("h", "h2").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     repeated = scratch.write(repeated, "repeated")
-    stands = lines.join(hinted(repeated, 64), ["h", "h2"], "left").where(F.col("place").isNull() | (place == F.col("place"))).drop("place")
+    # Where the first lines can be told by a broadcast, no copy is split into words; else copies go when they are described.
+    small = repeated.count() * 64 <= BROADCAST_BYTES
+    firsts = lambda df: df.join(hinted(repeated, 64), ["h", "h2"], "left").where(F.col("place").isNull() | (place == F.col("place"))).drop("place")
+    with temporary_tables():
+        codes = _distinct(F.col("line"), _code).alias("codes")
+        words = Scratch(docs.sparkSession, "words").write((firsts(raw) if small else raw).select("id", "th", "at", "h", "h2", codes), "words")
+        described = _described(words, _levels(words))
+        stands = scratch.write(described if small else firsts(described), "stands")
 
     entry = F.struct(place.alias("place"), "h", "n", "parity", "odd")
     size = F.size("first")
     ends = F.array_distinct(F.array(F.get("first", F.lit(0)), F.get("first", F.floor(size / 4).cast("int")), F.get("first", F.floor(size / 2).cast("int")), F.get("first", size - 1)))
     keyed = stands.select(entry.alias("x"), F.explode(ends).alias("token"))
-    keyed = keyed.select("x", F.struct("token", F.pmod("x.h", _groups(F.col("token"))).alias("part")).alias("t"))
-    by_token = Window.partitionBy("t").orderBy("x")
+    # Two columns, not a struct, so that rows are sorted by the token's number.
+    t = ["token", "part"]
+    keyed = keyed.select("x", "token", F.pmod("x.h", _groups(F.col("token"))).alias("part"))
+    by_token = Window.partitionBy(*t).orderBy("x")
     fits = (F.col("x.h") != F.col("y.h")) & _near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
-    led = keyed.select("t", "x", F.first("x").over(by_token).alias("y"), F.row_number().over(by_token).alias("nth")).withColumn("fits", fits)
-    led = led.withColumn("many", F.sum(F.col("fits").cast("int")).over(Window.partitionBy("t")))
+    led = keyed.select(*t, "x", F.first("x").over(by_token).alias("y"), F.row_number().over(by_token).alias("nth")).withColumn("fits", fits)
+    led = led.withColumn("many", F.sum(F.col("fits").cast("int")).over(Window.partitionBy(*t)))
     as_pairs = lambda df: df.where(fits).select(F.col("y.h").alias("ha"), F.col("x.h").alias("hb")).distinct()
     led = scratch.write(led.where((F.col("many") >= CROWD) | F.col("fits")), "led")
     settled = _later(scratch.write(as_pairs(led), "near"), docs, stands, scratch, "settled")
     open_only = lambda df, k: df.join(hinted(settled.select(F.col("h").alias("sh")), 8), F.col(f"{k}.h") == F.col("sh"), "left_anti")
     crowded = led.where(F.col("many") >= CROWD)
-    heads = crowded.where(F.col("nth").between(2, LEADERS)).select("t", F.col("x").alias("y"))
-    met = open_only(crowded.select("t", "x"), "x").join(heads, "t").where(F.col("y") < F.col("x"))
+    heads = crowded.where(F.col("nth").between(2, LEADERS)).select(*t, F.col("x").alias("y"))
+    met = open_only(crowded.select(*t, "x"), "x").join(heads, t).where(F.col("y") < F.col("x"))
     settled = settled.union(_later(scratch.write(as_pairs(met), "near2"), docs, stands, scratch, "settled2")).distinct()
 
     marked = stands.join(hinted(scratch.write(settled.withColumn("settled", F.lit(True)), "settled-all"), 24), ["h", "h2"], "left").withColumn("open", F.col("settled").isNull())

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -62,3 +63,38 @@ def test_ids_of_any_kind(spark):
 def test_no_python_in_the_plan(corpus):
     plan = L.dedup_lines(corpus)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+def written(monkeypatch, docs):
+    """The rows of the tables that the join writes, by name."""
+    tables, write = {}, L.Scratch.write
+
+    def kept(self, df, name):
+        tables[name] = (out := write(self, df, name)).collect()
+        return out
+
+    monkeypatch.setattr(L.Scratch, "write", kept)
+    L.dedup_lines(docs)
+    return tables
+
+
+def test_copies_are_not_split_into_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"one two three four {k % 4}\nfive") for k in range(40)], "doc_id long, text string")
+    tables = written(monkeypatch, docs)
+    assert len(tables["words"]) == len(tables["stands"]) == 5 and len(tables["lines"]) == 80
+
+
+def test_sketches_tell_long_strangers_apart(spark, monkeypatch):
+    rnd = random.Random(5)
+    docs = spark.createDataFrame([(k, " ".join(rnd.sample([f"w{i}" for i in range(3000)], n))) for k, n in enumerate((70, 94) * 60)], "doc_id long, text string")
+    tables = written(monkeypatch, docs)
+    rows = spark.createDataFrame(tables.get("stands", tables["lines"]), "id long, th long, at int, h long, h2 long, n int, parity long, odd long, first array<long>")
+    near = L._near(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
+    assert rows.alias("a").join(rows.alias("b"), (F.col("a.n") < F.col("b.n")) & near).count() == 0
+
+
+def test_more_repeated_lines_than_can_be_broadcast(corpus, monkeypatch):
+    found = lambda: sorted((str(r["doc_id"]), r["text"] or "", r["n_removed"]) for r in L.dedup_lines(corpus).collect())
+    want = found()
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 0)
+    assert found() == want and sum(n for _, _, n in want) > 50
