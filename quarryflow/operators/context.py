@@ -24,7 +24,13 @@ CONSTANT = r"\b([A-Z][A-Za-z0-9]*)\.[A-Z]"
 CONSTANT_LINES = 40
 SEPARATOR = "\n\n---\n\n"
 #: The wording of a chain's summary.
-FLOW, TABLES_OPEN, NOTHING = "처리 흐름: ", "테이블(", "처리 흐름: 관련 코드를 찾지 못했습니다."
+FLOW, TABLES_OPEN, TABLES_CLOSE, NOTHING = "처리 흐름: ", "테이블(", ")", "처리 흐름: 관련 코드를 찾지 못했습니다."
+ARROW = " → "
+#: Kinds of nodes that a summary names, in its order, and what stands between the names of one kind.
+NAMED = (("URL", " / "), ("CONTROLLER_METHOD", " / "), ("IMPL_METHOD", " / "), ("TABLE", ", "))
+_BETWEEN = "CASE kind " + " ".join(f"WHEN {n} THEN '{by}'" for n, (_, by) in enumerate(NAMED)) + " END"
+#: Ids or labels in a piece of what a question reaches, about.
+PIECE = 4096
 
 
 def candidate_tiers(edges: DataFrame, hits: DataFrame, expanded: int = 3) -> DataFrame:
@@ -36,32 +42,115 @@ def candidate_tiers(edges: DataFrame, hits: DataFrame, expanded: int = 3) -> Dat
     return all_of.groupBy("id").agg(F.min("tier").alias("tier"))
 
 
-def chain_summary(nodes: DataFrame) -> DataFrame:
-    """One row, summary: URLs, controllers, implementations, then tables, each sorted and once."""
-    part = lambda kind, by: sorted_join(F.collect_set(F.when(F.col("node_type") == kind, F.col("label"))), by)
-    parts = nodes.agg(part("URL", " / ").alias("u"), part("CONTROLLER_METHOD", " / ").alias("c"), part("IMPL_METHOD", " / ").alias("i"), part("TABLE", ", ").alias("t"))
-    filled = lambda c: F.nullif(F.col(c), F.lit(""))
-    chained = F.concat_ws(" → ", filled("u"), filled("c"), filled("i"), F.concat(F.lit(TABLES_OPEN), filled("t"), F.lit(")")))
-    return parts.select(F.when(chained != "", F.concat(F.lit(FLOW), chained)).otherwise(F.lit(NOTHING)).alias("summary"))
-
+def _chained(parts: list[Column]) -> Column:
+    """The summary of the joined names of each kind of NAMED; null and empty ones are left out."""
+    filled = [F.nullif(p, F.lit("")) for p in parts]
+    chained = F.concat_ws(ARROW, *filled[:3], F.concat(F.lit(TABLES_OPEN), filled[3], F.lit(TABLES_CLOSE)))
+    return F.when(chained != "", F.concat(F.lit(FLOW), chained)).otherwise(F.lit(NOTHING))
 
-def candidate_tiers_by_question(edges: DataFrame, hits: DataFrame, expanded: int = 3) -> DataFrame:
-    """q, id, tier of all questions in one walk each way. hits: q, id, rank (from 1)."""
-    chosen = hits.where(F.col("rank") <= expanded).select("q", F.col("id").alias("start"))
-    starts = chosen.select(F.col("start").alias("id")).distinct()
-    tagged = lambda df, tier: df.select("q", "id", F.lit(tier).alias("tier"))
-    around = [tagged(closure(edges, starts, back).join(chosen, "start"), tier) for back, tier in ((False, DOWNSTREAM), (True, UPSTREAM))]
-    return tagged(hits, HIT).unionByName(around[0]).unionByName(around[1]).groupBy("q", "id").agg(F.min("tier").alias("tier"))
 
-
-def chain_summaries(nodes: DataFrame, q: str = "q") -> DataFrame:
-    """q, summary: the summary of each question's nodes."""
+def chain_summary(nodes: DataFrame) -> DataFrame:
+    """One row, summary: URLs, controllers, implementations, then tables, each sorted and once."""
     part = lambda kind, by: sorted_join(F.collect_set(F.when(F.col("node_type") == kind, F.col("label"))), by)
-    kinds = (("URL", " / "), ("CONTROLLER_METHOD", " / "), ("IMPL_METHOD", " / "), ("TABLE", ", "))
-    parts = nodes.groupBy(q).agg(*(part(kind, by).alias(f"p{n}") for n, (kind, by) in enumerate(kinds)))
-    filled = [F.nullif(F.col(f"p{n}"), F.lit("")) for n in range(4)]
-    chained = F.concat_ws(" → ", *filled[:3], F.concat(F.lit(TABLES_OPEN), filled[3], F.lit(")")))
-    return parts.select(q, F.when(chained != "", F.concat(F.lit(FLOW), chained)).otherwise(F.lit(NOTHING)).alias("summary"))
+    parts = nodes.agg(*(part(kind, by).alias(f"p{n}") for n, (kind, by) in enumerate(NAMED)))
+    return parts.select(_chained([F.col(f"p{n}") for n in range(len(NAMED))]).alias("summary"))
+
+
+def question_groups(hits: DataFrame) -> DataFrame:
+    """q, g: the least question with the same hits, which stands for all of them. hits: q, id, rank."""
+    same = hits.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("same"))
+    return same.join(same.groupBy("same").agg(F.min("q").alias("g")), "same").select("q", "g")
+
+
+def around(edges: DataFrame, hits: DataFrame, expanded: int = 3) -> DataFrame:
+    """start, tier, id: each hit, and what it reaches and what reaches it if it is among the first `expanded` of a question.
+    Both ways are one walk, through nodes that are marked with the way. hits: g, id, rank (from 1)."""
+    marked = lambda way, a, b: edges.select(F.concat(F.lit(way), a).alias("src_id"), F.concat(F.lit(way), b).alias("dst_id"))
+    starts = hits.where(F.col("rank") <= expanded).select("id").distinct()
+    starts = starts.select(F.explode(F.array(F.concat(F.lit(">"), "id"), F.concat(F.lit("<"), "id"))).alias("id"))
+    walked = closure(marked(">", "src_id", "dst_id").union(marked("<", "dst_id", "src_id")), starts)
+    tier = F.when(F.col("start").startswith(">"), DOWNSTREAM).otherwise(UPSTREAM)
+    own = hits.select(F.col("id").alias("start"), F.lit(HIT).alias("tier"), "id").distinct()
+    return own.union(walked.select(F.expr("substring(start, 2)"), tier, F.expr("substring(id, 2)")))
+
+
+def asked_starts(hits: DataFrame, reached: DataFrame, expanded: int = 3) -> DataFrame:
+    """g, start, tier, wide: which rows of `around` are a question's, and whether they are too many for one piece."""
+    ways = F.when(F.col("rank") <= expanded, F.array(*map(F.lit, (HIT, DOWNSTREAM, UPSTREAM)))).otherwise(F.array(F.lit(HIT)))
+    own = hits.select("g", F.col("id").alias("start"), F.explode(ways).alias("tier"))
+    sizes = reached.groupBy("start", "tier").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("g"))  # of at most three rows a hit
+    return own.join(sizes, ["start", "tier"]).select("g", "start", "tier", (total > PIECE).alias("wide"))
+
+
+def pieces(asked: DataFrame, reached: DataFrame, items: DataFrame, kind: tuple[str, ...] = ()) -> DataFrame:
+    """piece (a number), start, tier, wide, kind, chunk, values: what each start reaches, as arrays: one a chunk for wide
+    questions, a single one for the others. items: id, kind, chunk, value."""
+    needed = asked.select("start", "tier", "wide").distinct()
+    rows = reached.join(items, "id").join(needed, ["start", "tier"]).withColumn("chunk", F.when(F.col("wide"), F.col("chunk")).otherwise(0))
+    made = rows.groupBy("start", "tier", "wide", *kind, "chunk").agg(F.collect_set("value").alias("values"))
+    return made.withColumn("piece", F.monotonically_increasing_id())
+
+
+def pieces_of(asked: DataFrame, made: DataFrame, kind: tuple[str, ...] = ()) -> DataFrame:
+    """g, kind, chunk, tier, values. Rows meet by piece and not by start, so a start that many wide questions share is dealt
+    to as many tasks as it has pieces. made: `pieces`, written."""
+    wanted = asked.join(made.drop("values"), ["start", "tier", "wide"]).select("g", *kind, "chunk", "tier", "piece")
+    return wanted.join(made.select("piece", "values"), "piece").drop("piece")
+
+
+def tiers_of(asked: DataFrame, made: DataFrame) -> DataFrame:
+    """g, sets: arrays of (tier, ids) of a chunk, each id once, in its least tier."""
+    parts = pieces_of(asked, made).groupBy("g", "chunk").agg(F.collect_list(F.struct("tier", "values")).alias("parts"))
+    of = lambda tier: F.array_distinct(F.flatten(F.transform(F.filter("parts", lambda p: p["tier"] == tier), lambda p: p["values"])))
+    sets = parts.select("g", of(HIT).alias("hit"), of(DOWNSTREAM).alias("down"), of(UPSTREAM).alias("up"))
+    sets = sets.withColumn("down", F.array_except("down", "hit")).withColumn("up", F.array_except(F.array_except("up", "hit"), "down"))
+    named = ((HIT, "hit"), (DOWNSTREAM, "down"), (UPSTREAM, "up"))
+    return sets.select("g", F.array(*(F.struct(F.lit(tier).alias("tier"), F.col(c).alias("ids")) for tier, c in named)).alias("sets"))
+
+
+def each_id(sets: DataFrame) -> DataFrame:
+    """The other columns, tier, id of the rows of `tiers_of`."""
+    rest = [c for c in sets.columns if c != "sets"]
+    return sets.select(*rest, F.inline("sets")).select(*rest, "tier", F.explode("ids").alias("id"))
+
+
+def names(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, kind, chunk, value: labels of the nodes that summaries name, in chunks of the sorted labels of a kind."""
+    kind = F.array_position(F.array(*(F.lit(name) for name, _ in NAMED)), F.col("node_type")) - 1
+    rows = nodes.select("id", kind.alias("kind"), F.col("label").alias("value")).where("kind >= 0 AND value IS NOT NULL")
+    order = rows.select("kind", "value").distinct().repartitionByRange("kind", "value").sortWithinPartitions("kind", "value")
+    order = order.withColumn("nth", F.monotonically_increasing_id())  # the partition above 33 bits of the row
+    chunk = F.shiftleft(F.shiftright("nth", 33), 32) + F.floor((F.col("nth") % (1 << 33)) / PIECE)
+    return rows.join(scratch.write(order.select("kind", "value", chunk.alias("chunk")), "labels"), ["kind", "value"])
+
+
+def summary_parts(asked: DataFrame, made: DataFrame, texts: bool) -> DataFrame:
+    """g, kind, chunk, chars, and text if asked for: the names of a chunk, each once, in the text sorted and joined."""
+    values = F.array_distinct(F.flatten(F.collect_list("values")))
+    rows = pieces_of(asked, made, ("kind",)).groupBy("g", "kind", "chunk").agg(values.alias("values"))
+    if texts:
+        rows = rows.withColumn("text", F.expr(f"array_join(array_sort(values), {_BETWEEN})"))
+        return rows.select("g", "kind", "chunk", F.length("text").alias("chars"), "text")
+    return rows.select("g", "kind", "chunk", F.expr(f"length(array_join(values, {_BETWEEN}))").alias("chars"))
+
+
+def chain_summaries(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """g, used, and summary if the parts have texts, of all groups (g). used: the summary's length, from the parts' lengths."""
+    of = lambda n: F.col("kind") == n
+    kinds = [(n, by) for n, (_, by) in enumerate(NAMED)]
+    aggs = [(F.sum(F.when(of(n), F.col("chars") + len(by))) - len(by)).alias(f"n{n}") for n, by in kinds]
+    if "text" in parts.columns:
+        aggs.append(F.sort_array(F.collect_list(F.struct("kind", "chunk", "text"))).alias("parts"))
+    rows = groups.join(parts.groupBy("g").agg(*aggs), "g", "left")
+    filled = [F.nullif(F.col(f"n{n}"), F.lit(0)) for n, _ in kinds]
+    filled[3] = filled[3] + len(TABLES_OPEN + TABLES_CLOSE)
+    total = sum((F.coalesce(c, F.lit(0)) + F.when(c.isNull(), 0).otherwise(len(ARROW)) for c in filled), F.lit(0))
+    used = F.when(total > 0, total - len(ARROW) + len(FLOW)).otherwise(len(NOTHING)).cast("long").alias("used")
+    if "text" not in parts.columns:
+        return rows.select("g", used)
+    texts = lambda n, by: F.array_join(F.transform(F.filter("parts", lambda p: p["kind"] == n), lambda p: p["text"]), by)
+    return rows.select("g", used, _chained([texts(n, by) for n, by in kinds]).alias("summary"))
 
 
 def call_chain(nodes: DataFrame) -> DataFrame:
@@ -222,7 +311,7 @@ def retry_prompt(prompt: Column, reason: Column) -> Column:
 
 
 #: The wording of a manual entry's chain line.
-ARROW, SQL_COUNT, NO_CHAIN = " → ", ("SQL ", "건"), "(호출그래프에서 찾지 못함)"
+SQL_COUNT, NO_CHAIN = ("SQL ", "건"), "(호출그래프에서 찾지 못함)"
 
 
 def manual_rows(nodes: DataFrame, edges: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:

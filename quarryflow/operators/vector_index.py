@@ -19,6 +19,7 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ DIGITS = 12
 #: What a score may lack before it is rounded; bytes of scores at once, and rows that a task always may hold.
 SLACK, BLOCK_BYTES, HELD = 2e-12, 16 << 20, 200_000
 NOWHERE = -1
+#: Queries that the driver turns to unit vectors at once.
+TURNED = 1024
 #: The share of true neighbours that the kept number of probes reaches, of the K best of about TRIALS stored vectors.
 RECALL, TRIALS, K = 0.95, 512, 10
 
@@ -117,19 +120,18 @@ def _scan(rows: DataFrame, asked: list, matrix: np.ndarray, near: np.ndarray | N
 
 def _passes(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     """Queries that have a direction, as many at a time as PASS_BYTES hold; those of another length than the first have none."""
-    names, vectors, dims = [], [], 0
-    for row in queries.toLocalIterator(prefetchPartitions=True):
-        v = row["vector"]
-        dims = dims or len(v or ())
-        x, at = directions(pa.array([v], pa.list_(pa.float64())), dims)
+    names, parts, dims, rows = [], [], 0, queries.select("query", "vector").toLocalIterator(prefetchPartitions=True)
+    while some := list(islice(rows, TURNED)):
+        dims = dims or next((len(r["vector"]) for r in some if r["vector"]), 0)
+        x, at = directions(pa.array([r["vector"] for r in some], pa.list_(pa.float64())), dims)
         if len(at):
-            names.append(row["query"])
-            vectors.append(x[0])
+            names += [some[i]["query"] for i in at]
+            parts.append(x)
         if len(names) * dims * 8 >= PASS_BYTES:
-            yield names, np.array(vectors)
-            names, vectors = [], []
+            yield names, np.concatenate(parts)
+            names, parts = [], []
     if names:
-        yield names, np.array(vectors)
+        yield names, np.concatenate(parts)
 
 
 def _top(parts: list[DataFrame], k: int, spark: SparkSession, schema: T.StructType) -> DataFrame:

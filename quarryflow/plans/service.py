@@ -182,61 +182,137 @@ def question_hits(index: Index, questions: DataFrame, k: int = 5) -> DataFrame:
     if "vector" not in questions.columns:
         questions = vector.embed(questions, "text", vector.QUERY, index.backend, "vector")
     chunks = index.chunks.select(F.col("node_id").alias("id"), F.col("embedding").alias("vector"))
-    return vector_index.top_k_join(questions.select(F.col("q").alias("query"), "vector"), chunks, k).select(F.col("query").alias("q"), "id", "rank")
+    questions = Scratch(questions.sparkSession, "asked").write(questions.select("q", "vector"), "vectors")
+    once = questions.groupBy("vector").agg(F.min("q").alias("query"))  # equal questions are one search
+    found = vector_index.top_k_join(once.select("query", "vector"), chunks, k).select("query", "id", "rank")
+    return questions.join(once, "vector").select("q", "query").join(found, "query").select("q", "id", "rank")
 
 
-def question_blocks(index: Index, hits: DataFrame, budget: int = C.BUDGET) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The candidate blocks of all questions, packed question by question (q, tier, file_path, start_line, id, label,
-    end_line, digest, at, size, kept, used); the blocks themselves (at, code, block), once however many ask; and q, summary.
-    hits: q, id, rank. Only sizes go with the questions: a node that many questions reach would repeat its text for each, and
-    a summary names all of a question's nodes."""
+@dataclass
+class _Packing:
+    """What questions share. Those with equal hits are one group (g), for which everything is found and packed once.
+
+    Rows of a group go as arrays of at most about `C.PIECE` ids: a node that reaches much, and that many questions hit,
+    would make a row for each question and node in every step. A group whose summary leaves no room for the smallest block
+    keeps none, so its blocks are neither sorted nor packed."""
+
+    groups: DataFrame  # q, g
+    sums: DataFrame  # g, used, and summary if asked for
+    blocks: DataFrame  # at, id, place, label, size, digest, and code, block if asked for
+    places: DataFrame  # the blocks without texts, and nth, their order in a tier
+    packed: DataFrame  # g, tier, nth, id, at, size, kept, used of groups with room
+    full: DataFrame  # g, used of groups without room
+    sets: DataFrame  # g, sets of ids by tier, of groups without room
+    covered: DataFrame  # g of groups without room that have blocks
+    constants: DataFrame | None  # g, tier and the place of small classes that the code of hits names, of all groups
+    single: bool  # no node has two blocks
+
+    def left_out(self, *columns: str) -> DataFrame:
+        """q, tier, id, used, and columns of the places, of the blocks of groups without room."""
+        heads = self.groups.join(self.full, "g")
+        rows = C.each_id(self.sets.join(heads, "g").select("q", "used", "sets"))
+        if columns or not self.single:
+            rows = rows.join(self.places.where("node_type <> 'ETC_REF'").select("id", *columns), "id")
+        rows = rows.select("q", "tier", "id", "used", *columns)
+        if self.constants is not None:
+            rows = rows.unionByName(self.constants.join(heads, "g").select("q", "tier", "id", "used", *columns))
+        return rows.withColumn("kept", F.lit(False))
+
+
+def _packing(index: Index, hits: DataFrame, budget: int, texts: bool) -> _Packing:
+    """hits: q, id, rank. texts: with the summaries and the blocks themselves, not only their sizes."""
     scratch = Scratch(hits.sparkSession, "questions")
     hits = scratch.write(hits, "hits")
-    tiers = scratch.write(C.candidate_tiers_by_question(index.edges, hits), "tiers")
-    summaries = C.chain_summaries(tiers.join(index.nodes.select("id", "node_type", "label"), "id"))
-    summaries = scratch.write(summaries.withColumn("used", F.length("summary")), "summaries")
-    nodes = index.nodes.join(tiers.select("id").distinct(), "id", "left_semi")
-    code = _code_rows(index, nodes.withColumn("tier", F.lit(0))).drop("tier", "content")
-
-    hit = code.join(hits.select("id").distinct(), "id", "left_semi")
-    names = hit.select("id", F.explode(F.regexp_extract_all("code", F.lit(C.CONSTANT), F.lit(1))).alias("class_name")).distinct()
+    groups = scratch.write(C.question_groups(hits), "groups")
+    hits = hits.join(groups.where("q = g"), "q").select("g", "id", "rank")
+    reached = scratch.write(C.around(index.edges, hits), "around")
+    asked = scratch.write(C.asked_starts(hits, reached), "asked")
+    nodes = index.nodes.join(reached.select("id").distinct(), "id", "left_semi")
+    named = scratch.write(C.pieces(asked, reached, C.names(nodes, scratch), ("kind",)), "named")
+    parts = scratch.write(C.summary_parts(asked, named, texts), "parts")
+    sums = scratch.write(C.chain_summaries(groups.where("q = g").select("g"), parts), "sums")
+
+    rows, names = _code_rows(index, nodes.withColumn("tier", F.lit(0))).drop("tier", "content"), None
     small = (F.col("layer") == "ETC") & (F.col("end_line") - F.col("start_line") + 1 <= C.CONSTANT_LINES)
     classes = index.classes.where(small).select("class_name", "file_path", "start_line", "end_line")
-    named = {"id": F.concat(F.lit("ETC_REF::"), "class_name"), "node_type": F.lit("ETC_REF"), "method_name": F.lit(None).cast("string")}
-    used = scratch.write(names.join(classes.select("class_name").distinct(), "class_name", "left_semi"), "names")
-    constants = classes.join(used.select("class_name").distinct(), "class_name", "left_semi").join(index.files.select(F.col("path").alias("file_path"), "content"), "file_path")
-    constants = constants.withColumns(named).withColumn("code", line_slice("content", F.col("start_line"), F.col("end_line"))).drop("content")
-
-    rows = code.unionByName(constants).withColumn("label", C.block_label(F.col("node_type"), F.col("class_name"), F.col("method_name")))
+    if not classes.isEmpty():
+        hit = rows.join(hits.select("id").distinct(), "id", "left_semi")
+        names = hit.select("id", F.explode(F.regexp_extract_all("code", F.lit(C.CONSTANT), F.lit(1))).alias("class_name")).distinct()
+        names = scratch.write(names.join(classes.select("class_name").distinct(), "class_name", "left_semi"), "names")
+        as_node = {"id": F.concat(F.lit("ETC_REF::"), "class_name"), "node_type": F.lit("ETC_REF"), "method_name": F.lit(None).cast("string")}
+        classes = classes.join(names.select("class_name").distinct(), "class_name", "left_semi").join(index.files.select(F.col("path").alias("file_path"), "content"), "file_path")
+        rows = rows.unionByName(classes.withColumns(as_node).withColumn("code", line_slice("content", F.col("start_line"), F.col("end_line"))).drop("content"))
+    rows = rows.withColumn("label", C.block_label(F.col("node_type"), F.col("class_name"), F.col("method_name")))
     block = C.block(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("node_type"), F.col("label"), F.col("code"))
     rows = rows.withColumn("block", block).withColumns({"size": F.length("block"), "digest": F.xxhash64("block"), "at": F.monotonically_increasing_id()})
-    blocks = scratch.write(rows, "blocks")
+    kept = ["id", "node_type", "class_name", "file_path", "start_line", "end_line", "label", "size", "digest", "at"]
+    blocks = scratch.write(rows.select(*kept, *(["code", "block"] if texts else [])), "blocks")
+    order = ["file_path", "start_line", "id", "label", "end_line", "digest", "at"]
+    places = blocks.select(*kept).repartitionByRange(*order).sortWithinPartitions(*order)
+    places = scratch.write(places.withColumn("nth", F.monotonically_increasing_id()), "places")
+
+    plain = places.where("node_type <> 'ETC_REF'")
+    least, n, ids = places.agg(F.min("size"), F.count_if(F.col("node_type") != "ETC_REF"), F.count_distinct(F.when(F.col("node_type") != "ETC_REF", F.col("id")))).first()
+    chunk = F.pmod(F.xxhash64("id"), F.lit(-(-ids // C.PIECE) or 1))
+    coded = scratch.write(C.pieces(asked, reached, plain.select("id").distinct().select("id", chunk.alias("chunk"), F.col("id").alias("value"))), "coded")
+    room = F.col("used") + (least or 0) <= budget
+    open_, full = sums.where(room).select("g", "used"), sums.where(~room).select("g", "used")
+    constants = _constants(names, hits, asked, reached, places) if names is not None else None
+
+    columns = ["g", "tier", "nth", "id", "at", "size"]
+    rows = C.each_id(C.tiers_of(asked.join(open_, "g", "left_semi"), coded)).join(plain, "id").select(*columns)
+    rows = rows if constants is None else rows.unionByName(constants.select(*columns))
+    packed = C.pack(rows.join(open_, "g"), "g", ["tier", "nth"], F.col("size"), budget, F.col("used"), ("id", "at"))
+    packed = scratch.write(packed, "packed")
+    closed = asked.join(full, "g", "left_semi")
+    covered = closed.join(coded.select("start", "tier", "wide").distinct(), ["start", "tier", "wide"], "left_semi").select("g")
+    covered = covered if constants is None else covered.union(constants.select("g").join(full, "g", "left_semi"))
+    return _Packing(groups, sums, blocks, places, packed, full, C.tiers_of(closed, coded), covered.distinct(), constants, n == ids)
+
+
+def _constants(names: DataFrame, hits: DataFrame, asked: DataFrame, reached: DataFrame, places: DataFrame) -> DataFrame:
+    """g, tier and the places of the classes that a group's hits name (names: id, class_name), but for those that have blocks
+    among its candidates anyway."""
+    own = places.where("node_type <> 'ETC_REF'").join(names.select("class_name").distinct(), "class_name", "left_semi")
+    shown = asked.join(reached.join(own.select("id", "class_name"), "id"), ["start", "tier"]).select("g", "class_name")
+    wanted = names.join(hits, "id").select("g", "class_name").distinct().join(shown, ["g", "class_name"], "left_anti")
+    return wanted.join(places.where("node_type = 'ETC_REF'"), "class_name").withColumn("tier", F.lit(C.HIT))
+
+
+def question_packs(index: Index, hits: DataFrame, budget: int = C.BUDGET) -> DataFrame:
+    """q, id, tier, kept, used of the candidate blocks of all questions, as `question_blocks` packs them."""
+    p = _packing(index, hits, budget, texts=False)
+    rows = p.packed.join(p.groups, "g").select("q", "tier", "id", "used", "kept")
+    return rows.unionByName(p.left_out()).select("q", "id", "tier", "kept", "used")
 
-    sizes = blocks.select("id", "node_type", "class_name", "file_path", "start_line", "end_line", "label", "size", "digest", "at")
-    asked = sizes.where("node_type <> 'ETC_REF'").join(tiers, "id")
-    seen = used.join(tiers.where(F.col("tier") == C.HIT), "id").select("q", "class_name").distinct()
-    about = used.select("class_name").distinct()
-    shown = asked.join(about, "class_name", "left_semi").select("q", "class_name").distinct()
-    wanted = seen.join(shown, ["q", "class_name"], "left_anti").withColumn("tier", F.lit(C.HIT))
-    asked = asked.unionByName(sizes.where("node_type = 'ETC_REF'").join(wanted, "class_name"))
-    asked = asked.join(summaries.select("q", "used"), "q")
-    packed = C.pack(asked, "q", ["tier", "file_path", "start_line"], F.col("size"), budget, F.col("used"), ("id", "label", "end_line", "digest", "at"))
-    return packed, blocks.select("at", "code", "block"), summaries.select("q", "summary")
+
+def question_blocks(index: Index, hits: DataFrame, budget: int = C.BUDGET) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The candidate blocks of all questions, packed question by question (q, tier, file_path, start_line, id, label,
+    end_line, digest, at, size, kept, used); the blocks themselves (at, code, block), once however many ask; and q, summary.
+    hits: q, id, rank. Only sizes go with the questions: a node that many questions reach would repeat its text for each, and
+    a summary names all of a question's nodes."""
+    p = _packing(index, hits, budget, texts=True)
+    place = ["file_path", "start_line", "label", "end_line", "digest", "at", "size"]
+    rows = p.packed.drop("id", "size").join(p.places.select("id", *place), "at").join(p.groups, "g").select("q", "tier", "id", "used", *place, "kept")
+    rows = rows.unionByName(p.left_out(*place))
+    rows = rows.select("q", "tier", "file_path", "start_line", "id", "label", "end_line", "digest", "at", F.col("size").cast("long").alias("size"), "kept", "used")
+    return rows, p.blocks.select("at", "code", "block"), p.groups.join(p.sums, "g").select("q", "summary")
 
 
 def ask_contexts(index: Index, questions: DataFrame, k: int = 5, budget: int = C.BUDGET) -> DataFrame:
     """(q, summary, text, references, truncated): `ask_context` of any number of questions in one plan. questions: q
     (unique) and text, or vector. A row holds kept blocks only, so its size is bounded by the budget."""
-    packed, blocks, summaries = question_blocks(index, question_hits(index, questions, k), budget)
-    packed = Scratch(questions.sparkSession, "contexts").write(packed, "packed")
+    p = _packing(index, question_hits(index, questions, k), budget, texts=True)
     snippet = F.substring(F.regexp_replace("code", r"^\s+|\s+$", ""), 1, 200)
     reference = F.struct(F.col("file_path").alias("file"), F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end"), F.col("label").alias("class_method"), snippet.alias("snippet"))
-    part = F.struct("tier", "file_path", "start_line", "id", "block", reference.alias("reference"))
-    kept = packed.where("kept").join(blocks, "at").groupBy("q").agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    cut = packed.groupBy("q").agg(F.bool_or(~F.col("kept")).alias("truncated"))
+    part = F.struct("file_path", "start_line", "id", "block", reference.alias("reference"))
+    shown = p.blocks.where(F.col("size") <= budget).select("at", part.alias("part"))
+    kept = p.packed.where("kept").select("g", "tier", "at").join(shown, "at")
+    kept = kept.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("tier", "part"))), lambda x: x["part"]).alias("parts"))
+    cut = p.packed.groupBy("g").agg(F.bool_or(~F.col("kept")).alias("truncated")).unionByName(p.covered.select("g", F.lit(True).alias("truncated")))
     none = F.array().cast(kept.schema["parts"].dataType)
-    made = cut.join(kept, "q", "left").withColumn("parts", F.coalesce("parts", none))
-    whole = questions.select("q").join(summaries, "q", "left").join(made, "q", "left")
+    made = p.sums.select("g", "summary").join(cut, "g", "left").join(kept, "g", "left")
+    whole = questions.select("q").join(p.groups, "q", "left").join(made, "g", "left").withColumn("parts", F.coalesce("parts", none))
     summary = F.coalesce("summary", F.lit(C.NOTHING))
     text = F.array_join(F.concat(F.array(summary), F.transform("parts", lambda p: p["block"])), C.SEPARATOR)
     return whole.select(

@@ -3,6 +3,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from quarryflow.operators import context as C
 from quarryflow.operators import relational as R
 from quarryflow.plans import service
 from quarryflow.sources import files, publish
@@ -47,6 +48,36 @@ def test_a_block_is_kept_once_however_many_ask(index, spark):
     assert {r["at"]: len(r["block"]) for r in texts} == {r["at"]: r["size"] for r in rows}
 
 
+def test_equal_questions_are_worked_on_once(index, spark, monkeypatch):
+    rows, write = [], service.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        rows[-1] += [(name, out.count())] if name not in ("hits", "groups") else []
+        return out
+
+    monkeypatch.setattr(service.Scratch, "write", counted)
+    for n in (1, 5):
+        hits = spark.createDataFrame([(q, r["id"], rank) for q in range(n) for rank, r in enumerate(index.nodes.where("node_type = 'IMPL_METHOD'").select("id").collect(), 1)], "q int, id string, rank int")
+        rows.append([])
+        assert service.question_packs(index, hits).groupBy("q").count().count() == n
+    assert rows[0] == rows[1]
+
+
+@pytest.mark.parametrize("budget", [450, 20])
+def test_groups_of_many_pieces(index, spark, monkeypatch, budget):
+    monkeypatch.setattr(C, "PIECE", 2)
+    asked = spark.createDataFrame([(7, "LoanServiceImpl find loan"), (8, "LoanServiceImpl find loan")], "q int, text string")
+    one = service.ask_context(index, "LoanServiceImpl find loan", budget=budget)
+    for r in service.ask_contexts(index, asked, budget=budget).collect():
+        assert (r["summary"], r["text"], r["truncated"]) == (one.summary, one.text, one.truncated)
+    hits = service.question_hits(index, asked)
+    brief = sorted(map(tuple, service.question_packs(index, hits, budget).collect()))
+    whole = service.question_blocks(index, hits, budget)[0]
+    assert brief == sorted(map(tuple, whole.select("q", "id", "tier", "kept", "used").collect())) and len(brief) > 4
+    assert min(r[4] for r in brief) >= len(one.summary) and any(r[3] for r in brief) == bool(one.references)
+
+
 def test_failure(index):
     log = "java.lang.RuntimeException: x\n\tat app.loan.LoanServiceImpl.find(LoanServiceImpl.java:{0})\n\tat q.R.s(R.java:1)"
     c = service.diagnose_context(index, log.format(9), "app.")

@@ -95,3 +95,14 @@ def test_a_task_holds_no_more_than_the_best_of_each_query(spark, clustered, monk
     kinds = (V.T.LongType(), V.T.LongType())
     scanned = V._scan(df.select("id", "vector").coalesce(1), [i for i, _ in asked], matrix, None, 7, *kinds)
     assert sorted((r["query"], r["id"]) for r in scanned.collect()) == [p[:2] for p in sorted(brute(asked, rows + odd, 7), key=lambda p: p[:2])]
+
+
+def test_queries_are_turned_many_at_a_time(spark, monkeypatch):
+    rows = [(q, None if q == 0 else [1.0, 2.0, 3.0] if q == 5 else [float(q), 1.0]) for q in range(300)]
+    calls, turn = [], V.directions
+    monkeypatch.setattr(V, "directions", lambda column, dims: calls.append(len(column)) or turn(column, dims))
+    monkeypatch.setattr(V, "PASS_BYTES", 299 * 16)
+    passes = list(V._passes(spark.createDataFrame(rows, "query int, vector array<double>").coalesce(1)))
+    assert [n for names, _ in passes for n in names] == [q for q in range(300) if q not in (0, 5)] and len(calls) < 10
+    for names, matrix in passes:
+        assert np.allclose(matrix, [turn(V.pa.array([rows[n][1]]), 2)[0][0] for n in names], atol=0)
