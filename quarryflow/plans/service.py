@@ -219,8 +219,9 @@ class _Packing:
         return rows.withColumn("kept", F.lit(False))
 
 
-def _packing(index: Index, hits: DataFrame, budget: int, texts: bool) -> _Packing:
-    """hits: q, id, rank. texts: with the summaries and the blocks themselves, not only their sizes."""
+def _packing(index: Index, hits: DataFrame, budget: int, texts: bool, longest: int | None = None) -> _Packing:
+    """hits: q, id, rank. texts: with the summaries and the blocks themselves, not only their sizes; of blocks of more than
+    `longest` characters only sizes."""
     scratch = Scratch(hits.sparkSession, "questions")
     hits = scratch.write(hits, "hits")
     groups = scratch.write(C.question_groups(hits), "groups")
@@ -246,7 +247,8 @@ def _packing(index: Index, hits: DataFrame, budget: int, texts: bool) -> _Packin
     block = C.block(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("node_type"), F.col("label"), F.col("code"))
     rows = rows.withColumn("block", block).withColumns({"size": F.length("block"), "digest": F.xxhash64("block"), "at": F.monotonically_increasing_id()})
     kept = ["id", "node_type", "class_name", "file_path", "start_line", "end_line", "label", "size", "digest", "at"]
-    blocks = scratch.write(rows.select(*kept, *(["code", "block"] if texts else [])), "blocks")
+    text = [c if longest is None else F.when(F.col("size") <= longest, F.col(c)).alias(c) for c in ("code", "block")] if texts else []
+    blocks = scratch.write(rows.select(*kept, *text), "blocks")
     order = ["file_path", "start_line", "id", "label", "end_line", "digest", "at"]
     places = blocks.select(*kept).repartitionByRange(*order).sortWithinPartitions(*order)
     places = scratch.write(places.withColumn("nth", F.monotonically_increasing_id()), "places")
@@ -302,7 +304,7 @@ def question_blocks(index: Index, hits: DataFrame, budget: int = C.BUDGET) -> tu
 def ask_contexts(index: Index, questions: DataFrame, k: int = 5, budget: int = C.BUDGET) -> DataFrame:
     """(q, summary, text, references, truncated): `ask_context` of any number of questions in one plan. questions: q
     (unique) and text, or vector. A row holds kept blocks only, so its size is bounded by the budget."""
-    p = _packing(index, question_hits(index, questions, k), budget, texts=True)
+    p = _packing(index, question_hits(index, questions, k), budget, texts=True, longest=budget)  # longer ones are not kept
     snippet = F.substring(F.regexp_replace("code", r"^\s+|\s+$", ""), 1, 200)
     reference = F.struct(F.col("file_path").alias("file"), F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end"), F.col("label").alias("class_method"), snippet.alias("snippet"))
     part = F.struct("file_path", "start_line", "id", "block", reference.alias("reference"))

@@ -78,6 +78,20 @@ def test_groups_of_many_pieces(index, spark, monkeypatch, budget):
     assert min(r[4] for r in brief) >= len(one.summary) and any(r[3] for r in brief) == bool(one.references)
 
 
+def test_texts_beyond_the_budget_are_not_written(index, spark, monkeypatch):
+    made, write = {}, service.Scratch.write
+
+    def kept(self, df, name):
+        made[name] = write(self, df, name)
+        return made[name]
+
+    monkeypatch.setattr(service.Scratch, "write", kept)
+    service.ask_contexts(index, spark.createDataFrame([(1, "LoanServiceImpl find loan")], "q int, text string"), budget=100)
+    rows = made["blocks"].select("size", "block", "code").collect()
+    assert any(r["size"] > 100 for r in rows)
+    assert all((r["block"] is None) == (r["code"] is None) == (r["size"] > 100) for r in rows)
+
+
 def test_failure(index):
     log = "java.lang.RuntimeException: x\n\tat app.loan.LoanServiceImpl.find(LoanServiceImpl.java:{0})\n\tat q.R.s(R.java:1)"
     c = service.diagnose_context(index, log.format(9), "app.")
